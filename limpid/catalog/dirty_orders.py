@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from limpid.storage import spread
+
 COLUMNS = (
     "id", "ref", "amount_txt", "amount_early", "date_txt", "note_txt", "note20_txt",
     "rate_txt", "city", "phone", "whole_gap", "mostly_null", "prio_gap", "price_out",
@@ -18,7 +20,7 @@ TEXTS = (
 
 
 def dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    orders = spread(spark.read.parquet(f"{folder}/orders.parquet"))
     k = F.col("o_orderkey")
     s = k.cast("string")
     cents = F.round(F.col("o_totalprice") * 100, 0).cast("bigint")

@@ -56,12 +56,18 @@ WS_CHARS = "".join(
     for n in range(first, last + 1)
 )
 
+# The ASCII ones other than the plain space, one by one.
+ASCII_WS_PROBES = tuple(c for c in WS_CHARS if ord(c) < 128 and c != " ")
+
 # Patterns, in Java syntax.
 CODE_PATTERN = r"^[+-]?0\d(?:\d|" + WS + r")*$"
 GRADE_PATTERN = r"^([+-]?\d+(?:[.,]\d+)?)" + WS + r"*/" + WS + r"*(\d+(?:[.,]\d+)?)$"
 PERCENT_PATTERN = r"^([+-]?\d+(?:[.,]\d+)?)" + WS + r"*%$"
-AMOUNT_NOISE = "€$£ \u00a0\u202f"   # currency signs and thousands spaces
-PLAIN_NUMBER_CHARS = "^[0-9+\\-.,;" + AMOUNT_NOISE + "]*$"
+AMOUNT_NOISE = "[€$£ \u00a0\u202f]"   # currency signs and thousands spaces
+NUMERIC_LOOK_PATTERN = (           # plain or money characters only, or a percentage, or a grade
+    "^(?:[0-9+\\-.,;€$£ \u00a0\u202f]*"
+    r"|[+-]?\d+(?:[.,]\d+)?" + WS + r"*(?:%|/" + WS + r"*\d+(?:[.,]\d+)?))$"
+)
 MARKED_PATTERN = (                # a percentage or a grade; group 1 is its number
     r"^([+-]?\d+(?:[.,]\d+)?)" + WS + r"*(?:%|/" + WS + r"*\d+(?:[.,]\d+)?)$"
 )

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from limpid.functions.text import strip
-
 _TIME = r"\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?"
 _TAIL = r"(?:[ T](" + _TIME + r"))?$"
 _DAY = r"(\d{1,2})"
@@ -39,6 +37,10 @@ ISO_PLAUSIBLE_YEAR = r"^(?:19\d{2}|20\d{2}|2100)" + _AFTER_YEAR   # 1900 to 2100
 NAMED_DAY_FIRST = r"^(\d{1,2})[ -]" + _NAME + r"[ -](\d{4})$"
 NAMED_MONTH_FIRST = r"^" + _NAME + r" (\d{1,2}),? (\d{4})$"
 
+# Cheap first look: what cannot open a date is refused by this one pattern.
+_OPENING = (
+    r"^(?:\d{1,4}[/.-]\d{1,2}[/.-]\d{2}|\d{1,2}[ -][a-zA-Z]{3}|[a-zA-Z]{3,9}\.? \d)"
+)
 # No accepted shape is longer, so longer text is refused before any pattern runs.
 LONGEST = 40
 
@@ -61,8 +63,7 @@ def iso_text(t: Column) -> Column:
     )
 
 
-def to_timestamp(c: Column, bounded: bool = True) -> Column:
-    """Timestamp held by a text cell, or NULL; with `bounded`, in a plausible year."""
-    t = strip(c)
+def to_timestamp(t: Column, bounded: bool = True) -> Column:
+    """Timestamp held by a trimmed text, or NULL; with `bounded`, in a plausible year."""
     iso = F.regexp_extract(iso_text(t), ISO_PLAUSIBLE_YEAR if bounded else ISO_ANY_YEAR, 0)
-    return F.when((F.length(t) <= LONGEST) & t.rlike("[0-9]"), iso.try_cast("timestamp_ntz"))
+    return F.when((F.length(t) <= LONGEST) & t.rlike(_OPENING), iso.try_cast("timestamp_ntz"))

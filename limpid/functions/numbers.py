@@ -3,8 +3,9 @@
 Spark's own cast reads ``1d`` or ``3f`` as numbers, so every cast sits behind a
 strict pattern, and only ``try_cast`` is used. Each reading is one linear chain of
 replacements: no step is referenced twice, which keeps generated code small on
-wide tables. Text that does not match comes out empty, and an empty text casts to
-NULL.
+wide tables. Text that does not match comes out NULL before any cast: casting an
+empty text would raise and catch an exception per cell. All functions expect
+trimmed text.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from limpid import constants as K
-from limpid.functions.text import strip
 
 # Thousands separators of a value that holds both marks: the last mark is decimal.
 _THOUSANDS = r"\.(?=.*,[^.]*$)|,(?=.*\.[^,]*$)"
@@ -20,20 +20,25 @@ _THOUSANDS = r"\.(?=.*,[^.]*$)|,(?=.*\.[^,]*$)"
 
 def looks_numeric(c: Column) -> Column:
     """The value could be a number: plain, money, grade or percentage. Blank passes."""
-    return strip(c).rlike(f"{K.PLAIN_NUMBER_CHARS}|{K.GRADE_PATTERN}|{K.PERCENT_PATTERN}")
+    return c.rlike(K.NUMERIC_LOOK_PATTERN)
+
+
+def _group(c: Column, pattern: str, group: int) -> Column:
+    """One group of a pattern; NULL, not an empty text, where it does not match."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def _point(c: Column) -> Column:
-    return F.translate(c, ",", ".")
+    return F.replace(c, F.lit(","), F.lit("."))
 
 
 def grade_numerator(c: Column) -> Column:
     """Numerator of a grade such as ``4,5/5``; NULL for anything else."""
-    return _point(F.regexp_extract(strip(c), K.GRADE_PATTERN, 1)).try_cast("double")
+    return _point(_group(c, K.GRADE_PATTERN, 1)).try_cast("double")
 
 
 def grade_denominator(c: Column) -> Column:
-    return _point(F.regexp_extract(strip(c), K.GRADE_PATTERN, 2)).try_cast("double")
+    return _point(_group(c, K.GRADE_PATTERN, 2)).try_cast("double")
 
 
 def is_rescaled_grade(c: Column, scale: float) -> Column:
@@ -52,7 +57,7 @@ def grade_value(c: Column, scale: float | None = None) -> Column:
 
 def percent_value(c: Column) -> Column:
     """The displayed number of a percentage: ``1,5 %`` is 1.5, not 0.015."""
-    return _point(F.regexp_extract(strip(c), K.PERCENT_PATTERN, 1)).try_cast("double")
+    return _point(_group(c, K.PERCENT_PATTERN, 1)).try_cast("double")
 
 
 def decimal_point(c: Column) -> Column:
@@ -66,12 +71,12 @@ def decimal_point(c: Column) -> Column:
 
 def amount_text(c: Column) -> Column:
     """Drop currency signs and thousands spaces, then unify the decimal mark."""
-    return decimal_point(F.translate(c, K.AMOUNT_NOISE, ""))
+    return decimal_point(F.regexp_replace(c, K.AMOUNT_NOISE, ""))
 
 
 def strict_number_text(c: Column) -> Column:
-    """The text itself when it spells a number, else an empty text."""
-    return F.regexp_extract(c, K.NUMBER_PATTERN, 0)
+    """The text itself when it spells a number, else NULL."""
+    return _group(c, K.NUMBER_PATTERN, 0)
 
 
 def try_number(c: Column) -> Column:
@@ -79,20 +84,20 @@ def try_number(c: Column) -> Column:
 
 
 def amount_value(c: Column) -> Column:
-    return try_number(amount_text(strip(c)))
+    return try_number(amount_text(c))
 
 
 def rough_number(c: Column) -> Column:
     """Quick estimate used before typing: signs out, every comma to a point."""
-    return try_number(_point(F.translate(strip(c), K.AMOUNT_NOISE, "")))
+    return try_number(_point(F.regexp_replace(c, K.AMOUNT_NOISE, "")))
 
 
 def number_text(c: Column) -> Column:
-    """Number text of a cell, empty when it spells none.
+    """Number text of a cell, NULL when it spells none.
 
     A percentage keeps its displayed number and a grade its numerator.
     """
-    bare = F.regexp_replace(strip(c), K.MARKED_PATTERN, "$1")
+    bare = F.regexp_replace(c, K.MARKED_PATTERN, "$1")
     return strict_number_text(amount_text(bare))
 
 
@@ -103,7 +108,7 @@ def is_exponent_text(number: Column) -> Column:
 
 def _unscaled(c: Column, exponents: bool) -> Column:
     text = number_text(c)
-    return text if exponents else F.regexp_extract(text, K.PLAIN_DECIMAL_PATTERN, 0)
+    return text if exponents else _group(text, K.PLAIN_DECIMAL_PATTERN, 0)
 
 
 def to_double(c: Column, scale: float | None = None, exponents: bool = True) -> Column:

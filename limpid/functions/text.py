@@ -1,38 +1,54 @@
-"""Text expressions: white space, missing markers, case and code tests."""
+"""Text expressions: white space, missing markers, case and code tests.
+
+Functions other than `strip` and `squeeze_whitespace` expect text without edge
+white space; operators trim once, in a projection of their own, and reuse it.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from limpid import constants as K
 
 
+def _may_need_cleaning(c: Column, probes: tuple[str, ...]) -> Column:
+    """Byte-level first look, so clean text never meets a pattern or a trim table."""
+    not_ascii = F.octet_length(c) != F.length(c)
+    return reduce(lambda a, b: a | b, [c.contains(p) for p in probes], not_ascii)
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only the plain space."""
-    return F.trim(c, F.lit(K.WS_CHARS))
+    return F.when(
+        _may_need_cleaning(c, K.ASCII_WS_PROBES), F.trim(c, F.lit(K.WS_CHARS))
+    ).otherwise(F.trim(c))
 
 
 def squeeze_whitespace(c: Column) -> Column:
-    """Trim the ends and turn each run of white space into one space.
-
-    The pattern only matches what has to change, so clean text is not rewritten.
-    """
-    return F.trim(F.regexp_replace(c, f"{K.WS}{{2,}}|{K.WS_NOT_SPACE}", " "))
+    """Trim the ends and turn each run of white space into one space."""
+    return F.trim(
+        F.when(
+            _may_need_cleaning(c, ("  ", *K.ASCII_WS_PROBES)),
+            F.regexp_replace(c, f"{K.WS}{{2,}}|{K.WS_NOT_SPACE}", " "),
+        ).otherwise(c)
+    )
 
 
-def is_marker(c: Column) -> Column:
+def is_marker(t: Column) -> Column:
     """A written form of "no value" (``N/A``, ``--``, blanks...)."""
-    return F.lower(strip(c)).isin(*K.MISSING_MARKERS)
+    return F.lower(t).isin(*K.MISSING_MARKERS)
 
 
-def is_significant(c: Column) -> Column:
+def is_significant(t: Column) -> Column:
     """Present, and not merely a written form of "no value"."""
-    return c.isNotNull() & ~F.coalesce(is_marker(c), F.lit(False))
+    return t.isNotNull() & ~F.coalesce(is_marker(t), F.lit(False))
 
 
-def is_code(c: Column) -> Column:
+def is_code(t: Column) -> Column:
     """Digits led by a zero: a phone number or postal code, never a quantity."""
-    return strip(c).rlike(K.CODE_PATTERN)
+    return t.rlike(K.CODE_PATTERN)
 
 
 def mixes_letters_and_digits(c: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from limpid.functions.text import changes_when_lowered, lower_guarded
-from limpid.operators.aggregate import collect_metrics, count_where
+from limpid.operators.aggregate import count_where
+from limpid.operators.counts import text_metrics
 from limpid.operators.schema import chosen, ref, text_columns
 from limpid.operators.typing import sample_allows_lowering, sample_codes
 
@@ -26,8 +27,8 @@ def normalize_case(
 ) -> tuple[DataFrame, dict[str, int]]:
     """Lowercase, and count the values that changed per column."""
     cols = lowerable_columns(df, columns, order_by)
-    changed = collect_metrics(df, {c: count_where(changes_when_lowered(ref(c))) for c in cols})
-    changed = {c: n for c, n in changed.items() if n > 0}
+    found = text_metrics(df, cols, {"changed": lambda v: count_where(changes_when_lowered(v))})
+    changed = {c: m["changed"] for c, m in found.items() if m["changed"]}
     out = df.select(
         *[lower_guarded(ref(c)).alias(c) if c in changed else ref(c) for c in df.columns]
     )

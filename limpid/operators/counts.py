@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from limpid import constants as K
 from limpid.functions.text import strip
@@ -14,13 +14,35 @@ from limpid.operators.schema import ref, text_columns
 
 
 def unpivoted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows of (column, value), one per cell, values as text."""
-    sel = df.select(*[ref(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
-    names = F.create_map(
-        *[F.lit(x) for i, c in enumerate(columns) for x in (f"c{i}", c)]
+    """Rows of (column, value), one per cell, values as text.
+
+    Expressions on `value` are compiled once, however wide the table is.
+    """
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), ref(c).cast("string").alias("value"))
+            for c in columns
+        ]
     )
-    long = sel.unpivot([], [f"c{i}" for i in range(len(columns))], "k", "value")
-    return long.select(names[F.col("k")].alias("column"), "value")
+    return df.select(F.inline(cells))
+
+
+def text_metrics(
+    df: DataFrame, columns: Sequence[str], metrics: Mapping[str, Callable[[Column], Column]]
+) -> dict[str, dict]:
+    """Aggregates of each text column: one scan, one small row per column."""
+    columns = list(columns)
+    if not columns:
+        return {}
+    names = list(metrics)
+    found = {
+        r["column"]: {m: r[m] for m in names}
+        for r in unpivoted(df, columns)
+        .groupBy("column")
+        .agg(*[fn(F.col("value")).alias(m) for m, fn in metrics.items()])
+        .collect()
+    }
+    return {c: found.get(c, dict.fromkeys(names, 0)) for c in columns}
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

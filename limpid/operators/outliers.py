@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from limpid import constants as K
 from limpid.functions.numbers import rough_number
+from limpid.functions.text import strip
 from limpid.operators.aggregate import collect_metrics, count_where, small_table
 from limpid.operators.quantiles import quantiles
 from limpid.operators.schema import chosen, numeric_columns, ref
@@ -88,7 +89,7 @@ def outlier_rows(df: DataFrame, column: str, factor: float = K.IQR_FACTOR) -> Da
 
 def estimated(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Text columns read as numbers by the quick estimate used before typing."""
-    return df.select(*[rough_number(ref(c)).alias(c) for c in columns])
+    return df.select(*[rough_number(strip(ref(c))).alias(c) for c in columns])
 
 
 def latent_outliers(df: DataFrame, candidates: Sequence[str]) -> dict[str, int]:

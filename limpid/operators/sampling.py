@@ -5,10 +5,12 @@ Row order is explicit (`order_by`) or, failing that, scan order.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from limpid.operators.schema import ref as _ref
+
 # Rows of the common prefix read for all columns at once.
 PREFIX_ROWS = 1000
 # First-level groups of a two-level "first n": spreads a hot group's candidates.
@@ -45,45 +47,54 @@ def first_n_per_group(
 
 def first_present(
     df: DataFrame,
-    codes: Mapping[str, Column],
+    columns: Sequence[str],
+    code: Callable[[Column], Column],
     n: int,
     order_by: Sequence[str] | str | None = None,
     prefix_rows: int = PREFIX_ROWS,
 ) -> dict[str, list[int]]:
-    """Small codes of the first `n` present values of each column.
+    """Small codes of the first `n` present values of each text column.
 
-    `codes` maps a column to an integer expression that is NULL where the value is
-    missing. One bounded top-k job reads the first rows for all columns; columns
-    too sparse to be settled there go through `first_n_per_group` together. Only
-    codes reach the driver, at most `prefix_rows` per column.
+    `code` turns a value into an integer. The first `prefix_rows` rows settle most
+    columns: their order keys are found first, from the order columns alone, and
+    only the rows up to the last of them are read in full (a range filter that
+    reaches the scan). Columns too sparse to be settled there go through
+    `first_n_per_group` together. Only codes reach the driver.
     """
-    if not codes:
+    columns = list(columns)
+    if not columns:
         return {}
-    names = list(codes)
-    ordered, order = with_order(df, order_by)
-    slim = ordered.select(
-        *[F.col(f"`{o}`").alias(f"o{i}") for i, o in enumerate(order)],
-        *[e.cast("int").alias(f"v{i}") for i, e in enumerate(codes.values())],
-    )
-    order_cols = [f"o{i}" for i in range(len(order))]
-    rows = slim.orderBy(*order_cols).limit(prefix_rows).collect()
-
-    out: dict[str, list[int]] = {}
-    pending = []
-    for i, name in enumerate(names):
-        seen = [r[f"v{i}"] for r in rows if r[f"v{i}"] is not None]
-        if len(seen) >= n or len(rows) < prefix_rows:
-            out[name] = seen[:n]
-        else:
-            pending.append(i)
-    if pending:
-        long = (
-            slim.unpivot(order_cols, [f"v{i}" for i in pending], "c", "code")
-            .filter(F.col("code").isNotNull())
+    keys = [_SCAN_ORDER]
+    if order_by is None:
+        # Scan order: a plain limit reads the first partitions only.
+        prefix = df.limit(prefix_rows).withColumn(keys[0], F.monotonically_increasing_id())
+    else:
+        keys = [order_by] if isinstance(order_by, str) else list(order_by)
+        last = df.select(*map(_ref, keys)).orderBy(*map(_ref, keys)).limit(prefix_rows)
+        top = last.agg(F.max(_ref(keys[0])), F.count("*")).first()
+        if not top[1]:
+            return {c: [] for c in columns}
+        near = df.filter(_ref(keys[0]) <= F.lit(top[0])) if top[0] is not None else df
+        prefix = near.orderBy(*map(_ref, keys)).limit(prefix_rows)
+
+    def cells(table: DataFrame, names: Sequence[str]) -> DataFrame:
+        values = F.array(
+            *[F.struct(F.lit(columns.index(c)).alias("c"), _ref(c).alias("v")) for c in names]
         )
-        picked = first_n_per_group(long, ["c"], [F.col(o) for o in order_cols], n)
-        for i in pending:
-            out[names[i]] = []
-        for r in picked.orderBy(*order_cols).collect():
-            out[names[int(r["c"][1:])]].append(r["code"])
-    return out
+        order = [f"__k{i}" for i in range(len(keys))]
+        long = table.select(*[_ref(k).alias(o) for k, o in zip(keys, order)], F.inline(values))
+        return long.filter(F.col("v").isNotNull()).select(*order, "c", code(F.col("v")).alias("code"))
+
+    order = [f"__k{i}" for i in range(len(keys))]
+    out: dict[str, list[int]] = {c: [] for c in columns}
+    for r in sorted(cells(prefix, columns).collect(), key=lambda r: tuple(r[o] for o in order)):
+        out[columns[r["c"]]].append(r["code"])
+    short = [c for c in columns if len(out[c]) < n]
+    if short and prefix.count() == prefix_rows:
+        table, _ = with_order(df, order_by)
+        picked = first_n_per_group(cells(table, short), ["c"], [F.col(o) for o in order], n)
+        for c in short:
+            out[c] = []
+        for r in sorted(picked.collect(), key=lambda r: tuple(r[o] for o in order)):
+            out[columns[r["c"]]].append(r["code"])
+    return {c: codes[:n] for c, codes in out.items()}

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limpid import constants as K
 from limpid.functions.dates import to_timestamp
 from limpid.functions.numbers import (
-    grade_denominator, is_exponent_text, is_rescaled_grade, is_whole, looks_numeric,
+    grade_denominator, grade_value, is_exponent_text, is_rescaled_grade, is_whole, looks_numeric,
     number_text, to_double, to_long,
 )
-from limpid.functions.text import has_ascii_letter, is_code, is_short_code, is_significant, strip
+from limpid.functions.text import (
+    changes_when_lowered, has_ascii_letter, is_code, is_short_code, is_significant,
+    squeeze_whitespace, strip,
+)
 from limpid.operators.aggregate import collect_metrics, count_where, small_table
-from limpid.operators.counts import unpivoted
+from limpid.operators.counts import text_metrics, unpivoted
 from limpid.operators.sampling import first_n_per_group, first_present, with_order
 from limpid.operators.schema import float_columns, ref, text_columns
 
@@ -37,6 +40,7 @@ class Conversion:
     n_rescaled: int = 0
 
     def apply(self, c: Column) -> Column:
+        """The converted cell, from trimmed text."""
         if self.kind == "timestamp_ntz":
             return to_timestamp(c)
         if self.kind == "bigint":
@@ -45,22 +49,19 @@ class Conversion:
 
 
 def value_code(c: Column) -> Column:
-    """What the samples need to know of one value; NULL where it is missing."""
+    """What the samples need to know of one present value."""
     bit = lambda cond, n: F.when(cond, n).otherwise(0)
-    return F.when(
-        c.isNotNull(),
-        bit(looks_numeric(c), NUMERIC_LOOK)
+    return (
+        bit(looks_numeric(strip(c)), NUMERIC_LOOK)
         + bit(is_short_code(c), SHORT_CODE)
-        + bit(has_ascii_letter(c), ASCII_LETTER),
+        + bit(has_ascii_letter(c), ASCII_LETTER)
     )
 
 
 def sample_codes(
     df: DataFrame, columns: Sequence[str], order_by: str | None = None, **options
 ) -> dict[str, list[int]]:
-    return first_present(
-        df, {c: value_code(ref(c)) for c in columns}, K.NUMERIC_SAMPLE, order_by, **options
-    )
+    return first_present(df, columns, value_code, K.NUMERIC_SAMPLE, order_by, **options)
 
 
 def sample_is_numeric(codes: Sequence[int]) -> bool:
@@ -75,10 +76,8 @@ def sample_allows_lowering(codes: Sequence[int]) -> bool:
 def code_columns(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, bool]:
     """Columns protected because one value somewhere is a code with a leading zero."""
     columns = text_columns(df) if columns is None else list(columns)
-    return {
-        c: bool(n)
-        for c, n in collect_metrics(df, {c: count_where(is_code(ref(c))) for c in columns}).items()
-    }
+    found = text_metrics(df, columns, {"codes": lambda v: count_where(is_code(strip(v)))})
+    return {c: bool(m["codes"]) for c, m in found.items()}
 
 
 def numeric_candidates(
@@ -96,7 +95,7 @@ def numeric_candidates(
 
 def dominant_scales(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent non-zero denominator of each column; the largest on ties."""
-    dens = df.select(*[grade_denominator(ref(c)).alias(c) for c in columns])
+    dens = df.select(*[grade_denominator(strip(ref(c))).alias(c) for c in columns])
     counted = (
         unpivoted(dens, columns)
         .select("column", F.col("value").cast("double").alias("scale"))
@@ -108,67 +107,96 @@ def dominant_scales(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return first_n_per_group(counted, ["column"], order, 1, spread=False)
 
 
+def read_metrics(
+    df: DataFrame,
+    columns: Sequence[str],
+    likely_numeric: Sequence[str],
+    squeeze: bool = False,
+    bounded: bool = True,
+) -> dict[str, dict[str, int]]:
+    """How the cells of each text column read, counted over the whole table.
+
+    All columns go through one scan and one aggregate of (column, value) cells.
+    With `squeeze`, decisions are taken on white-space-cleaned text and the changes
+    of that treatment are counted along the way.
+    """
+    columns = list(columns)
+    if not columns:
+        return {}
+    raw, v, column = F.col("raw"), F.col("value"), F.col("column")
+    long = unpivoted(df, columns).select(
+        "column", v.alias("raw"), (squeeze_whitespace(v) if squeeze else strip(v)).alias("value")
+    )
+    likely = list(likely_numeric)
+    maybe = F.when(column.isin(likely), v) if likely else F.lit(None).cast("string")
+    parsed = long.select(
+        "column", "raw", "value",
+        to_timestamp(v, bounded).alias("ts"),
+        is_significant(v).alias("significant"),
+        number_text(maybe).alias("text"),
+        grade_denominator(maybe).alias("den"),
+        is_code(maybe).alias("code"),
+    ).withColumn("number", F.col("text").try_cast("double"))
+    number, ts, significant = F.col("number"), F.col("ts"), F.col("significant")
+    exponent, whole = is_exponent_text(F.col("text")), is_whole(number)
+    metrics = {
+        "rows": F.count("*"),
+        "present": F.count("value"),
+        "spaces": count_where(raw != v),
+        "case": count_where(changes_when_lowered(v)),
+        "dates": F.count("ts"),
+        "lost_dates": count_where(significant & ts.isNull()),
+        "codes": count_where(F.col("code")),
+        "numbers": F.count("number"),
+        "whole": count_where(whole),
+        "exponents": count_where(exponent),
+        "whole_exponents": count_where(exponent & whole),
+        "marks": count_where(v.contains("/") | v.contains("%")),
+        "grades": count_where(F.col("den") != 0),
+        "lost_numbers": count_where(significant & number.isNull()),
+    }
+    rows = parsed.groupBy("column").agg(*[e.alias(n) for n, e in metrics.items()]).collect()
+    found = {r["column"]: {n: r[n] for n in metrics} for r in rows}
+    return {c: found.get(c, dict.fromkeys(metrics, 0)) for c in columns}
+
+
 def fit_conversions(
     df: DataFrame,
     columns: Sequence[str],
     likely_numeric: Sequence[str],
-    extra: Mapping[str, Column] | None = None,
-) -> tuple[dict[str, Conversion], dict]:
-    """Decide the type of each text column from the whole table, in one aggregate.
+    metrics: Mapping[str, Mapping[str, int]] | None = None,
+    squeeze: bool = False,
+) -> dict[str, Conversion]:
+    """Decide the type of each text column from the whole table.
 
-    `likely_numeric` are the columns whose sample looks numeric. `extra` adds named
-    aggregates to the same scan; their results are returned too.
+    `likely_numeric` are the columns whose sample looks numeric; `metrics` is the
+    result of `read_metrics` when the caller already has it.
     """
     likely = set(likely_numeric)
-    derived: list[Column] = []
-    numbers: list[Column] = []
-    metrics: dict = dict(extra or {})
-    for i, c in enumerate(columns):
-        v = ref(c)
-        derived.append(to_timestamp(v).alias(f"__t{i}"))
-        derived.append(is_significant(v).alias(f"__s{i}"))
-        metrics[(c, "present")] = F.count(v)
-        metrics[(c, "dates")] = F.count(f"__t{i}")
-        metrics[(c, "lost_dates")] = count_where(F.col(f"__s{i}") & F.col(f"__t{i}").isNull())
-        if c in likely:
-            derived.append(number_text(v).alias(f"__n{i}"))
-            derived.append(grade_denominator(v).alias(f"__g{i}"))
-            number = F.col(f"__d{i}")
-            exponent = is_exponent_text(F.col(f"__n{i}"))
-            numbers.append(F.col(f"__n{i}").try_cast("double").alias(f"__d{i}"))
-            metrics[(c, "codes")] = count_where(is_code(v))
-            metrics[(c, "numbers")] = F.count(number)
-            metrics[(c, "whole")] = count_where(is_whole(number))
-            metrics[(c, "exponents")] = count_where(exponent)
-            metrics[(c, "whole_exponents")] = count_where(exponent & is_whole(number))
-            metrics[(c, "marks")] = count_where(v.contains("/") | v.contains("%"))
-            metrics[(c, "grades")] = count_where(F.col(f"__g{i}") != 0)
-            metrics[(c, "lost_numbers")] = count_where(F.col(f"__s{i}") & number.isNull())
-    m = collect_metrics(df.select("*", *derived).select("*", *numbers), metrics)
-
+    m = metrics or read_metrics(df, columns, likely_numeric, squeeze)
     plans: dict[str, Conversion] = {}
     for c in columns:
-        present = m[(c, "present")]
+        present = m[c]["present"]
         if not present:
             continue
-        if c in likely and not m[(c, "codes")]:
-            exponents = not m[(c, "marks")]
-            dropped = 0 if exponents else m[(c, "exponents")]
-            n = m[(c, "numbers")] - dropped
+        if c in likely and not m[c]["codes"]:
+            exponents = not m[c]["marks"]
+            refused = 0 if exponents else m[c]["exponents"]
+            n = m[c]["numbers"] - refused
             if n / present > K.NUMERIC_ACCEPTANCE:
-                whole = m[(c, "whole")] - (0 if exponents else m[(c, "whole_exponents")])
+                whole = m[c]["whole"] - (0 if exponents else m[c]["whole_exponents"])
                 plans[c] = Conversion(
                     c, "bigint" if whole == n else "double", None, exponents,
-                    present, n, m[(c, "lost_numbers")] + dropped,
+                    present, n, m[c]["lost_numbers"] + refused,
                 )
                 continue
-        if m[(c, "dates")] / present > K.DATE_ACCEPTANCE:
+        if m[c]["dates"] / present > K.DATE_ACCEPTANCE:
             plans[c] = Conversion(
-                c, "timestamp_ntz", None, True, present, m[(c, "dates")], m[(c, "lost_dates")]
+                c, "timestamp_ntz", None, True, present, m[c]["dates"], m[c]["lost_dates"]
             )
-    graded = [c for c in plans if c in likely and plans[c].kind != "timestamp_ntz" and m[(c, "grades")]]
+    graded = [c for c in plans if plans[c].kind != "timestamp_ntz" and m[c]["grades"]]
     plans.update(_fit_scales(df, {c: plans[c] for c in graded}))
-    return plans, {k: m[k] for k in (extra or {})}
+    return plans
 
 
 def _fit_scales(df: DataFrame, plans: Mapping[str, Conversion]) -> dict[str, Conversion]:
@@ -176,6 +204,7 @@ def _fit_scales(df: DataFrame, plans: Mapping[str, Conversion]) -> dict[str, Con
     if not plans:
         return {}
     scales = {r["column"]: r["scale"] for r in dominant_scales(df, list(plans)).collect()}
+    df = trimmed(df, plans)
     metrics = {}
     for c in plans:
         scaled = to_double(ref(c), scales[c], plans[c].exponents)
@@ -193,7 +222,14 @@ def _fit_scales(df: DataFrame, plans: Mapping[str, Conversion]) -> dict[str, Con
     }
 
 
+def trimmed(df: DataFrame, columns) -> DataFrame:
+    """The table with some text columns trimmed, in a projection of its own."""
+    names = set(columns)
+    return df.select(*[strip(ref(c)).alias(c) if c in names else ref(c) for c in df.columns])
+
+
 def convert(df: DataFrame, plans: Mapping[str, Conversion]) -> DataFrame:
+    df = trimmed(df, plans)
     return df.select(*[plans[c].apply(ref(c)).alias(c) if c in plans else ref(c) for c in df.columns])
 
 
@@ -203,7 +239,7 @@ def clean_types(
     """Convert text columns to numbers or timestamps where the data calls for it."""
     columns = text_columns(df) if columns is None else list(columns)
     codes = sample_codes(df, columns, order_by)
-    plans, _ = fit_conversions(df, columns, [c for c in columns if sample_is_numeric(codes[c])])
+    plans = fit_conversions(df, columns, [c for c in columns if sample_is_numeric(codes[c])])
     return convert(df, plans), plans
 
 
@@ -247,14 +283,12 @@ def _examples(long: DataFrame, n: int) -> DataFrame:
     return totals.join(first, "column")
 
 
-def _long(df: DataFrame, order_by: str | None, values: Mapping[str, Column]) -> DataFrame:
-    ordered, order = with_order(df, order_by)
+def _long(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """(at, column, value) for the cells whose value is present."""
     cells = F.array(
         *[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in values.items()]
     )
-    return ordered.select(
-        ref(order[0]).alias("at"), F.inline(F.filter(cells, lambda x: x["value"].isNotNull()))
-    )
+    return df.select("at", F.inline(cells)).filter(F.col("value").isNotNull())
 
 
 def _empty_examples(df: DataFrame) -> DataFrame:
@@ -268,11 +302,17 @@ def unparsed_values(
     """Present values that a conversion blanks: count and first examples per column."""
     if not plans:
         return _empty_examples(df)
-    lost = {
-        c: F.when(is_significant(ref(c)) & p.apply(ref(c)).isNull(), ref(c))
-        for c, p in plans.items()
-    }
-    return _examples(_long(df, order_by, lost), n)
+    ordered, order = with_order(df, order_by)
+    both = ordered.select(
+        ref(order[0]).alias("at"),
+        *[ref(c).alias(f"__r{i}") for i, c in enumerate(plans)],
+        *[strip(ref(c)).alias(f"__v{i}") for i, c in enumerate(plans)],
+    )
+    lost = {}
+    for i, (c, p) in enumerate(plans.items()):
+        v = F.col(f"__v{i}")
+        lost[c] = F.when(is_significant(v) & p.apply(v).isNull(), F.col(f"__r{i}"))
+    return _examples(_long(both, lost), n)
 
 
 def _short_number(v: Column) -> Column:
@@ -288,12 +328,17 @@ def rescaled_grades(
     graded = {c: p for c, p in plans.items() if p.scale is not None and p.kind != "timestamp_ntz"}
     if not graded:
         return _empty_examples(df).withColumn("scale", F.lit(None).cast("double"))
+    ordered, order = with_order(df, order_by)
+    cells = ordered.select(
+        ref(order[0]).alias("at"), *[strip(ref(c)).alias(f"__v{i}") for i, c in enumerate(graded)]
+    )
     shown = {}
-    for c, p in graded.items():
-        line = F.concat(strip(ref(c)), F.lit(" → "), _short_number(to_double(ref(c), p.scale, p.exponents)))
-        shown[c] = F.when(is_rescaled_grade(ref(c), p.scale), F.translate(line, ".", ","))
+    for i, (c, p) in enumerate(graded.items()):
+        v = F.col(f"__v{i}")
+        line = F.concat(v, F.lit(" → "), _short_number(grade_value(v, p.scale)))
+        shown[c] = F.when(is_rescaled_grade(v, p.scale), F.translate(line, ".", ","))
     scale = F.create_map(*[F.lit(x) for c, p in graded.items() for x in (c, float(p.scale))])
-    return _examples(_long(df, order_by, shown), n).withColumn("scale", scale[F.col("column")])
+    return _examples(_long(cells, shown), n).withColumn("scale", scale[F.col("column")])
 
 
 def mistyped_columns(df: DataFrame, order_by: str | None = None) -> dict[str, str]:
@@ -304,21 +349,14 @@ def mistyped_columns(df: DataFrame, order_by: str | None = None) -> dict[str, st
     columns = text_columns(df)
     codes = sample_codes(df, columns, order_by)
     likely = [c for c in columns if sample_is_numeric(codes[c])]
-    metrics = {}
-    for c in columns:
-        metrics[(c, "present")] = F.count(ref(c))
-        metrics[(c, "dates")] = F.count(to_timestamp(ref(c), bounded=False))
-        if c in likely:
-            metrics[(c, "codes")] = count_where(is_code(ref(c)))
-            metrics[(c, "numbers")] = F.count(to_double(ref(c)))
-    m = collect_metrics(df, metrics)
+    m = read_metrics(df, columns, likely, bounded=False)
     found = {}
     for c in columns:
-        present = m[(c, "present")]
+        present = m[c]["present"]
         if not present:
             continue
-        if c in likely and not m[(c, "codes")] and m[(c, "numbers")] / present > K.NUMERIC_ACCEPTANCE:
+        if c in likely and not m[c]["codes"] and m[c]["numbers"] / present > K.NUMERIC_ACCEPTANCE:
             found[c] = "number"
-        elif m[(c, "dates")] / present > K.DATE_ACCEPTANCE:
+        elif m[c]["dates"] / present > K.DATE_ACCEPTANCE:
             found[c] = "date"
     return found

@@ -11,11 +11,11 @@ import json
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from limpid import constants as K
 from limpid.functions.numbers import is_whole
-from limpid.functions.text import changes_when_lowered, lower_guarded, squeeze_whitespace
+from limpid.functions.text import lower_guarded, squeeze_whitespace
 from limpid.operators.aggregate import collect_metrics, count_where
 from limpid.operators.duplicates import FINGERPRINT, fingerprint, remove_duplicates
 from limpid.operators.fill import Fill, fill, fit_fills
@@ -24,10 +24,11 @@ from limpid.operators.schema import (
     chosen, float_columns, nan_to_null, numeric_columns, ref, text_columns,
 )
 from limpid.operators.typing import (
-    Conversion, fit_conversions, sample_allows_lowering, sample_codes, sample_is_numeric,
+    Conversion, fit_conversions, read_metrics, sample_allows_lowering, sample_codes, sample_is_numeric,
 )
 from limpid.options import CleaningOptions
-from limpid.storage import materialised
+from limpid.session import tune
+from limpid.storage import materialised, spread
 
 # Row order of a run whose caller names no order column; never part of the data.
 ROW = "__row_order"
@@ -59,22 +60,23 @@ class Pass:
 
     def project(self, df: DataFrame) -> DataFrame:
         """Every column treatment of the pass, as one projection."""
-        types = {f.name: f.dataType for f in df.schema}
+        texts = set(text_columns(df))
+        kept = [c for c in df.columns if c not in self.dropped]
+        # White space first, in a projection of its own: later steps refer to it often.
+        spaced = df.select(
+            *[squeeze_whitespace(ref(c)).alias(c) if c in texts else ref(c) for c in kept]
+        )
         out = []
-        for c in df.columns:
-            if c in self.dropped:
-                continue
+        for c in kept:
             v = ref(c)
-            if isinstance(types[c], T.StringType):
-                v = squeeze_whitespace(v)
-                if c in self.conversions:
-                    v = self.conversions[c].apply(v)
-                elif c in self.lowered:
-                    v = lower_guarded(v)
-            elif c in self.integers:
+            if c in texts and c in self.conversions:
+                v = self.conversions[c].apply(v)
+            elif c in texts and c in self.lowered:
+                v = lower_guarded(v)
+            elif c in self.integers and c not in texts:
                 v = v.cast("bigint")
             out.append(v.alias(c))
-        return df.select(*out)
+        return spaced.select(*out)
 
 
 @dataclass
@@ -150,57 +152,54 @@ def _schema(df: DataFrame) -> list[tuple[str, str]]:
 
 
 def fit_pass(df: DataFrame, options: CleaningOptions) -> Pass:
-    """Decide one pass: a bounded sample job, one wide aggregate, and two short jobs
-    more when a column holds grades."""
+    """Decide one pass: a bounded sample, one aggregate over the text cells, one over
+    the other columns, and two short jobs more when a column holds grades."""
     texts = text_columns(df)
     others = [c for c in _data_columns(df) if c not in set(texts)]
     order_by = options.order_by or ROW
-    # Decisions are taken on the squeezed text, under the original names.
-    spaced = df.select(
-        *[ref(c) for c in df.columns if c not in set(texts)],
-        *[squeeze_whitespace(ref(c)).alias(c) for c in texts],
-        *[(ref(c) != squeeze_whitespace(ref(c))).alias(f"__w{i}") for i, c in enumerate(texts)],
+    codes = sample_codes(
+        df.select(
+            *[ref(c) for c in df.columns if c not in set(texts)],
+            *[squeeze_whitespace(ref(c)).alias(c) for c in texts],
+        ),
+        texts,
+        order_by,
     )
-    codes = sample_codes(spaced, texts, order_by)
-    may_lower = {
-        c
-        for c in chosen(texts, options.case_columns or None)
-        if sample_allows_lowering(codes[c])
-    }
-    floats = float_columns(df)
-    extra = {"rows": F.count("*")}
-    for c in others:
-        extra[(c, "nulls")] = count_where(ref(c).isNull())
-    for c in floats:
-        extra[(c, "whole floats")] = count_where(is_whole(ref(c)))
-    for i, c in enumerate(texts):
-        extra[(c, "spaces")] = count_where(F.col(f"__w{i}"))
-        if c in may_lower:
-            extra[(c, "case")] = count_where(changes_when_lowered(ref(c)))
-        extra[(c, "nulls")] = count_where(ref(c).isNull())
     likely = [c for c in texts if sample_is_numeric(codes[c])]
-    conversions, m = fit_conversions(spaced, texts, likely, extra)
-
+    read = read_metrics(df, texts, likely, squeeze=True)
+    floats = float_columns(df)
+    m = collect_metrics(
+        df,
+        {
+            "rows": F.count("*"),
+            **{(c, "present"): F.count(ref(c)) for c in others},
+            **{(c, "whole"): count_where(is_whole(ref(c))) for c in floats},
+        },
+    )
     rows = m["rows"]
     out = Pass(n_rows=rows)
     if not rows:
         return out
-    out.whitespace = {c: m[(c, "spaces")] for c in texts if m[(c, "spaces")]}
+    out.whitespace = {c: read[c]["spaces"] for c in texts if read[c]["spaces"]}
     out.integers = [
-        c
-        for c in floats
-        if rows > m[(c, "nulls")] and m[(c, "whole floats")] == rows - m[(c, "nulls")]
+        c for c in floats if m[(c, "present")] and m[(c, "whole")] == m[(c, "present")]
     ]
-    out.conversions = conversions
+    out.conversions = fit_conversions(df, texts, likely, read)
     for c in _data_columns(df):
-        filled = conversions[c].n_converted if c in conversions else rows - m[(c, "nulls")]
-        if (rows - filled) / rows >= K.EMPTY_COLUMN_RATIO:
+        if c in out.conversions:
+            present = out.conversions[c].n_converted
+        else:
+            present = read[c]["present"] if c in read else m[(c, "present")]
+        if (rows - present) / rows >= K.EMPTY_COLUMN_RATIO:
             out.dropped.append(c)
     gone = set(out.dropped)
     out.lowered = {
-        c: m[(c, "case")]
-        for c in texts
-        if c in may_lower and c not in conversions and c not in gone and m[(c, "case")]
+        c: read[c]["case"]
+        for c in chosen(texts, options.case_columns or None)
+        if c not in out.conversions
+        and c not in gone
+        and sample_allows_lowering(codes[c])
+        and read[c]["case"]
     }
     return out
 
@@ -213,9 +212,11 @@ def fit_cleaning(df: DataFrame, options: CleaningOptions | None = None) -> Clean
     last.
     """
     options = options or CleaningOptions()
+    tune(df.sparkSession)
     current = nan_to_null(df)
     if options.order_by is None:
         current = current.withColumn(ROW, F.monotonically_increasing_id())
+    current = spread(current)
     passes: list[Pass] = []
     for _ in range(options.max_passes):
         p = fit_pass(current, options)
