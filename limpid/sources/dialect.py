@@ -10,11 +10,14 @@ from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from limpid import constants as K
 
-DIALECT_SCHEMA = "path string, length long, format string, encoding string, separator string"
+DIALECT_SCHEMA = "path string, length long, format string, encoding string, separator string, opening string"
+
+
+_COLUMNS = ["path", "length", "format", "encoding", "separator", "opening"]
 
 
 def detect_encoding(head: bytes) -> str:
@@ -79,12 +82,13 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if length > K.HEAD_BYTES:
                 # The last line of a cut head is incomplete.
                 text = text.rsplit("\n", 1)[0] if "\n" in text else text
-            out.append((path, length, detect_format(head, tail, encoding), encoding, detect_separator(text)))
-        yield pd.DataFrame(out, columns=["path", "length", "format", "encoding", "separator"])
+            out.append((path, length, detect_format(head, tail, encoding), encoding,
+                        detect_separator(text), text.lstrip()[:1]))
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
 
 def dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, length, format, encoding, separator) of every file under `path`."""
+    """Path, length, format, encoding, separator and first character of every file."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

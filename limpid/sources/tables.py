@@ -48,8 +48,11 @@ def sniffed_format(spark: SparkSession, path: str) -> str:
 # --- CSV -----------------------------------------------------------------------------
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """All-text CSV table. Files are read in groups that share encoding and separator."""
+def read_csv_text(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """All-text CSV table. Files are read in groups that share encoding and separator.
+
+    Quoted line breaks need `multiline`, which keeps Spark from splitting large files.
+    """
     groups = (
         dialects(spark, path)
         .filter("length > 0")
@@ -60,7 +63,7 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     parts = [
         spark.read.csv(
             sorted(g["paths"]), header=True, sep=g["separator"], encoding=g["encoding"],
-            inferSchema=False, multiLine=g["encoding"] != "UTF-8", escape='"', mode="PERMISSIVE",
+            inferSchema=False, multiLine=multiline, escape='"', mode="PERMISSIVE",
         )
         for g in sorted(groups, key=lambda g: (g["encoding"], g["separator"]))
     ]
@@ -69,8 +72,8 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return infer_types(read_csv_text(spark, path))
+def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    return infer_types(read_csv_text(spark, path, multiline))
 
 
 def inferred_types(df: DataFrame) -> dict[str, str]:
@@ -142,9 +145,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def _documents_are_objects(spark: SparkSession, path: str) -> bool:
     """Every document opens with a brace, so it is one object and not a list."""
-    opening = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    first = F.substring(F.ltrim(F.regexp_replace(F.substring("value", 1, 64), r"^[\s﻿]+", "")), 1, 1)
-    return not opening.filter(first != "{").limit(1).count()
+    return not dialects(spark, path).filter("opening <> '{'").limit(1).count()
 
 
 def columns_to_rows(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -118,12 +118,12 @@ def _workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_workbooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All-text table of the first sheets under `path`; columns are matched by name."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "content")
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return workbook_rows(files.select("path", "content"))
+
+
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """The same from a table of (path, content)."""
     cells = files.mapInPandas(_workbooks, _CELLS)
     # Row 0 of each workbook is its header; names are few, and kept in first-seen order.
     names = [
