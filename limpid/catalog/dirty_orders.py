@@ -60,7 +60,9 @@ def dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 500 == 0, F.col("o_totalprice") * 40)
         .when(k % 7 != 0, F.col("o_totalprice")).alias("price_out"),
     )
-    return base.unionAll(base.filter("id % 40 = 0"))
+    # Every 40th row twice: exact duplicates.
+    copies = F.when(F.col("id") % 40 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return base.withColumn("copy", F.explode(copies)).drop("copy")
 
 
 DIRTY_ORDERS_SQL = """

@@ -333,8 +333,8 @@ def oracle_sql() -> dict[str, str]:
     )
     numeric = {
         "amount_txt": _amount("amount_txt"),
-        "note_txt": f"CAST({_graded('note_txt', 5)} AS BIGINT)",
-        "note20_txt": f"CAST({_graded('note20_txt', 20)} AS BIGINT)",
+        "note_txt": f"CAST({_graded('note_txt', 5)} AS DOUBLE)",
+        "note20_txt": f"CAST({_graded('note20_txt', 20)} AS DOUBLE)",
         "rate_txt": _PERCENT,
     }
     q["convert_numeric"] = D + "SELECT id, amount_early, " + ", ".join(f"{e} AS {c}" for c, e in numeric.items()) + " FROM d"
@@ -447,7 +447,10 @@ FROM s, range(20) AS r(i) LEFT JOIN h ON h.bin = i"""
 round(CAST(note_txt AS DOUBLE), 4) AS note_txt, CAST(note20_txt AS DOUBLE) AS note20_txt, round(rate_txt, 4) AS rate_txt,
 city, phone, round(CAST(whole_gap AS DOUBLE), 4) AS whole_gap, prio_gap,
 round(greatest(lo, least(hi, price_out)), 4) AS price_out FROM filled, fence"""
-    q["reapplied_plan"] = f"{D}, {TYPED} SELECT id, amount_txt, date_txt, note_txt, note20_txt, rate_txt, city, whole_gap FROM typed"
+    q["reapplied_plan"] = (
+        f"{D}, {TYPED} SELECT id, amount_txt, date_txt, CAST(note_txt AS DOUBLE) AS note_txt, "
+        "CAST(note20_txt AS DOUBLE) AS note20_txt, rate_txt, city, CAST(whole_gap AS DOUBLE) AS whole_gap FROM typed"
+    )
     q["cleaning_totals"] = _step_totals(consent=True, ignored=False)
     q["step_totals"] = _step_totals(consent=False, ignored=True)
     head = [

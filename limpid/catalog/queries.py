@@ -20,7 +20,7 @@ from limpid.plans import audit
 from limpid.plans.profile import profile
 from limpid.session import tune
 from limpid.sources import dialect, tables, workbook
-from limpid.storage import new_path
+from limpid.storage import materialised, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL = CleaningOptions(correct_outliers=True, fill_missing=True, order_by="id")
@@ -47,6 +47,12 @@ def _joined(df: DataFrame, column: str = "examples") -> DataFrame:
     return df.withColumn(column, F.array_join(column, " | "))
 
 
+def _doubles(df: DataFrame) -> DataFrame:
+    """Integer columns with gaps as doubles: both sides of a check then print them alike."""
+    gaps = {"note_txt", "note20_txt", "whole_gap"}
+    return df.select(*[F.col(c).cast("double").alias(c) if c in gaps else F.col(c) for c in df.columns])
+
+
 # --- sources and sinks ------------------------------------------------------------------
 
 
@@ -228,9 +234,8 @@ def rescaled_grades(spark, sf):
 
 def convert_numeric(spark, sf):
     d = dirty_orders(spark, sf)
-    return typing.clean_types(d, "id", ["amount_txt", "amount_early", "note_txt", "note20_txt", "rate_txt"])[0].select(
-        "id", "amount_txt", "amount_early", "note_txt", "note20_txt", "rate_txt"
-    )
+    names = ["amount_txt", "amount_early", "note_txt", "note20_txt", "rate_txt"]
+    return _doubles(typing.clean_types(d, "id", names)[0].select("id", *names))
 
 
 def convert_dates(spark, sf):
@@ -238,7 +243,7 @@ def convert_dates(spark, sf):
 
 
 def clean_types(spark, sf):
-    return typing.clean_types(dirty_orders(spark, sf), "id")[0]
+    return _doubles(typing.clean_types(dirty_orders(spark, sf), "id")[0])
 
 
 def recover_integers(spark, sf):
@@ -396,20 +401,24 @@ def fill_missing(spark, sf):
     return rounded(out)
 
 
+def _stored(spark, sf):
+    """The dirty view as a stored table, which is what a cleaning run starts from."""
+    return materialised(dirty_orders(spark, sf), "dirty")
+
+
 def _cleaned(spark, sf):
-    return fit_cleaning(dirty_orders(spark, sf), ALL)
+    return fit_cleaning(_stored(spark, sf), ALL)
 
 
 def cleaned_table(spark, sf):
-    t = _cleaned(spark, sf).table
-    doubles = {"note_txt", "note20_txt", "whole_gap"}
-    return rounded(t.select(*[F.col(c).cast("double").alias(c) if c in doubles else F.col(c) for c in t.columns]))
+    return rounded(_doubles(_cleaned(spark, sf).table))
 
 
 def reapplied_plan(spark, sf):
-    d = dirty_orders(spark, sf)
+    d = _stored(spark, sf)
     plan = fit_cleaning(d, CleaningOptions(order_by="id")).plan
-    return plan.typed(d).select("id", "amount_txt", "date_txt", "note_txt", "note20_txt", "rate_txt", "city", "whole_gap")
+    kept = ("id", "amount_txt", "date_txt", "note_txt", "note20_txt", "rate_txt", "city", "whole_gap")
+    return _doubles(plan.typed(d).select(*kept))
 
 
 def cleaning_totals(spark, sf):
@@ -425,7 +434,7 @@ def audit_table(spark, sf):
 
 
 def step_totals(spark, sf):
-    d = dirty_orders(spark, sf)
+    d = _stored(spark, sf)
     return audit.step_totals(audit.audit_table(fit_cleaning(d, CleaningOptions(order_by="id")), examples=0))
 
 
@@ -438,7 +447,7 @@ def global_metrics(spark, sf):
 
 
 def before_after_delta(spark, sf):
-    d = dirty_orders(spark, sf)
+    d = _stored(spark, sf)
     return audit.before_after(d, fit_cleaning(d, CleaningOptions(order_by="id")).table)
 
 

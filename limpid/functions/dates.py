@@ -39,7 +39,7 @@ NAMED_MONTH_FIRST = r"^" + _NAME + r" (\d{1,2}),? (\d{4})$"
 
 # Cheap first look: what cannot open a date is refused by this one pattern.
 _OPENING = (
-    r"^(?:\d{1,4}[/.-]\d{1,2}[/.-]\d{2}|\d{1,2}[ -][a-zA-Z]{3}|[a-zA-Z]{3,9}\.? \d)"
+    r"^(?:\d{1,4}[/.-]\d{1,2}[/.-]\d|\d{1,2}[ -][a-zA-Z]{3}|[a-zA-Z]{3,9}\.? \d)"
 )
 # No accepted shape is longer, so longer text is refused before any pattern runs.
 LONGEST = 40

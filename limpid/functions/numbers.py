@@ -24,8 +24,8 @@ def looks_numeric(c: Column) -> Column:
 
 
 def _group(c: Column, pattern: str, group: int) -> Column:
-    """One group of a pattern; NULL, not an empty text, where it does not match."""
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    """One group of an anchored pattern; NULL, not an empty text, where it does not match."""
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def _point(c: Column) -> Column:
@@ -46,13 +46,16 @@ def is_rescaled_grade(c: Column, scale: float) -> Column:
     return F.coalesce(~grade_denominator(c).isin(0.0, float(scale)), F.lit(False))
 
 
+def _rescaled(c: Column, scale: float) -> Column:
+    return F.round(grade_numerator(c) / grade_denominator(c) * F.lit(float(scale)), 6)
+
+
 def grade_value(c: Column, scale: float | None = None) -> Column:
     """A grade expressed on `scale`; the numerator when it already is."""
     num = grade_numerator(c)
     if scale is None:
         return num
-    rescaled = F.round(num / grade_denominator(c) * F.lit(float(scale)), 6)
-    return F.when(is_rescaled_grade(c, scale), rescaled).otherwise(num)
+    return F.when(is_rescaled_grade(c, scale), _rescaled(c, scale)).otherwise(num)
 
 
 def percent_value(c: Column) -> Column:
@@ -120,7 +123,7 @@ def to_double(c: Column, scale: float | None = None, exponents: bool = True) ->
     value = _unscaled(c, exponents).try_cast("double")
     if scale is None:
         return value
-    return F.when(is_rescaled_grade(c, scale), grade_value(c, scale)).otherwise(value)
+    return F.when(is_rescaled_grade(c, scale), _rescaled(c, scale)).otherwise(value)
 
 
 def to_long(c: Column, scale: float | None = None, exponents: bool = True) -> Column:

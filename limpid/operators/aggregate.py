@@ -65,7 +65,7 @@ def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 
 def count_where(condition: Column) -> Column:
-    return F.count_if(F.coalesce(condition, F.lit(False)))
+    return F.count(F.when(condition, True))
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:

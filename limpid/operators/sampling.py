@@ -65,6 +65,7 @@ def first_present(
     if not columns:
         return {}
     keys = [_SCAN_ORDER]
+    full = None
     if order_by is None:
         # Scan order: a plain limit reads the first partitions only.
         prefix = df.limit(prefix_rows).withColumn(keys[0], F.monotonically_increasing_id())
@@ -72,6 +73,7 @@ def first_present(
         keys = [order_by] if isinstance(order_by, str) else list(order_by)
         last = df.select(*map(_ref, keys)).orderBy(*map(_ref, keys)).limit(prefix_rows)
         top = last.agg(F.max(_ref(keys[0])), F.count("*")).first()
+        full = top[1] == prefix_rows
         if not top[1]:
             return {c: [] for c in columns}
         near = df.filter(_ref(keys[0]) <= F.lit(top[0])) if top[0] is not None else df
@@ -90,7 +92,7 @@ def first_present(
     for r in sorted(cells(prefix, columns).collect(), key=lambda r: tuple(r[o] for o in order)):
         out[columns[r["c"]]].append(r["code"])
     short = [c for c in columns if len(out[c]) < n]
-    if short and prefix.count() == prefix_rows:
+    if short and (full if full is not None else prefix.count() == prefix_rows):
         table, _ = with_order(df, order_by)
         picked = first_n_per_group(cells(table, short), ["c"], [F.col(o) for o in order], n)
         for c in short:

@@ -204,14 +204,22 @@ def _fit_scales(df: DataFrame, plans: Mapping[str, Conversion]) -> dict[str, Con
     if not plans:
         return {}
     scales = {r["column"]: r["scale"] for r in dominant_scales(df, list(plans)).collect()}
-    df = trimmed(df, plans)
+    scaled = trimmed(df, plans).select(
+        *[
+            e
+            for i, (c, p) in enumerate(plans.items())
+            for e in (
+                to_double(ref(c), scales[c], p.exponents).alias(f"__n{i}"),
+                is_rescaled_grade(ref(c), scales[c]).alias(f"__r{i}"),
+            )
+        ]
+    )
     metrics = {}
-    for c in plans:
-        scaled = to_double(ref(c), scales[c], plans[c].exponents)
-        metrics[(c, "rescaled")] = count_where(is_rescaled_grade(ref(c), scales[c]))
-        metrics[(c, "numbers")] = F.count(scaled)
-        metrics[(c, "whole")] = count_where(is_whole(scaled))
-    m = collect_metrics(df, metrics)
+    for i, c in enumerate(plans):
+        metrics[(c, "rescaled")] = count_where(F.col(f"__r{i}"))
+        metrics[(c, "numbers")] = F.count(f"__n{i}")
+        metrics[(c, "whole")] = count_where(is_whole(F.col(f"__n{i}")))
+    m = collect_metrics(scaled, metrics)
     return {
         c: Conversion(
             c,

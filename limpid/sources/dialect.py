@@ -6,6 +6,7 @@ paths and reads 4 KB from the head and four bytes from the tail.
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -25,13 +26,12 @@ def detect_encoding(head: bytes) -> str:
 
     A character cut at the end of the head does not count against UTF-8.
     """
-    for cut in range(min(4, len(head) + 1)):
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError as error:
-            if error.start < len(head) - 4:
-                break
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    try:
+        decoder.decode(head, final=len(head) < K.HEAD_BYTES)
+        return "UTF-8"
+    except UnicodeDecodeError:
+        pass
     if any(0x80 <= b <= 0x9F for b in head):
         return "windows-1252"
     return "ISO-8859-1"

@@ -171,7 +171,9 @@ def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
     df = read_json_lines_raw(spark, path)
     # Spark refuses a scan of the corrupt column alone, so a record is checked with it.
     record = F.to_json(F.struct(*[ref(c) for c in df.columns if c != CORRUPT]))
-    return df.select(F.col(CORRUPT).alias("line"), record.alias("read_part")).filter("line is not null")
+    return df.select(F.col(CORRUPT).alias("line"), record.alias("read_part")).filter(
+        "line is not null and read_part is not null"
+    )
 
 
 # --- Parquet, nested cells -----------------------------------------------------------

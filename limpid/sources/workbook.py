@@ -125,14 +125,14 @@ def read_workbooks(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def workbook_rows(files: DataFrame) -> DataFrame:
     """The same from a table of (path, content)."""
     cells = files.mapInPandas(_workbooks, _CELLS)
-    # Row 0 of each workbook is its header; names are few, and kept in first-seen order.
+    # Row 0 of each workbook is its header; names are few, and kept in the order of the first workbook that has them.
     names = [
         r["name"]
         for r in cells.filter("row_number = 0")
-        .select(F.posexplode(F.map_keys("cells")).alias("at", "name"))
+        .select("path", F.posexplode(F.map_keys("cells")).alias("at", "name"))
         .groupBy("name")
-        .agg(F.min("at").alias("at"))
-        .orderBy("at", "name")
+        .agg(F.min(F.struct("path", "at")).alias("first"))
+        .orderBy("first")
         .collect()
     ]
     return cells.filter("row_number > 0").select(
