@@ -399,7 +399,7 @@ UNION ALL SELECT 'row_full_empty', NULL, count(*), '' FROM rows_ WHERE pct > 90
         for c in ("p_name", "p_brand", "p_type")
     )
     q["frequency_skew"] = "SELECT \"column\", skewness_frequency, is_high_skewness FROM (" + _union(
-        _categorical("documents", c) for c in ("lang", "source")
+        _categorical("documents", c) for c in ("text", "lang", "source")
     ) + ")"
     q["format_anomalies"] = D + _union(_anomaly(c) for c in TEXTS)
     q["case_targets"] = D + "SELECT \"column\" FROM (" + _union(_anomaly(c) for c in TEXTS) + ") WHERE case_anomaly"

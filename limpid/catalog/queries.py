@@ -20,7 +20,7 @@ from limpid.plans import audit
 from limpid.plans.profile import profile
 from limpid.session import tune
 from limpid.sources import dialect, tables, workbook
-from limpid.storage import materialised, new_path
+from limpid.storage import materialised, new_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 ALL = CleaningOptions(correct_outliers=True, fill_missing=True, order_by="id")
@@ -321,7 +321,7 @@ def outlier_summary(spark, sf):
 
 def profile_categorical(spark, sf):
     parts = [
-        counts.categorical_profile(counts.value_counts(df))
+        counts.categorical_profile(counts.key_counts(df))
         for df in (table(spark, sf, "orders"), table(spark, sf, "part"), dirty_orders(spark, sf))
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -332,7 +332,7 @@ def top_categories(spark, sf):
 
 
 def frequency_skew(spark, sf):
-    return counts.categorical_profile(counts.value_counts(table(spark, sf, "documents").drop("text"))).select(
+    return counts.categorical_profile(counts.key_counts(table(spark, sf, "documents"))).select(
         "column", "skewness_frequency", "is_high_skewness"
     )
 
@@ -355,7 +355,7 @@ def column_overview(spark, sf):
 
 
 def correlation_matrix(spark, sf):
-    return rounded(describe.correlation_matrix(table(spark, sf, "lineitem")), 6)
+    return rounded(describe.correlation_matrix(spread(table(spark, sf, "lineitem"))), 6)
 
 
 def histogram_20(spark, sf):
@@ -363,7 +363,7 @@ def histogram_20(spark, sf):
 
 
 def kde_grid(spark, sf):
-    return rounded(charts.density(table(spark, sf, "events"), "value"), 6)
+    return rounded(charts.density(spread(table(spark, sf, "events")), "value"), 6)
 
 
 def boxplot_stats(spark, sf):

@@ -55,8 +55,30 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return unpivoted(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+# Longer values are grouped by digest where only their number matters.
+LONG_VALUE = 32
+
+
+def key_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Like `value_counts` where the values themselves are not reported.
+
+    A long value is represented by its SHA-256, so a column of documents shuffles 64
+    bytes per distinct text. Digests are longer than any value kept as it is, so the
+    two never meet.
+    """
+    columns = text_columns(df) if columns is None else list(columns)
+    v = F.col("value")
+    key = F.when(F.length(v) > LONG_VALUE, F.sha2(v, 256)).otherwise(v)
+    return (
+        unpivoted(df, columns)
+        .select("column", key.alias("value"))
+        .groupBy("column", "value")
+        .agg(F.count("*").alias("n"))
+    )
+
+
 def categorical_profile(counts: DataFrame) -> DataFrame:
-    """Cardinality, fill rate and skew per column, from value counts."""
+    """Cardinality, fill rate and skew per column, from value or key counts."""
     present = F.when(F.col("value").isNotNull(), F.col("n"))
     base = counts.groupBy("column").agg(
         F.sum("n").alias("n_rows"),
@@ -133,7 +155,7 @@ def column_overview(df: DataFrame) -> DataFrame:
         "column string, type string",
     )
     stats = (
-        value_counts(df, df.columns)
+        key_counts(df, df.columns)
         .groupBy("column")
         .agg(
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
@@ -151,7 +173,7 @@ def column_overview(df: DataFrame) -> DataFrame:
 def identifier_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per text column: whether nearly every present value is distinct."""
     columns = text_columns(df) if columns is None else list(columns)
-    base = value_counts(df, columns).groupBy("column").agg(
+    base = key_counts(df, columns).groupBy("column").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_present"),
         F.count("value").alias("n_distinct"),
     )

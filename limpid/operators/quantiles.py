@@ -19,7 +19,7 @@ from limpid.operators.aggregate import collect_metrics, count_where
 from limpid.operators.schema import ref
 
 # Present cells up to which one `percentile` aggregate is used.
-DIRECT_CELLS = 8_000_000
+DIRECT_CELLS = 2_000_000
 # Distinct values of one enclosing pair that may be fetched to be ordered.
 FETCH_VALUES = 5_000
 # Sketch accuracy; the relative rank error is its inverse.
@@ -89,20 +89,32 @@ def _ranked_values(df, wanted, present, fetch_values, accuracy) -> dict[tuple[st
     for _ in range(_MAX_ROUNDS):
         if not open_:
             break
-        pairs = collect_metrics(
+        # Targets that search the same interval of a column share one sketch.
+        groups: dict[tuple, list] = {}
+        for t in open_:
+            groups.setdefault((t[0], state[t]["low"], state[t]["high"]), []).append(t)
+        probs = {g: sorted({p for t in ts for p in _bracket(t, state[t], accuracy)}) for g, ts in groups.items()}
+        sketches = collect_metrics(
             cells,
-            {t: F.percentile_approx(_within(col[t[0]], state[t]), _bracket(t, state[t], accuracy), accuracy)
-             for t in open_},
+            {g: F.percentile_approx(_within(col[g[0]], g[1], g[2]), F.array(*map(F.lit, ps)), accuracy)
+             for g, ps in probs.items()},
         )
-        counts = {}
-        for t in open_:
-            lo, hi = pairs[t]
-            s = _within(col[t[0]], state[t])
-            counts[(t, "lt_lo")] = count_where(s < lo)
-            counts[(t, "le_lo")] = count_where(s <= lo)
-            counts[(t, "lt_hi")] = count_where(s < hi)
-            counts[(t, "le_hi")] = count_where(s <= hi)
-        n = collect_metrics(cells, counts)
+        pairs, counts = {}, {}
+        for g, ts in groups.items():
+            value = dict(zip(probs[g], sketches[g]))
+            inside = _within(col[g[0]], g[1], g[2])
+            for t in ts:
+                pairs[t] = tuple(value[p] for p in _bracket(t, state[t], accuracy))
+                for cut in pairs[t]:
+                    counts[(g, cut, "lt")] = count_where(inside < cut)
+                    counts[(g, cut, "le")] = count_where(inside <= cut)
+        found = collect_metrics(cells, counts)
+        n = {}
+        for g, ts in groups.items():
+            for t in ts:
+                for name, cut in zip(("lo", "hi"), pairs[t]):
+                    n[(t, f"lt_{name}")] = found[(g, cut, "lt")]
+                    n[(t, f"le_{name}")] = found[(g, cut, "le")]
         still = []
         for t in open_:
             lo, hi = pairs[t]
@@ -130,25 +142,27 @@ def _ranked_values(df, wanted, present, fetch_values, accuracy) -> dict[tuple[st
     return done
 
 
-def _within(c, s):
+def _within(c, low, high):
     """The column cut to the open interval between the pair; NULL outside it."""
-    cond = None
-    if s["low"] is not None:
-        cond = c > s["low"]
-    if s["high"] is not None:
-        cond = (c < s["high"]) if cond is None else cond & (c < s["high"])
-    return c if cond is None else F.when(cond, c)
+    if low is None and high is None:
+        return c
+    above = F.lit(True) if low is None else c > low
+    below = F.lit(True) if high is None else c < high
+    return F.when(above & below, c)
 
 
 def _bracket(t, s, accuracy):
+    """Two fractions that enclose a rank, allowing for the error of the sketch."""
     p = (t[1] - s["below"] + 0.5) / max(s["inside"], 1)
     eps = 2.0 / accuracy
-    return F.array(F.lit(min(1.0, max(0.0, p - eps))), F.lit(min(1.0, max(0.0, p + eps))))
+    return min(1.0, max(0.0, p - eps)), min(1.0, max(0.0, p + eps))
 
 
 def _fetch_ranks(cells, col, targets, state):
     """Order the few values left between each pair."""
-    found = [_within(col[t[0]], state[t]) for t in targets]
+    # Targets left in the same interval share its values.
+    intervals = list({(t[0], state[t]["low"], state[t]["high"]): None for t in targets})
+    found = [_within(col[c], low, high) for c, low, high in intervals]
     left = F.array(*[F.struct(F.lit(i).alias("t"), v.alias("v")) for i, v in enumerate(found)])
     rows = (
         cells.filter(F.coalesce(*found).isNotNull())
@@ -161,11 +175,12 @@ def _fetch_ranks(cells, col, targets, state):
     for r in rows:
         by_target.setdefault(r["t"], []).append((r["v"], r["count"]))
     out = {}
-    for i, t in enumerate(targets):
-        left = t[1] - state[t]["below"]
-        for v, k in sorted(by_target[i]):
-            if left < k:
+    for t in targets:
+        at = intervals.index((t[0], state[t]["low"], state[t]["high"]))
+        ahead = t[1] - state[t]["below"]
+        for v, k in sorted(by_target[at]):
+            if ahead < k:
                 out[t] = v
                 break
-            left -= k
+            ahead -= k
     return out

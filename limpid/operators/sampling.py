@@ -64,20 +64,13 @@ def first_present(
     columns = list(columns)
     if not columns:
         return {}
-    keys = [_SCAN_ORDER]
-    full = None
-    if order_by is None:
-        # Scan order: a plain limit reads the first partitions only.
-        prefix = df.limit(prefix_rows).withColumn(keys[0], F.monotonically_increasing_id())
-    else:
-        keys = [order_by] if isinstance(order_by, str) else list(order_by)
-        last = df.select(*map(_ref, keys)).orderBy(*map(_ref, keys)).limit(prefix_rows)
-        top = last.agg(F.max(_ref(keys[0])), F.count("*")).first()
-        full = top[1] == prefix_rows
-        if not top[1]:
-            return {c: [] for c in columns}
-        near = df.filter(_ref(keys[0]) <= F.lit(top[0])) if top[0] is not None else df
-        prefix = near.orderBy(*map(_ref, keys)).limit(prefix_rows)
+    df, keys = with_order(df, order_by)
+    last = df.select(*map(_ref, keys)).orderBy(*map(_ref, keys)).limit(prefix_rows)
+    top, n_rows = last.agg(F.max(_ref(keys[0])), F.count("*")).first()
+    if not n_rows:
+        return {c: [] for c in columns}
+    near = df if top is None else df.filter(_ref(keys[0]).isNull() | (_ref(keys[0]) <= F.lit(top)))
+    prefix = near.orderBy(*map(_ref, keys)).limit(prefix_rows)
 
     def cells(table: DataFrame, names: Sequence[str]) -> DataFrame:
         values = F.array(
@@ -89,14 +82,14 @@ def first_present(
 
     order = [f"__k{i}" for i in range(len(keys))]
     out: dict[str, list[int]] = {c: [] for c in columns}
-    for r in sorted(cells(prefix, columns).collect(), key=lambda r: tuple(r[o] for o in order)):
+    in_order = lambda r: tuple((r[o] is not None, r[o]) for o in order)
+    for r in sorted(cells(prefix, columns).collect(), key=in_order):
         out[columns[r["c"]]].append(r["code"])
     short = [c for c in columns if len(out[c]) < n]
-    if short and (full if full is not None else prefix.count() == prefix_rows):
-        table, _ = with_order(df, order_by)
-        picked = first_n_per_group(cells(table, short), ["c"], [F.col(o) for o in order], n)
+    if short and n_rows == prefix_rows:
+        picked = first_n_per_group(cells(df, short), ["c"], [F.col(o) for o in order], n)
         for c in short:
             out[c] = []
-        for r in sorted(picked.collect(), key=lambda r: tuple(r[o] for o in order)):
+        for r in sorted(picked.collect(), key=in_order):
             out[columns[r["c"]]].append(r["code"])
     return {c: codes[:n] for c, codes in out.items()}

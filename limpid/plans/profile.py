@@ -15,8 +15,7 @@ from limpid.session import tune
 class Profile:
     """Descriptive tables of a DataFrame, each computed when it is asked for.
 
-    Value counts are shared by the categorical tables: `persist` them with
-    `keep_counts()` when several of those are wanted, and free them with `close()`.
+    Value counts can be kept between uses with `keep_counts()`, and freed with `close()`.
     """
 
     def __init__(self, df: DataFrame, order_by: str | None = None):
@@ -62,7 +61,7 @@ class Profile:
 
     @cached_property
     def categorical(self) -> DataFrame:
-        return counts.categorical_profile(self.value_counts)
+        return counts.categorical_profile(counts.key_counts(self.df))
 
     @cached_property
     def top_categories(self) -> DataFrame:

@@ -35,8 +35,8 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on an input that comes in far fewer pieces than there are cores.
 
-    A single small file is one task. Large inputs already have more partitions than
-    cores and pass unchanged, so nothing is shuffled there.
+    For tables as they are read: a single small file is one task. Large inputs already
+    have more partitions than cores and pass unchanged, so nothing is shuffled there.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() <= cores // 2 else df
