@@ -271,36 +271,83 @@ def recover_integers(df: DataFrame) -> tuple[DataFrame, list[str]]:
 # --- accounts of what a conversion did --------------------------------------------------
 
 
-def _examples(long: DataFrame, n: int) -> DataFrame:
-    """(column, n_values, examples) from rows of (column, value, at).
+LOST, RESCALED = "values_unparsed", "grades_rescaled"
 
-    The first `n` distinct values by first appearance. Equal values combine
-    map-side before anything is shuffled.
+
+def _short_number(v: Column) -> Column:
+    text = F.format_string("%.6g", v)
+    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
+def _changed_cells(
+    df: DataFrame, plans: Mapping[str, Conversion], order_by: str | None, kinds: Sequence[str]
+) -> DataFrame | None:
+    """(at, kind, column, value) of the cells a conversion blanks or rescales."""
+    ordered, order = with_order(df, order_by)
+    cells = ordered.select(
+        ref(order[0]).alias("at"),
+        *[ref(c).alias(f"__r{i}") for i, c in enumerate(plans)],
+        *[strip(ref(c)).alias(f"__v{i}") for i, c in enumerate(plans)],
+    )
+    shown = []
+    for i, (c, p) in enumerate(plans.items()):
+        v = F.col(f"__v{i}")
+        if LOST in kinds:
+            lost = F.when(is_significant(v) & p.apply(v).isNull(), F.col(f"__r{i}"))
+            shown.append((LOST, c, lost))
+        if RESCALED in kinds and p.scale is not None and p.kind != "timestamp_ntz":
+            line = F.concat(v, F.lit(" → "), _short_number(grade_value(v, p.scale)))
+            shown.append((RESCALED, c, F.when(is_rescaled_grade(v, p.scale), F.translate(line, ".", ","))))
+    if not shown:
+        return None
+    structs = [
+        F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column"), v.alias("value")) for k, c, v in shown
+    ]
+    return cells.select("at", F.inline(F.array(*structs))).filter(F.col("value").isNotNull())
+
+
+def changed_values(
+    df: DataFrame,
+    plans: Mapping[str, Conversion],
+    order_by: str | None = None,
+    n: int = K.EXAMPLES_KEPT,
+    kinds: Sequence[str] = (LOST, RESCALED),
+) -> DataFrame:
+    """(kind, column, n_values, examples) of what conversions blanked or rescaled.
+
+    Examples are the first `n` distinct values by first appearance. Equal values
+    combine map-side before anything is shuffled.
     """
-    grouped = long.groupBy("column", "value").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    totals = grouped.groupBy("column").agg(F.sum("n").alias("n_values"))
-    first = (
-        first_n_per_group(grouped, ["column"], [F.col("at"), F.col("value")], n, spread=False)
-        .groupBy("column")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]
-            ).alias("examples")
+    cells = _changed_cells(df, plans, order_by, kinds) if plans else None
+    if cells is None:
+        return small_table(
+            df.sparkSession, [], "kind string, column string, n_values long, examples array<string>"
         )
-    )
-    return totals.join(first, "column")
+    grouped = cells.groupBy("kind", "column", "value").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    keys = ["kind", "column"]
+    totals = grouped.groupBy(*keys).agg(F.sum("n").alias("n_values"))
+    return totals.join(_first_values(grouped, keys, n), keys)
 
 
-def _long(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
-    """(at, column, value) for the cells whose value is present."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in values.items()]
+def _first_values(grouped: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("at", "value")))
+    return (
+        first_n_per_group(grouped, keys, [F.col("at"), F.col("value")], n, spread=False)
+        .groupBy(*keys)
+        .agg(F.transform(ordered, lambda x: x["value"]).alias("examples"))
     )
-    return df.select("at", F.inline(cells)).filter(F.col("value").isNotNull())
 
 
-def _empty_examples(df: DataFrame) -> DataFrame:
-    return small_table(df.sparkSession, [], "column string, n_values long, examples array<string>")
+def change_examples(
+    df: DataFrame, plans: Mapping[str, Conversion], order_by: str | None = None, n: int = K.EXAMPLES_KEPT
+) -> dict[tuple[str, str], list[str]]:
+    """Examples only, for a caller that already has the counts; `n` per kind and column."""
+    cells = _changed_cells(df, plans, order_by, (LOST, RESCALED)) if plans else None
+    if cells is None:
+        return {}
+    grouped = cells.groupBy("kind", "column", "value").agg(F.min("at").alias("at"))
+    rows = _first_values(grouped, ["kind", "column"], n).collect()
+    return {(r["kind"], r["column"]): r["examples"] for r in rows}
 
 
 def unparsed_values(
@@ -308,24 +355,7 @@ def unparsed_values(
     n: int = K.EXAMPLES_KEPT,
 ) -> DataFrame:
     """Present values that a conversion blanks: count and first examples per column."""
-    if not plans:
-        return _empty_examples(df)
-    ordered, order = with_order(df, order_by)
-    both = ordered.select(
-        ref(order[0]).alias("at"),
-        *[ref(c).alias(f"__r{i}") for i, c in enumerate(plans)],
-        *[strip(ref(c)).alias(f"__v{i}") for i, c in enumerate(plans)],
-    )
-    lost = {}
-    for i, (c, p) in enumerate(plans.items()):
-        v = F.col(f"__v{i}")
-        lost[c] = F.when(is_significant(v) & p.apply(v).isNull(), F.col(f"__r{i}"))
-    return _examples(_long(both, lost), n)
-
-
-def _short_number(v: Column) -> Column:
-    text = F.format_string("%.6g", v)
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    return changed_values(df, plans, order_by, n, (LOST,)).drop("kind")
 
 
 def rescaled_grades(
@@ -333,20 +363,10 @@ def rescaled_grades(
     n: int = K.EXAMPLES_KEPT,
 ) -> DataFrame:
     """Grades brought to the common scale of their column: count and first examples."""
-    graded = {c: p for c, p in plans.items() if p.scale is not None and p.kind != "timestamp_ntz"}
-    if not graded:
-        return _empty_examples(df).withColumn("scale", F.lit(None).cast("double"))
-    ordered, order = with_order(df, order_by)
-    cells = ordered.select(
-        ref(order[0]).alias("at"), *[strip(ref(c)).alias(f"__v{i}") for i, c in enumerate(graded)]
-    )
-    shown = {}
-    for i, (c, p) in enumerate(graded.items()):
-        v = F.col(f"__v{i}")
-        line = F.concat(v, F.lit(" → "), _short_number(grade_value(v, p.scale)))
-        shown[c] = F.when(is_rescaled_grade(v, p.scale), F.translate(line, ".", ","))
-    scale = F.create_map(*[F.lit(x) for c, p in graded.items() for x in (c, float(p.scale))])
-    return _examples(_long(cells, shown), n).withColumn("scale", scale[F.col("column")])
+    scales = [F.lit(x) for c, p in plans.items() if p.scale is not None for x in (c, float(p.scale))]
+    found = changed_values(df, plans, order_by, n, (RESCALED,)).drop("kind")
+    scale = F.create_map(*scales)[F.col("column")] if scales else F.lit(None)
+    return found.withColumn("scale", scale.cast("double"))
 
 
 def mistyped_columns(df: DataFrame, order_by: str | None = None) -> dict[str, str]:

@@ -10,7 +10,7 @@ from limpid import constants as K
 from limpid.operators.aggregate import collect_metrics, count_where, small_table
 from limpid.operators.duplicates import duplicate_count
 from limpid.operators.schema import nan_to_null, ref, type_name
-from limpid.operators.typing import mistyped_columns, rescaled_grades, unparsed_values
+from limpid.operators.typing import change_examples, mistyped_columns
 from limpid.operators.whitespace import squeezed
 from limpid.plans.cleaning import CleaningPlan, CleaningResult
 
@@ -32,17 +32,11 @@ def _examples(result: CleaningResult, n: int) -> dict[tuple[int, str, str], list
     """Examples of blanked and rescaled values, by pass, step and column."""
     found = {}
     before = nan_to_null(result.source)
-    order_by = result.plan.options.order_by
     for i, p in enumerate(result.plan.passes, 1):
-        lossy = {c: v for c, v in p.conversions.items() if v.n_lost}
-        scaled = {c: v for c, v in p.conversions.items() if v.n_rescaled}
-        table = squeezed(before)
-        if lossy:
-            for r in unparsed_values(table, lossy, order_by, n).collect():
-                found[(i, "values_unparsed", r["column"])] = r["examples"]
-        if scaled:
-            for r in rescaled_grades(table, scaled, order_by, n).collect():
-                found[(i, "grades_rescaled", r["column"])] = r["examples"]
+        changed = {c: v for c, v in p.conversions.items() if v.n_lost or v.n_rescaled}
+        if changed:
+            cited = change_examples(squeezed(before), changed, result.plan.options.order_by, n)
+            found.update({(i, kind, c): values for (kind, c), values in cited.items()})
         before = p.project(before)
     return found
 
