@@ -90,8 +90,8 @@ def _numeric(t: str) -> list[str]:
 def _fence(t: str, c: str) -> str:
     return (
         f"SELECT '{c}' AS \"column\", count(*) AS n_outliers, "
-        "round(any_value(q1 - 1.5 * (q3 - q1)), 4) AS lower_bound, "
-        "round(any_value(q3 + 1.5 * (q3 - q1)), 4) AS upper_bound "
+        "round(any_value(q1 - 1.5 * (q3 - q1)), 6) AS lower_bound, "
+        "round(any_value(q3 + 1.5 * (q3 - q1)), 6) AS upper_bound "
         f"FROM {t}, {_quartiles(t, c)} WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) "
         "HAVING count(*) > 0"
     )
@@ -99,8 +99,8 @@ def _fence(t: str, c: str) -> str:
 
 def _bounds(t: str, c: str) -> str:
     return (
-        f"SELECT '{c}' AS \"column\", round(q1 - 1.5 * (q3 - q1), 4) AS low, "
-        f"round(q3 + 1.5 * (q3 - q1), 4) AS high FROM {_quartiles(t, c)} WHERE q1 <> q3"
+        f"SELECT '{c}' AS \"column\", round(q1 - 1.5 * (q3 - q1), 6) AS low, "
+        f"round(q3 + 1.5 * (q3 - q1), 6) AS high FROM {_quartiles(t, c)} WHERE q1 <> q3"
     )
 
 
@@ -127,11 +127,11 @@ def _categorical(t: str, c: str) -> str:
 def _box(t: str, c: str) -> str:
     lo, hi = "q1 - 1.5 * (q3 - q1)", "q3 + 1.5 * (q3 - q1)"
     return (
-        f"SELECT '{c}' AS \"column\", round(any_value(q1), 4) AS q25, "
-        f"round((SELECT quantile_cont({c}, 0.5) FROM {t}), 4) AS q50, round(any_value(q3), 4) AS q75, "
-        f"round(any_value({lo}), 4) AS lower_fence, round(any_value({hi}), 4) AS upper_fence, "
-        f"round(CAST(min({c}) FILTER ({c} BETWEEN {lo} AND {hi}) AS DOUBLE), 4) AS whisker_low, "
-        f"round(CAST(max({c}) FILTER ({c} BETWEEN {lo} AND {hi}) AS DOUBLE), 4) AS whisker_high, "
+        f"SELECT '{c}' AS \"column\", round(any_value(q1), 6) AS q25, "
+        f"round((SELECT quantile_cont({c}, 0.5) FROM {t}), 6) AS q50, round(any_value(q3), 6) AS q75, "
+        f"round(any_value({lo}), 6) AS lower_fence, round(any_value({hi}), 6) AS upper_fence, "
+        f"round(CAST(min({c}) FILTER ({c} BETWEEN {lo} AND {hi}) AS DOUBLE), 6) AS whisker_low, "
+        f"round(CAST(max({c}) FILTER ({c} BETWEEN {lo} AND {hi}) AS DOUBLE), 6) AS whisker_high, "
         f"count(*) FILTER ({c} < {lo} OR {c} > {hi}) AS n_fliers FROM {t}, {_quartiles(t, c)}"
     )
 
@@ -418,7 +418,7 @@ UNION ALL SELECT 'row_full_empty', NULL, count(*), '' FROM rows_ WHERE pct > 90
     q["correlation_matrix"] = _corr(_numeric("lineitem"))
     q["histogram_20"] = """WITH s AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 20 AS w FROM orders),
 h AS (SELECT least(floor((o_totalprice - lo) / w), 19) AS bin, count(*) AS n FROM orders, s WHERE o_totalprice IS NOT NULL GROUP BY 1)
-SELECT i AS bin, round(lo + i * w, 4) AS lower, round(lo + (i + 1) * w, 4) AS upper, coalesce(n, 0) AS n
+SELECT i AS bin, round(lo + i * w, 6) AS lower, round(lo + (i + 1) * w, 6) AS upper, coalesce(n, 0) AS n
 FROM s, range(20) AS r(i) LEFT JOIN h ON h.bin = i"""
     q["kde_grid"] = _density()
     q["boxplot_stats"] = _union(_box(t, c) for t in ("orders", "events") for c in _numeric(t))
@@ -432,21 +432,21 @@ FROM s, range(20) AS r(i) LEFT JOIN h ON h.bin = i"""
     )
     q["clip_outliers"] = D + (
         f", w AS ({clip('d', 'whole_gap', 1.5)}), p AS ({clip('d', 'price_out', 1.5)}) "
-        "SELECT id, CASE WHEN whole_gap IS NOT NULL THEN round(greatest(w.lo, least(w.hi, whole_gap)), 4) END AS whole_gap, "
-        "CASE WHEN price_out IS NOT NULL THEN round(greatest(p.lo, least(p.hi, price_out)), 4) END AS price_out FROM d, w, p"
+        "SELECT id, CASE WHEN whole_gap IS NOT NULL THEN round(greatest(w.lo, least(w.hi, whole_gap)), 6) END AS whole_gap, "
+        "CASE WHEN price_out IS NOT NULL THEN round(greatest(p.lo, least(p.hi, price_out)), 6) END AS price_out FROM d, w, p"
     )
     q["clip_outliers_per_column"] = (
         f"WITH v AS ({clip('events', 'value', 0.5)}) SELECT event_id, user_id, "
-        "CASE WHEN value IS NOT NULL THEN round(greatest(lo, least(hi, value)), 4) END AS value FROM events, v"
+        "CASE WHEN value IS NOT NULL THEN round(greatest(lo, least(hi, value)), 6) END AS value FROM events, v"
     )
     q["fill_missing"] = D + "SELECT * REPLACE (" + ", ".join(
         [f"coalesce({c}, {_mode('d', c)}) AS {c}" for c in ("note_txt", "mostly_null", "prio_gap")]
-        + [f"round(coalesce({c}, {_median('d', c)}), 4) AS {c}" for c in ("whole_gap", "price_out")]
+        + [f"round(coalesce({c}, {_median('d', c)}), 6) AS {c}" for c in ("whole_gap", "price_out")]
     ) + ") FROM d"
-    q["cleaned_table"] = RUN + """SELECT id, ref, round(amount_txt, 4) AS amount_txt, amount_early, date_txt,
-round(CAST(note_txt AS DOUBLE), 4) AS note_txt, CAST(note20_txt AS DOUBLE) AS note20_txt, round(rate_txt, 4) AS rate_txt,
-city, phone, round(CAST(whole_gap AS DOUBLE), 4) AS whole_gap, prio_gap,
-round(greatest(lo, least(hi, price_out)), 4) AS price_out FROM filled, fence"""
+    q["cleaned_table"] = RUN + """SELECT id, ref, round(amount_txt, 6) AS amount_txt, amount_early, date_txt,
+round(CAST(note_txt AS DOUBLE), 6) AS note_txt, CAST(note20_txt AS DOUBLE) AS note20_txt, round(rate_txt, 6) AS rate_txt,
+city, phone, round(CAST(whole_gap AS DOUBLE), 6) AS whole_gap, prio_gap,
+round(greatest(lo, least(hi, price_out)), 6) AS price_out FROM filled, fence"""
     q["reapplied_plan"] = (
         f"{D}, {TYPED} SELECT id, amount_txt, date_txt, CAST(note_txt AS DOUBLE) AS note_txt, "
         "CAST(note20_txt AS DOUBLE) AS note20_txt, rate_txt, city, CAST(whole_gap AS DOUBLE) AS whole_gap FROM typed"

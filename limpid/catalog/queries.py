@@ -30,7 +30,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     floats = set(schema.float_columns(df))
     return df.select(*[F.round(c, digits).alias(c) if c in floats else F.col(c) for c in df.columns])
 
@@ -291,7 +291,7 @@ def row_alerts(spark, sf):
 
 
 def describe_numeric(spark, sf):
-    return rounded(describe.describe_numeric(table(spark, sf, "lineitem")))
+    return rounded(describe.describe_numeric(table(spark, sf, "lineitem")), 4)
 
 
 def profile_outliers(spark, sf):
