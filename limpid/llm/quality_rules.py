@@ -25,7 +25,7 @@ RULES = (
     ("short_words", "n_words", 67, "word_chars"),
     ("long_words", "word_chars", 1500, "n_words"),
     ("few_stop_words", "n_words", 2500, "n_stop_words"),
-    ("few_letters", "n_words", 143, "n_letter_words"),
+    ("few_letters", "word_chars", 200, "n_letters"),
     ("repeated_lines", "n_dup_lines", 30, "n_lines"),
 )
 MIN_WORDS = 20
@@ -47,6 +47,10 @@ def _count(condition, values: Column) -> Column:
     return F.size(F.filter(values, condition)).cast("long")
 
 
+def _paired(step: int) -> Column:
+    return F.transform("_hashes", lambda h, i: F.xxhash64(h, F.get("_hashes", i + step)))
+
+
 def rated(docs: DataFrame, rules=RULES, base_rules=BASE_RULES) -> DataFrame:
     """Every document with its counts, the names of the rules it fails, and `kept`.
 
@@ -62,22 +66,20 @@ def rated(docs: DataFrame, rules=RULES, base_rules=BASE_RULES) -> DataFrame:
         F.size("_words").cast("long").alias("n_words"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
     )
+    # Hashes of 2, 4, then 8 words, each from two of the level before.
+    for step in (1, 2, 4):
+        d = d.withColumn("_hashes", _paired(step))
     windows = F.when(
-        F.col("n_words") >= WINDOW,
-        F.transform(
-            F.sequence(F.lit(1), (F.col("n_words") - WINDOW + 1).cast("int")),
-            lambda i: F.xxhash64(F.slice("_hashes", i, WINDOW)),
-        ),
+        F.col("n_words") >= WINDOW, F.slice("_hashes", 1, (F.col("n_words") - WINDOW + 1).cast("int"))
     ).otherwise(F.array().cast("array<bigint>"))
-    bare = lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?"))
     d = d.select(
         "doc_id", "n_words", windows.alias("_windows"),
         F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _count(lambda w: bare(w).isin(*STOP_WORDS), F.col("_words")).alias("n_stop_words"),
-        _count(lambda w: w.rlike(r"\p{L}"), F.col("_words")).alias("n_letter_words"),
+        _count(lambda w: w.isin(*STOP_WORDS), F.col("_words")).alias("n_stop_words"),
+        F.length(F.regexp_replace("_text", r"\P{L}+", "")).cast("long").alias("n_letters"),
     )
     # Windows by hash, then place: equal neighbours are repeats. Only texts with any are sorted.
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
@@ -135,8 +137,8 @@ m AS (
          length(regexp_replace(t, '{_WS}+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-         len(list_filter(ws, lambda x: rtrim(lower(x), '.,;:!?') IN ({_STOP_SQL}))) AS n_stop_words,
-         len(list_filter(ws, lambda x: regexp_matches(x, '\pL'))) AS n_letter_words,
+         len(list_filter(ws, lambda x: x IN ({_STOP_SQL}))) AS n_stop_words,
+         length(regexp_replace(t, '\PL+', '', 'g')) AS n_letters,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
          greatest({MIN_WORDS} - len(ws), 0) AS missing_words
   FROM w LEFT JOIN c ON w.doc_id = c.doc_id)
