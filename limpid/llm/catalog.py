@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from limpid.llm import mixing, quality_rules
+from limpid.llm import license_scan, mixing, quality_rules
 
 
 def queries():
     return {
+        "op7_license_scan": license_scan.op7_license_scan,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
     }
@@ -14,6 +15,7 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_license_scan": license_scan.OP7_SQL,
         "op9_quality_rules": quality_rules.OP9_SQL,
         "op10_mixing": mixing.OP10_SQL,
     }

@@ -74,8 +74,8 @@ def rated(docs: DataFrame, rules=RULES, base_rules=BASE_RULES) -> DataFrame:
     ).otherwise(F.array().cast("array<bigint>"))
     d = d.select(
         "doc_id", "n_words", windows.alias("_windows"),
-        F.length(F.translate("_text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        (F.length("_text") - F.length(F.regexp_replace("_text", f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _count(lambda w: w.isin(*STOP_WORDS), F.col("_words")).alias("n_stop_words"),
