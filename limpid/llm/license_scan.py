@@ -81,7 +81,7 @@ def spans(docs: DataFrame, notices=NOTICES, k: int = K, drift: int = DRIFT, cove
     """Verified spans: doc_id, label, template, start, end (words, end exclusive), score.
 
     Every k-gram of every document is hashed and joined to the template positions; the hash
-    finds, the words decide. Votes are added up per document, template and diagonal (place
+    finds, the coverage of a span decides. Votes are added up per document, template and diagonal (place
     minus template position) before anything is shuffled by document. Diagonals at most
     `drift` apart are one span, as words were put in or left out. A span stands if it holds
     `cover` of the notice's k-grams, counted once each, within the length the notice and the
@@ -94,10 +94,12 @@ def spans(docs: DataFrame, notices=NOTICES, k: int = K, drift: int = DRIFT, cove
         size >= k,
         F.transform(
             F.sequence(F.lit(0), size - k),
-            lambda i: F.struct(i.alias("pos"), F.xxhash64(_gram(F.col("_words"), i, k)).alias("h"), ),
+            lambda i: F.struct(i.alias("pos"), F.xxhash64(_gram(F.col("_words"), i, k)).alias("h")),
         ),
     )
-    places = d.withColumn("_grams", hashed).select("doc_id", "_text", F.inline("_grams"))
+    # An outer generator: for an inner one Spark puts a filter on the array below the projection
+    # of the words, and the words would be split again for every k-gram.
+    places = d.withColumn("_grams", hashed).select("doc_id", "_text", F.inline_outer("_grams"))
     votes = (
         places.join(grams, "h")
         .groupBy("doc_id", "_text", "template", "label", "t_size", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
