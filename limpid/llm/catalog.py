@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from limpid.llm import license_scan, mixing, quality_rules, sanitise
+from limpid.llm import language_model, license_scan, mixing, quality_rules, sanitise
 
 
 def queries():
     return {
         "op2_sanitise": sanitise.op2_sanitise,
         "op7_license_scan": license_scan.op7_license_scan,
+        "op8_language_model": language_model.op8_language_model,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
     }
