@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from limpid.llm import language_model, license_scan, mixing, quality_rules, repeats, sanitise
+from limpid.llm import language_model, license_scan, mixing, near_copies, quality_rules, repeats, sanitise
 
 
 def queries():
     return {
         "op1_repeats": repeats.op1_repeats,
         "op2_sanitise": sanitise.op2_sanitise,
+        "op6_near_copies": near_copies.op6_near_copies,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_language_model": language_model.op8_language_model,
         "op9_quality_rules": quality_rules.op9_quality_rules,
