@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from limpid.llm import language_model, license_scan, mixing, near_copies, quality_rules, repeats, sanitise
+from limpid.llm import language_id, language_model, license_scan, line_quality, mixing, near_copies, quality_rules, repeats, sanitise
 
 
 def queries():
     return {
         "op1_repeats": repeats.op1_repeats,
         "op2_sanitise": sanitise.op2_sanitise,
+        "op4_line_quality": line_quality.op4_line_quality,
+        "op5_language_id": language_id.op5_language_id,
         "op6_near_copies": near_copies.op6_near_copies,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_language_model": language_model.op8_language_model,
