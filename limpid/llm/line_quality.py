@@ -102,6 +102,8 @@ def with_neighbours(lines: Lines) -> np.ndarray:
 class Field:
     weights: np.ndarray  # for label good against bad
     chain: np.ndarray  # [from, to]
+    slope: float = 1.0  # of the log-odds of a document's mean marginal
+    shift: float = 0.0
 
 
 def marginals(score: np.ndarray, first: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,13 +156,30 @@ def train(features: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Field:
     return Field(w, chain)
 
 
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def calibrate(mean: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the log-odds at which means become probabilities of a good document."""
+    x = np.stack([_log_odds(mean), np.ones(len(mean))], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        w = w + np.linalg.solve(curve, x.T @ (labels - p) - 1e-2 * (w - [1.0, 0.0]))
+    return max(float(w[0]), 1e-3), float(w[1])
+
+
 def document_scores(lines: Lines, field: Field, empty: float) -> np.ndarray:
     p, _ = marginals(with_neighbours(lines) @ field.weights, lines.first, field.chain)
     n = len(lines.first) - 1
     owner = np.repeat(np.arange(n), np.diff(lines.first))
     weight = np.bincount(owner, lines.weight, n)
     good = np.bincount(owner, lines.weight * p, n)
-    return np.where(weight > 0, good / np.maximum(weight, 1), empty)
+    odds = field.slope * _log_odds(good / np.maximum(weight, 1)) + field.shift
+    return np.where(weight > 0, 1 / (1 + np.exp(-np.clip(odds, -60, 60))), empty)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -201,7 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> tupl
     first = np.r_[0, np.cumsum([len(x) for x in own])]
     lines = Lines(np.concatenate(own), np.concatenate([np.asarray(w, float) for w in rows["weights"]]), first)
     labels_of = rows["quality"].to_numpy()
-    return train(with_neighbours(lines), first, labels_of), float(labels_of.mean())
+    field = train(with_neighbours(lines), first, labels_of)
+    plain = document_scores(lines, field, 0.5)
+    field.slope, field.shift = calibrate(plain, labels_of)
+    return field, float(labels_of.mean())
 
 
 def scored(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
