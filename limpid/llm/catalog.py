@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from limpid.llm import language_id, language_model, license_scan, line_quality, mixing, near_copies, quality_rules, repeats, sanitise
+from limpid.llm import (
+    decontaminate, language_id, language_model, license_scan, line_quality, mixing, near_copies,
+    quality_rules, repeats, sanitise,
+)
 
 
 def queries():
     return {
         "op1_repeats": repeats.op1_repeats,
         "op2_sanitise": sanitise.op2_sanitise,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_line_quality": line_quality.op4_line_quality,
         "op5_language_id": language_id.op5_language_id,
         "op6_near_copies": near_copies.op6_near_copies,
