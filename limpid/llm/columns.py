@@ -35,3 +35,14 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
 
 def documents(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def quoted(names) -> list[Column]:
+    """Columns by their exact names, whatever characters those hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def rows_kept(docs: DataFrame, run) -> DataFrame:
+    """`docs` through a batch function that drops rows; it sees every column under a plain name."""
+    plain = docs.toDF(*[n if n == "text" else f"c{i}" for i, n in enumerate(docs.columns)])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

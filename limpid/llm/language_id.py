@@ -36,10 +36,10 @@ def grams(texts: list[str]) -> np.ndarray:
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)
     owner = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) for t in lowered])
     letter = _letters()[codes]
+    # A blank stays where a letter follows, and at the end of its text.
     keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    keep[:-1] |= letter[1:] & ~letter[:-1]
-    keep &= letter | ~np.r_[False, keep[:-1] & ~letter[:-1]]
+    keep[:-1] |= letter[1:]
+    keep[np.cumsum([len(t) for t in lowered]) - 1] = True
     codes, owner, letter = np.where(letter, codes, _BLANK)[keep].astype(np.uint64), owner[keep], letter[keep]
     found = [(owner[letter] << _OWNER) | _short(codes[letter])]
     if len(codes) > 1:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from limpid.llm import textbytes as tb
-from limpid.llm.columns import documents, held_out, text_of
+from limpid.llm.columns import documents, held_out, rows_kept, text_of
 
 TRAIN_DOCUMENTS = 4000  # bound of the labelled sample: those with the smallest hashes of their ids
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
@@ -271,7 +271,7 @@ def kept(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Dat
             text = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array(scores_of(text, learnt, default) >= KEEP_AT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_kept(docs, run)
 
 
 def op4_line_quality(spark, folder):

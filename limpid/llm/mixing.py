@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from limpid.llm.columns import WORD, documents, text_of
+from limpid.llm.columns import WORD, documents, quoted, text_of
 from limpid.storage import materialised
 
 WEIGHTS = (5, 2, 1)
@@ -27,8 +27,6 @@ def _ranked(sources: DataFrame) -> DataFrame:
     ranged = materialised(
         keyed.repartitionByRange("_null", "_bytes").withColumn("_range", F.spark_partition_id()), "sources"
     )
-    from pyspark.sql import Window as W
-
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).collect()  # a row per partition
     before, total = {}, 0
     for r in sorted(counts, key=lambda r: r["_range"]):
@@ -103,9 +101,9 @@ def mix(docs: DataFrame, columns: list[str] | None = None, **options) -> DataFra
     columns = [c for c in columns or docs.columns if c not in ("copy", "target", "source_size", "copies")]
     seed = options.pop("seed", SEED)
     sized = materialised(docs.select("source", size_of().alias("size")), "sizes")
-    mixed = with_copies(docs.select(*columns), source_targets(sized, **options), seed)
+    mixed = with_copies(docs.select(*quoted(columns)), source_targets(sized, **options), seed)
     return mixed.filter("copies > 0").select(
-        *columns, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
+        *quoted(columns), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
     )
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from limpid.llm import textbytes as tb
 from limpid.llm.columns import documents, text_of
 from limpid.storage import materialised
 
@@ -93,19 +94,20 @@ def correlated(fps: DataFrame) -> np.ndarray:
     return np.abs(joint - np.outer(p, p)) / np.outer(spread, spread)
 
 
-def partitions(correlation: np.ndarray, m: int) -> list[list[int]]:
-    """m groups of bits of about one size; each grows by the bit closest to those it has."""
-    free, groups = set(range(BITS)), []
+def partitions(correlation: np.ndarray, m: int, used: int | None = None) -> list[list[int]]:
+    """m groups of about one size of `used` bits (all); each grows by the bit closest to those it has."""
+    free, groups = np.ones(len(correlation), bool), []
+    left = used or len(correlation)
     for g in range(m):
-        size = len(free) // (m - g)
-        rest = sorted(free)
-        first = max(rest, key=lambda i: (sum(sorted(correlation[i, rest])[-size:]), -i))
-        group = [first]
-        free.discard(first)
+        size = left // (m - g)
+        left -= size
+        near = np.where(free, np.sort(np.where(free, correlation, 0), axis=1)[:, -size:].sum(1), -1)
+        group = [int(near.argmax())]
+        free[group] = False
         while len(group) < size:
-            best = max(sorted(free), key=lambda i: correlation[i, group].sum())
+            best = int(np.where(free, correlation[:, group].sum(1), -1).argmax())
             group.append(best)
-            free.discard(best)
+            free[best] = False
         groups.append(sorted(group))
     return groups
 
@@ -183,7 +185,7 @@ def _within(buckets: DataFrame, radius: int) -> DataFrame:
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for members, probing in zip(batch.column("members").to_pylist(), batch.column("probing").to_pylist()):
                 own, every = np.array(members, np.int64), np.array(members + probing, np.int64)
-                i, j = np.nonzero(np.bitwise_count(own[:, None] ^ every[None, :]) <= radius)
+                i, j = np.nonzero(tb.bits_set(own[:, None] ^ every[None, :]) <= radius)
                 a, b = own[i], every[j]
                 left.append(np.minimum(a, b)[a != b]), right.append(np.maximum(a, b)[a != b])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from limpid.llm.columns import documents, text_of
+from limpid.llm.columns import documents, quoted, text_of
 from limpid.storage import materialised
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -250,11 +250,11 @@ def sanitised(docs: DataFrame, remove_at: float = REMOVE_AT, **options) -> DataF
     personal = found(some)
     terms = materialised(term_spans(docs, personal, **options), "term-spans")
     key = F.xxhash64(text_of())
-    keyed = some.select(F.struct(*columns).alias("_row"), "doc_id", "text", key.alias("_text"))
+    keyed = some.select(F.struct(*quoted(columns)).alias("_row"), "doc_id", "text", key.alias("_text"))
     joined = _with_terms(keyed, terms).withColumn("_spans", base_spans(F.col("text")))
     every = F.array_sort(F.concat("_spans", "terms"))
     new = joined.withColumn("_new", F.when(F.size(every) > 0, rewritten(F.col("text"), every, remove_at)).otherwise(F.col("text")))
     values = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
-    changed = new.select(*[values.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
-    return docs.filter(~likely).select(*columns).unionByName(changed)
+    changed = new.select(*[values.get(c, F.col("_row").getField(c)).alias(c) for c in columns])
+    return docs.filter(~likely).select(*quoted(columns)).unionByName(changed)
 

@@ -148,3 +148,8 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = np.searchsorted(table, keys)
     at[at == len(table)] = 0
     return np.where(table[at] == keys, at, -1)
+
+
+def bits_set(values: np.ndarray) -> np.ndarray:
+    """Bits set in 64-bit values. Of a signed value numpy would count those of its magnitude."""
+    return np.bitwise_count(values.view(np.uint64)).astype(np.int64)
