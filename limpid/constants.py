@@ -75,11 +75,8 @@ NUMBER_PATTERN = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 PLAIN_DECIMAL_PATTERN = r"^[+-]?(?:\d+\.?\d*|\.\d+)$"
 EXPONENT_PATTERN = r"[eE]"
 
-# Candidate separators of a CSV file, in order, and the lines looked at.
+# Candidate separators of a CSV file, in order.
 DELIMITERS = (";", ",", "\t", "|")
-DELIMITER_LINES = 3
-HEAD_BYTES = 4096
-SNIFF_BYTES = 1024
 PARQUET_MAGIC = b"PAR1"
 
 # Audit step names, in report order, with the unit each is counted in.

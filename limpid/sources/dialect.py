@@ -1,99 +1,116 @@
-"""Format, encoding and separator of each file, from its first and last bytes.
+"""Format, encoding and separator of each file, from all of its lines.
 
-Spark lists the files without reading them; each task then opens its share of the
-paths and reads 4 KB from the head and four bytes from the tail.
+Spark reads the lines, so any file system it reads will do, and every byte counts: a file is
+UTF-8 only if each of its lines is. Lines are counted by their numbers of separators in each
+task; only those counts are shuffled.
 """
 
 from __future__ import annotations
 
-import codecs
-from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from limpid import constants as K
+from limpid.storage import materialised
+
+UTF8, WINDOWS, LATIN = "UTF-8", "windows-1252", "ISO-8859-1"
+# Characters that windows-1252 has where ISO-8859-1 has control codes.
+_CODES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_FROM = "".join(chr(b) for b in _CODES)
+_TO = bytes(_CODES).decode("cp1252")
 
-DIALECT_SCHEMA = "path string, length long, format string, encoding string, separator string, opening string"
 
+def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value, file, block, size and id (rising within a block) of every line."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    return lines.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("id"),
+    )
 
-_COLUMNS = ["path", "length", "format", "encoding", "separator", "opening"]
 
+def decoded(value: Column, encoding: Column) -> Column:
+    """Text of a line as read (bytes taken for UTF-8) under its file's encoding."""
+    raw = value.cast("binary")
+    latin = F.decode(raw, LATIN)
+    return F.when(encoding == UTF8, value).when(encoding == WINDOWS, F.translate(latin, _FROM, _TO)).otherwise(latin)
 
-def detect_encoding(head: bytes) -> str:
-    """UTF-8 when the head decodes; else by the bytes only windows-1252 prints.
 
-    A character cut at the end of the head does not count against UTF-8.
-    """
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    try:
-        decoder.decode(head, final=len(head) < K.HEAD_BYTES)
-        return "UTF-8"
-    except UnicodeDecodeError:
-        pass
-    if any(0x80 <= b <= 0x9F for b in head):
-        return "windows-1252"
-    return "ISO-8859-1"
-
-
-def detect_separator(text: str) -> str:
-    """First candidate present in each of the first lines and cutting them alike."""
-    lines = text.strip().split("\n")[: K.DELIMITER_LINES]
-    for sep in K.DELIMITERS:
-        if all(sep in line for line in lines) and len({line.count(sep) for line in lines}) == 1:
-            return sep
-    return ","
-
-
-def detect_format(head: bytes, tail: bytes, encoding: str) -> str | None:
-    """Format by content: Parquet by its signature at both ends, JSON by its opening."""
-    if head[:4] == K.PARQUET_MAGIC and tail == K.PARQUET_MAGIC:
-        return "parquet"
-    text = head[: K.SNIFF_BYTES].decode(encoding, errors="replace").lstrip()
-    if text[:1] in ("{", "["):
-        return "json"
-    return None
-
-
-def _open(path: str):
-    """Open one file by URI, wherever the tasks run."""
-    url = urlparse(path)
-    if url.scheme in ("", "file"):
-        return open(unquote(url.path), "rb")
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
-
-
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for path, length in zip(batch["path"], batch["length"]):
-            with _open(path) as f:
-                head = f.read(K.HEAD_BYTES)
-                tail = b""
-                if length >= 4:
-                    f.seek(length - 4)
-                    tail = f.read(4)
-            encoding = detect_encoding(head)
-            text = head.decode(encoding, errors="replace")
-            if length > K.HEAD_BYTES:
-                # The last line of a cut head is incomplete.
-                text = text.rsplit("\n", 1)[0] if "\n" in text else text
-            out.append((path, length, detect_format(head, tail, encoding), encoding,
-                        detect_separator(text), text.lstrip()[:1]))
-        yield pd.DataFrame(out, columns=_COLUMNS)
+def _separators(value: Column) -> Column:
+    """How often each candidate separator stands outside quotes."""
+    bare = F.regexp_replace(F.regexp_replace(value, '"[^"]*"', ""), '"[^"]*$', "")
+    return F.array(*[F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) for s in K.DELIMITERS])
+
+
+def _tallied(lines: DataFrame) -> DataFrame:
+    value, raw = F.col("value"), F.col("value").cast("binary")
+    at = (F.col("block"), F.col("id"))
+    wrong = ~F.is_valid_utf8(value)
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    keyed = lines.select(
+        "file", "size", "block", "id", raw.alias("raw"), _separators(value).alias("counts"), quotes.alias("quotes"),
+        wrong.alias("wrong"), F.when(wrong, F.hex(raw).rlike("^(?:..)*?[89].")).otherwise(False).alias("printed"),
+        (F.length(F.trim(value)) > 0).alias("filled"),
+    )
+    place = F.struct(*at, F.col("raw"), F.col("counts"))
+    return keyed.groupBy("file", "size", "counts").agg(
+        F.count("*").alias("lines"), F.count_if("filled").alias("filled"),
+        F.count_if("wrong").alias("wrong"), F.count_if("printed").alias("printed"),
+        F.sum("quotes").alias("quotes"), F.count_if(F.col("quotes") % 2 == 1).alias("odd"),
+        F.min(F.when(F.col("filled"), place)).alias("head"),
+        F.max(F.struct(*at, F.substring("raw", -4, 4).alias("tail"))).alias("last"),
+    )
+
+
+def _chosen(tallied: DataFrame) -> DataFrame:
+    """file, separator, position: the candidate that cuts the most lines of the file alike, and
+    at least half of them; several fields before few, then the order of the candidates."""
+    candidates = tallied.select("file", "filled", F.posexplode("counts").alias("position", "n"))
+    alike = candidates.groupBy("file", "position", "n").agg(F.sum("filled").alias("alike"))
+    whole = tallied.groupBy("file").agg(F.sum("filled").alias("whole"))
+    fit = alike.filter("n > 0").join(whole, "file").filter("2 * alike >= whole")
+    best = F.max(F.struct("alike", "n", (-F.col("position")).alias("order"))).alias("best")
+    return fit.groupBy("file").agg(best).select("file", (-F.col("best.order")).alias("position"))
 
 
 def dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Path, length, format, encoding, separator and first character of every file."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "length")
+    """A row per file that is not empty.
+
+    path, length, format, encoding, separator, opening (first character that is no space),
+    header (bytes of the first line that is not blank), fields and most_fields (of the header,
+    and of the widest line), long_rows, odd_lines (with an open quote) and quotes.
+    """
+    tallied = materialised(_tallied(text_lines(spark, path)), "dialects")
+    files = tallied.groupBy("file", "size").agg(
+        F.min("head").alias("head"), F.max("last").alias("last"), F.sum("wrong").alias("wrong"),
+        F.sum("printed").alias("printed"), F.sum("quotes").alias("quotes"), F.sum("odd").alias("odd_lines"),
     )
-    pieces = spark.sparkContext.defaultParallelism
-    return files.repartition(pieces, "path").mapInPandas(_describe, DIALECT_SCHEMA)
+    comma = K.DELIMITERS.index(",")
+    d = files.join(_chosen(tallied), "file", "left").withColumn("position", F.coalesce("position", F.lit(comma)))
+    fields = F.get("head.counts", F.col("position"))
+    d = d.withColumn("fields", fields + 1)
+    wide = tallied.join(d.select("file", "position", "fields"), "file").withColumn("n", F.get("counts", F.col("position")) + 1)
+    wide = wide.groupBy("file").agg(
+        F.max("n").alias("most_fields"), F.sum(F.when(F.col("n") > F.col("fields"), F.col("lines")).otherwise(0)).alias("long_rows")
+    )
+    encoding = F.when(F.col("wrong") == 0, UTF8).when(F.col("printed") > 0, WINDOWS).otherwise(LATIN)
+    opening = F.substring(F.ltrim(F.decode("head.raw", LATIN)), 1, 1)
+    magic = F.lit(bytes(K.PARQUET_MAGIC))
+    signed = (F.substring("head.raw", 1, 4) == magic) & (F.col("last.tail") == magic)
+    kind = F.when(signed, "parquet").when(opening.isin("{", "["), "json")
+    return d.join(wide, "file").select(
+        F.col("file").alias("path"), F.col("size").alias("length"), kind.alias("format"), encoding.alias("encoding"),
+        F.element_at(F.array(*[F.lit(s) for s in K.DELIMITERS]), F.col("position") + 1).alias("separator"),
+        opening.alias("opening"), F.col("head.raw").alias("header"), "fields", "most_fields", "long_rows",
+        "odd_lines", "quotes",
+    )
+
+
+def line_numbers(lines: DataFrame) -> DataFrame:
+    """The lines with `line_number` in their file, from 1. Ids rise by one within a block, so
+    only a row per block is ordered, not the lines."""
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("file").orderBy("block")) - F.col("_n")
+    blocks = blocks.withColumn("_before", before)
+    return lines.join(blocks, ["file", "block"]).withColumn(
+        "line_number", F.col("_before") + F.col("id") - F.col("_first") + 1
+    ).drop("_first", "_n", "_before")

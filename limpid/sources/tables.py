@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import os
 from functools import reduce
 
@@ -13,8 +14,9 @@ from limpid.functions.text import is_code, strip
 from limpid.operators.aggregate import count_where
 from limpid.operators.counts import text_metrics
 from limpid.operators.schema import ref, text_columns
-from limpid.sources.dialect import dialects
+from limpid.sources.dialect import UTF8, decoded, dialects, line_numbers, text_lines
 from limpid.sources.workbook import read_workbooks
+from limpid.storage import materialised
 
 _BY_EXTENSION = {
     ".csv": "csv", ".xlsx": "excel", ".xls": "excel", ".json": "json", ".jsonl": "jsonl",
@@ -48,32 +50,73 @@ def sniffed_format(spark: SparkSession, path: str) -> str:
 # --- CSV -----------------------------------------------------------------------------
 
 
-def read_csv_text(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """All-text CSV table. Files are read in groups that share encoding and separator.
+def _header_names(header: bytes, separator: str, encoding: str) -> list[str]:
+    """Names of the first record; one that is missing is numbered, a repeated one gets a suffix."""
+    text = header.decode(encoding).removeprefix("\ufeff")
+    seen, out = {}, []
+    for i, name in enumerate(next(csv.reader([text], delimiter=separator), [])):
+        name = name or f"_c{i}"
+        seen[name] = seen.get(name, -1) + 1
+        out.append(f"{name}.{seen[name]}" if seen[name] else name)
+    return out
+
+
+def _of_files(df: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows that were read from the given files (column `_file`)."""
+    pathed = df.select("*", F.col("_metadata.file_path").alias("_path"))
+    return pathed.join(files, F.col("_path") == F.col("_file"), "left_semi").drop("_path")
 
-    Quoted line breaks need `multiline`, which keeps Spark from splitting large files.
+
+def read_csv_text(spark: SparkSession, path: str, ragged: str = "raise") -> DataFrame:
+    """All-text CSV table.
+
+    Files are read in groups that share encoding, separator, header, and whether quoted fields
+    hold line breaks (such files cannot be split); columns meet by name. A record with more
+    fields than its header is refused, or with `ragged="keep"` its further fields become columns
+    `_overflow_1`, `_overflow_2`, ... An unclosed quote is refused.
     """
+    found = materialised(dialects(spark, path).filter("header is not null"), "csv-dialects")
     groups = (
-        dialects(spark, path)
-        .filter("length > 0")
-        .groupBy("encoding", "separator")
-        .agg(F.collect_list("path").alias("paths"))
-        .collect()
+        found.groupBy("encoding", "separator", "header", (F.col("odd_lines") > 0).alias("breaks"))
+        .agg(
+            F.count_if(F.col("quotes") % 2 == 1).alias("unclosed"), F.sum("long_rows").alias("long_rows"),
+            F.max("most_fields").alias("most"), F.max("fields").alias("fields"),
+        )
+        .orderBy("encoding", "separator", "header", "breaks")
+        .collect()  # a row per dialect
     )
-    parts = [
-        spark.read.csv(
-            sorted(g["paths"]), header=True, sep=g["separator"], encoding=g["encoding"],
-            inferSchema=False, multiLine=multiline, escape='"', mode="PERMISSIVE",
+    if n := sum(g["unclosed"] for g in groups):
+        raise ValueError(f"{n} file(s) under {path} end inside a quoted field")
+    if ragged == "raise" and (n := sum(g["long_rows"] for g in groups if not g["breaks"])):
+        raise ValueError(f"{n} record(s) under {path} have more fields than their header")
+    parts = []
+    for g in groups:
+        names = _header_names(bytes(g["header"]), g["separator"], g["encoding"])
+        extra = [f"_overflow_{i + 1}" for i in range(max(g["most"] - g["fields"], int(g["breaks"])))]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, *extra)])
+        df = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(
+            path, header=True, enforceSchema=True, sep=g["separator"], encoding=g["encoding"],
+            multiLine=g["breaks"], escape='"', mode="PERMISSIVE",
         )
-        for g in sorted(groups, key=lambda g: (g["encoding"], g["separator"]))
-    ]
+        if len(groups) > 1:
+            same = (
+                (F.col("encoding") == g["encoding"]) & (F.col("separator") == g["separator"])
+                & (F.col("header") == F.lit(bytes(g["header"]))) & ((F.col("odd_lines") > 0) == g["breaks"])
+            )
+            files = found.filter(same).select(F.col("path").alias("_file"))
+            df = _of_files(df, files)
+        if ragged == "raise":
+            if g["breaks"] and df.filter(F.col(extra[0]).isNotNull()).limit(1).count():
+                raise ValueError(f"records under {path} have more fields than their header")
+            df = df.drop(*extra)
+        parts.append(df)
     if not parts:
         return spark.createDataFrame([], T.StructType([]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    return infer_types(read_csv_text(spark, path, multiline))
+def read_csv(spark: SparkSession, path: str, ragged: str = "raise") -> DataFrame:
+    return infer_types(read_csv_text(spark, path, ragged))
 
 
 def inferred_types(df: DataFrame) -> dict[str, str]:
@@ -129,51 +172,71 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON documents: lists of objects, or objects whose lists are columns."""
-    df = spark.read.option("recursiveFileLookup", "true").json(path, multiLine=True)
-    if not df.columns:
-        return df
-    if CORRUPT in df.columns:
-        raise ValueError(f"invalid JSON document under {path}")
+    found = materialised(dialects(spark, path).select("path", "encoding", "opening"), "json-dialects")
+    encodings = sorted(r["encoding"] for r in found.select("encoding").distinct().collect())
+    parts = []
+    for encoding in encodings:
+        reader = spark.read.option("recursiveFileLookup", "true").option("encoding", encoding)
+        df = reader.json(path, multiLine=True)
+        if len(encodings) > 1:
+            files = found.filter(F.col("encoding") == encoding).select(F.col("path").alias("_file"))
+            df = _of_files(df, files)
+        if CORRUPT in df.columns:
+            rest = [ref(c) for c in df.columns if c != CORRUPT]
+            # Files of another encoding may look damaged here, but those are not of this part.
+            if not rest or df.filter(F.col(CORRUPT).isNotNull() & (F.xxhash64(*rest) != 0)).limit(1).count():
+                raise ValueError(f"invalid JSON document under {path}")
+            df = df.drop(CORRUPT)
+        parts.append(df)
+    if not parts:
+        return spark.createDataFrame([], T.StructType([]))
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     listed = [
         f.name
         for f in df.schema
         if isinstance(f.dataType, T.ArrayType)
         and not isinstance(f.dataType.elementType, (T.ArrayType, T.StructType, T.MapType))
     ]
-    return columns_to_rows(df, listed) if listed and _documents_are_objects(spark, path) else df
-
-
-def _documents_are_objects(spark: SparkSession, path: str) -> bool:
-    """Every document opens with a brace, so it is one object and not a list."""
-    return not dialects(spark, path).filter("opening <> '{'").limit(1).count()
+    # Every document opens with a brace, so it is one object and not a list.
+    objects = listed and not found.filter("opening <> '{'").limit(1).count()
+    return columns_to_rows(df, listed) if objects else df
 
 
 def columns_to_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Objects of arrays to rows: the i-th elements of all arrays make row i."""
-    return df.select(F.inline(F.arrays_zip(*[ref(c) for c in columns])))
+    """Objects of arrays to rows: the i-th elements of all arrays make row i; a key that holds no
+    array has its value in each of them."""
+    others = [ref(c) for c in df.columns if c not in columns]
+    return df.select(*others, F.inline(F.arrays_zip(*[ref(c) for c in columns])))
+
+
+def _json_line_parts(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, id, value and the parsed record of each line that is not blank."""
+    lines = text_lines(spark, path)
+    encodings = dialects(spark, path).select(F.col("path").alias("file"), "encoding")
+    if encodings.filter(F.col("encoding") != UTF8).limit(1).count():
+        lines = lines.join(encodings, "file").withColumn("value", decoded(F.col("value"), F.col("encoding")))
+    reader = spark.read.option("recursiveFileLookup", "true").option("columnNameOfCorruptRecord", CORRUPT)
+    fields = [f for f in reader.json(path).schema.fields if f.name != CORRUPT]
+    schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    filled = F.length(F.trim("value")) > 0
+    return lines.withColumn("record", F.when(filled, F.from_json("value", schema, options)))
 
 
 def read_json_lines_raw(spark: SparkSession, path: str) -> DataFrame:
     """One record per line; unreadable lines are kept in `_corrupt_record`."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("mode", "PERMISSIVE")
-    df = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return df if CORRUPT in df.columns else df.withColumn(CORRUPT, F.lit(None).cast("string"))
+    return _json_line_parts(spark, path).filter("record is not null").select("record.*")
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Readable records only; see `corrupt_lines` for the others."""
-    df = read_json_lines_raw(spark, path)
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return read_json_lines_raw(spark, path).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines `read_json_lines` left out."""
-    df = read_json_lines_raw(spark, path)
-    # Spark refuses a scan of the corrupt column alone, so a record is checked with it.
-    record = F.to_json(F.struct(*[ref(c) for c in df.columns if c != CORRUPT]))
-    return df.select(F.col(CORRUPT).alias("line"), record.alias("read_part")).filter(
-        "line is not null and read_part is not null"
-    )
+    """The lines `read_json_lines` left out: file, line_number, line."""
+    parts = line_numbers(_json_line_parts(spark, path))
+    return parts.filter(F.col(f"record.{CORRUPT}").isNotNull()).select("file", "line_number", F.col("value").alias("line"))
 
 
 # --- Parquet, nested cells -----------------------------------------------------------

@@ -26,18 +26,75 @@ def test_separators(spark, tmp_path, sep):
     assert rows(load_table(spark, path)) == [(1, "x"), (2, "y")]
 
 
-def test_separator_must_cut_every_line_alike():
-    assert dialect.detect_separator("a;b\n1;2;3\n4;5") == ","
-    assert dialect.detect_separator("a|b\n1|2\n") == "|"
-    assert dialect.detect_separator("") == ","
+def seen(spark, tmp_path, content, encoding="utf-8"):
+    return dialect.dialects(spark, put(tmp_path, f"d{abs(hash(content))}.csv", content, encoding)).first()
+
+
+@pytest.mark.parametrize(
+    "text, separator",
+    [
+        ("k|w\n3|4\n", "|"), ("one\ntwo\n", ","), ('p;q\n"u,v";9\n"w,x";8\n', ";"), ('p;q\n3;"r;s;t"\n', ";"),
+        ("p;q\n3;4\n5;6;7\n8;9\n", ";"), ("a,b;c\n1;2\n3\n4\n5\n", ","),
+    ],
+)
+def test_separator_is_the_one_most_lines_agree_on(spark, tmp_path, text, separator):
+    assert seen(spark, tmp_path, text)["separator"] == separator
 
 
 def test_encodings(spark, tmp_path):
     path = put(tmp_path, "x.csv", "ville;région\nÉvry;Île\n", "latin1")
     assert rows(load_table(spark, path)) == [("Évry", "Île")]
-    assert dialect.detect_encoding("prix €".encode("cp1252")) == "windows-1252"
-    assert dialect.detect_encoding("é".encode("latin1")) == "ISO-8859-1"
-    assert dialect.detect_encoding(("a" * 4095 + "é").encode()[:4096]) == "UTF-8"
+    assert seen(spark, tmp_path, "prix\n5 €", "cp1252")["encoding"] == "windows-1252"
+    assert seen(spark, tmp_path, "é", "latin1")["encoding"] == "ISO-8859-1"
+    assert seen(spark, tmp_path, "a" * 4095 + "é")["encoding"] == "UTF-8"
+
+
+def test_bytes_late_in_a_file_decide_its_encoding(spark, tmp_path):
+    path = put(tmp_path, "late.csv", "k,v\n" + "1,plain\n" * 3000 + "2,thé\n", "latin1")
+    assert load_table(spark, path).filter("k = 2").first()["v"] == "thé"
+
+
+def test_headers_in_another_order(spark, tmp_path):
+    put(tmp_path, "a.csv", "k,v\n1,left\n")
+    put(tmp_path, "b.csv", "v,k\nright,2\n")
+    assert rows(load_table(spark, str(tmp_path), "csv").select("k", "v")) == [(1, "left"), (2, "right")]
+
+
+def test_long_records_are_refused_or_kept(spark, tmp_path):
+    path = put(tmp_path, "long.csv", "k,v\n1,w\n2,x,more,most\n")
+    with pytest.raises(ValueError, match="1 record"):
+        load_table(spark, path)
+    kept = tables.read_csv(spark, path, ragged="keep")
+    assert rows(kept.select("k", "v", "_overflow_1", "_overflow_2")) == [(1, "w", None, None), (2, "x", "more", "most")]
+
+
+def test_repeated_and_missing_names(spark, tmp_path):
+    assert load_table(spark, put(tmp_path, "n.csv", "k,k,\n1,2,3\n")).columns == ["k", "k.1", "_c2"]
+
+
+def test_unclosed_quote_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="quoted"):
+        load_table(spark, put(tmp_path, "q.csv", 'k,v\n1,"open\n2,x\n'))
+
+
+def test_json_scalars_stay_beside_lists(spark, tmp_path):
+    path = put(tmp_path, "m.json", '{"who": "ann", "marks": [4, 5]}')
+    assert rows(load_table(spark, path).select("marks", "who")) == [(4, "ann"), (5, "ann")]
+
+
+def test_json_of_two_encodings(spark, tmp_path):
+    put(tmp_path, "a.json", '[{"k": 1, "v": "thé"}]')
+    put(tmp_path, "b.json", '[{"k": 2, "v": "blé"}]', "latin1")
+    assert rows(load_table(spark, str(tmp_path), "json").select("k", "v")) == [(1, "thé"), (2, "blé")]
+    put(tmp_path, "c.jsonl", '{"v": "5 €"}\n{"v": "six"}\n', "cp1252")
+    assert rows(load_table(spark, str(tmp_path / "c.jsonl"))) == [("5 €",), ("six",)]
+
+
+def test_json_lines_with_bad_lines_can_be_counted(spark, tmp_path):
+    path = put(tmp_path, "n.jsonl", '{"k": 1}\n\n{cut\n{"k": 3}\n[\n')
+    assert load_table(spark, path).count() == 2
+    found = tables.corrupt_lines(spark, path).select("line_number", "line")
+    assert rows(found) == [(3, "{cut"), (5, "[")]
 
 
 def test_mixed_dialects_in_one_folder(spark, tmp_path):
@@ -68,9 +125,9 @@ def test_empty_csv(spark, tmp_path):
     assert load_table(spark, put(tmp_path, "x.csv", "")).count() == 0
 
 
-def test_quoted_line_breaks_on_request(spark, tmp_path):
+def test_quoted_line_breaks(spark, tmp_path):
     path = put(tmp_path, "x.csv", 'a,b\n1,"x\ny"\n')
-    assert rows(tables.read_csv(spark, path, multiline=True)) == [(1, "x\ny")]
+    assert rows(load_table(spark, path)) == [(1, "x\ny")]
 
 
 def test_json_shapes(spark, tmp_path):
