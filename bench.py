@@ -16,7 +16,7 @@ import check
 from limpid.catalog.queries import queries
 
 HEADLINE = (
-    "cleaned_table", "clean_types", "convert_dates", "clean_whitespace",
+    "audit_table", "cleaned_table", "clean_types", "convert_dates", "clean_whitespace",
     "drop_duplicates", "fill_missing", "clip_outliers", "profile_missing", "profile_categorical",
     "format_anomalies", "describe_numeric", "profile_outliers", "correlation_matrix",
     "duplicate_count", "row_quality", "kde_grid", "infer_schema", "scan_csv",

@@ -33,7 +33,7 @@ def dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
     money = F.concat(head, F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(" €"))
     day = F.col("o_orderdate")
     date = (
-        F.when(k % 101 == 7, "0216-03-02")
+        F.when(k % 101 == 7, "0197-08-14")
         .when(k % 4 == 0, F.date_format(day, "dd/MM/yyyy"))
         .when(k % 4 == 1, F.date_format(day, "yyyy-MM-dd"))
         .when(k % 4 == 2, F.date_format(day, "dd-MM-yyyy"))
@@ -42,8 +42,8 @@ def dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
     base = orders.select(
         k.alias("id"),
         F.concat(F.lit("R"), s).alias("ref"),
-        F.when((k % 97 == 5) & (k >= 200), "illisible").otherwise(money).alias("amount_txt"),
-        F.when(k % 97 == 5, "illisible").otherwise(money).alias("amount_early"),
+        F.when((k % 97 == 5) & (k >= 200), "trop flou").otherwise(money).alias("amount_txt"),
+        F.when(k % 97 == 5, "trop flou").otherwise(money).alias("amount_early"),
         date.alias("date_txt"),
         F.when(k % 8 == 0, None)
         .when(k % 4 == 0, "5").when(k % 4 == 1, "4/5").when(k % 4 == 2, "3").otherwise("2/5")
@@ -70,9 +70,9 @@ base AS (
   SELECT
     k AS id,
     'R' || k AS ref,
-    CASE WHEN k % 97 = 5 AND k >= 200 THEN 'illisible' ELSE money END AS amount_txt,
-    CASE WHEN k % 97 = 5 THEN 'illisible' ELSE money END AS amount_early,
-    CASE WHEN k % 101 = 7 THEN '0216-03-02'
+    CASE WHEN k % 97 = 5 AND k >= 200 THEN 'trop flou' ELSE money END AS amount_txt,
+    CASE WHEN k % 97 = 5 THEN 'trop flou' ELSE money END AS amount_early,
+    CASE WHEN k % 101 = 7 THEN '0197-08-14'
          WHEN k % 4 = 0 THEN strftime(o_orderdate, '%d/%m/%Y')
          WHEN k % 4 = 1 THEN strftime(o_orderdate, '%Y-%m-%d')
          WHEN k % 4 = 2 THEN strftime(o_orderdate, '%d-%m-%Y')

@@ -16,11 +16,37 @@ from limpid.storage import new_path
 ROWS_PER_DOCUMENT = 500
 
 
-def csv_dialects(df: DataFrame) -> str:
-    """The table written once per separator, each time in its own folder."""
+def csv_dialects(df: DataFrame, text: str) -> str:
+    """The table written once per separator and encoding, each time in its own folder. The column
+    `text` gets an accent, so that the encodings differ."""
     folder = new_path(df.sparkSession, "dialects")
+    accented = df.withColumn(text, F.concat(text, F.lit(" é")))
     for i, sep in enumerate(DELIMITERS):
-        df.write.option("header", True).option("sep", sep).csv(f"{folder}/{i}")
+        for encoding in ("UTF-8", "ISO-8859-1"):
+            options = {"header": True, "sep": sep, "encoding": encoding}
+            accented.write.options(**options).csv(f"{folder}/{i}-{encoding}")
+    return folder
+
+
+def csv_lines(df: DataFrame, header: str, *cells) -> str:
+    """Lines of comma-separated cells under a header, in files as Spark makes them."""
+    folder = new_path(df.sparkSession, "csv-lines")
+
+    def with_header(batches):
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+
+    df.select(F.concat_ws(",", *cells).alias("value")).mapInPandas(with_header, "value string").write.text(folder)
+    return folder
+
+
+def json_mixed(df: DataFrame, key: str, columns: list[str]) -> str:
+    """One JSON object per block of keys: the block's number, and a list for each column."""
+    folder = new_path(df.sparkSession, "mixed")
+    block = F.floor(F.col(key) / ROWS_PER_DOCUMENT)
+    grouped = df.groupBy(block.alias("batch")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    body = F.struct("batch", *[F.col(f"rows.{c}").alias(c) for c in columns])
+    grouped.select("batch", F.to_json(body).alias("value")).write.partitionBy("batch").text(folder)
     return folder
 
 

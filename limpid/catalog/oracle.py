@@ -194,8 +194,8 @@ _AUDIT = [
     ("types_converted", "note_txt", "columns", "1", "string -> bigint", ""),
     ("types_converted", "note20_txt", "columns", "1", "string -> bigint", ""),
     ("types_converted", "rate_txt", "columns", "1", "string -> double", ""),
-    ("values_unparsed", "amount_txt", "values", _N_LOST["amount_txt"], None, "illisible"),
-    ("values_unparsed", "date_txt", "values", _N_LOST["date_txt"], None, "0216-03-02"),
+    ("values_unparsed", "amount_txt", "values", _N_LOST["amount_txt"], None, "trop flou"),
+    ("values_unparsed", "date_txt", "values", _N_LOST["date_txt"], None, "0197-08-14"),
     ("grades_rescaled", "note20_txt", "values", _N_RESCALED, "scale 20", "4/5 → 16"),
     ("duplicates_removed", None, "rows", _N_DUPLICATES, None, ""),
     *[("missing_filled", c, "values", _FILL_COUNTS[c], "fill_median", "") for c in _MEDIANS],
@@ -271,8 +271,19 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_parquet"] = "SELECT * FROM orders"
     q["scan_csv"] = "SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size) FROM part"
-    q["detect_dialect"] = "SELECT 'UTF-8' AS encoding, unnest([';', ',', chr(9), '|']) AS separator"
-    q["sniff_format"] = _values([("tables", "parquet"), ("lines", "json")], "source, format")
+    q["detect_dialect"] = """SELECT encoding, separator, count(*) AS n_lines FROM customer,
+(SELECT unnest([';', ',', chr(9), '|']) AS separator), (SELECT unnest(['UTF-8', 'ISO-8859-1']) AS encoding) GROUP BY ALL"""
+    q["scan_csv_ragged"] = "SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN 'more' END AS over FROM customer"
+    q["scan_csv_mixed_headers"] = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+    q["scan_csv_quoted_breaks"] = "SELECT c_custkey, c_name || chr(10) || c_mktsegment AS note FROM customer"
+    q["scan_csv_late_bytes"] = "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN c_name || ' né' ELSE c_name END AS c_name FROM customer"
+    q["scan_json_mixed_object"] = "SELECT c_custkey // 500 AS batch, c_custkey, c_name FROM customer"
+    q["scan_jsonl_count"] = "SELECT count(*) FILTER (c_custkey % 50 <> 0) AS n_rows, count(*) FILTER (c_custkey % 50 = 0) AS n_bad FROM customer"
+    q["nested_to_json"] = """SELECT r_regionkey, to_json(list({'key': n_nationkey, 'name': n_name} ORDER BY n_nationkey)) AS nations,
+  to_json(list(n_nationkey ORDER BY n_nationkey)) AS keys, to_json(MAP {r_name: r_regionkey}) AS named, to_json({'a': r_name, 'b': NULL::INT}) AS pair
+FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name"""
+    q["sniff_format"] = """SELECT 'lines' AS source, 'json' AS format, count(*) AS n_rows FROM customer
+UNION ALL SELECT 'tables', 'parquet', count(*) FROM orders"""
     q["read_protect_codes"] = D + "SELECT id, phone, whole_gap, price_out FROM d"
     q["infer_schema"] = _values(
         [(c, _TYPES_BEFORE[c]) for c in COLUMNS], '"column", type'
@@ -344,8 +355,8 @@ def oracle_sql() -> dict[str, str]:
     ) + ") FROM d"
     q["recover_integers"] = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity, l_discount FROM lineitem"
     q["unparsed_values"] = D + _union([
-        f"SELECT 'amount_txt' AS \"column\", count(*) AS n_values, 'illisible' AS examples FROM d WHERE {_amount('amount_txt')} IS NULL",
-        f"SELECT 'date_txt' AS \"column\", count(*) AS n_values, '0216-03-02' AS examples FROM d WHERE {_date()} IS NULL",
+        f"SELECT 'amount_txt' AS \"column\", count(*) AS n_values, 'trop flou' AS examples FROM d WHERE {_amount('amount_txt')} IS NULL",
+        f"SELECT 'date_txt' AS \"column\", count(*) AS n_values, '0197-08-14' AS examples FROM d WHERE {_date()} IS NULL",
     ])
     q["mistyped_columns"] = D + _union(
         [_candidate(c).replace('AS "column" WHERE', 'AS "column", \'number\' AS reads_as WHERE') for c in TEXTS]
@@ -368,10 +379,9 @@ def oracle_sql() -> dict[str, str]:
     )
     q["row_alerts"] = f"""{D}, {_ROWS},
 g AS (SELECT pct, count(*) AS n FROM rows_ WHERE pct BETWEEN 30 AND 90 GROUP BY pct),
-b AS (SELECT pct, n, coalesce(sum(least(n, 10)) OVER (ORDER BY pct DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shown FROM g),
 f AS (SELECT pct, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM
   (SELECT pct, id, row_number() OVER (PARTITION BY pct ORDER BY id) AS rn FROM rows_) WHERE rn <= 10 GROUP BY pct)
-SELECT 'row_partially_empty' AS type, b.pct AS percentage, b.n AS n_rows, f.ids AS rows FROM b JOIN f USING (pct) WHERE shown < 10
+SELECT 'row_partially_empty' AS type, b.pct AS percentage, b.n AS n_rows, f.ids AS rows FROM g AS b JOIN f USING (pct)
 UNION ALL SELECT 'row_full_empty', NULL, count(*), '' FROM rows_ WHERE pct > 90 HAVING count(*) > 0"""
     q["describe_numeric"] = _union(_describe("lineitem", c) for c in _numeric("lineitem"))
     q["profile_outliers"] = D + _union(_fence(t, c) for t in ("events", "orders", "d") for c in _numeric(t))
@@ -420,11 +430,18 @@ UNION ALL SELECT 'row_full_empty', NULL, count(*), '' FROM rows_ WHERE pct > 90
 h AS (SELECT least(floor((o_totalprice - lo) / w), 19) AS bin, count(*) AS n FROM orders, s WHERE o_totalprice IS NOT NULL GROUP BY 1)
 SELECT i AS bin, round(lo + i * w, 6) AS lower, round(lo + (i + 1) * w, 6) AS upper, coalesce(n, 0) AS n
 FROM s, range(20) AS r(i) LEFT JOIN h ON h.bin = i"""
+    q["histogram_auto"] = """WITH p AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n,
+  quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events),
+s AS (SELECT lo, n, hi - lo AS span, greatest(2 * iqr / pow(n, 1.0 / 3), (hi - lo) / sqrt(n) / 2) AS fd, (hi - lo) / (log2(n) + 1) AS sturges FROM p),
+b AS (SELECT lo, CAST(greatest(1, ceil(span / least(fd, sturges))) AS BIGINT) AS k, span FROM s),
+h AS (SELECT CAST(least(floor((value - lo) / (span / k)), k - 1) AS BIGINT) AS bin, count(*) AS n FROM events, b WHERE value IS NOT NULL GROUP BY 1)
+SELECT i AS bin, round(lo + i * (span / k), 6) AS lower, round(lo + (i + 1) * (span / k), 6) AS upper, coalesce(h.n, 0) AS n
+FROM (SELECT unnest(generate_series(0, k - 1)) AS i, lo, span, k FROM b) LEFT JOIN h ON h.bin = i"""
     q["kde_grid"] = _density()
     q["boxplot_stats"] = _union(_box(t, c) for t in ("orders", "events") for c in _numeric(t))
     q["top_n_bar"] = "SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 10"
-    six = _numeric("lineitem")[:6]
-    q["scatter_points"] = f"SELECT {', '.join(six)} FROM lineitem WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in six)
+    every = _numeric("lineitem")
+    q["scatter_points"] = f"SELECT {', '.join(every)} FROM lineitem WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in every)
 
     q["drop_duplicates"] = D + "SELECT DISTINCT * FROM d"
     clip = lambda t, c, k: (

@@ -67,16 +67,72 @@ def scan_csv(spark, sf):
 
 
 def detect_dialect(spark, sf):
-    folder = made_files.csv_dialects(table(spark, sf, "customer"))
-    return dialect.dialects(spark, folder).filter("length > 0").select("encoding", "separator").distinct()
+    """Each file's dialect, then the lines each dialect reads."""
+    folder = made_files.csv_dialects(table(spark, sf, "customer"), "c_name")
+    found = dialect.dialects(spark, folder).select("path", "encoding", "separator")
+    lines = dialect.text_lines(spark, folder).groupBy(F.col("file").alias("path")).agg((F.count("*") - 1).alias("n"))
+    return found.join(lines, "path").groupBy("encoding", "separator").agg(F.sum("n").alias("n_lines"))
 
 
 def sniff_format(spark, sf):
+    """Formats told from content, and the rows then read."""
     path = new_path(spark, "customer-json")
     table(spark, sf, "customer").write.json(path)
-    parquet = dialect.dialects(spark, f"{sf}/*.parquet").select(F.lit("tables").alias("source"), "format")
-    lines = dialect.dialects(spark, path).filter("length > 0").select(F.lit("lines").alias("source"), "format")
-    return parquet.unionByName(lines).distinct()
+    plain = new_path(spark, "orders")
+    table(spark, sf, "orders").write.parquet(plain)
+    out = []
+    for source, folder in (("tables", plain), ("lines", path)):
+        kind = tables.sniffed_format(spark, folder)
+        read = tables.load_table(spark, folder, "jsonl" if kind == "json" else kind)
+        out.append(read.agg(F.count("*").alias("n_rows")).select(F.lit(source).alias("source"), F.lit(kind).alias("format"), "n_rows"))
+    return out[0].unionByName(out[1])
+
+
+def scan_csv_ragged(spark, sf):
+    """Every seventh record has a field more than the header."""
+    extra = F.when(F.col("c_custkey") % 7 == 0, "more")
+    folder = made_files.csv_lines(table(spark, sf, "customer"), "c_custkey,c_name", "c_custkey", "c_name", extra)
+    df = tables.read_csv(spark, folder, ragged="keep")
+    return df.select("c_custkey", "c_name", F.col("_overflow_1").alias("over"))
+
+
+def scan_csv_mixed_headers(spark, sf):
+    """Half of the rows in files whose columns stand in another order."""
+    c = table(spark, sf, "customer")
+    names = ["c_custkey", "c_name", "c_acctbal"]
+    folder = new_path(spark, "mixed-headers")
+    for i, order in enumerate((names, names[::-1])):
+        c.filter(F.col("c_custkey") % 2 == i).select(*order).write.option("header", True).csv(f"{folder}/{i}")
+    return tables.read_csv(spark, folder).select(*names)
+
+
+def scan_csv_quoted_breaks(spark, sf):
+    c = table(spark, sf, "customer")
+    folder = new_path(spark, "breaks")
+    note = F.concat("c_name", F.lit("\n"), "c_mktsegment")
+    c.select("c_custkey", note.alias("note")).write.options(header=True, escape='"').csv(folder)
+    return tables.read_csv(spark, folder)
+
+
+def scan_csv_late_bytes(spark, sf):
+    """Bytes that are not UTF-8 stand in every eleventh row only."""
+    c = table(spark, sf, "customer")
+    folder = new_path(spark, "late")
+    name = F.when(F.col("c_custkey") % 11 == 0, F.concat("c_name", F.lit(" né"))).otherwise(F.col("c_name"))
+    c.select("c_custkey", name.alias("c_name")).coalesce(1).write.options(header=True, encoding="ISO-8859-1").csv(folder)
+    return tables.read_csv(spark, folder)
+
+
+def scan_json_mixed_object(spark, sf):
+    folder = made_files.json_mixed(table(spark, sf, "customer"), "c_custkey", ["c_custkey", "c_name"])
+    return tables.load_table(spark, f"{folder}/*", "json").select("batch", "c_custkey", "c_name")
+
+
+def scan_jsonl_count(spark, sf):
+    folder = made_files.json_lines_with_damage(table(spark, sf, "customer"), "c_custkey")
+    good = tables.load_table(spark, folder, "jsonl").agg(F.count("*").alias("n_rows"))
+    bad = tables.corrupt_lines(spark, folder).filter("line_number > 0").agg(F.count("*").alias("n_bad"))
+    return good.crossJoin(bad)  # one row each
 
 
 def read_protect_codes(spark, sf):
@@ -93,7 +149,7 @@ def infer_schema(spark, sf):
 
 
 def scan_excel_dir(spark, sf):
-    books = made_files.workbooks(table(spark, sf, "customer").filter("c_custkey is not null"), "c_custkey")
+    books = made_files.workbooks(table(spark, sf, "customer"), "c_custkey")
     return tables.infer_types(workbook.workbook_rows(books))
 
 
@@ -118,6 +174,18 @@ def corrupt_json_lines(spark, sf):
 
 
 def nested_to_json(spark, sf):
+    nation = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")))).alias("nations"),
+        F.array_sort(F.collect_list("n_nationkey")).alias("keys"),
+    )
+    region = table(spark, sf, "region").select(
+        "r_regionkey", F.create_map("r_name", "r_regionkey").alias("named"),
+        F.struct(F.col("r_name").alias("a"), F.lit(None).cast("int").alias("b")).alias("pair"),
+    )
+    return tables.nested_to_json(region.join(nation, "r_regionkey"))
+
+
+def nested_to_json_floats(spark, sf):
     return tables.nested_to_json(table(spark, sf, "embeddings"))
 
 
@@ -362,6 +430,10 @@ def histogram_20(spark, sf):
     return rounded(charts.histogram(table(spark, sf, "orders"), "o_totalprice"))
 
 
+def histogram_auto(spark, sf):
+    return rounded(charts.histogram(table(spark, sf, "events"), "value", None))
+
+
 def kde_grid(spark, sf):
     return rounded(charts.density(spread(table(spark, sf, "events")), "value"), 6)
 
@@ -456,7 +528,8 @@ def control_verdict(spark, sf):
 
 
 _FUNCTIONS = (
-    scan_parquet, scan_csv, detect_dialect, sniff_format, read_protect_codes, infer_schema,
+    scan_parquet, scan_csv, scan_csv_ragged, scan_csv_mixed_headers, scan_csv_quoted_breaks, scan_csv_late_bytes,
+    scan_json_mixed_object, scan_jsonl_count, nested_to_json_floats, histogram_auto, detect_dialect, sniff_format, read_protect_codes, infer_schema,
     scan_excel_dir, scan_json, json_columnar_to_rows, scan_jsonl_skip_corrupt, corrupt_json_lines,
     nested_to_json, sink_csv_roundtrip, drop_empty_columns, select_numeric_columns,
     significant_values, problem_rows, outlier_rows, preview, complete_cases, clean_whitespace,

@@ -23,14 +23,12 @@ IDENTIFIER_RATIO = 0.9
 MAX_PASSES = 5
 TOP_CATEGORIES = 10
 HISTOGRAM_BINS = 20
-PLOT_COLUMNS = 6
 DENSITY_POINTS = 200
 UNKNOWN = "Inconnu"              # fill value of a text column that holds no value at all
 
 # Written forms of "no value"; compared after trimming and lowercasing.
 MISSING_MARKERS = ("", "nan", "none", "null", "na", "n/a", "-", "--")
 # Written forms blanked just before a numeric conversion; compared as they are.
-NUMERIC_BLANKS = ("", "nan", "None", "NULL")
 # Lowercased words that the case treatment leaves alone.
 CASE_EXEMPT = ("nan", "none", "na", "null")
 # Tokens a CSV cell may hold for "no value".

@@ -35,7 +35,7 @@ def histogram(df: DataFrame, column: str, bins: int | None = K.HISTOGRAM_BINS) -
     return (
         df.sparkSession.range(bins)
         .withColumnRenamed("id", "bin")
-        .join(F.broadcast(counted), "bin", "left")
+        .join(counted, "bin", "left")
         .select(
             "bin",
             (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lower"),
@@ -46,13 +46,14 @@ def histogram(df: DataFrame, column: str, bins: int | None = K.HISTOGRAM_BINS) -
 
 
 def _automatic_bins(df: DataFrame, column: str, lo: float, hi: float, n: int) -> int:
-    """The narrower of the Freedman-Diaconis and Sturges widths."""
+    """The narrower of the Sturges width and the Freedman-Diaconis width, the latter at least
+    half the square-root width: 2 sqrt(n) bins at most, however far one value lies."""
     if lo == hi:
         return 1
     (q1, q3), = quantiles(df, [column], (0.25, 0.75), {column: n}).values()
     sturges = (hi - lo) / (math.log2(n) + 1)
     fd = 2 * (q3 - q1) / n ** (1 / 3)
-    width = min(sturges, fd) if fd > 0 else sturges
+    width = min(sturges, max(fd, (hi - lo) / math.sqrt(n) / 2))
     return max(1, math.ceil((hi - lo) / width))
 
 
@@ -123,9 +124,9 @@ def top_bars(df: DataFrame, column: str, n: int = K.TOP_CATEGORIES) -> DataFrame
 
 
 def scatter_points(
-    df: DataFrame, columns: Sequence[str] | None = None, max_columns: int = K.PLOT_COLUMNS
+    df: DataFrame, columns: Sequence[str] | None = None, max_columns: int | None = None
 ) -> DataFrame:
-    """Complete rows of the first numeric columns: every point of every pair."""
+    """Complete rows of the numeric columns (all, or the first few): every point of every pair."""
     cols = (numeric_columns(df) if columns is None else list(columns))[:max_columns]
     if len(cols) < 2:
         raise ValueError("a scatter matrix needs at least two numeric columns")

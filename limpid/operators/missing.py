@@ -89,11 +89,11 @@ def problem_rows(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def row_alerts(df: DataFrame, order_by: str | None = None) -> DataFrame:
+def row_alerts(df: DataFrame, order_by: str | None = None, shown: int = K.ROW_IDS_SHOWN) -> DataFrame:
     """Alerts on poorly filled rows.
 
-    One alert for empty rows; then one per missing percentage, highest first, each
-    naming its first ten rows, until ten rows have been named.
+    One alert for empty rows, and one for each missing percentage with its number of rows;
+    each names its first `shown` rows.
     """
     ordered, order = with_order(df, order_by)
     rows = ordered.select(
@@ -102,19 +102,12 @@ def row_alerts(df: DataFrame, order_by: str | None = None) -> DataFrame:
     counts = rows.groupBy("percentage").agg(F.count("*").alias("n_rows"))
     partial = rows.filter(_is_partial(F.col("percentage")))
     first = (
-        first_n_per_group(partial, ["percentage"], [F.col("row_id")], K.ROW_IDS_SHOWN)
+        first_n_per_group(partial, ["percentage"], [F.col("row_id")], shown)
         .groupBy("percentage")
         .agg(F.array_sort(F.collect_list("row_id")).alias("rows"))
     )
     groups = counts.filter(_is_partial(F.col("percentage"))).join(first, "percentage")
-    # At most one group per possible number of missing cells, so this sort is tiny.
-    from pyspark.sql import Window
-
-    before = Window.orderBy(F.col("percentage").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    shown = groups.withColumn("shown", F.coalesce(F.sum(F.size("rows")).over(before), F.lit(0)))
-    alerts = shown.filter(F.col("shown") < K.ROW_IDS_SHOWN).select(
-        F.lit("row_partially_empty").alias("type"), "percentage", "n_rows", "rows"
-    )
+    alerts = groups.select(F.lit("row_partially_empty").alias("type"), "percentage", "n_rows", "rows")
     empty = (
         counts.filter(_is_empty(F.col("percentage")))
         .agg(F.sum("n_rows").alias("n_rows"))

@@ -29,11 +29,6 @@ def integer_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)]
 
 
-def datetime_columns(df: DataFrame) -> list[str]:
-    kinds = (T.TimestampType, T.TimestampNTZType, T.DateType)
-    return [f.name for f in df.schema if isinstance(f.dataType, kinds)]
-
-
 def chosen(candidates: Iterable[str], asked: Iterable[str] | None) -> list[str]:
     """Restrict candidates to the asked names, in table order; None keeps all."""
     candidates = list(candidates)

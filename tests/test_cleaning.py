@@ -134,7 +134,7 @@ def test_nan_is_missing(spark):
 def test_audit_accounts_for_every_step(run):
     table = audit_table(run, "20260101_000000").collect()
     steps = {(r["step"], r["column"]): r for r in table}
-    assert steps[("values_unparsed", "date_txt")]["examples"] == ["0216-03-02"]
+    assert steps[("values_unparsed", "date_txt")]["examples"] == ["0197-08-14"]
     assert steps[("grades_rescaled", "note20_txt")]["examples"] == ["4/5 → 16"]
     assert {r["run_id"] for r in table} == {"20260101_000000"}
     totals = {r["step"]: r["total"] for r in audit.step_totals(audit_table(run)).collect()}

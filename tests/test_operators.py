@@ -168,8 +168,8 @@ def test_row_alerts(spark):
     )
     r = missing.row_quality(df.drop("n")).first()
     assert (r["full_empty"], r["partially_empty"]) == (1, 12)
-    alerts = {x["type"]: x for x in missing.row_alerts(df, "n").collect()}
-    assert alerts["row_partially_empty"]["rows"] in (list(range(10)), [12])
+    every = {x["percentage"]: (x["n_rows"], x["rows"]) for x in missing.row_alerts(df, "n").collect()}
+    assert every == {40.0: (12, list(range(10))), 80.0: (1, [12])}
 
 
 def test_describe_and_correlation(spark):
@@ -197,6 +197,12 @@ def test_histograms(column):
     assert auto == len(np.histogram_bin_edges(np.arange(101.0), "auto")) - 1
 
 
+def test_one_far_value_does_not_multiply_bins(column):
+    values = [i / 1000 for i in range(2000)] + [1e9]
+    got = charts.histogram(column(values, "x", "double"), "x", None)
+    assert got.count() == len(np.histogram_bin_edges(np.array(values), "auto")) - 1 < 100
+
+
 def test_density_matches_direct_sum(column):
     x = np.array([1.0, 2.0, 2.5, 7.0])
     rows = sorted(charts.density(column(x.tolist(), "x", "double"), "x", 5).collect())

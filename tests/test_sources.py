@@ -202,7 +202,7 @@ def test_workbook_shared_strings_and_dates():
 def test_codes_survive_load_and_clean_in_every_format(spark, tmp_path):
     from limpid import clean
 
-    pdf = pd.DataFrame({"nom": ["a", "b"], "tel": ["0612345678", "0712345678"], "montant": ["1 052,23 €", "98,50 €"]})
+    pdf = pd.DataFrame({"nom": ["a", "b"], "tel": ["0498765432", "0487654321"], "montant": ["2 310,75 €", "41,30 €"]})
     put(tmp_path, "x.csv", pdf.to_csv(index=False, sep=";"))
     put(tmp_path, "x.json", pdf.to_json(orient="records"))
     put(tmp_path, "x.xlsx", _sheet(pdf))
@@ -210,7 +210,7 @@ def test_codes_survive_load_and_clean_in_every_format(spark, tmp_path):
     for ext in ("csv", "json", "xlsx", "parquet"):
         out = clean(load_table(spark, str(tmp_path / f"x.{ext}")))
         found = rows(out.select("tel", "montant"))
-        assert found == [("0612345678", 1052.23), ("0712345678", 98.5)], ext
+        assert found == [("0487654321", 41.3), ("0498765432", 2310.75)], ext
 
 
 def test_writers(spark, tmp_path):
