@@ -333,6 +333,11 @@ UNION ALL SELECT 'tables', 'parquet', count(*) FROM orders"""
     q["estimate_numeric"] = D + f"SELECT {_amount('amount_txt')} AS amount_txt FROM d WHERE {_amount('amount_txt')} IS NOT NULL"
 
     q["numeric_candidates"] = D + _union(_candidate(c) for c in TEXTS)
+    q["numeric_candidates_full"] = D + _union(
+        f"SELECT '{c}' AS \"column\" FROM d HAVING count({c}) > 0 AND count_if(regexp_matches(trim({c}), {_CODE})) = 0 "
+        f"AND count_if(regexp_full_match(trim({c}), {_LOOK})) >= 0.9 * count({c})" for c in TEXTS
+    )
+    q["normalize_case_full"] = q["normalize_case"]
     q["dominant_scale"] = D + _union(
         f"(SELECT '{c}' AS \"column\", CAST(regexp_extract({c}, {_GRADE}, 2) AS DOUBLE) AS scale, count(*) AS n "
         f"FROM d WHERE regexp_full_match({c}, {_GRADE}) GROUP BY 2 ORDER BY n DESC, scale DESC LIMIT 1)"

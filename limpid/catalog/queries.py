@@ -286,6 +286,15 @@ def estimate_numeric(spark, sf):
 # --- type decisions ---------------------------------------------------------------------
 
 
+def normalize_case_full(spark, sf):
+    out, _ = case.normalize_case(dirty_orders(spark, sf), full_scan=True)
+    return out.select("id", "ref", "city", "prio_gap")
+
+
+def numeric_candidates_full(spark, sf):
+    return _names(spark, typing.numeric_candidates(dirty_orders(spark, sf), full_scan=True))
+
+
 def numeric_candidates(spark, sf):
     return _names(spark, typing.numeric_candidates(dirty_orders(spark, sf), order_by="id"))
 
@@ -535,7 +544,7 @@ _FUNCTIONS = (
     significant_values, problem_rows, outlier_rows, preview, complete_cases, clean_whitespace,
     leading_zero_columns, parse_grades, parse_percent, parse_amount, try_numeric,
     parse_mixed_dates, normalize_case, identifier_like_columns, estimate_numeric,
-    numeric_candidates, dominant_scale, rescaled_grades, convert_numeric, convert_dates,
+    numeric_candidates, numeric_candidates_full, normalize_case_full, dominant_scale, rescaled_grades, convert_numeric, convert_dates,
     clean_types, recover_integers, unparsed_values, mistyped_columns, profile_shape,
     profile_missing, missing_summary, duplicate_count, row_quality, row_alerts, describe_numeric,
     profile_outliers, iqr_bounds, count_outliers_k3, outlier_summary, profile_categorical,

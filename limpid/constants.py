@@ -9,6 +9,7 @@ NUMERIC_ACCEPTANCE = 0.9         # strictly more converted / present than this
 DATE_ACCEPTANCE = 0.8            # strictly more converted / present than this
 NUMERIC_SAMPLE = 100             # present values looked at before a numeric conversion
 CASE_SAMPLE = 10                 # present values looked at before lowering a column
+FULL_SCAN_RATE = 0.9             # share of all present values that decides where no sample does
 YEAR_MIN, YEAR_MAX = 1900, 2100  # inclusive bounds of a plausible year
 IQR_FACTOR = 1.5
 IQR_MIN_VALUES = 2

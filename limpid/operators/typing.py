@@ -80,11 +80,38 @@ def code_columns(df: DataFrame, columns: Sequence[str] | None = None) -> dict[st
     return {c: bool(m["codes"]) for c, m in found.items()}
 
 
+def full_scan_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
+    """What `value_code` tells of a value, counted over all present values: one scan."""
+    return text_metrics(
+        df, columns,
+        {
+            "present": F.count,
+            "numeric": lambda v: count_where(looks_numeric(strip(v))),
+            "codes": lambda v: count_where(is_code(strip(v))),
+            "short_codes": lambda v: count_where(is_short_code(v)),
+            "letters": lambda v: count_where(has_ascii_letter(v)),
+        },
+    )
+
+
 def numeric_candidates(
-    df: DataFrame, columns: Sequence[str] | None = None, order_by: str | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    order_by: str | None = None,
+    full_scan: bool = False,
+    rate: float = K.FULL_SCAN_RATE,
 ) -> list[str]:
-    """Text columns whose first present values all look like numbers, codes excluded."""
+    """Text columns whose first present values all look like numbers, codes excluded.
+
+    With `full_scan` no row order matters: a share of `rate` of all present values decides.
+    """
     columns = text_columns(df) if columns is None else list(columns)
+    if full_scan:
+        m = full_scan_shares(df, columns)
+        return [
+            c for c in columns
+            if m[c]["present"] and not m[c]["codes"] and m[c]["numeric"] >= rate * m[c]["present"]
+        ]
     codes = sample_codes(df, columns, order_by)
     likely = [c for c in columns if sample_is_numeric(codes[c])]
     if not likely:
