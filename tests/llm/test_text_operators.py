@@ -365,6 +365,36 @@ def test_deduplicated_keeps_one_of_each_group(make, sentence, awkward):
     assert all(r["n.n"] == "x" for r in kept)
 
 
+@pytest.mark.parametrize("block", [wide_copies.BLOCK, 300])
+def test_crowded_bucket_loses_no_connection(spark, block):
+    """Fingerprints that all share their first bits: each pair near on all bits is connected, and no other."""
+    rng = np.random.default_rng(3)
+    bits = np.tile(rng.integers(0, 2, 512), (3000, 1))
+    bits[:1500, 128:] ^= rng.random((1500, 384)) < 0.25  # some 144 bits from each other
+    bits[1500:, 128:] = bits[:1500, 128:]
+    for row in bits[1500:]:
+        row[128 + rng.choice(384, 75, replace=False)] ^= 1
+    bits = bits[rng.permutation(3000)].astype(np.uint8)
+    fps = np.packbits(bits, axis=1, bitorder="little")
+    nodes = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in enumerate(fps)], "node long, fp binary")
+    found = {tuple(r) for r in wide_copies.links(nodes, block=block).collect()}
+    x = bits.astype(np.float32)
+    apart = x @ (1 - x).T
+    a, b = np.nonzero(np.triu(apart + apart.T <= 83, 1))
+    near = set(zip(a.tolist(), b.tolist()))
+    assert len(near) >= 1500 and found <= near
+    root = list(range(3000))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in found:
+        root[max(top(i), top(j))] = min(top(i), top(j))
+    assert all(top(i) == top(j) for i, j in near)
+
+
 # --- 7: licences --------------------------------------------------------------------------
 
 
