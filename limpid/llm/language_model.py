@@ -5,9 +5,13 @@ probability of its discounted n-gram; a state without an arc for the next word f
 longest shorter state at the log of its backoff weight. The root reads any word at its
 smoothed unigram probability, so the probabilities of each state add up to one.
 
-What is held in one place has a size bound that does not depend on the corpus: only n-grams
-that make up `SHARE[n]` of all training tokens become arcs, so there are at most 1 / SHARE[n].
-Counts of all other words stay a distributed table and are joined by the words of each text.
+Every n-gram that occurs `LEAST` times is an arc, however large the corpus. A text's score adds up
+over its n-grams: an arc adds what it gains over failing, and a context its backoff weight, since
+each word of a text is followed by another or by the end. So the arcs are a distributed table that
+the n-grams of each text are joined to; `Automaton` is the same model in memory. Only what makes
+up `COMMON` or `SHARE[n]` of all tokens, at most 1 / SHARE[n] n-grams, is broadcast and looked up
+in place. Before n-grams are shuffled, a bitmap of fixed size drops those that cannot be in
+the table, or have a part that cannot. Both change the cost and never the score.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ from limpid.llm.columns import documents, held_out
 from limpid.storage import materialised
 
 ORDER = 3
-#: Share of the training tokens from which on: a word's count is broadcast; a word takes part in
-#: n-grams; an n-gram of order 2, 3, ... becomes an arc.
-COMMON, IN_NGRAMS = 1e-6, 1e-5
+#: Share of the training tokens from which on a word, or an n-gram of order 2, 3, ..., is broadcast.
+COMMON = 1e-6
 SHARE = {2: 2e-6, 3: 2e-6}
-LEAST = 3
+LEAST = 3  # occurrences of an n-gram that is an arc
+FILTER = 21  # log2 of the 64-bit words of a bitmap
+HELD = 1 << 20  # n-grams that a task adds up before it hands them on
 DISCOUNT = 0.5
 ADDED = 0.1
 END = np.uint64(1)  # hash of the end token, which no word has: see `_tokens`
@@ -77,84 +82,78 @@ def count_words(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Grams:
-    """Kept n-grams of one order, sorted by key: the words, and the number of occurrences."""
+def _levels(tokens: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple]:
+    """(n, place of the last word, key of all words but the last, key of all but the first) of the
+    n-grams of each order, within texts; `_joined` of the two keys is that of the n-gram."""
+    keys, inside = tokens, np.ones(len(tokens), bool)
+    for n in range(2, order + 1):
+        at = first[:-1] + n - 2
+        inside[at[at < first[1:]]] = False
+        last = np.flatnonzero(inside)
+        context, rest = keys[last - 1], keys[last]
+        yield n, last, context, rest
+        keys = np.zeros(len(tokens), np.uint64)
+        keys[last] = _joined(context, rest)
 
-    keys: np.ndarray
-    counts: np.ndarray
 
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit is set for each h; a key whose bit is not set is not there."""
+    slot = F.shiftrightunsigned("h", 64 - FILTER).alias("slot")
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))").alias("bit")
+    rows = keys.select(slot, bit).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2^FILTER rows at most
+    out = np.zeros(1 << FILTER, np.uint64)
+    out[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
 
-def _gram_keys(tokens, first, words: np.ndarray, levels: list[Grams], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, place of the last word) of the n-grams whose shorter parts are all kept."""
-    inside = np.ones(len(tokens), bool)
-    for back in range(n - 1):  # the first n - 1 tokens of a text end no n-gram
-        at = first[:-1] + back
-        inside[at[at < first[1:]]] = False
-    ok = tb.find(words, tokens) >= 0
-    whole = ok.copy()
-    for back in range(1, n):
-        whole[back:] &= ok[:-back]
-    last = np.flatnonzero(inside & whole)
-    keys = {1: tokens}
-    good = np.ones(len(last), bool)
-    for size in range(2, n):
-        level = levels[size - 2]
-        for shift in range(n - size + 1):
-            end = last - shift
-            k = tokens[end - size + 1]
-            for j in range(size - 2, -1, -1):
-                k = _joined(k, tokens[end - j])
-            good &= tb.find(level.keys, k) >= 0
-    last = last[good]
-    k = tokens[last - n + 1]
-    for j in range(n - 2, -1, -1):
-        k = _joined(k, tokens[last - j])
-    return k, last
-
-
-def count_grams(training: DataFrame, words: np.ndarray, levels: list[Grams], n: int, least: int) -> DataFrame:
-    shared = training.sparkSession.sparkContext.broadcast((words, levels))
-
-    def run(batches):
-        kept, below = shared.value
 
-        def keys_of(tokens, first):
-            return [tb.counted(_gram_keys(tokens, first, kept, below, n)[0])]
+def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot, bit = h >> np.uint64(64 - FILTER), (h >> np.uint64(8)) & np.uint64(63)
+    return (bits[slot] >> bit) & np.uint64(1) == 1
 
-        return _tally(batches, keys_of)
 
-    counted = training.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= least)
+def count_grams(training: DataFrame, size: int, parts_kept: np.ndarray) -> DataFrame:
+    """h, context, rest, n of the n-grams of `size` words that occur `LEAST` times."""
+    shared = training.sparkSession.sparkContext.broadcast(parts_kept)
 
+    def merged(held):
+        h, context, rest, n = (np.concatenate(x) for x in zip(*held))
+        at = np.argsort(h, kind="stable")
+        new = np.flatnonzero(np.r_[True, np.diff(h[at]) != 0]) if len(h) else at
+        return h[at][new], context[at][new], rest[at][new], np.add.reduceat(n[at], new) if len(h) else n
 
-def gram_words(training: DataFrame, words: np.ndarray, levels: list[Grams], n: int, kept: Grams) -> DataFrame:
-    """h, w: the words of each kept n-gram, from where it occurs."""
-    shared = training.sparkSession.sparkContext.broadcast((words, levels, kept.keys))
+    def batch_of(held):
+        _, context, rest, n = merged(held)
+        columns = [context.view(np.int64), rest.view(np.int64), n]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["context", "rest", "n"])
 
     def run(batches):
-        common, below, keys = shared.value
-        seen = np.zeros(len(keys), bool)
+        kept, held = shared.value, []
         for batch in batches:
             data, offsets = tb.texts(batch.column("text"))
             for low, high in tb.pieces(offsets):
                 part = offsets[low : high + 1]
                 tokens, first = _tokens(data[part[0] : part[-1]], part - part[0])
-                k, last = _gram_keys(tokens, first, common, below, n)
-                at = tb.find(keys, k)
-                new = np.flatnonzero(at >= 0)
-                new = new[~seen[at[new]]]
-                if not len(new):
-                    continue
-                at, once = np.unique(at[new], return_index=True)
-                seen[at] = True
-                where = last[new[once]]
-                grams = np.stack([tokens[where - j] for j in range(n - 1, -1, -1)], 1).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[at].view(np.int64)), pa.array(list(grams), pa.list_(pa.int64()))], ["h", "w"]
-                )
+                *_, (_, _, context, rest) = _levels(tokens, first, size)
+                some = _maybe(kept, context) & _maybe(kept, rest)
+                context, rest = context[some], rest[some]
+                held.append(merged([(_joined(context, rest), context, rest, np.ones(len(context), np.int64))]))
+                if sum(len(x[0]) for x in held) > HELD:
+                    held = [merged(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield batch_of(held)
+                        held = []
+        if held:
+            yield batch_of(held)
+
+    def keyed(batches):
+        for batch in batches:
+            context, rest = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "rest"))
+            h = pa.array(_joined(context, rest).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, h], ["context", "rest", "n", "h"])
 
-    return training.select("text").mapInArrow(run, "h long, w array<long>").groupBy("h").agg(F.first("w").alias("w"))
+    schema = "context long, rest long, n long"
+    counted = training.select("text").mapInArrow(run, schema).groupBy("context", "rest").agg(F.sum("n").alias("n"))
+    return counted.filter(F.col("n") >= LEAST).mapInArrow(keyed, f"{schema}, h long")
 
 
 @dataclass
@@ -256,89 +255,106 @@ def build(words: np.ndarray, counts: np.ndarray, total: int, vocabulary: int, gr
 
 @dataclass
 class Model:
-    automaton: Automaton
-    counts: DataFrame  # h, n of every training token
+    words: DataFrame  # h, n, p, backoff of every training token
+    arcs: DataFrame  # h, n, value of every n-gram: what it adds to the score of a text
+    common: tuple[np.ndarray, ...]  # hashes, log10 probabilities and backoff weights of common words
+    frequent: tuple[np.ndarray, np.ndarray]  # hashes and values of frequent n-grams
+    known: np.ndarray  # bitmap of all arcs
     total: int
     vocabulary: int
 
 
+def _sorted(rows, *names: str) -> tuple[np.ndarray, ...]:
+    h = rows["h"].to_numpy().view(np.uint64)
+    at = np.argsort(h)
+    return h[at], *(rows[c].to_numpy()[at] for c in names)
+
+
 def fit(training: DataFrame, order: int = ORDER) -> Model:
-    """Counts of all training tokens, and the automaton of the n-grams frequent enough."""
+    """Counts of all training tokens and n-grams, and what each adds to a score."""
     counts = materialised(count_words(training), "words")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = counts.filter(F.col("n") >= max(2, COMMON * total)).toPandas()  # 1 / COMMON rows at most
-    words = common["h"].to_numpy(np.int64).view(np.uint64)
-    place = np.argsort(words)
-    words, n = words[place], common["n"].to_numpy(np.int64)[place]
-    in_grams = words[n >= max(LEAST, IN_NGRAMS * total)]
-    levels: list[Grams] = []
-    grams: list[dict] = []
+    whole = total + ADDED * (vocabulary + 1)
+    words = lower = counts.select("h", "n", ((F.col("n") + ADDED) / F.lit(whole)).alias("p"))
+    added = []
     for size in range(2, order + 1):
-        least = max(LEAST, int(np.ceil(SHARE[size] * total)))
-        found = count_grams(training, in_grams, levels, size, least).toPandas()  # 1 / SHARE rows at most
-        keys = found["h"].to_numpy(np.int64).view(np.uint64)
-        at = np.argsort(keys)
-        level = Grams(keys[at], found["n"].to_numpy(np.int64)[at])
-        named = gram_words(training, in_grams, levels, size, level).toPandas() if len(keys) else None
-        kept = {}
-        if named is not None:
-            number = level.counts[tb.find(level.keys, named["h"].to_numpy(np.int64).view(np.uint64))]
-            w = np.stack(named["w"].to_list()).astype(np.int64).view(np.uint64)
-            ids = np.searchsorted(words, w)
-            kept = dict(zip(map(tuple, ids.tolist()), number.tolist()))
-        levels.append(level)
-        grams.append(kept)
-    while grams and not grams[-1]:
-        grams.pop()
-    return Model(build(words, n, total, vocabulary, grams), counts, total, vocabulary)
+        # A part of an n-gram occurs at least as often, so it has a row in `lower`.
+        grams = materialised(count_grams(training, size, bitmap(lower.filter(F.col("n") >= LEAST))), f"grams-{size}")
+        of_context = lower.select(F.col("h").alias("context"), F.col("n").alias("_n"))
+        of_rest = lower.select(F.col("h").alias("rest"), F.col("p").alias("below"))
+        level = grams.join(of_context, "context").join(of_rest, "rest")
+        level = level.select("h", "context", "n", ((F.col("n") - DISCOUNT) / F.col("_n")).alias("p"), "below")
+        level = materialised(level, f"level-{size}")
+        left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
+        backoff = level.groupBy("context").agg(F.log10(left("p") / left("below")).alias("backoff"))
+        backoff = materialised(backoff, f"backoff-{size}")
+        gain = F.log10("p") - F.log10("below") - F.col("backoff")
+        added.append(level.join(backoff, "context").select("h", "n", gain.alias("value")))
+        of_h = backoff.select(F.col("context").alias("h"), "backoff")
+        if size == 2:
+            words = materialised(words.join(of_h, "h", "left").fillna(0.0, ["backoff"]), "weighted-words")
+        else:
+            added.append(of_h.select("h", F.lit(0).cast("long").alias("n"), F.col("backoff").alias("value")))
+        lower = level.select("h", "n", "p")
+    every = added[0]
+    for more in added[1:]:
+        every = every.unionByName(more)
+    arcs = materialised(every.groupBy("h").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "arcs")
+    common = words.filter(F.col("n") >= max(2, COMMON * total))  # 1 / COMMON rows at most
+    common = common.select("h", F.log10("p").alias("base"), "backoff").toArrow()
+    frequent = arcs.filter(F.col("n") >= max(LEAST, min(SHARE.values()) * total)).select("h", "value").toArrow()  # 1 / SHARE rows of an order
+    return Model(words, arcs, _sorted(common, "base", "backoff"), _sorted(frequent, "value"), bitmap(arcs), total, vocabulary)
 
 
 _PARTS = (
     "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base double, model double, "
-    "rare array<long>, times array<long>"
+    "rare array<long>, times array<long>, grams array<long>, gram_times array<long>"
 )
 
 
-def _parts(docs: DataFrame, model: Model) -> DataFrame:
-    """Each text's score over common words; its other words as (hash, times)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.automaton)
+def _distinct(owner: np.ndarray, h: np.ndarray, n: int) -> list[pa.Array]:
+    """Lists for n texts: the different hashes of each, and how often each occurs."""
+    at = np.lexsort((h, owner))
+    h, owner = h[at], owner[at]
+    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else at
+    cut = pa.array(np.searchsorted(owner[new], np.arange(n + 1)).astype(np.int32))
+    times = np.diff(np.r_[new, len(h)]).astype(np.int64)
+    return [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (h[new].view(np.int64), times)]
+
+
+def _parts(docs: DataFrame, model: Model, order: int) -> DataFrame:
+    """Each text's score over what is broadcast; its other words and n-grams as (hash, times)."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.common, model.frequent, model.known))
 
     def run(batches):
-        automaton = shared.value
+        (words, base, backoff), (frequent, value), known = shared.value
+        base, backoff, value = (np.r_[x, 0.0] for x in (base, backoff, value))  # place -1: not there
         random = np.random.default_rng()  # row numbers: written once, then read
         for batch in batches:
             data, offsets = tb.texts(batch.column("text"))
-            ids_of, firsts, rares = [], [np.zeros(1, np.int64)], []
             for low, high in tb.pieces(offsets):
-                part = offsets[low : high + 1]
+                part, n = offsets[low : high + 1], high - low
                 tokens, first = _tokens(data[part[0] : part[-1]], part - part[0])
-                ids = tb.find(automaton.words, tokens)
-                ids_of.append(ids.astype(np.int32))
-                firsts.append(first[1:] + firsts[-1][-1])
-                rare = np.flatnonzero(ids < 0)
-                owner = np.searchsorted(first, rare, "right") - 1 + low
-                at = np.lexsort((tokens[rare], owner))
-                h, owner = tokens[rare][at], owner[at]
-                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else at
-                rares.append((owner[new], h[new], np.diff(np.r_[new, len(h)])))
-            n = batch.num_rows
-            ids = np.concatenate(ids_of) if ids_of else np.zeros(0, np.int32)
-            first = np.concatenate(firsts)
-            owner, h, times = (np.concatenate(x) for x in zip(*rares)) if rares else (np.zeros(0, np.int64),) * 3
-            known = np.add.reduceat((ids >= 0).astype(np.int64), first[:-1]) if n else np.zeros(0, np.int64)
-            weights = np.where(ids >= 0, automaton.base[ids] if len(automaton.base) else 0.0, 0.0)
-            base = np.add.reduceat(weights, first[:-1]) if n else np.zeros(0)
-            cut = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()), batch.column("held_out"),
-                    pa.array(random.integers(-(2**63), 2**63 - 1, n)), pa.array(np.diff(first)), pa.array(known),
-                    pa.array(base), pa.array(automaton.traverse(ids, first)),
-                    pa.ListArray.from_arrays(cut, pa.array(h.astype(np.uint64).view(np.int64))),
-                    pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int64))),
-                ],
-                [c.split()[0] for c in _PARTS.split(", ")],
-            )
+                owner = np.repeat(np.arange(n), np.diff(first))
+                ids = tb.find(words, tokens)
+                of_words = np.bincount(owner, base[ids], n)
+                of_model = of_words + np.bincount(owner, backoff[ids], n)
+                others = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+                for _, last, context, rest in _levels(tokens, first, order):
+                    h, of = _joined(context, rest), owner[last]
+                    at = tb.find(frequent, h)
+                    of_model += np.bincount(of, value[at], n)
+                    other = (at < 0) & _maybe(known, h)
+                    others.append((of[other], h[other]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").cast(pa.int64()).slice(low, n), batch.column("held_out").slice(low, n),
+                        pa.array(random.integers(-(2**63), 2**63 - 1, n)), pa.array(np.diff(first)),
+                        pa.array(np.bincount(owner, ids >= 0, n).astype(np.int64)), pa.array(of_words), pa.array(of_model),
+                        *_distinct(owner[ids < 0], tokens[ids < 0], n), *_distinct(*(np.concatenate(x) for x in zip(*others)), n),
+                    ],
+                    [c.split()[0] for c in _PARTS.split(", ")],
+                )
 
     return materialised(docs.select("doc_id", "held_out", "text").mapInArrow(run, _PARTS), "scores")
 
@@ -351,25 +367,30 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     model = fit(docs.filter(~F.col("held_out")), order)
     whole = model.total + ADDED * (model.vocabulary + 1)
-    parts = _parts(docs, model)
-    rare = parts.select("doc_id", "uid", F.explode_outer(F.arrays_zip("rare", "times")).alias("r")).filter("r is not null")
-    rare = rare.select("doc_id", "uid", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    of_text = (
-        rare.join(model.counts, "h", "left")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"))
-        .agg(
-            F.sum(F.col("times") * F.log10((c + ADDED) / F.lit(whole))).alias("_score"),
-            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_known"),
-        )
+    parts = _parts(docs, model, order)
+
+    def listed(hashes, times):
+        each = parts.select("doc_id", "uid", F.explode(F.arrays_zip(F.col(hashes).alias("h"), F.col(times).alias("times"))).alias("r"))
+        return each.select("doc_id", "uid", "r.h", "r.times")
+
+    times, known = F.col("times"), F.col("n").isNotNull()
+    of_word = F.log10(F.coalesce("p", F.lit(ADDED / whole)))
+    of_words = listed("rare", "times").join(model.words, "h", "left").select(
+        "doc_id", "uid", (times * of_word).alias("_base"), (times * F.coalesce("backoff", F.lit(0.0))).alias("_more"),
+        F.when(known, times).otherwise(0).alias("_known"),
+    )
+    of_grams = listed("grams", "gram_times").join(model.arcs, "h").select(
+        "doc_id", "uid", F.lit(0.0).alias("_base"), (times * F.col("value")).alias("_more"), F.lit(0).cast("long").alias("_known")
     )
+    of_text = of_words.unionByName(of_grams).groupBy(F.col("doc_id").alias("_id"), F.col("uid").alias("_uid"))
+    of_text = of_text.agg(*[F.sum(c).alias(c) for c in ("_base", "_more", "_known")])
     same = (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    more = F.coalesce("_score", F.lit(0.0))
-    return parts.drop("rare", "times").join(of_text, same, "left").select(
+    base, more = (F.coalesce(c, F.lit(0.0)) for c in ("_base", "_more"))
+    return parts.drop("rare", "times", "grams", "gram_times").join(of_text, same, "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
+        (F.col("base") + base).alias("base_score"), (F.col("model") + base + more).alias("score"),
     )
 
 

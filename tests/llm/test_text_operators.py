@@ -438,6 +438,31 @@ def test_language_model(make, sentence, awkward, monkeypatch):
     assert model > base
 
 
+@pytest.mark.parametrize("share", [1e-2, 1e-9])
+def test_language_model_keeps_every_ngram(make, sentence, awkward, monkeypatch, share):
+    """Scores are those of all n-grams seen three times, whatever share of the corpus they make up."""
+    monkeypatch.setattr(language_model, "COMMON", share)
+    monkeypatch.setattr(language_model, "IN_NGRAMS", share, raising=False)
+    monkeypatch.setattr(language_model, "SHARE", {2: share, 3: share})
+    rng = random.Random(9)
+    phrase = "a phrase that comes again"
+    rows = [*awkward, *((i, f"{sentence(rng, 60)} {phrase if i % 20 == 0 else ''} only{i}") for i in range(100, 200))]
+    got = language_model.scored(make(rows).withColumn("held_out", held_out("doc_id", 10, 0))).collect()
+    tokens = [[*WORD.findall((t or "").translate(LOWER)), None] for _, t in rows]
+    seen = [collections.Counter() for _ in range(3)]
+    for (i, _), ws in zip(rows, tokens):
+        for n in range(1, 4) if rest(i, 10) != 0 else ():
+            seen[n - 1].update(tuple(ws[k : k + n]) for k in range(len(ws) - n + 1))
+    place = {w: k for k, (w,) in enumerate(seen[0])}
+    numbered = [{tuple(place[w] for w in g): c for g, c in level.items() if c >= 3} for level in seen[1:]]
+    counts, total = np.array(list(seen[0].values())), sum(seen[0].values())
+    m = language_model.build(np.arange(len(counts), dtype=np.uint64), counts, total, len(counts), numbered)
+    unseen = math.log10(0.1 / (total + 0.1 * (len(counts) + 1)))
+    ids = [np.array([place.get(w, -1) for w in ws]) for ws in tokens]
+    want = [m.traverse(x, np.array([0, len(x)]))[0] + unseen * (x < 0).sum() for x in ids]
+    assert sorted((r["doc_id"] or 0, round(r["score"], 4)) for r in got) == sorted((i or 0, round(w, 4)) for (i, _), w in zip(rows, want))
+
+
 def test_automaton_is_a_distribution():
     """From every state the words' probabilities add up to one, with the unseen word's share."""
     rng = random.Random(1)
