@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="limpid-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
     Only where `spark.checkpoint.dir` is unset and all runs in one process, as in a local
     test, is a temporary folder made; elsewhere that is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="limpid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return _local_folder()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -7,7 +7,11 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-TABLES = "/root/testdata/sf0.001"
+
+@pytest.fixture(scope="session")
+def tables():
+    """Folder of the smallest tables."""
+    return "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

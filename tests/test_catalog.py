@@ -4,7 +4,6 @@ import pytest
 
 import __spark_entry__ as entry
 import check
-from conftest import TABLES
 
 # One or two per family; `check.py` runs all of them.
 NAMES = (
@@ -18,13 +17,13 @@ NAMES = (
 
 
 @pytest.fixture(scope="module")
-def con():
-    return check.database(TABLES)
+def con(tables):
+    return check.database(tables)
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_equals_sql(spark, con, name):
-    assert check.compare(spark, con, TABLES, name).startswith(("ok", "rows-only"))
+def test_query_equals_sql(spark, con, tables, name):
+    assert check.compare(spark, con, tables, name).startswith(("ok", "rows-only"))
 
 
 def test_every_sql_twin_has_a_query():

@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import TABLES
 from limpid import CleaningOptions, CleaningPlan, audit_table, clean, control, decide, fit_cleaning
 from limpid.catalog.dirty_orders import dirty_orders
 from limpid.functions.text import is_significant, squeeze_whitespace, strip
@@ -12,8 +11,8 @@ BOTH = CleaningOptions(correct_outliers=True, fill_missing=True, order_by="id")
 
 
 @pytest.fixture(scope="module")
-def dirty(spark):
-    return materialised(dirty_orders(spark, TABLES), "dirty")
+def dirty(spark, tables):
+    return materialised(dirty_orders(spark, tables), "dirty")
 
 
 @pytest.fixture(scope="module")
