@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from limpid.llm import (
     decontaminate, language_id, language_model, license_scan, line_quality, mixing, near_copies,
-    quality_rules, repeats, sanitise,
+    quality_rules, repeats, sanitise, warc,
 )
 
 
@@ -20,6 +20,7 @@ def queries():
         "op8_language_model": language_model.op8_language_model,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
+        "op12_warc": warc.op12_warc,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_scan": license_scan.OP7_SQL,
         "op9_quality_rules": quality_rules.OP9_SQL,
         "op10_mixing": mixing.OP10_SQL,
+        "op12_warc": warc.OP12_SQL,
     }
