@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from limpid.llm import (
-    decontaminate, language_id, language_model, license_scan, line_quality, mixing, near_copies,
-    quality_rules, repeats, sanitise, warc,
+    collocations, decontaminate, language_id, language_model, license_scan, line_quality, mixing, near_copies,
+    quality_rules, repeats, sanitise, warc, whitening,
 )
 
 
@@ -20,7 +20,9 @@ def queries():
         "op8_language_model": language_model.op8_language_model,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
+        "op11_whitening": whitening.op11_whitening,
         "op12_warc": warc.op12_warc,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_quality_rules": quality_rules.OP9_SQL,
         "op10_mixing": mixing.OP10_SQL,
         "op12_warc": warc.OP12_SQL,
+        "op13_collocations": collocations.OP13_SQL,
     }
