@@ -30,8 +30,8 @@ SUPPORT = 100
 LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
-SHARD = 32 << 20
-PIECE = 4 << 20
+SHARD = 16 << 20
+PIECE = 2 << 20
 BROADCAST_PHRASES = 1_000_000
 _END = -1  # between two pieces
 
@@ -57,8 +57,8 @@ class Shard:
         if not len(tokens):
             return
         coded = pc.dictionary_encode(tokens)
-        numbers = np.array([self._number(w) for w in coded.dictionary.to_pylist()], np.int64)
-        self.parts.setdefault(lang, []).extend([numbers[coded.indices.to_numpy()], np.array([_END])])
+        numbers = np.array([self._number(w) for w in coded.dictionary.to_pylist()], np.int32)
+        self.parts.setdefault(lang, []).extend([numbers[coded.indices.to_numpy()], np.array([_END], np.int32)])
 
     def _number(self, word: bytes) -> int:
         if word == b"\n":
@@ -76,27 +76,29 @@ class Shard:
 def frequent(words: np.ndarray, support: int, longest: int = LONGEST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length: (a place of each frequent phrase, its count), until there are none.
 
-    `at` holds the number of the phrase that starts at each place, -1 where it is not frequent.
+    `ids` holds the number of the frequent phrase that starts at each place, -1 where none does.
+    A longer phrase is one whose front and back are frequent: its key is the front's number
+    and its last word's.
     """
-    at, n = words, 1
-    while n <= longest:
-        ok = np.flatnonzero(at >= 0)
-        if not len(ok):
-            return
-        _, first, inverse, counts = np.unique(at[ok], return_index=True, return_inverse=True, return_counts=True)
+    n, places = 1, np.flatnonzero(words >= 0).astype(np.int32)
+    keys = words[places].astype(np.int64)
+    while len(places):
+        order = np.argsort(keys, kind="stable")
+        starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        counts = np.diff(starts, append=len(order))
         enough = counts >= support
         if not enough.any():
             return
-        yield ok[first[enough]], counts[enough]
-        number = np.where(enough, np.cumsum(enough) - 1, -1)
-        ids = np.full(len(words), -1, np.int64)
-        ids[ok] = number[inverse]
-        # The next word's number goes beside that of the front; the back must be frequent too.
-        last = np.full(len(words), -1, np.int64)
-        last[: len(words) - n] = words[n:]
-        back = np.full(len(words), -1, np.int64)
-        back[:-1] = ids[1:]
-        at = np.where((ids >= 0) & (back >= 0) & (last >= 0), (ids << 32) | last, -1)
+        yield places[order[starts[enough]]], counts[enough]
+        if n == longest:
+            return
+        numbers = np.where(enough, np.cumsum(enough) - 1, -1).astype(np.int32)
+        ids = np.full(len(words) + 1, -1, np.int32)
+        ids[places[order]] = np.repeat(numbers, counts)
+        del order, starts, keys
+        places = places[: np.searchsorted(places, len(words) - n)]
+        places = places[(ids[places] >= 0) & (ids[places + 1] >= 0) & (words[places + n] >= 0)]
+        keys = (ids[places].astype(np.int64) << 32) | words[places + n]
         n += 1
 
 
@@ -145,8 +147,8 @@ def mined(docs: DataFrame, support: int, total: int, longest: int = LONGEST, siz
             for lang, words in shard.languages():
                 yield _mined([(lang, None, 0, int((words >= 0).sum()), 0)])
                 for k, (places, counts) in enumerate(frequent(words, local, longest), 1):
-                    for low in range(0, len(places), 1 << 17):
-                        part = slice(low, low + (1 << 17))
+                    for low in range(0, len(places), 1 << 16):
+                        part = slice(low, low + (1 << 16))
                         names = _phrases(shard, words, places[part], k)
                         yield _mined([(lang, p, k, c, local - 1) for p, c in zip(names, counts[part].tolist())])
 
@@ -180,8 +182,8 @@ def candidates(found: DataFrame, support: int) -> DataFrame:
 
 
 def _numbered(wanted: DataFrame) -> tuple[dict, pa.Table]:
-    """On the driver: per language the words, and per length the pairs (front << 32 | last word)
-    in order of their numbers; and the numbers of the phrases as a table."""
+    """On the driver: per language the words, and per length the sorted pairs (front << 32 | last
+    word) with their numbers; and the numbers of the phrases as a table."""
     trie: dict = {}
     out = []
     for r in sorted(wanted.collect(), key=lambda r: r["k"]):
@@ -194,7 +196,9 @@ def _numbered(wanted: DataFrame) -> tuple[dict, pa.Table]:
         out.append((r["lang"], r["phrase"], r["k"], number))
     for lang, (numbers, levels) in trie.items():
         words = {w.encode(): i for w, i in numbers.items() if " " not in w}
-        trie[lang] = words, [np.array(level, np.int64) for level in levels]
+        pairs = [np.array(level, np.int64) for level in levels]
+        orders = [np.argsort(p) for p in pairs]
+        trie[lang] = words, [(p[o], o) for p, o in zip(pairs, orders)]
     lang, phrase, k, number = zip(*out) if out else ((),) * 4
     kinds = zip((lang, phrase, k, number), (pa.string(), pa.string(), pa.int32(), pa.int64()))
     return trie, pa.table([pa.array(v, t) for v, t in kinds], ["lang", "phrase", "k", "number"])
@@ -222,21 +226,21 @@ def counts_of(docs: DataFrame, wanted: DataFrame, longest: int = LONGEST, size:
                     continue
                 numbers, levels = trie[lang]
                 # Words of a shard to words of the corpus; the last entry is the end of a piece.
-                known = np.array([numbers.get(w, -1) for w in shard.words] + [-1], np.int64)
-                words = known[words]
-                at = words
-                for k, level in enumerate(levels, 1):
-                    order = np.argsort(level)
-                    there = np.searchsorted(level, at, sorter=order)
-                    there[there == len(level)] = 0
-                    ids = np.where((at >= 0) & (level[order[there]] == at), order[there], -1)
-                    tally = np.bincount(ids[ids >= 0], minlength=len(level))
+                words = np.array([numbers.get(w, -1) for w in shard.words] + [-1], np.int32)[words]
+                places = np.flatnonzero(words >= 0).astype(np.int32)
+                keys = words[places].astype(np.int64)
+                for k, (level, order) in enumerate(levels, 1):
+                    at = np.searchsorted(level, keys)
+                    at[at == len(level)] = 0
+                    there = level[at] == keys
+                    places, ids = places[there], order[at[there]]
+                    tally = np.bincount(ids, minlength=len(level))
                     sums[lang, k] = sums[lang, k] + tally if (lang, k) in sums else tally
-                    if k == len(levels):
-                        break
-                    last = np.full(len(words), -1, np.int64)
-                    last[: len(words) - k] = words[k:]
-                    at = np.where((ids >= 0) & (last >= 0), (ids << 32) | last, -1)
+                    more = np.searchsorted(places, len(words) - k)
+                    places, ids = places[:more], ids[:more]
+                    there = words[places + k] >= 0
+                    places = places[there]
+                    keys = (ids[there].astype(np.int64) << 32) | words[places + k]
         for (lang, k), tally in sums.items():
             some = np.flatnonzero(tally)
             yield pa.RecordBatch.from_arrays(
