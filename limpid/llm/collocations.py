@@ -1,27 +1,32 @@
 """Operator 13: collocations by SON partitioning.
 
-A phrase with `support` occurrences has, in at least one shard, its proportional share of them.
-Each shard is mined completely at that lowered support, level by level: a phrase can be frequent
-only if both phrases one word shorter are. What is frequent in any shard is a candidate; the
-candidates are then counted over all shards, which is exact.
-
-A shard is a run of whole texts of about `SHARD` bytes in a task. Its share is that of its bytes,
-so the shares add up to one whatever languages it holds. With more than `support` shards the
-share is one occurrence: mining prunes nothing there, and candidates are cut by the bound below.
-
-Within a shard words and phrases are numbered, and a phrase is the pair of its front's number and
-its last word's; no hash stands for a phrase anywhere.
+The corpus is dealt into `SHARDS` shards of whole tasks. A phrase with `support` occurrences has
+its proportional share of them in at least one shard. Each shard is mined completely at that
+lowered support, level by level: a phrase can be frequent only if both phrases one word
+shorter are. What is frequent in any shard is a candidate; all candidates are then counted over
+the whole corpus, which is exact.
+
+The number of shards does not grow with the corpus, or the lowered support would sink to one
+occurrence. So a shard may be larger than a task: counts of a level are added up by shard in a
+shuffle, from the tasks' own sums. Mined are only words that have `support` occurrences
+in the corpus; a first count finds them, and texts are kept from then on as their numbers.
+
+A phrase is the pair of its front's number and its last word's; no hash stands for one anywhere.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from limpid.llm import textbytes as tb
 from limpid.llm.columns import LOWER, UPPER, documents, text_of
 from limpid.operators.sampling import first_n_per_group
 from limpid.storage import materialised
@@ -30,9 +35,10 @@ SUPPORT = 100
 LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
-SHARD = 16 << 20
+SHARDS = 8
+CHUNK = 16 << 20  # bytes of texts that a task counts at once
 PIECE = 2 << 20
-BROADCAST_PHRASES = 1_000_000
+MOST = 1_000_000
 _END = -1  # between two pieces
 
 #: A-Z to a-z, tab to blank, and what ends a piece to a line end.
@@ -41,11 +47,11 @@ _FOLD = bytes(
 )
 
 
-# --- one shard ----------------------------------------------------------------------------
+# --- words of texts -----------------------------------------------------------------------
 
 
-class Shard:
-    """Words of some texts by language, as numbers; `_END` stands between pieces."""
+class Chunk:
+    """Words of some whole texts by language, as numbers; `_END` stands between pieces."""
 
     def __init__(self):
         self.size, self.vocabulary, self.words, self.parts = 0, {}, [], {}
@@ -73,187 +79,261 @@ class Shard:
             yield lang, np.concatenate(self.parts.pop(lang))
 
 
-def frequent(words: np.ndarray, support: int, longest: int = LONGEST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length: (a place of each frequent phrase, its count), until there are none.
-
-    `ids` holds the number of the frequent phrase that starts at each place, -1 where none does.
-    A longer phrase is one whose front and back are frequent: its key is the front's number
-    and its last word's.
-    """
-    n, places = 1, np.flatnonzero(words >= 0).astype(np.int32)
+def frequent(words: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: (a place of each phrase, its count)."""
+    places = np.flatnonzero(words >= 0).astype(np.int32)
     keys = words[places].astype(np.int64)
-    while len(places):
-        order = np.argsort(keys, kind="stable")
-        starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
-        counts = np.diff(starts, append=len(order))
-        enough = counts >= support
-        if not enough.any():
+    for n in range(1, longest + 1):
+        if not len(places):
             return
-        yield places[order[starts[enough]]], counts[enough]
-        if n == longest:
-            return
-        numbers = np.where(enough, np.cumsum(enough) - 1, -1).astype(np.int32)
+        order, starts, counts = _groups(keys)
+        yield places[order[starts]], counts
         ids = np.full(len(words) + 1, -1, np.int32)
-        ids[places[order]] = np.repeat(numbers, counts)
-        del order, starts, keys
+        ids[places[order]] = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         places = places[: np.searchsorted(places, len(words) - n)]
-        places = places[(ids[places] >= 0) & (ids[places + 1] >= 0) & (words[places + n] >= 0)]
+        places = places[words[places + n] >= 0]
         keys = (ids[places].astype(np.int64) << 32) | words[places + n]
-        n += 1
 
 
-def _phrases(shard: Shard, words: np.ndarray, places: np.ndarray, n: int) -> list[bytes]:
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorting order, where each distinct key starts in it, and how often it occurs."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    return order, starts, np.diff(starts, append=len(order))
+
+
+def _texts(chunk: Chunk, words: np.ndarray, places: np.ndarray, n: int) -> list[bytes]:
     rows = words[places[:, None] + np.arange(n)]
-    return [b" ".join([shard.words[i] for i in row]) for row in rows.tolist()]
+    return [b" ".join([chunk.words[i] for i in row]) for row in rows.tolist()]
 
 
-def _shards(batches, size: int) -> Iterator[Shard]:
+def _chunks(batches, size: int) -> Iterator[Chunk]:
     """Runs of whole texts; a text is never divided."""
-    shard = Shard()
+    chunk = Chunk()
     for batch in batches:
         held: dict[str, list[bytes]] = {}
         n = 0
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
-            raw = text.as_py() or b""
+            raw = text.as_py()
             if not raw:
                 continue
             held.setdefault(lang, []).append(raw)
             n += len(raw)
-            if n >= PIECE or shard.size + n >= size:
+            if n >= PIECE or chunk.size + n >= size:
                 for k, v in held.items():
-                    shard.add(k, v)
+                    chunk.add(k, v)
                 held, n = {}, 0
-            if shard.size >= size:
-                yield shard
-                shard = Shard()
+            if chunk.size >= size:
+                yield chunk
+                chunk = Chunk()
         for k, v in held.items():
-            shard.add(k, v)
-    if shard.size:
-        yield shard
+            chunk.add(k, v)
+    if chunk.size:
+        yield chunk
+
 
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, kinds = zip(*[f.split() for f in schema.split(", ")])
+    arrays = [
+        pa.array(c, pa.binary()).cast(pa.string(), safe=False) if k == "string" else pa.array(c, types[k])
+        for c, k in zip(columns, kinds)
+    ]
+    return pa.RecordBatch.from_arrays(arrays, list(names))
 
-MINED = "lang string, phrase string, k int, n long, less long"
 
+COUNTED = "lang string, phrase string, k int, f long"
 
-def mined(docs: DataFrame, support: int, total: int, longest: int = LONGEST, size: int = SHARD) -> DataFrame:
-    """lang, phrase, k, n, less: phrases of 1 to `longest` words frequent in a shard, with their
-    count there and the most that one below the shard's support can have. Rows with k = 0 give
-    the `less` of each shard, and its words of each language as n. `docs` has lang and text; `total` is the bytes of all texts."""
+
+def all_phrases(docs: DataFrame, longest: int, size: int = CHUNK) -> DataFrame:
+    """lang, phrase, k, f: every phrase of 1 to `longest` words. Sums of chunks, then a shuffle."""
 
     def run(batches):
-        for shard in _shards(batches, size):
-            local = max(1, -(-support * shard.size // max(total, 1)))
-            yield _mined([(None, None, 0, 0, local - 1)])
-            for lang, words in shard.languages():
-                yield _mined([(lang, None, 0, int((words >= 0).sum()), 0)])
-                for k, (places, counts) in enumerate(frequent(words, local, longest), 1):
+        for chunk in _chunks(batches, size):
+            for lang, words in chunk.languages():
+                for k, (places, counts) in enumerate(frequent(words, longest), 1):
                     for low in range(0, len(places), 1 << 16):
                         part = slice(low, low + (1 << 16))
-                        names = _phrases(shard, words, places[part], k)
-                        yield _mined([(lang, p, k, c, local - 1) for p, c in zip(names, counts[part].tolist())])
+                        texts = _texts(chunk, words, places[part], k)
+                        yield _batch(COUNTED, [lang.encode()] * len(texts), texts, [k] * len(texts), counts[part])
 
-    return docs.select("lang", "text").mapInArrow(run, MINED)
+    sums = docs.select("lang", "text").mapInArrow(run, COUNTED)
+    return sums.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
-def _mined(rows: list[tuple]) -> pa.RecordBatch:
-    lang, phrase, k, n, less = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string(), safe=False),
-            pa.array(k, pa.int32()), pa.array(n, pa.int64()), pa.array(less, pa.int64()),
-        ],
-        ["lang", "phrase", "k", "n", "less"],
-    )
+# --- shards -------------------------------------------------------------------------------
 
 
-# --- the corpus ---------------------------------------------------------------------------
+ENCODED = "shard int, lang string, bytes long, words binary"
 
 
-def candidates(found: DataFrame, support: int) -> DataFrame:
-    """lang, phrase, k: what is frequent in a shard and may reach `support` in all of them.
+@dataclass
+class Vocabulary:
+    """Per language the frequent words, in order of their numbers."""
 
-    Where a phrase is not frequent it has at most the shard's `less` occurrences. If those and
-    the counts that are known do not reach `support`, it is none. A phrase that may reach it has
-    fronts and backs that may.
-    """
-    spare = found.filter("k = 0").agg(F.coalesce(F.sum("less"), F.lit(0))).first()[0]
-    sums = found.filter("k > 0").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"), F.sum("less").alias("less"))
-    return sums.filter(F.col("n") + F.lit(spare) - F.col("less") >= support).select("lang", "phrase", "k")
-
-
-def _numbered(wanted: DataFrame) -> tuple[dict, pa.Table]:
-    """On the driver: per language the words, and per length the sorted pairs (front << 32 | last
-    word) with their numbers; and the numbers of the phrases as a table."""
-    trie: dict = {}
-    out = []
-    for r in sorted(wanted.collect(), key=lambda r: r["k"]):
-        numbers, levels = trie.setdefault(r["lang"], ({}, []))
-        if len(levels) < r["k"]:
-            levels.append([])
-        front, _, last = r["phrase"].rpartition(" ")
-        numbers[r["phrase"]] = number = len(levels[-1])
-        levels[-1].append(number if r["k"] == 1 else numbers[front] << 32 | numbers[last])
-        out.append((r["lang"], r["phrase"], r["k"], number))
-    for lang, (numbers, levels) in trie.items():
-        words = {w.encode(): i for w, i in numbers.items() if " " not in w}
-        pairs = [np.array(level, np.int64) for level in levels]
-        orders = [np.argsort(p) for p in pairs]
-        trie[lang] = words, [(p[o], o) for p, o in zip(pairs, orders)]
-    lang, phrase, k, number = zip(*out) if out else ((),) * 4
-    kinds = zip((lang, phrase, k, number), (pa.string(), pa.string(), pa.int32(), pa.int64()))
-    return trie, pa.table([pa.array(v, t) for v, t in kinds], ["lang", "phrase", "k", "number"])
-
-
-def counts_of(docs: DataFrame, wanted: DataFrame, longest: int = LONGEST, size: int = SHARD, most: int = BROADCAST_PHRASES) -> DataFrame:
-    """lang, phrase, k, f: all contiguous occurrences, within pieces, of the wanted phrases.
-
-    Up to `most` phrases go to all tasks as words and pairs of numbers. Beyond that each shard
-    counts all of its phrases, and the sums meet the wanted ones in a join.
+    words: dict[str, list[str]]
+
+    @functools.cached_property
+    def numbers(self) -> dict[str, dict[bytes, int]]:
+        return {lang: {w.encode(): i for i, w in enumerate(ws)} for lang, ws in self.words.items()}
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary, shards: int = SHARDS, size: int = CHUNK) -> DataFrame:
+    """A row per chunk and language: its words as numbers, -1 for the others and between pieces."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.words)
+
+    def run(batches):
+        numbers = Vocabulary(shared.value).numbers
+        shard = TaskContext.get().partitionId() % shards
+        for chunk in _chunks(batches, size):
+            n_bytes = chunk.size
+            for lang, words in chunk.languages():
+                known = numbers.get(lang, {})
+                mine = np.array([known.get(w, -1) for w in chunk.words] + [-1], np.int32)[words]
+                yield _batch(ENCODED, [shard], [lang.encode()], [n_bytes], [mine.tobytes()])
+                n_bytes = 0
+
+    return docs.select("lang", "text").mapInArrow(run, ENCODED)
+
+
+def local_supports(table: DataFrame, support: int) -> dict[int, int]:
+    """Per shard, its share by bytes of the support, rounded up."""
+    sizes = {r["shard"]: r["n"] for r in table.groupBy("shard").agg(F.sum("bytes").alias("n")).collect()}
+    total = max(sum(sizes.values()), 1)
+    return {shard: max(1, -(-support * n // total)) for shard, n in sizes.items()}
+
+
+class Trie:
+    """Candidates by language: at each length from 2 the sorted pairs (front << 32 | last word).
+    A phrase's number is its pair's place there; a word's is that of the vocabulary."""
+
+    def __init__(self):
+        self.levels: dict[str, list[np.ndarray]] = {}
+
+    def extend(self, found: pa.Table, k: int) -> None:
+        """The candidates of `k` words, from columns lang and key."""
+        keys = found.column("key").to_numpy()
+        langs = np.array(found.column("lang").to_pylist(), object)
+        for lang in set(langs.tolist()):
+            self.levels.setdefault(lang, []).append(np.sort(keys[langs == lang]))
+
+    def size(self) -> int:
+        return sum(len(level) for levels in self.levels.values() for level in levels)
+
+    def walk(self, lang: str, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, places, keys) of the phrases of each length, from 2, whose front and back are
+        candidates; one length more than the trie has. Fronts are looked up as it goes."""
+        places = np.flatnonzero(words[:-1] >= 0).astype(np.int32)
+        places = places[words[places + 1] >= 0]
+        keys = (words[places].astype(np.int64) << 32) | words[places + 1]
+        yield 2, places, keys
+        for k, level in enumerate(self.levels.get(lang, []), 2):
+            numbers = tb.find(level, keys)
+            ids = np.full(len(words) + 1, -1, np.int32)
+            ids[places] = numbers
+            places = places[(numbers >= 0) & (places < len(words) - k)]
+            places = places[(ids[places + 1] >= 0) & (words[places + k] >= 0)]
+            keys = (ids[places].astype(np.int64) << 32) | words[places + k]
+            yield k + 1, places, keys
+
+    def phrase(self, lang: str, k: int, number: int, words: list[str]) -> str:
+        out = []
+        for level in reversed(self.levels[lang][: k - 1]):
+            pair = int(level[number])
+            out.append(words[pair & 0xFFFFFFFF])
+            number = pair >> 32
+        return " ".join([words[number], *reversed(out)])
+
+
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The named columns and the words of each row, one row at a time."""
+    for *values, raw in zip(*[batch.column(c) for c in (*names, "words")]):
+        yield *[v.as_py() for v in values], np.frombuffer(raw.as_buffer(), np.int32)
+
+
+LEVEL = "shard int, lang string, key long, n long"
+
+
+def frequent_in_shards(table: DataFrame, trie: Trie, k: int, supports: dict[int, int]) -> DataFrame:
+    """shard, lang, key, n: the phrases of `k` words that are frequent in a shard.
+
+    `trie` has the candidates of up to k - 1 words. Each task sends its own sums.
     """
-    if wanted.count() > most:
-        every = mined(docs, 1, 1 << 62, longest, size).filter("k > 0")
-        sums = every.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f"))
-        return sums.join(wanted.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
-    trie, names = _numbered(wanted)
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
+    shared = table.sparkSession.sparkContext.broadcast(trie)
+
+    def run(batches):
+        for batch in batches:
+            for shard, lang, words in _rows(batch, "shard", "lang"):
+                keys = next((keys for n, _, keys in shared.value.walk(lang, words) if n == k), np.zeros(0, np.int64))
+                if len(keys):
+                    order, starts, counts = _groups(keys)
+                    same = len(counts)
+                    yield _batch(LEVEL, [shard] * same, [lang.encode()] * same, keys[order[starts]], counts)
+
+    sums = table.select("shard", "lang", "words").mapInArrow(run, LEVEL)
+    sums = sums.groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
+    least = F.create_map(*[F.lit(x) for kv in supports.items() for x in kv])[F.col("shard")]
+    return sums.filter(F.col("n") >= least)
+
+
+TALLY = "lang string, k int, number long, f long"
+
+
+def counted(table: DataFrame, trie: Trie) -> DataFrame:
+    """lang, k, number, f: occurrences of every candidate in the whole corpus."""
+    shared = table.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches):
-        trie = shared.value
         sums: dict = {}
-        for shard in _shards(batches, size):
-            for lang, words in shard.languages():
-                if lang not in trie:
-                    continue
-                numbers, levels = trie[lang]
-                # Words of a shard to words of the corpus; the last entry is the end of a piece.
-                words = np.array([numbers.get(w, -1) for w in shard.words] + [-1], np.int32)[words]
-                places = np.flatnonzero(words >= 0).astype(np.int32)
-                keys = words[places].astype(np.int64)
-                for k, (level, order) in enumerate(levels, 1):
-                    at = np.searchsorted(level, keys)
-                    at[at == len(level)] = 0
-                    there = level[at] == keys
-                    places, ids = places[there], order[at[there]]
-                    tally = np.bincount(ids, minlength=len(level))
+        for batch in batches:
+            for lang, words in _rows(batch, "lang"):
+                levels = shared.value.levels.get(lang, [])
+                for k, _, keys in shared.value.walk(lang, words):
+                    if k - 2 == len(levels):
+                        break
+                    at = tb.find(levels[k - 2], keys)
+                    tally = np.bincount(at[at >= 0], minlength=len(levels[k - 2]))
                     sums[lang, k] = sums[lang, k] + tally if (lang, k) in sums else tally
-                    more = np.searchsorted(places, len(words) - k)
-                    places, ids = places[:more], ids[:more]
-                    there = words[places + k] >= 0
-                    places = places[there]
-                    keys = (ids[there].astype(np.int64) << 32) | words[places + k]
         for (lang, k), tally in sums.items():
             some = np.flatnonzero(tally)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), k, np.int32)),
-                    pa.array(some), pa.array(tally[some].astype(np.int64)),
-                ],
-                ["lang", "k", "number", "f"],
-            )
-
-    sums = docs.select("lang", "text").mapInArrow(run, "lang string, k int, number long, f long")
-    sums = sums.groupBy("lang", "k", "number").agg(F.sum("f").alias("f"))
-    return sums.join(docs.sparkSession.createDataFrame(names), ["lang", "k", "number"]).select("lang", "phrase", "k", "f")
+            yield _batch(TALLY, [lang.encode()] * len(some), [k] * len(some), some, tally[some])
+
+    sums = table.select("lang", "words").mapInArrow(run, TALLY)
+    return sums.groupBy("lang", "k", "number").agg(F.sum("f").alias("f"))
+
+
+def son_counts(
+    docs: DataFrame, words: DataFrame, support: int, longest: int, shards: int, size: int, most: int
+) -> DataFrame | None:
+    """lang, phrase, k, f of all phrases with `support` occurrences, words included; None where
+    the words or the candidates are more than `most`, which is what may be sent to all tasks."""
+    spark = docs.sparkSession
+    if words.count() > most:
+        return None
+    rows = words.select("lang", "phrase", "f").collect()
+    vocabulary = Vocabulary({})
+    for r in sorted(rows):
+        vocabulary.words.setdefault(r["lang"], []).append(r["phrase"])
+    table = materialised(encoded(docs, vocabulary, shards, size), "encoded")
+    supports = local_supports(table, support)
+    trie = Trie()
+    for k in range(2, longest + 1):
+        if not supports:
+            break
+        found = frequent_in_shards(table, trie, k, supports).select("lang", "key").distinct()
+        found = materialised(found, "candidates")
+        n = found.count()
+        if trie.size() + n > most:
+            return None
+        if not n:
+            break
+        trie.extend(found.toArrow(), k)
+    sums = counted(table, trie).filter(F.col("f") >= support).toArrow().to_pylist()  # of candidates, `most` at most
+    phrases = [(r["lang"], trie.phrase(r["lang"], r["k"], r["number"], vocabulary.words[r["lang"]]), r["k"], r["f"]) for r in sums]
+    phrases += [(r["lang"], r["phrase"], 1, r["f"]) for r in rows]
+    lang, phrase, k, f = zip(*phrases) if phrases else ((),) * 4
+    columns = [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(k, pa.int32()), pa.array(f, pa.int64())]
+    return spark.createDataFrame(pa.table(columns, ["lang", "phrase", "k", "f"]))
 
 
 def _joined(words: Column, start, length) -> Column:
@@ -294,19 +374,24 @@ def ranked(counts: DataFrame, totals: DataFrame, support: int, top: int) -> Data
     return first.select("lang", rank.alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, size: int = SHARD) -> DataFrame:
+def collocations(
+    docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP,
+    shards: int = SHARDS, size: int = CHUNK, most: int = MOST,
+) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` collocations of each language.
 
     A null lang is `und`, a null text empty; rows that repeat count each. A table without words
-    gives no rows.
+    gives no rows. Up to `most` frequent words and candidates are sent to all tasks; where there
+    are more, every phrase is counted in a shuffle instead, with the same result.
     """
     docs = docs.select(F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang"), text_of().alias("text"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = materialised(mined(docs, support, total, longest, size), "mined")
-    wanted = materialised(candidates(found, support), "candidates")
-    counts = materialised(counts_of(docs, wanted, longest, size), "phrases")
-    totals = found.filter("k = 0 and lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    return ranked(counts, totals, support, top)
+    every = materialised(all_phrases(docs, 1, size), "words")
+    totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
+    words = every.filter(F.col("f") >= support)
+    counts = son_counts(docs, words, support, longest, shards, size, most)
+    if counts is None:
+        counts = all_phrases(docs, longest, size).filter(F.col("f") >= support)
+    return ranked(materialised(counts, "phrases"), totals, support, top)
 
 
 def op13_collocations(spark, folder):

@@ -57,13 +57,14 @@ def got(docs, **options):
     return sorted(tuple(r) for r in co.collocations(docs, **options).collect())
 
 
-@pytest.mark.parametrize("size, most, parts", [(co.SHARD, co.BROADCAST_PHRASES, 1), (300, co.BROADCAST_PHRASES, 5), (2000, 0, 3)])
-def test_equals_counting_by_hand(spark, monkeypatch, size, most, parts):
+@pytest.mark.parametrize(
+    "shards, size, most, parts", [(8, co.CHUNK, co.MOST, 1), (3, 300, co.MOST, 5), (8, 2000, 0, 3), (2, 900, 40, 4)]
+)
+def test_equals_counting_by_hand(spark, shards, size, most, parts):
+    """One task and many, small chunks, and more words or candidates than may be sent around."""
     rows = corpus(random.Random(7), 260)
-    real = co.counts_of
-    monkeypatch.setattr(co, "counts_of", lambda d, w, longest, s: real(d, w, longest, s, most))
     docs = table(spark, rows).repartition(parts)
-    assert got(docs, support=20, size=size) == brute(rows, 20)
+    assert got(docs, support=20, shards=shards, size=size, most=most) == brute(rows, 20)
 
 
 def test_ties_are_broken_by_bytes_and_the_list_ends(spark):
@@ -93,25 +94,29 @@ def test_products_beyond_64_bits(spark):
     ]
 
 
-def test_a_shard_is_mined_completely():
+def test_a_shard_is_mined_completely(spark):
+    """Per shard, exactly the phrases that reach its share of the support."""
     rng = random.Random(3)
-    for _ in range(30):
-        shard = co.Shard()
-        texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(6)]
-        shard.add("x", [t.encode() for t in texts])
-        want = collections.Counter(
-            " ".join(w[i : i + k]) for t in texts for w in [t.split()] for k in range(1, 6) for i in range(len(w) - k + 1)
-        )
-        found = {}
-        for _, words in shard.languages():
-            for k, (places, counts) in enumerate(co.frequent(words, 2), 1):
-                found |= dict(zip([p.decode() for p in co._phrases(shard, words, places, k)], counts.tolist()))
-        assert found == {p: c for p, c in want.items() if c >= 2}
-
-
-def test_candidates_are_bounded_by_what_other_shards_can_hold(spark):
-    """Three shards with `less` 4, 4 and 2: ten occurrences may be hidden at most."""
-    rows = [(None, None, 0, 0, 4), (None, None, 0, 0, 4), (None, None, 0, 0, 2), ("en", None, 0, 50, 0)]
-    rows += [("en", "may", 1, 14, 4), ("en", "cannot", 1, 13, 4), ("en", "both", 1, 6, 4), ("en", "both", 1, 12, 4)]
-    found = spark.createDataFrame(rows, co.MINED)
-    assert {r["phrase"] for r in co.candidates(found, 20).collect()} == {"may", "both"}
+    rows = [("x", " ".join(rng.choice(["a", "b", "c. ", "d"]) for _ in range(rng.randint(0, 30)))) for _ in range(120)]
+    docs = table(spark, rows).repartition(6).select("lang", "text")
+    words = co.Vocabulary({"x": ["a", "b", "c", "d"]})
+    encoded = co.encoded(docs, words, 3)
+    supports = co.local_supports(encoded, 30)
+    assert set(supports) == {0, 1, 2} and sum(supports.values()) in (30, 31, 32)
+    counts = collections.defaultdict(collections.Counter)
+    for r in encoded.collect():
+        ids = memoryview(r["words"]).cast("i").tolist()
+        for k in (2, 3):
+            for i in range(len(ids) - k + 1):
+                if min(ids[i : i + k]) >= 0:
+                    counts[r["shard"], k][tuple(ids[i : i + k])] += 1
+    trie = co.Trie()
+    for k in (2, 3):
+        found = co.frequent_in_shards(encoded, trie, k, supports).collect()
+        want = {(s, n) for (s, length), c in counts.items() if length == k for n in c.values() if n >= supports[s]}
+        assert {(r["shard"], r["n"]) for r in found} == want
+        assert len(found) == sum(n >= supports[s] for (s, length), c in counts.items() if length == k for n in c.values())
+        pairs = sorted({(r["lang"], r["key"]) for r in found})
+        trie.extend(co.pa.table({"lang": [p[0] for p in pairs], "key": [p[1] for p in pairs]}), k)
+    names = {trie.phrase("x", 2, i, words.words["x"]) for i in range(len(trie.levels["x"][0]))}
+    assert names == {" ".join("abcd"[i] for i in p) for (s, k), c in counts.items() if k == 2 for p, n in c.items() if n >= supports[s]}
