@@ -358,6 +358,9 @@ UNION ALL SELECT 'tables', 'parquet', count(*) FROM orders"""
     q["clean_types"] = D + "SELECT * REPLACE (" + ", ".join(
         f"{e} AS {c}" for c, e in (numeric | {"date_txt": _date()}).items()
     ) + ") FROM d"
+    # Of all values of amount_early one in 97 is no number; its first ones hold one.
+    everything = numeric | {"date_txt": _date(), "amount_early": _amount("amount_early")}
+    q["clean_types_full"] = D + "SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in everything.items()) + ") FROM d"
     q["recover_integers"] = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity, l_discount FROM lineitem"
     q["unparsed_values"] = D + _union([
         f"SELECT 'amount_txt' AS \"column\", count(*) AS n_values, 'trop flou' AS examples FROM d WHERE {_amount('amount_txt')} IS NULL",
@@ -445,6 +448,14 @@ FROM (SELECT unnest(generate_series(0, k - 1)) AS i, lo, span, k FROM b) LEFT JO
     q["kde_grid"] = _density()
     q["boxplot_stats"] = _union(_box(t, c) for t in ("orders", "events") for c in _numeric(t))
     q["top_n_bar"] = "SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 10"
+    q["scatter_sample"] = D + """SELECT DISTINCT id, whole_gap, price_out, md5(id::VARCHAR) AS m FROM d
+WHERE whole_gap IS NOT NULL AND price_out IS NOT NULL ORDER BY m LIMIT 500"""
+    q["scatter_sample"] = f"SELECT id, whole_gap, price_out FROM ({q['scatter_sample']})"
+    orders = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    q["profile_distinct_sketch"] = _union(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n_present, count(DISTINCT {c}) AS n_distinct, true AS within_bound FROM orders"
+        for c in orders
+    )
     every = _numeric("lineitem")
     q["scatter_points"] = f"SELECT {', '.join(every)} FROM lineitem WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in every)
 
@@ -469,6 +480,10 @@ FROM (SELECT unnest(generate_series(0, k - 1)) AS i, lo, span, k FROM b) LEFT JO
 round(CAST(note_txt AS DOUBLE), 6) AS note_txt, CAST(note20_txt AS DOUBLE) AS note20_txt, round(rate_txt, 6) AS rate_txt,
 city, phone, round(CAST(whole_gap AS DOUBLE), 6) AS whole_gap, prio_gap,
 round(greatest(lo, least(hi, price_out)), 6) AS price_out FROM filled, fence"""
+    typed_full = TYPED.replace(" amount_early,", f" {_amount('amount_early')} AS amount_early,")
+    q["cleaned_table_full"] = f"""{D}, {typed_full} SELECT DISTINCT id, ref, round(amount_txt, 6) AS amount_txt,
+round(amount_early, 6) AS amount_early, date_txt, CAST(note_txt AS DOUBLE) AS note_txt, CAST(note20_txt AS DOUBLE) AS note20_txt,
+round(rate_txt, 6) AS rate_txt, city, phone, CAST(whole_gap AS DOUBLE) AS whole_gap, prio_gap, round(price_out, 6) AS price_out FROM typed"""
     q["reapplied_plan"] = (
         f"{D}, {TYPED} SELECT id, amount_txt, date_txt, CAST(note_txt AS DOUBLE) AS note_txt, "
         "CAST(note20_txt AS DOUBLE) AS note20_txt, rate_txt, city, CAST(whole_gap AS DOUBLE) AS whole_gap FROM typed"
@@ -504,6 +519,17 @@ round(greatest(lo, least(hi, price_out)), 6) AS price_out FROM filled, fence"""
         f"SELECT '{m}' AS metric, CAST({a} AS BIGINT) AS before, CAST({b} AS BIGINT) AS after, "
         f"CAST({b} - {a} AS BIGINT) AS delta" for m, (a, b) in sides.items()
     )
+    q["report_history"] = D + ", u AS (SELECT DISTINCT * FROM d) " + _union(
+        f"SELECT '{c}' AS \"column\", metric, {'b' if c != 'copies' else 'NULL::DOUBLE'} AS before, "
+        f"{'a' if c != 'mostly_null' else 'NULL::DOUBLE'} AS after, "
+        f"{'a - b' if c not in ('copies', 'mostly_null') else 'NULL::DOUBLE'} AS delta, "
+        + {"copies": "'added'", "mostly_null": "'removed'"}.get(c, "CASE WHEN a = b THEN 'same' ELSE 'changed' END")
+        + f" AS status FROM (SELECT 'n_missing' AS metric, (SELECT count(*) - count({v}) FROM d)::DOUBLE AS b, "
+        f"(SELECT count(*) - count({v}) FROM u)::DOUBLE AS a UNION ALL SELECT 'pct_missing', "
+        f"(SELECT round((count(*) - count({v})) / count(*) * 100, 2) FROM d), "
+        f"(SELECT round((count(*) - count({v})) / count(*) * 100, 2) FROM u))"
+        for c, v in [*[(c, c) for c in COLUMNS], ("copies", "id")]
+    )
     q["control_verdict"] = _values(
         [(c, _TYPES_AFTER[c], True, None) for c in _TYPES_AFTER], '"column", type, well_typed, reads_as'
     )

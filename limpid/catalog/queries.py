@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,14 +13,14 @@ from limpid.catalog import made_files
 from limpid.catalog.dirty_orders import TEXTS, dirty_orders
 from limpid.functions import dates, numbers, text
 from limpid.operators import (
-    case, charts, counts, describe, duplicates, fill, missing, outliers, schema, typing,
+    case, charts, correlation, counts, describe, duplicates, fill, missing, outliers, schema, typing,
     whitespace,
 )
 from limpid.operators.aggregate import count_where, small_table
 from limpid.plans import audit
 from limpid.plans.profile import profile
 from limpid.session import tune
-from limpid.sources import dialect, tables, workbook
+from limpid.sources import dialect, reports, tables, workbook
 from limpid.storage import materialised, new_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,6 +324,11 @@ def clean_types(spark, sf):
     return _doubles(typing.clean_types(dirty_orders(spark, sf), "id")[0])
 
 
+def clean_types_full(spark, sf):
+    """Shares of all values decide, at 0.95: a column with more oddities keeps its text."""
+    return _doubles(typing.clean_types(dirty_orders(spark, sf), "id", rate=0.95)[0])
+
+
 def recover_integers(spark, sf):
     return typing.recover_integers(table(spark, sf, "lineitem"))[0].select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount"
@@ -432,7 +438,7 @@ def column_overview(spark, sf):
 
 
 def correlation_matrix(spark, sf):
-    return rounded(describe.correlation_matrix(spread(table(spark, sf, "lineitem"))), 6)
+    return rounded(correlation.correlation_matrix(spread(table(spark, sf, "lineitem"))), 6)
 
 
 def histogram_20(spark, sf):
@@ -456,6 +462,22 @@ def top_n_bar(spark, sf):
     return charts.top_bars(table(spark, sf, "events"), "event_type")
 
 
+def scatter_sample(spark, sf):
+    d = dirty_orders(spark, sf).dropDuplicates(["id"])
+    return charts.scatter_sample(d, "id", 500, ["whole_gap", "price_out"])
+
+
+def profile_distinct_sketch(spark, sf):
+    """Yearly sketches of `orders`, united: whether each estimate is within its bound."""
+    orders = table(spark, sf, "orders")
+    parts = materialised(counts.distinct_sketches(orders, by=F.year("o_orderdate")), "sketches")
+    exact = counts.column_overview(orders).select("column", "n_distinct")
+    off = F.abs(F.col("n_distinct_estimate") - F.col("n_distinct")) / F.col("n_distinct")
+    return counts.united_sketches(parts).join(exact, "column").select(
+        "column", "n_present", "n_distinct", (off <= counts.sketch_bound()).alias("within_bound")
+    )
+
+
 def scatter_points(spark, sf):
     return charts.scatter_points(table(spark, sf, "lineitem"))
 
@@ -495,6 +517,11 @@ def cleaned_table(spark, sf):
     return rounded(_doubles(_cleaned(spark, sf).table))
 
 
+def cleaned_table_full(spark, sf):
+    options = CleaningOptions(full_scan=True, full_scan_rate=0.95, order_by="id")
+    return rounded(_doubles(fit_cleaning(_stored(spark, sf), options).table))
+
+
 def reapplied_plan(spark, sf):
     d = _stored(spark, sf)
     plan = fit_cleaning(d, CleaningOptions(order_by="id")).plan
@@ -532,6 +559,19 @@ def before_after_delta(spark, sf):
     return audit.before_after(d, fit_cleaning(d, CleaningOptions(order_by="id")).table)
 
 
+def report_history(spark, sf):
+    """Missing values of the dirty and of the deduplicated view as two runs; the second run is
+    first written with the wrong table, then again."""
+    d, folder = dirty_orders(spark, sf), new_path(spark, "reports")
+    early, late = audit.run_stamp(datetime(2026, 3, 1)), audit.run_stamp(datetime(2026, 3, 2))
+    profiled = {"missing": missing.null_profile(d)}
+    reports.write_reports(profiled, folder, early)
+    reports.write_reports(profiled, folder, late)
+    kept = duplicates.drop_duplicates(d)[0].drop("mostly_null").withColumn("copies", F.lit(1))
+    reports.write_reports({"missing": missing.null_profile(kept)}, folder, late)
+    return reports.compared_runs(spark, folder, "missing", early, late, ["column"])
+
+
 def control_verdict(spark, sf):
     return audit.control(_cleaned(spark, sf).table, "id")
 
@@ -545,14 +585,14 @@ _FUNCTIONS = (
     leading_zero_columns, parse_grades, parse_percent, parse_amount, try_numeric,
     parse_mixed_dates, normalize_case, identifier_like_columns, estimate_numeric,
     numeric_candidates, numeric_candidates_full, normalize_case_full, dominant_scale, rescaled_grades, convert_numeric, convert_dates,
-    clean_types, recover_integers, unparsed_values, mistyped_columns, profile_shape,
+    clean_types, clean_types_full, recover_integers, unparsed_values, mistyped_columns, profile_shape,
     profile_missing, missing_summary, duplicate_count, row_quality, row_alerts, describe_numeric,
     profile_outliers, iqr_bounds, count_outliers_k3, outlier_summary, profile_categorical,
     top_categories, frequency_skew, format_anomalies, case_targets, identifier_columns,
     column_overview, correlation_matrix, histogram_20, kde_grid, boxplot_stats, top_n_bar,
-    scatter_points, drop_duplicates, clip_outliers, clip_outliers_per_column, fill_missing,
-    cleaned_table, reapplied_plan, cleaning_totals, audit_summary, audit_table, step_totals,
-    type_changes, global_metrics, before_after_delta, control_verdict,
+    scatter_points, scatter_sample, profile_distinct_sketch, drop_duplicates, clip_outliers, clip_outliers_per_column, fill_missing,
+    cleaned_table, cleaned_table_full, reapplied_plan, cleaning_totals, audit_summary, audit_table, step_totals,
+    type_changes, global_metrics, before_after_delta, control_verdict, report_history,
 )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from limpid import constants as K
@@ -57,11 +58,32 @@ def _automatic_bins(df: DataFrame, column: str, lo: float, hi: float, n: int) ->
     return max(1, math.ceil((hi - lo) / width))
 
 
+# Of the density: cells are half a kernel width wide, so a value lies at most a quarter from its
+# cell's middle; the series has this many terms.
+_CELL, _TERMS = 0.5, 12
+# A cell further than this from a grid point, in kernel widths, adds less than 3e-18 to it.
+_REACH = 9.0
+
+
+def series_error(terms: int = _TERMS, cell: float = _CELL) -> float:
+    """Most that the truncated series misses of a kernel whose height is 1.
+
+    Hermite functions are below 1.09 sqrt(2^p p!), so what is left out is below the sum over
+    p >= terms of 1.09 (sqrt(2) r)^p / sqrt(p!), r being the largest distance from a cell's
+    middle in units of sqrt(2) kernel widths.
+    """
+    r = cell / 2 / math.sqrt(2)
+    return sum(1.09 * (math.sqrt(2) * r) ** p / math.sqrt(math.factorial(p)) for p in range(terms, terms + 40))
+
+
 def density(df: DataFrame, column: str, points: int = K.DENSITY_POINTS) -> DataFrame:
     """Gaussian kernel density over the range of the present values (Scott's width).
 
-    Every grid point is one sum of the same aggregate, so a task ends with
-    `points` numbers however many rows it read; rows are never multiplied.
+    A fast Gauss transform: rows are summed up per cell of half a kernel width, as moments
+    around the cell's middle, and each grid point is a short Hermite series of the cells near
+    it. What a row costs does not depend on the number of grid points, and the error is below
+    `series_error()` (4e-12) of a kernel's height. Cells that reach no grid point are not
+    fetched, so there are some 40 cells per point at most.
     """
     v = ref(column).cast("double")
     m = collect_metrics(
@@ -72,15 +94,33 @@ def density(df: DataFrame, column: str, points: int = K.DENSITY_POINTS) -> DataF
         return small_table(df.sparkSession, [], schema)
     width = m["sd"] * m["n"] ** (-1 / 5)
     step = (m["hi"] - m["lo"]) / (points - 1)
-    grid = [m["lo"] + i * step for i in range(points)]
-    sums = collect_metrics(
-        df,
-        {i: F.sum(F.exp(F.lit(-0.5) * F.pow((F.lit(x) - v) / F.lit(width), 2))) for i, x in enumerate(grid)},
-    )
+    grid = np.array([m["lo"] + i * step for i in range(points)])
+    cell = F.floor((v - F.lit(m["lo"])) / F.lit(_CELL * width))
+    near = F.abs(v - F.lit(m["lo"]) - F.round((v - F.lit(m["lo"])) / F.lit(step)) * F.lit(step))
+    placed = df.filter(v.isNotNull() & (near < F.lit((_REACH + _CELL) * width))).select(v.alias("v"), cell.alias("cell"))
+    middle = F.lit(m["lo"]) + (F.col("cell") + 0.5) * F.lit(_CELL * width)
+    t = (F.col("v") - middle) / F.lit(math.sqrt(2) * width)
+    placed = placed.select("cell", t.alias("t"))
+    sums = [F.sum(F.pow("t", F.lit(float(p)))).alias(f"m{p}") for p in range(_TERMS)]
+    cells = placed.groupBy("cell").agg(*sums).toPandas()
+    middles = m["lo"] + (cells["cell"].to_numpy(float) + 0.5) * _CELL * width
+    weights = cells[[f"m{p}" for p in range(_TERMS)]].to_numpy(float) / [math.factorial(p) for p in range(_TERMS)]
+    total = np.zeros(points)
+    for i, x in enumerate(grid):
+        at = np.abs(x - middles) < (_REACH + _CELL) * width
+        total[i] = _series((x - middles[at]) / (math.sqrt(2) * width), weights[at])
     scale = m["n"] * width * math.sqrt(2 * math.pi)
-    return small_table(
-        df.sparkSession, [(x, sums[i] / scale) for i, x in enumerate(grid)], schema
-    )
+    return small_table(df.sparkSession, list(zip(grid.tolist(), (total / scale).tolist())), schema)
+
+
+def _series(u: np.ndarray, weights: np.ndarray) -> float:
+    """Sum over cells and terms of weight times Hermite function."""
+    before, now = np.zeros_like(u), np.exp(-u * u)
+    total = 0.0
+    for p in range(weights.shape[1]):
+        total += float(weights[:, p] @ now)
+        before, now = now, 2 * u * now - 2 * p * before
+    return total
 
 
 def box_stats(
@@ -123,6 +163,22 @@ def top_bars(df: DataFrame, column: str, n: int = K.TOP_CATEGORIES) -> DataFrame
     return top_values(value_counts(df, [column]), n).select("value", "n")
 
 
+def scatter_sample(
+    df: DataFrame, row_id: str, k: int, columns: Sequence[str] | None = None, seed: str = ""
+) -> DataFrame:
+    """At most `k` complete rows of the numeric columns, with their id: those whose id has the
+    smallest digest. Rows without an id are left out.
+
+    The sample depends on ids alone, so any partitioning gives the same rows, and samples of two
+    parts of a table merge into that of the whole by taking the smallest again. Each task keeps
+    its `k` smallest and sends no others. Rows that share an id follow each other by value.
+    """
+    cols = [c for c in (numeric_columns(df) if columns is None else list(columns)) if c != row_id]
+    kept = complete_rows(df, [row_id, *cols])
+    digest = F.md5(F.encode(F.concat(F.lit(seed), F.coalesce(ref(row_id).cast("string"), F.lit(""))), "UTF-8"))
+    return kept.orderBy(digest, ref(row_id), *map(ref, cols)).limit(k)
+
+
 def scatter_points(
     df: DataFrame, columns: Sequence[str] | None = None, max_columns: int | None = None
 ) -> DataFrame:

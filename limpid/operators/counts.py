@@ -55,10 +55,17 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return unpivoted(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+# Of HyperLogLog sketches: 2^LG_K registers.
+LG_K = 14
 # Longer values are grouped by digest where only their number matters.
 LONG_VALUE = 32
 
 
+def _short(v: Column) -> Column:
+    """The value, or its digest where it is long."""
+    return F.when(F.length(v) > LONG_VALUE, F.sha2(v, 256)).otherwise(v)
+
+
 def key_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Like `value_counts` where the values themselves are not reported.
 
@@ -67,11 +74,9 @@ def key_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     two never meet.
     """
     columns = text_columns(df) if columns is None else list(columns)
-    v = F.col("value")
-    key = F.when(F.length(v) > LONG_VALUE, F.sha2(v, 256)).otherwise(v)
     return (
         unpivoted(df, columns)
-        .select("column", key.alias("value"))
+        .select("column", _short(F.col("value")).alias("value"))
         .groupBy("column", "value")
         .agg(F.count("*").alias("n"))
     )
@@ -114,7 +119,7 @@ def format_anomalies(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
     The case flag needs one mixed-case value and one lowercased value seen twice;
     it brings the space message with it. Grouping directly by the lowercased value
-    gives both flags from a single shuffle.
+    gives both flags from a single shuffle, of digests where values are long.
     """
     columns = text_columns(df) if columns is None else list(columns)
     v = F.col("value")
@@ -122,7 +127,7 @@ def format_anomalies(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     grouped = (
         unpivoted(df, columns)
         .filter(v.isNotNull())
-        .groupBy("column", F.lower(v).alias("low"))
+        .groupBy("column", _short(F.lower(v)).alias("low"))
         .agg(
             F.count("*").alias("n"),
             F.max(F.when(v != strip(v), 1).otherwise(0)).alias("edge"),
@@ -170,6 +175,36 @@ def column_overview(df: DataFrame) -> DataFrame:
     )
 
 
+def distinct_sketches(
+    df: DataFrame, columns: Sequence[str] | None = None, by: Column | None = None, lg_k: int = LG_K
+) -> DataFrame:
+    """(part, column, n_present, sketch): a HyperLogLog sketch of each column's present values.
+
+    A sketch is some kilobytes whatever the column holds, and is all that leaves a task. `by`
+    cuts the table into parts, days for instance, whose sketches can be kept and united.
+    """
+    columns = list(df.columns) if columns is None else list(columns)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), ref(c).cast("string").alias("value")) for c in columns])
+    part = (F.lit(None).cast("string") if by is None else by.cast("string")).alias("part")
+    long = df.select(part, F.inline(cells))
+    sketch = F.hll_sketch_agg("value", F.lit(lg_k)).alias("sketch")
+    return long.groupBy("part", "column").agg(F.count("value").alias("n_present"), sketch)
+
+
+def united_sketches(sketches: DataFrame) -> DataFrame:
+    """(column, n_present, n_distinct_estimate) over all parts of a table of sketches."""
+    return sketches.groupBy("column").agg(
+        F.sum("n_present").alias("n_present"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct_estimate"),
+    )
+
+
+def sketch_bound(lg_k: int = LG_K) -> float:
+    """Relative error that an estimate exceeds in about one case in 700: three standard errors
+    of a union."""
+    return 3 * 1.04 / 2 ** (lg_k / 2)
+
+
 def identifier_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per text column: whether nearly every present value is distinct."""
     columns = text_columns(df) if columns is None else list(columns)

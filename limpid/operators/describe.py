@@ -1,9 +1,8 @@
-"""Shape, descriptive statistics and correlation of numeric columns."""
+"""Shape and descriptive statistics of numeric columns."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -48,24 +47,3 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         "column string, count long, mean double, std double, min double, "
         "q25 double, q50 double, q75 double, max double",
     )
-
-
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair, on the rows where both are present.
-
-    One scan per chunk of pairs and no shuffle of data. A column's correlation
-    with itself is 1, or NULL when it never varies.
-    """
-    columns = numeric_columns(df) if columns is None else list(columns)
-    if len(columns) < 2:
-        raise ValueError("a correlation matrix needs at least two numeric columns")
-    value = {c: ref(c).cast("double") for c in columns}
-    metrics = {(a, b): F.corr(value[a], value[b]) for a, b in combinations(columns, 2)}
-    metrics.update({(c, c): F.corr(value[c], value[c]) for c in columns})
-    m = collect_metrics(df, metrics)
-    rows = []
-    for (a, b), r in m.items():
-        rows.append((a, b, 1.0 if a == b and r is not None else r))
-        if a != b:
-            rows.append((b, a, r))
-    return small_table(df.sparkSession, rows, "column_x string, column_y string, correlation double")

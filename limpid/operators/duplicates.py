@@ -36,6 +36,12 @@ def unique_rows(df: DataFrame, columns: Sequence[str], row: str | None = None) -
     return df.groupBy(*[ref(c) for c in columns]).agg(F.min(row).alias(row))
 
 
+def _repeated(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """Fingerprints that occur more than once with their rows (n), how many, and their rows."""
+    repeated = materialised(df.groupBy(FINGERPRINT).agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    return repeated, *repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+
 def remove_duplicates(
     df: DataFrame,
     row: str | None = None,
@@ -52,10 +58,7 @@ def remove_duplicates(
     kept = columns + ([row] if row else [])
     if FINGERPRINT not in df.columns:
         df = df.withColumn(FINGERPRINT, fingerprint(columns))
-    repeated = materialised(
-        df.groupBy(FINGERPRINT).agg(F.count("*").alias("n")).filter("n > 1"), "repeated"
-    )
-    n_groups, n_rows = repeated.agg(F.count("*"), F.sum("n")).first()
+    repeated, n_groups, n_rows = _repeated(df)
     if not n_groups:
         return df.select(*[ref(c) for c in kept]), 0
     if n_groups > broadcast_limit:
@@ -74,10 +77,16 @@ def drop_duplicates(df: DataFrame, row: str | None = None) -> tuple[DataFrame, i
     return remove_duplicates(df, row)
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of identical rows; copies combine map-side."""
-    return (
-        df.groupBy(*[ref(c) for c in df.columns])
-        .agg(F.count("*").alias("__copies"))
-        .agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("n_duplicates"))
-    )
+def duplicate_count(df: DataFrame, broadcast_limit: int = BROADCAST_FINGERPRINTS) -> DataFrame:
+    """Rows beyond the first of each group of identical rows.
+
+    Only rows whose fingerprint is repeated are compared in full; copies combine map-side. With
+    more repeated fingerprints than may be broadcast, the whole table is grouped.
+    """
+    columns = [ref(c) for c in df.columns]
+    keyed = df.withColumn(FINGERPRINT, fingerprint(df.columns))
+    repeated, n_groups, _ = _repeated(keyed)
+    few = n_groups <= broadcast_limit
+    rows = keyed.join(F.broadcast(repeated.select(FINGERPRINT)), FINGERPRINT, "left_semi") if few else keyed
+    copies = rows.groupBy(FINGERPRINT, *columns).agg(F.count("*").alias("__copies"))
+    return copies.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("n_duplicates"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from limpid import constants as K
 from limpid.functions.dates import to_timestamp
@@ -134,41 +134,119 @@ def dominant_scales(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return first_n_per_group(counted, ["column"], order, 1, spread=False)
 
 
-def read_metrics(
+# What a cell of a number, amount, grade or percentage can hold; the rest is not parsed as one.
+_NUMBER_CHARACTERS = r"^(?:[0-9eE+\-.,€$£/%]|" + K.WS + r")+$"
+# Marks of a sample: where in the row order the first value of a kind stands.
+_OTHER, _SHORT, _LETTER = "other", "short", "letter"
+_MARKS = (_OTHER, _SHORT, _LETTER)
+
+
+@dataclass
+class Reading:
+    """How the cells of one column read, counted over the whole table in one scan.
+
+    A sample is known by ranks. The first n present values all look like numbers if the first
+    one that does not has n values before it, so the scan keeps the row key of the first value
+    of each kind, and `settle_samples` counts what stands before it where that can matter.
+    """
+
+    counts: Mapping[str, int]
+    first: Mapping[str, object]          # row key of the first present value, and per mark
+    ahead: dict[str, int]                # per mark: present values before it, once counted
+
+    def __getitem__(self, name: str) -> int:
+        return self.counts[name]
+
+    def within(self, mark: str, n: int) -> bool | None:
+        """Whether a value of this kind is among the first `n`; None where not yet known."""
+        if not self.counts[mark]:
+            return False
+        if self.counts["present"] <= n or self.first[mark] == self.first["present"]:
+            return True
+        return self.ahead[mark] < n if mark in self.ahead else None
+
+    def looks_numeric(self, rate: float | None = None) -> bool | None:
+        """By the first values, or with `rate` by the share of all of them."""
+        if not self["present"]:
+            return False
+        if rate is not None:
+            return self["present"] - self[_OTHER] >= rate * self["present"]
+        other = self.within(_OTHER, K.NUMERIC_SAMPLE)
+        return None if other is None else not other
+
+    def allows_lowering(self, rate: float | None = None) -> bool | None:
+        if rate is not None:
+            return self[_LETTER] > 0 and self[_SHORT] <= (1 - rate) * self["present"]
+        short, letter = self.within(_SHORT, K.CASE_SAMPLE), self.within(_LETTER, K.CASE_SAMPLE)
+        if short or letter is False:
+            return False
+        return None if short is None or letter is None else True
+
+
+#: Row keys of these types keep their minimum in place; others are looked up as samples are.
+_FIXED_WIDTH = (T.NumericType, T.DateType, T.BooleanType)
+
+
+def _row_key(df: DataFrame, order_by: str | None) -> Column | None:
+    """The column that defines row order, where its minimum can be kept without a sort."""
+    if order_by is None:
+        return F.monotonically_increasing_id()
+    return ref(order_by) if isinstance(df.schema[order_by].dataType, _FIXED_WIDTH) else None
+
+
+def read_columns(
     df: DataFrame,
     columns: Sequence[str],
-    likely_numeric: Sequence[str],
+    order_by: str | None = None,
     squeeze: bool = False,
     bounded: bool = True,
-) -> dict[str, dict[str, int]]:
-    """How the cells of each text column read, counted over the whole table.
-
-    All columns go through one scan and one aggregate of (column, value) cells.
-    With `squeeze`, decisions are taken on white-space-cleaned text and the changes
-    of that treatment are counted along the way.
+    others: Sequence[str] = (),
+) -> dict[str, Reading]:
+    """Readings of text columns, and presence and whole values of `others`: one scan.
+
+    The aggregate is over (column, denominator of a grade), then over columns, so the common
+    scale of a column of grades comes from it too. With `squeeze`, decisions are taken on
+    white-space-cleaned text and the changes of that treatment are counted along the way.
+    Values that share a row key count as standing together.
     """
-    columns = list(columns)
-    if not columns:
+    columns, others = list(columns), list(others)
+    if not columns and not others:
         return {}
-    raw, v, column = F.col("raw"), F.col("value"), F.col("column")
-    long = unpivoted(df, columns).select(
-        "column", v.alias("raw"), (squeeze_whitespace(v) if squeeze else strip(v)).alias("value")
+    key = _row_key(df, order_by)
+    floats = set(float_columns(df))
+    none = F.lit(None)
+    cells = [
+        F.struct(F.lit(c).alias("column"), ref(c).alias("raw"), none.cast("double").alias("held"), ref(c).isNotNull().alias("there"))
+        for c in columns
+    ] + [
+        F.struct(
+            F.lit(c).alias("column"), none.cast("string").alias("raw"),
+            (ref(c).cast("double") if c in floats else none.cast("double")).alias("held"), ref(c).isNotNull().alias("there"),
+        )
+        for c in others
+    ]
+    raw, v, text = F.col("raw"), F.col("value"), F.col("text")
+    long = df.select((key if key is not None else none.cast("long")).alias("at"), F.inline(F.array(*cells)))
+    long = long.select(
+        "at", "column", "raw", "held", "there", (squeeze_whitespace(raw) if squeeze else strip(raw)).alias("value")
     )
-    likely = list(likely_numeric)
-    maybe = F.when(column.isin(likely), v) if likely else F.lit(None).cast("string")
+    number = F.when(v.rlike(_NUMBER_CHARACTERS), v)
     parsed = long.select(
-        "column", "raw", "value",
+        "at", "column", "raw", "held", "there", "value",
         to_timestamp(v, bounded).alias("ts"),
         is_significant(v).alias("significant"),
-        number_text(maybe).alias("text"),
-        grade_denominator(maybe).alias("den"),
-        is_code(maybe).alias("code"),
-    ).withColumn("number", F.col("text").try_cast("double"))
-    number, ts, significant = F.col("number"), F.col("ts"), F.col("significant")
-    exponent, whole = is_exponent_text(F.col("text")), is_whole(number)
-    metrics = {
+        number_text(number).alias("text"),
+        grade_denominator(number).alias("den"),
+        is_code(number).alias("code"),
+        (~looks_numeric(v)).alias(_OTHER),
+        is_short_code(v).alias(_SHORT),
+        has_ascii_letter(v).alias(_LETTER),
+    ).withColumn("number", text.try_cast("double"))
+    number, ts, significant, at = F.col("number"), F.col("ts"), F.col("significant"), F.col("at")
+    exponent, whole = is_exponent_text(text), is_whole(number)
+    sums = {
         "rows": F.count("*"),
-        "present": F.count("value"),
+        "present": count_where(F.col("there")),
         "spaces": count_where(raw != v),
         "case": count_where(changes_when_lowered(v)),
         "dates": F.count("ts"),
@@ -181,80 +259,123 @@ def read_metrics(
         "marks": count_where(v.contains("/") | v.contains("%")),
         "grades": count_where(F.col("den") != 0),
         "lost_numbers": count_where(significant & number.isNull()),
+        "held_whole": count_where(is_whole(F.col("held"))),
+        **{m: count_where(F.col(m)) for m in _MARKS},
     }
-    rows = parsed.groupBy("column").agg(*[e.alias(n) for n, e in metrics.items()]).collect()
-    found = {r["column"]: {n: r[n] for n in metrics} for r in rows}
-    return {c: found.get(c, dict.fromkeys(metrics, 0)) for c in columns}
+    # A null key comes before all others: a mark there has nothing before it.
+    marks = {"present": v.isNotNull(), **{m: F.col(m) for m in _MARKS}}
+    lows = {f"first_{m}": F.min(F.when(cond, at)) for m, cond in marks.items()}
+    nulls = {f"null_{m}": F.bool_or(cond & at.isNull()) for m, cond in marks.items()}
+    every = {**sums, **lows, **nulls}
+    per_scale = parsed.groupBy("column", "den").agg(*[e.alias(n) for n, e in every.items()])
+    scale, n_scale = F.when(F.col("den") != 0, F.col("den")), F.col("rows")
+    rows = per_scale.groupBy("column").agg(
+        *[F.sum(n).alias(n) for n in sums], *[F.min(n).alias(n) for n in lows], *[F.bool_or(n).alias(n) for n in nulls],
+        F.max(F.when(scale.isNotNull(), F.struct(n_scale.alias("n"), scale.alias("scale")))).alias("scale"),
+    ).collect()
+    found = {}
+    for r in rows:
+        counts = {n: r[n] for n in sums}
+        counts["scale"], counts["on_scale"] = (r["scale"]["scale"], r["scale"]["n"]) if r["scale"] else (None, 0)
+        first = {m: None if r[f"null_{m}"] else r[f"first_{m}"] for m in marks}
+        found[r["column"]] = Reading(counts, first, {})
+    nothing = {**dict.fromkeys(sums, 0), "scale": None, "on_scale": 0}
+    out = {c: found.get(c, Reading(nothing, dict.fromkeys(marks), {})) for c in [*columns, *others]}
+    if key is None and columns:
+        _settle_by_sample(df, columns, out, order_by, squeeze)
+    return out
+
+
+def _settle_by_sample(df, columns, readings, order_by, squeeze) -> None:
+    """Row keys of variable width: ranks come from the sample itself."""
+    if squeeze:
+        texts = set(columns)
+        df = df.select(*[squeeze_whitespace(ref(c)).alias(c) if c in texts else ref(c) for c in df.columns])
+    bits = {_OTHER: (NUMERIC_LOOK, 0), _SHORT: (SHORT_CODE, SHORT_CODE), _LETTER: (ASCII_LETTER, ASCII_LETTER)}
+    for c, codes in sample_codes(df, columns, order_by).items():
+        readings[c] = r = Reading(readings[c].counts, {**readings[c].first, "present": True}, {})
+        for mark, (bit, value) in bits.items():
+            r.ahead[mark] = next((i for i, code in enumerate(codes) if code & bit == value), K.NUMERIC_SAMPLE)
+
+
+def _numbers(r: Reading) -> tuple[int, int, bool]:
+    """(cells that read as numbers, those refused for their exponent, exponents admitted)."""
+    exponents = not r["marks"]
+    refused = 0 if exponents else r["exponents"]
+    return r["numbers"] - refused, refused, exponents
+
+
+def _may_be_numeric(r: Reading, n: int | None = None) -> bool:
+    n = _numbers(r)[0] if n is None else n
+    return bool(r["present"]) and not r["codes"] and n / r["present"] > K.NUMERIC_ACCEPTANCE
+
+
+def settle_samples(
+    df: DataFrame, readings: Mapping[str, Reading], order_by: str | None = None, lowering: Sequence[str] = ()
+) -> None:
+    """Count what the first scan left open: ranks that can change a decision.
+
+    That is of columns that would convert, and of columns in `lowering` whose case would change.
+    Only rows up to the last key in question are read, a filter that reaches the scan, and
+    only the columns in question.
+    """
+    asked: dict = {}
+    for c, r in readings.items():
+        marks = []
+        if _may_be_numeric(r, r["numbers"]) and r.looks_numeric() is None:
+            marks.append(_OTHER)
+        if c in lowering and r["case"] and r.allows_lowering() is None:
+            marks += [m for m in (_SHORT, _LETTER) if r.within(m, K.CASE_SAMPLE) is None]
+        asked |= {(c, m): r.first[m] for m in marks}
+    if not asked:
+        return
+    key = _row_key(df, order_by)
+    before = lambda k: F.lit(False) if k is None else key.isNull() | (key < F.lit(k))
+    last = max((k for k in asked.values() if k is not None), default=None)
+    counts = {(c, m): count_where(ref(c).isNotNull() & before(k)) for (c, m), k in asked.items()}
+    for (c, m), n in collect_metrics(df.filter(before(last)), counts).items():
+        readings[c].ahead[m] = n
+
+
+def _whole_on_scale(df: DataFrame, plans: Mapping[str, Conversion]) -> dict[str, bool]:
+    """Whether all grades of a column are whole on its common scale."""
+    metrics = {}
+    for c, p in plans.items():
+        value = to_double(strip(ref(c)), p.scale, p.exponents)
+        metrics[c, "n"], metrics[c, "whole"] = F.count(value), count_where(is_whole(value))
+    found = collect_metrics(df, metrics) if metrics else {}
+    return {c: found[c, "n"] == found[c, "whole"] for c in plans}
 
 
 def fit_conversions(
-    df: DataFrame,
-    columns: Sequence[str],
-    likely_numeric: Sequence[str],
-    metrics: Mapping[str, Mapping[str, int]] | None = None,
-    squeeze: bool = False,
+    columns: Sequence[str], readings: Mapping[str, Reading], rate: float | None = None
 ) -> dict[str, Conversion]:
-    """Decide the type of each text column from the whole table.
+    """Decide the type of each text column from its reading, samples being settled.
 
-    `likely_numeric` are the columns whose sample looks numeric; `metrics` is the
-    result of `read_metrics` when the caller already has it.
+    The first present values decide whether a column may become a number, or with `rate` that
+    share of all of them. A column of grades is double until it is known whether all are whole
+    on their common scale.
     """
-    likely = set(likely_numeric)
-    m = metrics or read_metrics(df, columns, likely_numeric, squeeze)
     plans: dict[str, Conversion] = {}
     for c in columns:
-        present = m[c]["present"]
+        r = readings[c]
+        present = r["present"]
         if not present:
             continue
-        if c in likely and not m[c]["codes"]:
-            exponents = not m[c]["marks"]
-            refused = 0 if exponents else m[c]["exponents"]
-            n = m[c]["numbers"] - refused
-            if n / present > K.NUMERIC_ACCEPTANCE:
-                whole = m[c]["whole"] - (0 if exponents else m[c]["whole_exponents"])
-                plans[c] = Conversion(
-                    c, "bigint" if whole == n else "double", None, exponents,
-                    present, n, m[c]["lost_numbers"] + refused,
-                )
-                continue
-        if m[c]["dates"] / present > K.DATE_ACCEPTANCE:
-            plans[c] = Conversion(
-                c, "timestamp_ntz", None, True, present, m[c]["dates"], m[c]["lost_dates"]
-            )
-    graded = [c for c in plans if plans[c].kind != "timestamp_ntz" and m[c]["grades"]]
-    plans.update(_fit_scales(df, {c: plans[c] for c in graded}))
+        if _may_be_numeric(r) and r.looks_numeric(rate):
+            n, refused, exponents = _numbers(r)
+            lost, whole = r["lost_numbers"] + refused, r["whole"] - (0 if exponents else r["whole_exponents"])
+            if r["grades"]:
+                plans[c] = Conversion(c, "double", r["scale"], exponents, present, n, lost, r["grades"] - r["on_scale"])
+            else:
+                plans[c] = Conversion(c, "bigint" if whole == n else "double", None, exponents, present, n, lost)
+        elif r["dates"] / present > K.DATE_ACCEPTANCE:
+            plans[c] = Conversion(c, "timestamp_ntz", None, True, present, r["dates"], r["lost_dates"])
     return plans
 
 
-def _fit_scales(df: DataFrame, plans: Mapping[str, Conversion]) -> dict[str, Conversion]:
-    """Second look at columns of grades: common scale, then whole or not on it."""
-    if not plans:
-        return {}
-    scales = {r["column"]: r["scale"] for r in dominant_scales(df, list(plans)).collect()}
-    scaled = trimmed(df, plans).select(
-        *[
-            e
-            for i, (c, p) in enumerate(plans.items())
-            for e in (
-                to_double(ref(c), scales[c], p.exponents).alias(f"__n{i}"),
-                is_rescaled_grade(ref(c), scales[c]).alias(f"__r{i}"),
-            )
-        ]
-    )
-    metrics = {}
-    for i, c in enumerate(plans):
-        metrics[(c, "rescaled")] = count_where(F.col(f"__r{i}"))
-        metrics[(c, "numbers")] = F.count(f"__n{i}")
-        metrics[(c, "whole")] = count_where(is_whole(F.col(f"__n{i}")))
-    m = collect_metrics(scaled, metrics)
-    return {
-        c: Conversion(
-            c,
-            "bigint" if m[(c, "whole")] == m[(c, "numbers")] else "double",
-            scales[c], p.exponents, p.n_present, p.n_converted, p.n_lost, m[(c, "rescaled")],
-        )
-        for c, p in plans.items()
-    }
+def on_a_scale(plans: Mapping[str, Conversion]) -> dict[str, Conversion]:
+    return {c: p for c, p in plans.items() if p.scale is not None}
 
 
 def trimmed(df: DataFrame, columns) -> DataFrame:
@@ -269,12 +390,19 @@ def convert(df: DataFrame, plans: Mapping[str, Conversion]) -> DataFrame:
 
 
 def clean_types(
-    df: DataFrame, order_by: str | None = None, columns: Sequence[str] | None = None
+    df: DataFrame, order_by: str | None = None, columns: Sequence[str] | None = None, rate: float | None = None
 ) -> tuple[DataFrame, dict[str, Conversion]]:
-    """Convert text columns to numbers or timestamps where the data calls for it."""
+    """Convert text columns to numbers or timestamps where the data calls for it.
+
+    With `rate` no row order matters: that share of all present values decides.
+    """
     columns = text_columns(df) if columns is None else list(columns)
-    codes = sample_codes(df, columns, order_by)
-    plans = fit_conversions(df, columns, [c for c in columns if sample_is_numeric(codes[c])])
+    readings = read_columns(df, columns, order_by)
+    if rate is None:
+        settle_samples(df, readings, order_by)
+    plans = fit_conversions(columns, readings, rate)
+    whole = _whole_on_scale(df, on_a_scale(plans))
+    plans.update({c: replace(plans[c], kind="bigint") for c, yes in whole.items() if yes})
     return convert(df, plans), plans
 
 
@@ -306,6 +434,34 @@ def _short_number(v: Column) -> Column:
     return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
+def _shown(plans: Mapping[str, Conversion], kinds: Sequence[str], raw, value) -> list[tuple[str, str, Column]]:
+    """(kind, column, text) of what a conversion blanks or rescales; null for other cells.
+    `raw` and `value` give a column's text as it was, and trimmed."""
+    shown = []
+    for c, p in plans.items():
+        v = value(c)
+        if LOST in kinds:
+            shown.append((LOST, c, F.when(is_significant(v) & p.apply(v).isNull(), raw(c))))
+        if RESCALED in kinds and p.scale is not None and p.kind != "timestamp_ntz":
+            line = F.concat(v, F.lit(" → "), _short_number(grade_value(v, p.scale)))
+            shown.append((RESCALED, c, F.when(is_rescaled_grade(v, p.scale), F.translate(line, ".", ","))))
+    return shown
+
+
+def _structs(at: Column, shown: list[tuple[str, str, Column]]) -> Column:
+    return F.array(
+        *[F.struct(at.alias("at"), F.lit(k).alias("kind"), F.lit(c).alias("column"), v.alias("value")) for k, c, v in shown]
+    )
+
+
+def change_column(plans: Mapping[str, Conversion], at: Column) -> Column | None:
+    """What the conversions of one row blank or rescale, for a column beside their results: an
+    array of (at, kind, column, value), empty for most rows. Texts are already squeezed."""
+    plans = {c: p for c, p in plans.items() if p.n_lost or p.n_rescaled}
+    shown = _shown(plans, (LOST, RESCALED), ref, ref)
+    return F.filter(_structs(at, shown), lambda x: x["value"].isNotNull()) if shown else None
+
+
 def _changed_cells(
     df: DataFrame, plans: Mapping[str, Conversion], order_by: str | None, kinds: Sequence[str]
 ) -> DataFrame | None:
@@ -316,21 +472,11 @@ def _changed_cells(
         *[ref(c).alias(f"__r{i}") for i, c in enumerate(plans)],
         *[strip(ref(c)).alias(f"__v{i}") for i, c in enumerate(plans)],
     )
-    shown = []
-    for i, (c, p) in enumerate(plans.items()):
-        v = F.col(f"__v{i}")
-        if LOST in kinds:
-            lost = F.when(is_significant(v) & p.apply(v).isNull(), F.col(f"__r{i}"))
-            shown.append((LOST, c, lost))
-        if RESCALED in kinds and p.scale is not None and p.kind != "timestamp_ntz":
-            line = F.concat(v, F.lit(" → "), _short_number(grade_value(v, p.scale)))
-            shown.append((RESCALED, c, F.when(is_rescaled_grade(v, p.scale), F.translate(line, ".", ","))))
+    place = {c: i for i, c in enumerate(plans)}
+    shown = _shown(plans, kinds, lambda c: F.col(f"__r{place[c]}"), lambda c: F.col(f"__v{place[c]}"))
     if not shown:
         return None
-    structs = [
-        F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column"), v.alias("value")) for k, c, v in shown
-    ]
-    return cells.select("at", F.inline(F.array(*structs))).filter(F.col("value").isNotNull())
+    return cells.select(F.inline(_structs(F.col("at"), shown))).filter(F.col("value").isNotNull())
 
 
 def changed_values(
@@ -365,13 +511,8 @@ def _first_values(grouped: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     )
 
 
-def change_examples(
-    df: DataFrame, plans: Mapping[str, Conversion], order_by: str | None = None, n: int = K.EXAMPLES_KEPT
-) -> dict[tuple[str, str], list[str]]:
-    """Examples only, for a caller that already has the counts; `n` per kind and column."""
-    cells = _changed_cells(df, plans, order_by, (LOST, RESCALED)) if plans else None
-    if cells is None:
-        return {}
+def change_examples(cells: DataFrame, n: int = K.EXAMPLES_KEPT) -> dict[tuple[str, str], list[str]]:
+    """The first `n` distinct values per kind and column, from what `change_column` left."""
     grouped = cells.groupBy("kind", "column", "value").agg(F.min("at").alias("at"))
     rows = _first_values(grouped, ["kind", "column"], n).collect()
     return {(r["kind"], r["column"]): r["examples"] for r in rows}
@@ -401,17 +542,14 @@ def mistyped_columns(df: DataFrame, order_by: str | None = None) -> dict[str, st
 
     Any year counts here, as the question is whether the text spells a date.
     """
-    columns = text_columns(df)
-    codes = sample_codes(df, columns, order_by)
-    likely = [c for c in columns if sample_is_numeric(codes[c])]
-    m = read_metrics(df, columns, likely, bounded=False)
+    readings = read_columns(df, text_columns(df), order_by, bounded=False)
+    settle_samples(df, readings, order_by)
     found = {}
-    for c in columns:
-        present = m[c]["present"]
-        if not present:
+    for c, r in readings.items():
+        if not r["present"]:
             continue
-        if c in likely and not m[c]["codes"] and m[c]["numbers"] / present > K.NUMERIC_ACCEPTANCE:
+        if _may_be_numeric(r, r["numbers"]) and r.looks_numeric():
             found[c] = "number"
-        elif m[c]["dates"] / present > K.DATE_ACCEPTANCE:
+        elif r["dates"] / r["present"] > K.DATE_ACCEPTANCE:
             found[c] = "date"
     return found

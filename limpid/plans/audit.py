@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from limpid import constants as K
 from limpid.operators.aggregate import collect_metrics, count_where, small_table
 from limpid.operators.duplicates import duplicate_count
-from limpid.operators.schema import nan_to_null, ref, type_name
+from limpid.operators.schema import ref, type_name
 from limpid.operators.typing import change_examples, mistyped_columns
-from limpid.operators.whitespace import squeezed
 from limpid.plans.cleaning import CleaningPlan, CleaningResult
 
 AUDIT_SCHEMA = (
@@ -31,13 +30,9 @@ def run_stamp(moment: datetime | None = None) -> str:
 def _examples(result: CleaningResult, n: int) -> dict[tuple[int, str, str], list[str]]:
     """Examples of blanked and rescaled values, by pass, step and column."""
     found = {}
-    before = nan_to_null(result.source)
-    for i, p in enumerate(result.plan.passes, 1):
-        changed = {c: v for c, v in p.conversions.items() if v.n_lost or v.n_rescaled}
-        if changed:
-            cited = change_examples(squeezed(before), changed, result.plan.options.order_by, n)
-            found.update({(i, kind, c): values for (kind, c), values in cited.items()})
-        before = p.project(before)
+    for i, cells in enumerate(result.changed, 1):
+        if cells is not None:
+            found.update({(i, kind, c): values for (kind, c), values in change_examples(cells, n).items()})
     return found
 
 

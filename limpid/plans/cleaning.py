@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from limpid import constants as K
 from limpid.functions.numbers import is_whole
 from limpid.functions.text import lower_guarded, squeeze_whitespace
-from limpid.operators.aggregate import collect_metrics, count_where
+from limpid.operators.aggregate import count_where
 from limpid.operators.duplicates import FINGERPRINT, fingerprint, remove_duplicates
 from limpid.operators.fill import Fill, fill, fit_fills
 from limpid.operators.outliers import clip_limits, clipped, count_outside, iqr_bounds
@@ -24,15 +24,18 @@ from limpid.operators.schema import (
     chosen, float_columns, nan_to_null, numeric_columns, ref, text_columns,
 )
 from limpid.operators.typing import (
-    Conversion, fit_conversions, read_metrics, sample_allows_lowering, sample_codes, sample_is_numeric,
+    Conversion, change_column, fit_conversions, on_a_scale, read_columns, settle_samples,
 )
-from limpid.options import CleaningOptions
+from limpid.options import CleaningOptions, decide
 from limpid.session import tune
 from limpid.storage import materialised
 
 # Row order of a run whose caller names no order column; never part of the data.
 ROW = "__row_order"
-_HIDDEN = (ROW, FINGERPRINT)
+# Beside a typed table: what the conversions of each row blanked or rescaled.
+CHANGES = "__changes"
+_HIDDEN = (ROW, FINGERPRINT, CHANGES)
+_ALL = "__all"
 
 
 def _data_columns(df: DataFrame) -> list[str]:
@@ -58,8 +61,12 @@ class Pass:
             or self.lowered or self.duplicates
         )
 
-    def project(self, df: DataFrame) -> DataFrame:
-        """Every column treatment of the pass, as one projection."""
+    def project(self, df: DataFrame, changes: str | None = None, at: str | None = None) -> DataFrame:
+        """Every column treatment of the pass, as one projection.
+
+        With `changes`, a column of that name says what the conversions blank or rescale in
+        the row, whose key is `at`; it is left out where they do neither.
+        """
         texts = set(text_columns(df))
         kept = [c for c in df.columns if c not in self.dropped]
         # White space first, in a projection of its own: later steps refer to it often.
@@ -76,7 +83,8 @@ class Pass:
             elif c in self.integers and c not in texts:
                 v = v.cast("bigint")
             out.append(v.alias(c))
-        return spaced.select(*out)
+        said = change_column(self.conversions, ref(at)) if changes and at in kept else None
+        return spaced.select(*out, *([] if said is None else [said.alias(changes)]))
 
 
 @dataclass
@@ -145,6 +153,9 @@ class CleaningResult:
     plan: CleaningPlan
     table: DataFrame
     source: DataFrame
+    # Per pass: (at, kind, column, value) of the cells it blanked or rescaled, as written with
+    # the typed table; None where it did neither.
+    changed: list[DataFrame | None] = field(default_factory=list)
 
 
 def _schema(df: DataFrame) -> list[tuple[str, str]]:
@@ -152,58 +163,52 @@ def _schema(df: DataFrame) -> list[tuple[str, str]]:
 
 
 def fit_pass(df: DataFrame, options: CleaningOptions) -> Pass:
-    """Decide one pass: a bounded sample, one aggregate over the text cells, one over
-    the other columns, and two short jobs more when a column holds grades."""
+    """Decide one pass in one scan of all columns, and a look at the first rows where a sample is
+    still open. Columns of grades are double until the pass has been written."""
     texts = text_columns(df)
+    floats = float_columns(df)
     others = [c for c in _data_columns(df) if c not in set(texts)]
     order_by = options.order_by or ROW
-    codes = sample_codes(
-        df.select(
-            *[ref(c) for c in df.columns if c not in set(texts)],
-            *[squeeze_whitespace(ref(c)).alias(c) for c in texts],
-        ),
-        texts,
-        order_by,
-    )
-    likely = [c for c in texts if sample_is_numeric(codes[c])]
-    read = read_metrics(df, texts, likely, squeeze=True)
-    floats = float_columns(df)
-    m = collect_metrics(
-        df,
-        {
-            "rows": F.count("*"),
-            **{(c, "present"): F.count(ref(c)) for c in others},
-            **{(c, "whole"): count_where(is_whole(ref(c))) for c in floats},
-        },
-    )
-    rows = m["rows"]
+    # A constant column counts the rows of a table of any width.
+    read = read_columns(df.withColumn(_ALL, F.lit(True)), texts, order_by, squeeze=True, others=[*others, _ALL])
+    rows = read[_ALL]["rows"]
     out = Pass(n_rows=rows)
     if not rows:
         return out
+    rate = options.full_scan_rate if options.full_scan else None
+    cased = chosen(texts, options.case_columns or None)
     out.whitespace = {c: read[c]["spaces"] for c in texts if read[c]["spaces"]}
-    out.integers = [
-        c for c in floats if m[(c, "present")] and m[(c, "whole")] == m[(c, "present")]
-    ]
-    out.conversions = fit_conversions(df, texts, likely, read)
+    out.integers = [c for c in floats if read[c]["present"] and read[c]["held_whole"] == read[c]["present"]]
+    if rate is None:
+        settle_samples(df, {c: read[c] for c in texts}, order_by, cased)
+    out.conversions = fit_conversions(texts, read, rate)
     for c in _data_columns(df):
-        if c in out.conversions:
-            present = out.conversions[c].n_converted
-        else:
-            present = read[c]["present"] if c in read else m[(c, "present")]
+        present = out.conversions[c].n_converted if c in out.conversions else read[c]["present"]
         if (rows - present) / rows >= K.EMPTY_COLUMN_RATIO:
             out.dropped.append(c)
     gone = set(out.dropped)
     out.lowered = {
         c: read[c]["case"]
-        for c in chosen(texts, options.case_columns or None)
-        if c not in out.conversions
-        and c not in gone
-        and sample_allows_lowering(codes[c])
-        and read[c]["case"]
+        for c in cased
+        if c not in out.conversions and c not in gone and read[c]["case"] and read[c].allows_lowering(rate)
     }
     return out
 
 
+def _written(typed: DataFrame, conversions: dict[str, Conversion]) -> tuple[DataFrame, dict[str, Conversion]]:
+    """The typed table, written. Whether all grades of a column are whole on their scale is
+    observed by the same job; such columns are integers from then on."""
+    graded = list(on_a_scale(conversions))
+    if graded:
+        seen = Observation()
+        whole = [(count_where(is_whole(ref(c))) == F.count(ref(c))).alias(f"g{i}") for i, c in enumerate(graded)]
+        typed = typed.observe(seen, *whole)
+    stored = materialised(typed, "typed")
+    whole = {c for i, c in enumerate(graded) if seen.get[f"g{i}"]} if graded else set()
+    stored = stored.select(*[ref(c).cast("bigint").alias(c) if c in whole else ref(c) for c in stored.columns])
+    return stored, {c: replace(v, kind="bigint") if c in whole else v for c, v in conversions.items()}
+
+
 def fit_cleaning(df: DataFrame, options: CleaningOptions | None = None) -> CleaningResult:
     """Fit a cleaning run and return the plan with the cleaned table.
 
@@ -217,18 +222,24 @@ def fit_cleaning(df: DataFrame, options: CleaningOptions | None = None) -> Clean
     if options.order_by is None:
         current = current.withColumn(ROW, F.monotonically_increasing_id())
     passes: list[Pass] = []
+    changed_cells: list[DataFrame | None] = []
     for _ in range(options.max_passes):
         p = fit_pass(current, options)
         passes.append(p)
+        changed_cells.append(None)
         if len(passes) > 1 and not p.changes:
             break
         changed = p.changes
-        current = p.project(current)
+        current = p.project(current, CHANGES, options.order_by or ROW)
         current = current.withColumn(FINGERPRINT, fingerprint(_data_columns(current)))
         if changed:
             # Written once with its fingerprints: every later job reads typed columns
             # instead of parsing the source text again.
-            current = materialised(current, "typed")
+            # What the conversions lost stands beside them, so no account parses it again.
+            current, p.conversions = _written(current, p.conversions)
+            if CHANGES in current.columns:
+                changed_cells[-1] = current.select(F.inline(CHANGES))
+                current = current.drop(CHANGES)
         row = ROW if options.order_by is None else None
         current, p.duplicates = remove_duplicates(current, row)
         if not p.duplicates:
@@ -237,10 +248,10 @@ def fit_cleaning(df: DataFrame, options: CleaningOptions | None = None) -> Clean
     rows_before = passes[0].n_rows
     rows_after = rows_before - sum(p.duplicates for p in passes)
 
-    fills = fit_fills(current, options.missing_columns) if options.fill_missing and rows_after else {}
+    fills = fit_fills(current, options.missing_columns) if decide(options.fill_missing) and rows_after else {}
     filled = fill(current, fills)
     clips: dict[str, dict] = {}
-    if options.correct_outliers and rows_after:
+    if decide(options.correct_outliers) and rows_after:
         cols = chosen(numeric_columns(filled), options.outlier_columns)
         thresholds = options.outlier_thresholds or {}
         bounds = iqr_bounds(filled, cols, thresholds)
@@ -257,7 +268,7 @@ def fit_cleaning(df: DataFrame, options: CleaningOptions | None = None) -> Clean
     )
     table = plan.finish(current)
     plan.columns_after = _schema(table)
-    return CleaningResult(plan, table, df)
+    return CleaningResult(plan, table, df, changed_cells)
 
 
 def clean(

@@ -270,10 +270,3 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     else:
         writer.format(fmt).save(path)
     return path
-
-
-def write_reports(tables: dict[str, DataFrame], folder: str, run_id: str) -> None:
-    """Profile and audit tables of a run, each under its own folder, by run."""
-    for name, table in tables.items():
-        stamped = table.withColumn("run_id", F.lit(run_id))
-        stamped.write.mode("append").partitionBy("run_id").parquet(f"{folder}/{name}")

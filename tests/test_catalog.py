@@ -12,7 +12,8 @@ NAMES = (
     "identifier_like_columns", "numeric_candidates", "rescaled_grades", "unparsed_values", "row_alerts",
     "describe_numeric", "profile_outliers", "outlier_summary", "profile_categorical", "format_anomalies",
     "column_overview", "correlation_matrix", "histogram_20", "kde_grid", "boxplot_stats",
-    "drop_duplicates", "clip_outliers", "fill_missing", "cleaned_table", "audit_table", "global_metrics",
+    "drop_duplicates", "clip_outliers", "fill_missing", "cleaned_table", "cleaned_table_full", "clean_types_full", "audit_table", "global_metrics",
+    "report_history", "scatter_sample", "profile_distinct_sketch",
 )
 
 

@@ -151,3 +151,52 @@ def test_whitespace_counts_only_real_changes(spark):
     p = fit_cleaning(df, CleaningOptions(order_by="n")).plan.passes[0]
     assert p.whitespace == {"v": 2}
     assert df.select(squeeze_whitespace(F.col("v"))).filter("1=1").count() == 4
+
+
+def test_a_pass_scans_once_to_decide_and_once_to_write(spark):
+    """Grades and losses included: scale, whole numbers and examples come from those two."""
+    rows = [(i, f"{i % 9}/10" if i % 2 else f"{i % 5},5/5", f" a  {i}", str(i + 1)) for i in range(400)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "n long, g string, t string, w string")
+    result = fit_cleaning(df.mapInArrow(run, df.schema), CleaningOptions(order_by="n"))
+    assert seen.value == 2 * len(rows)
+    conversions = result.plan.passes[0].conversions
+    assert (conversions["g"].kind, conversions["g"].scale, conversions["g"].n_rescaled) == ("bigint", 10.0, 200)
+    table = {(r["step"], r["column"]): r for r in audit_table(result).collect()}
+    assert table["grades_rescaled", "g"]["examples"][:2] == ["0,5/5 → 1", "2,5/5 → 5"]
+    assert seen.value == 2 * len(rows)
+
+
+def test_whole_grades_become_integers_when_written(spark):
+    df = spark.createDataFrame([(i, f"{i % 5}/5" if i % 3 else f"{2 * (i % 5)}/10") for i in range(90)], "n long, g string")
+    result = fit_cleaning(df, CleaningOptions(order_by="n"))
+    assert result.plan.passes[0].conversions["g"].kind == "bigint" == dict(result.table.dtypes)["g"]
+    again = result.plan.apply(df, deduplicate=False)
+    assert rows(again) == rows(result.table)
+
+
+def test_losses_are_written_beside_the_typed_table(spark):
+    lost = ["odd", "", "n/a", "odd", "even"]
+    values = [str(i) for i in range(1, 200)] + lost
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "n long, v string")
+    result = fit_cleaning(df, CleaningOptions(order_by="n"))
+    (cells,) = [c for c in result.changed if c is not None]
+    assert [(r["at"], r["value"]) for r in cells.orderBy("at").collect()] == [(199, "odd"), (202, "odd"), (203, "even")]
+    assert result.plan.passes[0].conversions["v"].n_lost == 3
+    assert [c for c in result.table.columns if c.startswith("__")] == []
+
+
+def test_shares_of_all_values_decide_a_run(spark):
+    values = [("odd", "AB1")] * 3 + [(str(i), "Word") for i in range(1, 98)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "n long, v string, t string")
+    sampled = fit_cleaning(df, CleaningOptions(order_by="n")).plan.passes[0]
+    shared = fit_cleaning(df, CleaningOptions(order_by="n", full_scan=True)).plan.passes[0]
+    assert (sampled.conversions, sampled.lowered) == ({}, {})
+    assert shared.conversions["v"].kind == "bigint" and set(shared.lowered) == {"t"}
+    assert fit_cleaning(df, CleaningOptions(full_scan=True, full_scan_rate=0.98)).plan.passes[0].conversions == {}

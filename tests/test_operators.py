@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from limpid.operators import charts, counts, describe, duplicates, fill, missing, outliers, quantiles, schema
+from limpid.operators import charts, correlation, counts, describe, duplicates, fill, missing, outliers, quantiles, schema
 
 TEN = [100, 101, 102, 103, 104, 105, 106, 102, 103, 120, 900]
 
@@ -176,10 +176,10 @@ def test_describe_and_correlation(spark):
     df = spark.createDataFrame([(1, 2.0, True), (2, 4.0, False), (3, 6.5, True), (None, 1.0, None)], "a long, b double, c boolean")
     rows = {r["column"]: r for r in describe.describe_numeric(df).collect()}
     assert set(rows) == {"a", "b"} and rows["a"]["q50"] == 2.0 and rows["b"]["count"] == 4
-    r = {(x["column_x"], x["column_y"]): x["correlation"] for x in describe.correlation_matrix(df).collect()}
+    r = {(x["column_x"], x["column_y"]): x["correlation"] for x in correlation.correlation_matrix(df).collect()}
     assert r[("a", "a")] == 1.0 and r[("a", "b")] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 6.5])[0, 1])
     with pytest.raises(ValueError):
-        describe.correlation_matrix(df, ["a"])
+        correlation.correlation_matrix(df, ["a"])
 
 
 def test_empty_table_cannot_be_profiled(spark):
@@ -217,3 +217,86 @@ def test_scatter_points_use_complete_rows(spark):
     assert charts.scatter_points(df).count() == 1
     with pytest.raises(ValueError):
         charts.scatter_points(df, ["a"])
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_correlation_equals_numpy_on_shared_rows(spark, block):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 7)) * [1, 1e6, 1, 1, 1, 1, 0] + [0, 1e9, 0, 5, 0, 0, 0.1]
+    x[:, 2] += x[:, 0]
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 5] = np.nan
+    x[:2, 5] = [1.0, 2.0]
+    x[0, 3] = np.inf
+    names = [f"c.{i}" for i in range(7)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(6)
+    got = {(r["column_x"], r["column_y"]): r["correlation"] for r in correlation.correlation_matrix(df, block=block).collect()}
+    assert len(got) == 49
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            both = np.isfinite(x[:, i]) & np.isfinite(x[:, j])
+            u, v = x[both, i], x[both, j]
+            if len(u) < 2 or u.std() == 0 or v.std() == 0 or 6 in (i, j):
+                assert got[a, b] is None
+            else:
+                assert got[a, b] == pytest.approx(np.corrcoef(u, v)[0, 1], abs=1e-9)
+
+
+def test_correlation_of_many_columns_is_one_scan(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    wide = spark.range(50).select(*[(F.rand(i) + F.col("id")).alias(f"c{i}") for i in range(300)])
+    out = correlation.correlation_matrix(wide.mapInArrow(run, wide.schema))
+    assert seen.value == 50 and out.count() == 300 * 300
+
+
+def test_density_stays_within_its_error(column):
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.normal(0, 1, 400), rng.normal(30, 0.2, 100), [1e4]]
+    rows = charts.density(column(x.tolist(), "x", "double"), "x", 150).collect()
+    h = x.std(ddof=1) * len(x) ** -0.2
+    assert charts.series_error() < 4e-12
+    for r in rows:
+        want = np.exp(-0.5 * ((r["x"] - x) / h) ** 2).mean()
+        assert abs(r["density"] * h * np.sqrt(2 * np.pi) - want) < charts.series_error() + 1e-12
+
+
+def test_scatter_sample_does_not_depend_on_partitions(spark):
+    rows = [(i, float(i % 7) if i % 5 else None, i * 2) for i in range(300)] + [(None, 1.0, 2)]
+    df = spark.createDataFrame(rows, "id long, a double, b long")
+    want = sorted(charts.scatter_sample(df, "id", 40).collect())
+    assert len(want) == 40 and all(r["a"] is not None for r in want)
+    for n in (1, 3, 11):
+        assert sorted(charts.scatter_sample(df.repartition(n, F.rand(n)), "id", 40).collect()) == want
+    halves = [charts.scatter_sample(df.filter(f"id % 2 = {k}"), "id", 40) for k in (0, 1)]
+    assert sorted(charts.scatter_sample(halves[0].unionByName(halves[1]), "id", 40).collect()) == want
+    assert charts.scatter_sample(df, "id", 10_000).count() == 240
+    assert charts.scatter_sample(df.limit(0), "id", 5).count() == 0
+
+
+def test_sketches_of_parts_unite(spark):
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("v"), (F.col("id") % 9).alias("day"), F.lit(None).cast("string").alias("none"))
+    parts = counts.distinct_sketches(df, ["v", "none"], by=F.col("day"))
+    assert parts.count() == 18
+    found = {r["column"]: r for r in counts.united_sketches(parts).collect()}
+    assert abs(found["v"]["n_distinct_estimate"] / 5000 - 1) <= counts.sketch_bound() and found["v"]["n_present"] == 20_000
+    assert (found["none"]["n_present"], found["none"]["n_distinct_estimate"]) == (0, 0)
+
+
+@pytest.mark.parametrize("limit", [duplicates.BROADCAST_FINGERPRINTS, 0])
+def test_duplicate_count_with_and_without_broadcast(spark, limit):
+    rows = [(1, None), (1, None), (1, "a"), (None, "a"), (None, "a"), (None, "a"), (2, "b")]
+    df = spark.createDataFrame(rows, "a long, b string")
+    assert duplicates.duplicate_count(df, limit).first()[0] == 3
+    assert duplicates.duplicate_count(df.limit(0), limit).first()[0] == 0
+
+
+def test_long_values_are_compared_by_digest(spark):
+    long = "Long text that goes on and on, far beyond thirty-two characters"
+    df = spark.createDataFrame([(long,), (long.lower(),), (long.upper(),), ("short",)], "v string")
+    assert counts.format_anomalies(df).first()["case_anomaly"]

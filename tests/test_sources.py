@@ -3,10 +3,11 @@ import zipfile
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from limpid import load_table, write_reports, write_table
+from limpid import compared_runs, load_table, read_reports, write_reports, write_table
 from limpid.catalog.made_files import _sheet
-from limpid.sources import dialect, tables
+from limpid.sources import dialect, reports, tables
 from limpid.sources.workbook import sheet_rows
 
 
@@ -218,6 +219,29 @@ def test_writers(spark, tmp_path):
     for fmt in ("csv", "parquet"):
         path = write_table(df, str(tmp_path / fmt), fmt)
         assert rows(load_table(spark, path, fmt)) == rows(df)
-    write_reports({"t": df}, str(tmp_path / "r"), "20260101_000000")
-    write_reports({"t": df}, str(tmp_path / "r"), "20260102_000000")
-    assert spark.read.parquet(str(tmp_path / "r" / "t")).groupBy("run_id").count().count() == 2
+
+
+def test_a_run_that_is_written_again_stands_once(spark, tmp_path):
+    store = str(tmp_path / "r")
+    one = spark.createDataFrame([("a", 1, 0.5), ("b", 2, None)], "k string, n long, x double")
+    two = spark.createDataFrame([("a", 1, 0.75), (None, 7, None)], "k string, n long, x double")
+    write_reports({"t": one}, store, "20260101_000000")
+    write_reports({"t": one}, store, "20260102_000000")
+    write_reports({"t": two}, store, "20260102_000000")
+    runs = {r["run_id"]: r["n_rows"] for r in reports.run_ids(spark, store, "t").collect()}
+    assert runs == {"20260101_000000": 2, "20260102_000000": 2}
+    back = read_reports(spark, store, "t", ["20260102_000000"]).drop("run_id")
+    assert rows(back) == rows(two)
+    found = {(r["k"], r["metric"]): (r["delta"], r["status"]) for r in
+             compared_runs(spark, store, "t", "20260101_000000", "20260102_000000", ["k"]).collect()}
+    assert found == {
+        ("a", "n"): (0.0, "same"), ("a", "x"): (0.25, "changed"), ("b", "n"): (None, "removed"),
+        ("b", "x"): (None, "removed"), (None, "n"): (None, "added"), (None, "x"): (None, "added"),
+    }
+    write_reports({"t": two.limit(0)}, store, "20260102_000000")
+    assert read_reports(spark, store, "t", ["20260102_000000"]).count() == 0
+    write_reports({"t": two.withColumn("later", F.lit(1))}, store, "20260103_000000")
+    assert read_reports(spark, store, "t").filter("later is null").count() == 2
+    for bad in ("../x", "a/b", ""):
+        with pytest.raises(ValueError):
+            write_reports({"t": one}, store, bad)
