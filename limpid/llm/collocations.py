@@ -36,8 +36,9 @@ LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
 SHARDS = 8
-CHUNK = 16 << 20  # bytes of texts that a task counts at once
-PIECE = 2 << 20
+CHUNK = 8 << 20  # bytes of texts whose words a task numbers at once
+PIECE = 1 << 20
+ROW = 1 << 20  # words of an encoded row, which are counted at once
 MOST = 1_000_000
 _END = -1  # between two pieces
 
@@ -179,19 +180,32 @@ class Vocabulary:
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, shards: int = SHARDS, size: int = CHUNK) -> DataFrame:
-    """A row per chunk and language: its words as numbers, -1 for the others and between pieces."""
+    """Rows of about `ROW` words of a language: their numbers, -1 for other words and between pieces.
+    `bytes` adds up to those of all texts."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary.words)
 
     def run(batches):
         numbers = Vocabulary(shared.value).numbers
         shard = TaskContext.get().partitionId() % shards
-        for chunk in _chunks(batches, size):
-            n_bytes = chunk.size
+        held: dict[str, list[np.ndarray]] = {}
+        n_bytes = 0
+
+        def row(lang):
+            nonlocal n_bytes
+            out = _batch(ENCODED, [shard], [lang.encode()], [n_bytes], [np.concatenate(held.pop(lang)).tobytes()])
+            n_bytes = 0
+            return out
+
+        for chunk in _chunks(batches, size // 2):
+            n_bytes += chunk.size
             for lang, words in chunk.languages():
                 known = numbers.get(lang, {})
                 mine = np.array([known.get(w, -1) for w in chunk.words] + [-1], np.int32)[words]
-                yield _batch(ENCODED, [shard], [lang.encode()], [n_bytes], [mine.tobytes()])
-                n_bytes = 0
+                held.setdefault(lang, []).append(mine)
+                if sum(map(len, held[lang])) >= ROW:
+                    yield row(lang)
+        for lang in list(held):
+            yield row(lang)
 
     return docs.select("lang", "text").mapInArrow(run, ENCODED)
 
