@@ -416,6 +416,11 @@ UNION ALL SELECT 'row_full_empty', NULL, count(*), '' FROM rows_ WHERE pct > 90
         f"(SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM part GROUP BY 2 ORDER BY n DESC, value LIMIT 10)"
         for c in ("p_name", "p_brand", "p_type")
     )
+    q["top_categories_texts"] = _union(
+        f"(SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n, '{t}' AS source FROM {t} WHERE {c} IS NOT NULL "
+        "GROUP BY 2 ORDER BY n DESC, value LIMIT 10)"
+        for t, columns in (("documents", ("text", "lang", "source")), ("conversations", ("role", "text"))) for c in columns
+    )
     q["frequency_skew"] = "SELECT \"column\", skewness_frequency, is_high_skewness FROM (" + _union(
         _categorical("documents", c) for c in ("text", "lang", "source")
     ) + ")"

@@ -13,7 +13,7 @@ from limpid.catalog import made_files
 from limpid.catalog.dirty_orders import TEXTS, dirty_orders
 from limpid.functions import dates, numbers, text
 from limpid.operators import (
-    case, charts, correlation, counts, describe, duplicates, fill, missing, outliers, schema, typing,
+    case, charts, correlation, counts, describe, duplicates, fill, frequent, missing, outliers, schema, typing,
     whitespace,
 )
 from limpid.operators.aggregate import count_where, small_table
@@ -411,7 +411,13 @@ def profile_categorical(spark, sf):
 
 
 def top_categories(spark, sf):
-    return counts.top_values(counts.value_counts(table(spark, sf, "part")))
+    return frequent.top_values_of(table(spark, sf, "part"))
+
+
+def top_categories_texts(spark, sf):
+    """Columns of few and of many values, of short and of long ones."""
+    found = [frequent.top_values_of(table(spark, sf, t)).withColumn("source", F.lit(t)) for t in ("documents", "conversations")]
+    return found[0].unionByName(found[1])
 
 
 def frequency_skew(spark, sf):
@@ -588,7 +594,7 @@ _FUNCTIONS = (
     clean_types, clean_types_full, recover_integers, unparsed_values, mistyped_columns, profile_shape,
     profile_missing, missing_summary, duplicate_count, row_quality, row_alerts, describe_numeric,
     profile_outliers, iqr_bounds, count_outliers_k3, outlier_summary, profile_categorical,
-    top_categories, frequency_skew, format_anomalies, case_targets, identifier_columns,
+    top_categories, top_categories_texts, frequency_skew, format_anomalies, case_targets, identifier_columns,
     column_overview, correlation_matrix, histogram_20, kde_grid, boxplot_stats, top_n_bar,
     scatter_points, scatter_sample, profile_distinct_sketch, drop_duplicates, clip_outliers, clip_outliers_per_column, fill_missing,
     cleaned_table, cleaned_table_full, reapplied_plan, cleaning_totals, audit_summary, audit_table, step_totals,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from limpid import constants as K
 from limpid.operators.aggregate import collect_metrics, count_where, small_table
-from limpid.operators.counts import top_values, value_counts
+from limpid.operators.frequent import top_values_of
 from limpid.operators.missing import complete_rows
 from limpid.operators.outliers import is_outside
 from limpid.operators.quantiles import quantiles
@@ -160,7 +160,7 @@ def flier_rows(df: DataFrame, column: str, factor: float = K.IQR_FACTOR) -> Data
 
 def top_bars(df: DataFrame, column: str, n: int = K.TOP_CATEGORIES) -> DataFrame:
     """The most frequent values of one column."""
-    return top_values(value_counts(df, [column]), n).select("value", "n")
+    return top_values_of(df, [column], n).select("value", "n")
 
 
 def scatter_sample(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from limpid import constants as K
 from limpid.operators.aggregate import collect_metrics, count_where
-from limpid.operators.counts import modes, value_counts
+from limpid.operators.frequent import top_values_of
 from limpid.operators.quantiles import quantiles
 from limpid.operators.schema import chosen, integer_columns, numeric_columns, ref
 
@@ -55,7 +55,7 @@ def fit_fills(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str,
 
     others = [c for c in gaps if c not in numeric]
     found = (
-        {r["column"]: r["value"] for r in modes(value_counts(df, others)).collect()} if others else {}
+        {r["column"]: r["value"] for r in top_values_of(df, others, 1).collect()} if others else {}
     )
     for c in others:
         value = found.get(c)

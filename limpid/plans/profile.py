@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from limpid.operators import counts, describe, missing, outliers
+from limpid.operators import counts, describe, frequent, missing, outliers
 from limpid.operators.duplicates import duplicate_count
 from limpid.operators.schema import nan_to_null, numeric_columns, text_columns
 from limpid.session import tune
@@ -65,7 +65,7 @@ class Profile:
 
     @cached_property
     def top_categories(self) -> DataFrame:
-        return counts.top_values(self.value_counts)
+        return frequent.top_values_of(self.df)
 
     @cached_property
     def format_anomalies(self) -> DataFrame:

@@ -7,7 +7,9 @@ task; only those counts are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from limpid import constants as K
 from limpid.storage import materialised
@@ -105,6 +107,28 @@ def dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def formats(spark: SparkSession, path: str) -> DataFrame:
+    """path and format of every file that is not empty; null where neither is known.
+
+    Parquet is told by its footers: a read of no columns opens nothing else of a file, whatever
+    its size. The text of other files is then looked at; a Parquet file without rows is so
+    small that it is told there, by its first and last bytes.
+    """
+    reader = lambda: spark.read.option("recursiveFileLookup", "true")
+    name = F.col("_metadata.file_path").alias("path")
+    bare = reader().option("ignoreCorruptFiles", "true").schema(T.StructType([])).parquet(path)
+    signed = materialised(bare.select(name).groupBy("path").count().select("path"), "footers")
+    files = reader().format("binaryFile").load(path).filter("length > 0").select(name)
+    rest = materialised(files.join(signed, "path", "left_anti"), "other-files")
+    found = signed.withColumn("format", F.lit("parquet"))
+    if not rest.limit(1).count():
+        return found
+    some = signed.limit(1).count() > 0
+    # Names of files, as Spark's own listing holds them.
+    paths = [unquote(r["path"]) for r in rest.collect()] if some else path
+    return found.unionByName(dialects(spark, paths).select("path", "format"))
+
+
 def line_numbers(lines: DataFrame) -> DataFrame:
     """The lines with `line_number` in their file, from 1. Ids rise by one within a block, so
     only a row per block is ordered, not the lines."""

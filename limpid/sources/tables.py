@@ -14,7 +14,7 @@ from limpid.functions.text import is_code, strip
 from limpid.operators.aggregate import count_where
 from limpid.operators.counts import text_metrics
 from limpid.operators.schema import ref, text_columns
-from limpid.sources.dialect import UTF8, decoded, dialects, line_numbers, text_lines
+from limpid.sources.dialect import UTF8, decoded, dialects, formats, line_numbers, text_lines
 from limpid.sources.workbook import read_workbooks
 from limpid.storage import materialised
 
@@ -41,7 +41,7 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
 
 def sniffed_format(spark: SparkSession, path: str) -> str:
     """The one format all files under `path` show; else an error."""
-    found = [r["format"] for r in dialects(spark, path).select("format").distinct().collect()]
+    found = [r["format"] for r in formats(spark, path).select("format").distinct().collect()]
     if len(found) != 1 or found[0] is None:
         raise ValueError(f"cannot tell the format of {path}")
     return found[0]

@@ -1,9 +1,12 @@
+import collections
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from limpid.operators import charts, correlation, counts, describe, duplicates, fill, missing, outliers, quantiles, schema
+from limpid.operators import charts, correlation, counts, describe, duplicates, fill, frequent, missing, outliers, quantiles, schema
 
 TEN = [100, 101, 102, 103, 104, 105, 106, 102, 103, 120, 900]
 
@@ -139,6 +142,54 @@ def test_mode_tie_is_the_smallest(column):
     assert counts.modes(vc).first()["value"] == "a"
 
 
+def plain_top(values, n):
+    seen = collections.Counter(v for v in values if v is not None)
+    return sorted(seen.items(), key=lambda x: (-x[1], x[0].encode()))[:n]
+
+
+def top_of(df, **options):
+    out = collections.defaultdict(list)
+    for r in frequent.top_values_of(df, **options).collect():
+        out[r["column"]].append((r["value"], r["n"]))
+    return {c: sorted(v, key=lambda x: (-x[1], x[0].encode())) for c, v in out.items()}
+
+
+@pytest.mark.parametrize("tracked", [2000, 4])
+@pytest.mark.parametrize("seed", range(2))
+def test_top_values_are_exact(spark, monkeypatch, seed, tracked):
+    """Hot, flat, unique and long values, ties on the last place and on a long common start."""
+    monkeypatch.setattr(frequent, "FETCHED", 3 if seed else 100_000)
+    rng = random.Random(seed)
+    head = "one and the same beginning of all of these texts, "
+    columns = {
+        "hot": ["x"] * 200 + [f"v{i}" for i in range(200)],
+        "flat": [f"w{i % 25:02d}" for i in range(400)],
+        "unique": [f"id{i:03d}" for i in range(400)],
+        "long": [head + str(rng.randint(0, 30)) for _ in range(400)],
+        "texts": [f"{rng.randint(0, 9)} {head}{i}" for i in range(400)],
+        "mixed": [rng.choice([head[:32], head[:33], head, "short", None]) for _ in range(400)],
+        "none": [None] * 400,
+    }
+    rows = list(zip(*columns.values()))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns)).repartition(5)
+    want = {c: plain_top(v, 7) for c, v in columns.items() if c != "none"}
+    assert top_of(df, n=7, tracked=tracked) == want
+
+
+def test_a_sketch_proves_only_what_its_bound_allows(spark):
+    assert frequent.missed_at_most(1000, 2000) == 2 * 3.5 / 4096 * 1000
+    df = spark.createDataFrame([(f"v{i % 3000}",) for i in range(9000)], "s string")
+    exact, present = frequent.sketched_counts(df, ["s"], 4)
+    assert present == {"s": 9000} and exact.count() < 3000
+    assert {n for _, n in top_of(df, n=3, tracked=4)["s"]} == {3}
+
+
+def test_no_values_no_top(spark):
+    assert top_of(spark.createDataFrame([], "a string")) == {}
+    assert top_of(spark.range(3)) == {}
+
+
 def test_format_anomalies(spark):
     df = spark.createDataFrame([("Paris", "x ", "AB"), ("paris", "y", "CD"), ("LYON", "z", "EF")], "a string, b string, c string")
     found = {r["column"]: (r["space_anomaly"], r["case_anomaly"]) for r in counts.format_anomalies(df).collect()}

@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,33 @@ def test_sniffing(spark, tmp_path):
         load_table(spark, put(tmp_path, "other", "a;b"))
 
 
+def bytes_read(spark):
+    every = spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
+    return sum(s.getBytesRead() for s in every)
+
+
+def test_parquet_is_told_without_reading_it(spark, tmp_path):
+    """Long values without a line break; a read of its text would be one row of megabytes."""
+    noise = np.random.default_rng(0).integers(11, 127, (40, 100_000), dtype=np.uint8)
+    pd.DataFrame({"a": [bytes(r).decode() for r in noise]}).to_parquet(tmp_path / "table", compression=None)
+    size = (tmp_path / "table").stat().st_size
+    before = bytes_read(spark)
+    assert tables.sniffed_format(spark, str(tmp_path / "table")) == "parquet"
+    assert size > 4_000_000 and bytes_read(spark) - before < 300_000
+
+
+def test_formats_of_a_mixed_folder(spark, tmp_path):
+    pd.DataFrame({"a": [1]}).to_parquet(tmp_path / "x y%20.dat")
+    pd.DataFrame({"a": []}).to_parquet(tmp_path / "none.dat")
+    put(tmp_path, "doc.dat", '{"a": 1}')
+    put(tmp_path, "other.dat", "a;b")
+    put(tmp_path, "empty.dat", "")
+    found = {r["path"].rsplit("/", 1)[1]: r["format"] for r in dialect.formats(spark, str(tmp_path)).collect()}
+    assert found == {"x%20y%2520.dat": "parquet", "none.dat": "parquet", "doc.dat": "json", "other.dat": None}
+    with pytest.raises(ValueError):
+        tables.sniffed_format(spark, str(tmp_path))
+
+
 def test_parquet_categories_and_nested(spark, tmp_path):
     pdf = pd.DataFrame({"n": [1, 2], "cat": pd.Categorical(["x", "y"]), "tags": [["a"], []]})
     pdf.to_parquet(tmp_path / "x.parquet")
