@@ -40,6 +40,8 @@ CHUNK = 8 << 20  # bytes of texts whose words a task numbers at once
 PIECE = 1 << 20
 ROW = 1 << 20  # words of an encoded row, which are counted at once
 MOST = 1_000_000
+BLOCK = 4096  # candidates whose counts go out as one array
+SPREAD = 64
 _END = -1  # between two pieces
 
 #: A-Z to a-z, tab to blank, and what ends a piece to a line end.
@@ -290,15 +292,32 @@ def frequent_in_shards(table: DataFrame, trie: Trie, k: int, supports: dict[int,
     return sums.filter(F.col("n") >= least)
 
 
-TALLY = "lang string, k int, number long, f long"
+TALLY = "lang string, k int, block int, part int, f array<long>"
+
+
+def _tally_row(lang: str, k: int, block: int, part: int, f: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([lang]), pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([part], pa.int32())]
+    values = pa.ListArray.from_arrays(pa.array([0, len(f)], pa.int32()), pa.array(f, pa.int64()))
+    return pa.RecordBatch.from_arrays([*columns, values], ["lang", "k", "block", "part", "f"])
+
+
+def _added(keys: tuple, rows: pa.Table) -> pa.Table:
+    total = sum(v.values.to_numpy() for v in rows.column("f"))
+    lang, k, block, *part = (key.as_py() for key in keys)
+    return pa.Table.from_batches([_tally_row(lang, k, block, part[0] if part else 0, total)])
 
 
 def counted(table: DataFrame, trie: Trie) -> DataFrame:
-    """lang, k, number, f: occurrences of every candidate in the whole corpus."""
+    """lang, k, number, f: occurrences of every candidate in the whole corpus.
+
+    A task's counts go out as arrays, one per `BLOCK` numbers, and are added up as such: by
+    `SPREAD` groups of tasks, then altogether.
+    """
     shared = table.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches):
         sums: dict = {}
+        part = TaskContext.get().partitionId() % SPREAD
         for batch in batches:
             for lang, words in _rows(batch, "lang"):
                 levels = shared.value.levels.get(lang, [])
@@ -309,11 +328,15 @@ def counted(table: DataFrame, trie: Trie) -> DataFrame:
                     tally = np.bincount(at[at >= 0], minlength=len(levels[k - 2]))
                     sums[lang, k] = sums[lang, k] + tally if (lang, k) in sums else tally
         for (lang, k), tally in sums.items():
-            some = np.flatnonzero(tally)
-            yield _batch(TALLY, [lang.encode()] * len(some), [k] * len(some), some, tally[some])
+            for low in range(0, len(tally), BLOCK):
+                if tally[low : low + BLOCK].any():
+                    yield _tally_row(lang, k, low // BLOCK, part, tally[low : low + BLOCK])
 
     sums = table.select("lang", "words").mapInArrow(run, TALLY)
-    return sums.groupBy("lang", "k", "number").agg(F.sum("f").alias("f"))
+    sums = sums.groupBy("lang", "k", "block", "part").applyInArrow(_added, TALLY)
+    sums = sums.groupBy("lang", "k", "block").applyInArrow(_added, TALLY)
+    each = sums.select("lang", "k", "block", F.posexplode("f").alias("at", "f"))
+    return each.select("lang", "k", (F.col("block").cast("long") * BLOCK + F.col("at")).alias("number"), "f")
 
 
 def son_counts(

@@ -60,8 +60,9 @@ def got(docs, **options):
 @pytest.mark.parametrize(
     "shards, size, most, parts", [(8, co.CHUNK, co.MOST, 1), (3, 300, co.MOST, 5), (8, 2000, 0, 3), (2, 900, 40, 4)]
 )
-def test_equals_counting_by_hand(spark, shards, size, most, parts):
+def test_equals_counting_by_hand(spark, monkeypatch, shards, size, most, parts):
     """One task and many, small chunks, and more words or candidates than may be sent around."""
+    monkeypatch.setattr(co, "BLOCK", 5)
     rows = corpus(random.Random(7), 260)
     docs = table(spark, rows).repartition(parts)
     assert got(docs, support=20, shards=shards, size=size, most=most) == brute(rows, 20)
