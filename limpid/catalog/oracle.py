@@ -273,6 +273,8 @@ def oracle_sql() -> dict[str, str]:
     q["scan_csv"] = "SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size) FROM part"
     q["detect_dialect"] = """SELECT encoding, separator, count(*) AS n_lines FROM customer,
 (SELECT unnest([';', ',', chr(9), '|']) AS separator), (SELECT unnest(['UTF-8', 'ISO-8859-1']) AS encoding) GROUP BY ALL"""
+    q["scan_csv_losses"] = """SELECT 'further fields' AS kind, 'more' || c_custkey AS text FROM customer
+WHERE c_custkey % 7 = 0 UNION ALL SELECT 'rows read', count(*)::VARCHAR FROM customer"""
     q["scan_csv_ragged"] = "SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN 'more' END AS over FROM customer"
     q["scan_csv_mixed_headers"] = "SELECT c_custkey, c_name, c_acctbal FROM customer"
     q["scan_csv_quoted_breaks"] = "SELECT c_custkey, c_name || chr(10) || c_mktsegment AS note FROM customer"

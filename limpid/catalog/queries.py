@@ -97,6 +97,15 @@ def scan_csv_ragged(spark, sf):
     return df.select("c_custkey", "c_name", F.col("_overflow_1").alias("over"))
 
 
+def scan_csv_losses(spark, sf):
+    """The further fields of the same records, listed by a read that goes on."""
+    extra = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("more"), F.col("c_custkey")))
+    folder = made_files.csv_lines(table(spark, sf, "customer"), "c_custkey,c_name", "c_custkey", "c_name", extra)
+    found = tables.load_with_losses(spark, folder, "csv")
+    read = found.table.agg(F.lit("rows read").alias("kind"), F.count("*").cast("string").alias("text"))
+    return found.losses.select("kind", "text").unionByName(read)
+
+
 def scan_csv_mixed_headers(spark, sf):
     """Half of the rows in files whose columns stand in another order."""
     c = table(spark, sf, "customer")
@@ -583,7 +592,7 @@ def control_verdict(spark, sf):
 
 
 _FUNCTIONS = (
-    scan_parquet, scan_csv, scan_csv_ragged, scan_csv_mixed_headers, scan_csv_quoted_breaks, scan_csv_late_bytes,
+    scan_parquet, scan_csv, scan_csv_ragged, scan_csv_losses, scan_csv_mixed_headers, scan_csv_quoted_breaks, scan_csv_late_bytes,
     scan_json_mixed_object, scan_jsonl_count, nested_to_json_floats, histogram_auto, detect_dialect, sniff_format, read_protect_codes, infer_schema,
     scan_excel_dir, scan_json, json_columnar_to_rows, scan_jsonl_skip_corrupt, corrupt_json_lines,
     nested_to_json, sink_csv_roundtrip, drop_empty_columns, select_numeric_columns,

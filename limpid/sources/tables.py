@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import os
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -23,6 +24,33 @@ _BY_EXTENSION = {
     ".parquet": "parquet",
 }
 CORRUPT = "_corrupt_record"
+OVERFLOW = "_overflow_"
+FILE = "__file"
+
+
+@dataclass
+class Loaded:
+    """A table, and what of its files is not in it: file, line_number, kind, text.
+
+    Both come from one stored read of the records, so the list of losses costs no scan of the files.
+    """
+
+    table: DataFrame
+    losses: DataFrame
+
+
+def load_with_losses(spark: SparkSession, path: str, fmt: str | None = None) -> Loaded:
+    """Read CSV or JSON Lines without stopping at bad records, which are listed instead.
+
+    Of a CSV record with more fields than its header the further ones are listed (by file; a
+    record has no line number, as it may span lines). Of JSON Lines, unreadable lines are.
+    """
+    fmt = fmt or _BY_EXTENSION.get(os.path.splitext(path.rstrip("/"))[1].lower())
+    readers = {"csv": _csv_with_losses, "jsonl": _json_lines_with_losses}
+    if fmt not in readers:
+        raise ValueError(f"no list of losses for format: {fmt}")
+    found = readers[fmt](spark, path)
+    return Loaded(nested_to_json(found.table), found.losses)
 
 
 def load_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -67,13 +95,14 @@ def _of_files(df: DataFrame, files: DataFrame) -> DataFrame:
     return pathed.join(files, F.col("_path") == F.col("_file"), "left_semi").drop("_path")
 
 
-def read_csv_text(spark: SparkSession, path: str, ragged: str = "raise") -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, ragged: str = "raise", file_as: str | None = None) -> DataFrame:
     """All-text CSV table.
 
     Files are read in groups that share encoding, separator, header, and whether quoted fields
     hold line breaks (such files cannot be split); columns meet by name. A record with more
     fields than its header is refused, or with `ragged="keep"` its further fields become columns
-    `_overflow_1`, `_overflow_2`, ... An unclosed quote is refused.
+    `_overflow_1`, `_overflow_2`, ... An unclosed quote is refused. `file_as` names a column for
+    the file of each record.
     """
     found = materialised(dialects(spark, path).filter("header is not null"), "csv-dialects")
     groups = (
@@ -92,12 +121,14 @@ def read_csv_text(spark: SparkSession, path: str, ragged: str = "raise") -> Data
     parts = []
     for g in groups:
         names = _header_names(bytes(g["header"]), g["separator"], g["encoding"])
-        extra = [f"_overflow_{i + 1}" for i in range(max(g["most"] - g["fields"], int(g["breaks"])))]
+        extra = [f"{OVERFLOW}{i + 1}" for i in range(max(g["most"] - g["fields"], int(g["breaks"])))]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, *extra)])
         df = spark.read.schema(schema).option("recursiveFileLookup", "true").csv(
             path, header=True, enforceSchema=True, sep=g["separator"], encoding=g["encoding"],
             multiLine=g["breaks"], escape='"', mode="PERMISSIVE",
         )
+        if file_as is not None:
+            df = df.withColumn(file_as, F.col("_metadata.file_path"))
         if len(groups) > 1:
             same = (
                 (F.col("encoding") == g["encoding"]) & (F.col("separator") == g["separator"])
@@ -111,12 +142,26 @@ def read_csv_text(spark: SparkSession, path: str, ragged: str = "raise") -> Data
             df = df.drop(*extra)
         parts.append(df)
     if not parts:
-        return spark.createDataFrame([], T.StructType([]))
+        return spark.createDataFrame([], T.StructType([] if file_as is None else [T.StructField(file_as, T.StringType())]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_csv(spark: SparkSession, path: str, ragged: str = "raise") -> DataFrame:
-    return infer_types(read_csv_text(spark, path, ragged))
+    """Typed CSV table. The files are read twice: for their dialect, and for their records, which
+    are stored as text columns; types are decided and cast on those."""
+    text = read_csv_text(spark, path, ragged)
+    return infer_types(materialised(text, "csv-text")) if text.columns else text
+
+
+def _csv_with_losses(spark: SparkSession, path: str) -> "Loaded":
+    stored = materialised(read_csv_text(spark, path, "keep", FILE), "csv-text")
+    extra = [c for c in stored.columns if c.startswith(OVERFLOW)]
+    more = F.array_join(F.array(*[ref(c) for c in extra]), "\t") if extra else F.lit(None).cast("string")
+    losses = stored.filter(F.coalesce(*[ref(c) for c in extra]).isNotNull() if extra else F.lit(False)).select(
+        ref(FILE).alias("file"), F.lit(None).cast("long").alias("line_number"), F.lit("further fields").alias("kind"), more.alias("text")
+    )
+    kept = stored.select(*[ref(c) for c in stored.columns if c not in (FILE, *extra)])
+    return Loaded(infer_types(kept), losses)
 
 
 def inferred_types(df: DataFrame) -> dict[str, str]:
@@ -223,20 +268,27 @@ def _json_line_parts(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("record", F.when(filled, F.from_json("value", schema, options)))
 
 
-def read_json_lines_raw(spark: SparkSession, path: str) -> DataFrame:
-    """One record per line; unreadable lines are kept in `_corrupt_record`."""
-    return _json_line_parts(spark, path).filter("record is not null").select("record.*")
+def _readable(parts: DataFrame) -> DataFrame:
+    return parts.filter("record is not null").select("record.*").filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def _json_lines_with_losses(spark: SparkSession, path: str) -> Loaded:
+    # The text is kept beside its record only where it is listed.
+    bad = F.col(f"record.{CORRUPT}").isNotNull()
+    parts = _json_line_parts(spark, path).withColumn("value", F.when(bad, F.col("value")))
+    stored = materialised(parts.drop("size"), "json-lines")
+    lost = line_numbers(stored).filter(bad).select("file", "line_number", F.lit("unreadable").alias("kind"), F.col("value").alias("text"))
+    return Loaded(_readable(stored), lost)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Readable records only; see `corrupt_lines` for the others."""
-    return read_json_lines_raw(spark, path).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """Readable records only; see `load_with_losses` for the others."""
+    return _readable(_json_line_parts(spark, path))
 
 
 def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines `read_json_lines` left out: file, line_number, line."""
-    parts = line_numbers(_json_line_parts(spark, path))
-    return parts.filter(F.col(f"record.{CORRUPT}").isNotNull()).select("file", "line_number", F.col("value").alias("line"))
+    """The lines that `read_json_lines` leaves out: file, line_number, line."""
+    return _json_lines_with_losses(spark, path).losses.select("file", "line_number", F.col("text").alias("line"))
 
 
 # --- Parquet, nested cells -----------------------------------------------------------

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from limpid import compared_runs, load_table, read_reports, write_reports, write_table
 from limpid.catalog.made_files import _sheet
 from limpid.sources import dialect, reports, tables
+from limpid.sources.tables import load_with_losses
 from limpid.sources.workbook import sheet_rows
 
 
 def put(tmp_path, name, content, encoding="utf-8"):
     path = tmp_path / name
+    path.parent.mkdir(exist_ok=True)
     path.write_bytes(content if isinstance(content, bytes) else content.encode(encoding))
     return str(path)
 
@@ -162,6 +164,39 @@ def test_sniffing(spark, tmp_path):
         load_table(spark, put(tmp_path, "other", "a;b"))
 
 
+def test_losses_come_from_the_read_of_the_records(spark, tmp_path):
+    """Long records and unreadable lines are listed beside the table, by file."""
+    put(tmp_path, "c/a.csv", "k;v\n1;x\n2;y;over;more\n3;z\n")
+    put(tmp_path, "c/b.csv", "k;v\n4;w\n5;;1\n")
+    found = load_with_losses(spark, str(tmp_path / "c"), "csv")
+    assert rows(found.table) == [(1, "x"), (2, "y"), (3, "z"), (4, "w"), (5, None)]
+    listed = sorted((r["file"][-5:], r["line_number"], r["kind"], r["text"]) for r in found.losses.collect())
+    assert listed == [("a.csv", None, "further fields", "over\tmore"), ("b.csv", None, "further fields", "1")]
+    put(tmp_path, "j/a.jsonl", '{"a": 1}\n\n{broken\n{"a": [2]}\n')
+    put(tmp_path, "j/b.jsonl", '{"a": "x"}\nnot\n')
+    found = load_with_losses(spark, str(tmp_path / "j"), "jsonl")
+    assert rows(found.table) == [("1",), ("[2]",), ("x",)]
+    listed = sorted((r["file"][-7:], r["line_number"], r["text"]) for r in found.losses.collect())
+    assert listed == [("a.jsonl", 3, "{broken"), ("b.jsonl", 2, "not")]
+    put(tmp_path, "n/a.csv", "k,v\n1,2\n")
+    clean = load_with_losses(spark, str(tmp_path / "n" / "a.csv"))
+    assert rows(clean.table) == [(1, 2)] and clean.losses.count() == 0
+    with pytest.raises(ValueError):
+        load_with_losses(spark, str(tmp_path / "n"), "parquet")
+
+
+def test_csv_files_are_read_twice(spark, tmp_path):
+    """Once for their dialect, once for their records; types and losses come from what is stored."""
+    lines = [f"{i},word number {i},{i / 7}" for i in range(40_000)]
+    path = put(tmp_path, "x.csv", "n,t,d\n" + "\n".join(lines) + "\n")
+    before = bytes_read(spark)
+    found = load_with_losses(spark, path)
+    assert found.table.count() == 40_000 and found.losses.count() == 0
+    read = bytes_read(spark) - before
+    stored = sum(len(line) for line in lines)
+    assert read < 2.9 * stored, read / stored
+
+
 def bytes_read(spark):
     every = spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
     return sum(s.getBytesRead() for s in every)
