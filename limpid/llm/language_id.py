@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from limpid.llm import textbytes as tb
 from limpid.llm.columns import documents, held_out
+from limpid.operators.sampling import first_n_per_group
 
 KEPT = 300
 PIECE = 1 << 20
@@ -84,9 +85,9 @@ def profiles(training: DataFrame, kept: int = KEPT) -> DataFrame:
 
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
-            texts = batch.column("text").to_pylist()
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             for low, high in _pieces(texts):
-                key = grams([t or "" for t in texts[low:high]])
+                key = grams(texts[low:high])
                 owner, h = (key >> _OWNER).astype(np.int64), key & np.uint64((1 << 44) - 1)
                 for lang in set(langs[low:high]):
                     mine = (langs[low:high] == lang)[owner]
@@ -100,8 +101,11 @@ def profiles(training: DataFrame, kept: int = KEPT) -> DataFrame:
 
     sums = training.select("text", "lang").mapInArrow(run, "lang string, h long, n long")
     sums = sums.groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "h")) - 1
-    return sums.withColumn("place", place).filter(F.col("place") < kept).select("lang", "h", "place")
+    order = [F.desc("n"), F.asc("h")]
+    # Cut in each task, then in slices of tasks: no task sorts all n-grams of a language.
+    top = first_n_per_group(sums, ["lang"], order, kept)
+    place = F.row_number().over(W.partitionBy("lang").orderBy(*order)) - 1
+    return top.select("lang", "h", place.alias("place"))
 
 
 @dataclass
