@@ -29,7 +29,6 @@ UNKNOWN = "Inconnu"              # fill value of a text column that holds no val
 
 # Written forms of "no value"; compared after trimming and lowercasing.
 MISSING_MARKERS = ("", "nan", "none", "null", "na", "n/a", "-", "--")
-# Written forms blanked just before a numeric conversion; compared as they are.
 # Lowercased words that the case treatment leaves alone.
 CASE_EXEMPT = ("nan", "none", "na", "null")
 # Tokens a CSV cell may hold for "no value".
@@ -41,19 +40,21 @@ CSV_NA_TOKENS = (
 CSV_TRUE = ("True", "TRUE", "true")
 CSV_FALSE = ("False", "FALSE", "false")
 
-# Character class of everything that counts as white space.
-WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-# The same class without the plain space.
-WS_NOT_SPACE = r"[\t\n\x0b\f\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-
-# Every character of that class.
-WS_CHARS = "".join(
-    chr(n)
-    for first, last in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
-                        (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F),
-                        (0x3000, 0x3000))
-    for n in range(first, last + 1)
+# Everything that counts as white space, as ranges of code points.
+WS_RANGES = (
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
 )
+WS_CHARS = "".join(chr(n) for first, last in WS_RANGES for n in range(first, last + 1))
+
+
+def _one_of(ranges) -> str:
+    return "[" + "".join(f"\\u{first:04x}-\\u{last:04x}" for first, last in ranges) + "]"
+
+
+# Pattern of one of them, and of one other than the plain space, which ends its range.
+WS = _one_of(WS_RANGES)
+WS_NOT_SPACE = _one_of((first, last - (last == 0x20)) for first, last in WS_RANGES)
 
 # The ASCII ones other than the plain space, one by one.
 ASCII_WS_PROBES = tuple(c for c in WS_CHARS if ord(c) < 128 and c != " ")

@@ -15,8 +15,8 @@ _TAIL = r"(?:[ T](" + _TIME + r"))?$"
 _DAY = r"(\d{1,2})"
 _MONTH_ONLY = r"(0?[1-9]|1[0-2])"
 _NOT_A_MONTH = r"(1[3-9]|2\d|3[01])"
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_NAME = r"(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6})\.?"
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_NAME = "(?i:(" + "|".join(_MONTHS) + r")[a-z]{0,6})\.?"
 
 # Rewriting to year-month-day, in order. Day comes first; month first is read only
 # where the second field cannot be a month. Two-digit years come last, and from 69
@@ -47,7 +47,7 @@ LONGEST = 40
 
 def _named(t: Column, pattern: str, year: int, month: int, day: int) -> Column:
     name = F.lower(F.regexp_extract(t, pattern, month))
-    number = ((F.instr(F.lit(_MONTHS), name) + 2) / 3).cast("int").cast("string")
+    number = F.array_position(F.array(*map(F.lit, _MONTHS)), name).cast("string")
     return F.concat_ws("-", F.regexp_extract(t, pattern, year), number, F.regexp_extract(t, pattern, day))
 
 
