@@ -37,8 +37,8 @@ TOP = 2000
 UNKNOWN = "und"
 SHARDS = 8
 CHUNK = 4 << 20  # bytes of texts whose words a task numbers at once
-PIECE = 512 << 10
-ROW = 1 << 20  # words of an encoded row, which are counted at once
+PIECE = 256 << 10
+ROW = 1 << 18  # words of an encoded row, which are counted at once
 SENT = 1 << 15  # rows that a task sends at once
 MOST = 1_000_000
 BLOCK = 4096  # candidates whose counts go out as one array
