@@ -36,10 +36,9 @@ LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
 SHARDS = 8
-CHUNK = 4 << 20  # bytes of texts whose words a task numbers at once
-PIECE = 256 << 10
-ROW = 1 << 18  # words of an encoded row, which are counted at once
-SENT = 1 << 15  # rows that a task sends at once
+CHUNK = 8 << 20  # bytes of texts whose words a task numbers at once
+PIECE = 1 << 20
+ROW = 1 << 20  # words of an encoded row, which are counted at once
 MOST = 1_000_000
 BLOCK = 4096  # candidates whose counts go out as one array
 SPREAD = 64
@@ -156,8 +155,8 @@ def all_phrases(docs: DataFrame, longest: int, size: int = CHUNK) -> DataFrame:
         for chunk in _chunks(batches, size):
             for lang, words in chunk.languages():
                 for k, (places, counts) in enumerate(frequent(words, longest), 1):
-                    for low in range(0, len(places), SENT):
-                        part = slice(low, low + SENT)
+                    for low in range(0, len(places), 1 << 16):
+                        part = slice(low, low + (1 << 16))
                         texts = _texts(chunk, words, places[part], k)
                         yield _batch(COUNTED, [lang.encode()] * len(texts), texts, [k] * len(texts), counts[part])
 
@@ -199,7 +198,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, shards: int = SHARDS, size:
             n_bytes = 0
             return out
 
-        for chunk in _chunks(batches, size):
+        for chunk in _chunks(batches, size // 2):
             n_bytes += chunk.size
             for lang, words in chunk.languages():
                 known = numbers.get(lang, {})
@@ -284,11 +283,8 @@ def frequent_in_shards(table: DataFrame, trie: Trie, k: int, supports: dict[int,
                 keys = next((keys for n, _, keys in shared.value.walk(lang, words) if n == k), np.zeros(0, np.int64))
                 if len(keys):
                     order, starts, counts = _groups(keys)
-                    distinct = keys[order[starts]]
-                    for low in range(0, len(distinct), SENT):
-                        part = slice(low, low + SENT)
-                        same = len(counts[part])
-                        yield _batch(LEVEL, [shard] * same, [lang.encode()] * same, distinct[part], counts[part])
+                    same = len(counts)
+                    yield _batch(LEVEL, [shard] * same, [lang.encode()] * same, keys[order[starts]], counts)
 
     sums = table.select("shard", "lang", "words").mapInArrow(run, LEVEL)
     sums = sums.groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
