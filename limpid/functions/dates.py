@@ -18,7 +18,7 @@ _NOT_A_MONTH = r"(1[3-9]|2\d|3[01])"
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _NAME = "(?i:(" + "|".join(_MONTHS) + r")[a-z]{0,6})\.?"
 
-# Rewriting to year-month-day, in order. Day comes first; month first is read only
+# Rewriting to year-month-day; the first that matches counts. Day comes first; month first is read only
 # where the second field cannot be a month. Two-digit years come last, and from 69
 # they belong to the 1900s.
 _REWRITES = (
@@ -26,10 +26,14 @@ _REWRITES = (
     ("^" + _DAY + r"([/.-])" + _DAY + r"\2(\d{4})" + _TAIL, "$4-$3-$1 $5"),
     ("^" + _MONTH_ONLY + r"([/-])" + _NOT_A_MONTH + r"\2(\d{2})$", "$4-$1-$3"),
     ("^" + _DAY + r"([/-])" + _DAY + r"\2(\d{2})$", "$4-$3-$1"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
+)
+_SHORT_YEARS = (
     (r"^(69|[789]\d)-(\d{1,2}-\d{1,2})$", "19$1-$2"),
     (r"^(\d{2})-(\d{1,2}-\d{1,2})$", "20$1-$2"),
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
 )
+# Text that none of these rewrites changes.
+_YEAR_FIRST = r"^\d{4}-"
 _AFTER_YEAR = r"-\d{1,2}-\d{1,2}(?:[ T](?:" + _TIME + r"(?:Z|[+-]\d{2}:?\d{2})?)?)?$"
 ISO_ANY_YEAR = r"^\d{4}" + _AFTER_YEAR
 ISO_PLAUSIBLE_YEAR = r"^(?:19\d{2}|20\d{2}|2100)" + _AFTER_YEAR   # 1900 to 2100
@@ -51,15 +55,24 @@ def _named(t: Column, pattern: str, year: int, month: int, day: int) -> Column:
     return F.concat_ws("-", F.regexp_extract(t, pattern, year), number, F.regexp_extract(t, pattern, day))
 
 
+def _full_year(t: Column) -> Column:
+    for pattern, order in _SHORT_YEARS:
+        t = F.regexp_replace(t, pattern, order)
+    return t
+
+
 def iso_text(t: Column) -> Column:
     """Year-month-day order of a trimmed date text; other text passes unchanged."""
-    out = t
+    out = F.when(t.rlike(_YEAR_FIRST), t)
     for pattern, order in _REWRITES:
-        out = F.regexp_replace(out, pattern, order)
+        rewritten = F.regexp_replace(t, pattern, order)
+        if order.startswith("$4") and not order.endswith(" $5"):
+            rewritten = _full_year(rewritten)
+        out = out.when(t.rlike(pattern), rewritten)
     return (
-        F.when(t.rlike(NAMED_DAY_FIRST), _named(t, NAMED_DAY_FIRST, 3, 2, 1))
+        out.when(t.rlike(NAMED_DAY_FIRST), _named(t, NAMED_DAY_FIRST, 3, 2, 1))
         .when(t.rlike(NAMED_MONTH_FIRST), _named(t, NAMED_MONTH_FIRST, 3, 1, 2))
-        .otherwise(out)
+        .otherwise(_full_year(t))
     )
 
 

@@ -32,13 +32,20 @@ def _point(c: Column) -> Column:
     return F.replace(c, F.lit(","), F.lit("."))
 
 
+def _unsigned(c: Column) -> Column:
+    """Currency signs and thousands spaces out: plain replacements, which leave text without them as it is."""
+    for sign in K.AMOUNT_NOISE[1:-1]:
+        c = F.replace(c, F.lit(sign), F.lit(""))
+    return c
+
+
 def grade_numerator(c: Column) -> Column:
     """Numerator of a grade such as ``4,5/5``; NULL for anything else."""
-    return _point(_group(c, K.GRADE_PATTERN, 1)).try_cast("double")
+    return _grade_part(c, 1)
 
 
 def grade_denominator(c: Column) -> Column:
-    return _point(_group(c, K.GRADE_PATTERN, 2)).try_cast("double")
+    return _grade_part(c, 2)
 
 
 def is_rescaled_grade(c: Column, scale: float) -> Column:
@@ -72,9 +79,14 @@ def decimal_point(c: Column) -> Column:
     return _point(F.regexp_replace(c, _THOUSANDS, ""))
 
 
+def _grade_part(c: Column, group: int) -> Column:
+    """A number of a grade; text without its mark never meets the pattern."""
+    return F.when(c.contains("/"), _point(_group(c, K.GRADE_PATTERN, group)).try_cast("double"))
+
+
 def amount_text(c: Column) -> Column:
     """Drop currency signs and thousands spaces, then unify the decimal mark."""
-    return decimal_point(F.regexp_replace(c, K.AMOUNT_NOISE, ""))
+    return decimal_point(_unsigned(c))
 
 
 def strict_number_text(c: Column) -> Column:
@@ -92,7 +104,7 @@ def amount_value(c: Column) -> Column:
 
 def rough_number(c: Column) -> Column:
     """Quick estimate used before typing: signs out, every comma to a point."""
-    return try_number(_point(F.regexp_replace(c, K.AMOUNT_NOISE, "")))
+    return try_number(_point(_unsigned(c)))
 
 
 def number_text(c: Column) -> Column:
@@ -100,8 +112,11 @@ def number_text(c: Column) -> Column:
 
     A percentage keeps its displayed number and a grade its numerator.
     """
-    bare = F.regexp_replace(c, K.MARKED_PATTERN, "$1")
-    return strict_number_text(amount_text(bare))
+    # Each pattern is met only by cells that hold its marks; the others are plain replacements.
+    marked = amount_text(F.regexp_replace(c, K.MARKED_PATTERN, "$1"))
+    grouped, plain = decimal_point(_unsigned(c)), _point(_unsigned(c))
+    bare = F.when(c.contains("/") | c.contains("%"), marked).when(c.contains(".") & c.contains(","), grouped).otherwise(plain)
+    return strict_number_text(bare)
 
 
 def is_exponent_text(number: Column) -> Column:

@@ -6,31 +6,26 @@ white space; operators trim once, in a projection of their own, and reuse it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from limpid import constants as K
 
 
-def _may_need_cleaning(c: Column, probes: tuple[str, ...]) -> Column:
-    """Byte-level first look, so clean text never meets a pattern or a trim table."""
-    not_ascii = F.octet_length(c) != F.length(c)
-    return reduce(lambda a, b: a | b, [c.contains(p) for p in probes], not_ascii)
+# First look, one plain range, so clean text never meets the full pattern or a trim table.
+_MAY_BE_WS = "[^ -~]"
+_LONGEST_MARKER = max(map(len, K.MISSING_MARKERS))
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only the plain space."""
-    return F.when(
-        _may_need_cleaning(c, K.ASCII_WS_PROBES), F.trim(c, F.lit(K.WS_CHARS))
-    ).otherwise(F.trim(c))
+    return F.when(c.rlike(_MAY_BE_WS), F.trim(c, F.lit(K.WS_CHARS))).otherwise(F.trim(c))
 
 
 def squeeze_whitespace(c: Column) -> Column:
     """Trim the ends and turn each run of white space into one space."""
     return F.trim(
         F.when(
-            _may_need_cleaning(c, ("  ", *K.ASCII_WS_PROBES)),
+            c.rlike(_MAY_BE_WS + "|  "),
             F.regexp_replace(c, f"{K.WS}{{2,}}|{K.WS_NOT_SPACE}", " "),
         ).otherwise(c)
     )
@@ -38,7 +33,8 @@ def squeeze_whitespace(c: Column) -> Column:
 
 def is_marker(t: Column) -> Column:
     """A written form of "no value" (``N/A``, ``--``, blanks...)."""
-    return F.lower(t).isin(*K.MISSING_MARKERS)
+    # The markers are ASCII, and no other character has one of theirs as its lower case.
+    return (F.octet_length(t) <= _LONGEST_MARKER) & F.lower(t).isin(*K.MISSING_MARKERS)
 
 
 def is_significant(t: Column) -> Column:
@@ -48,7 +44,8 @@ def is_significant(t: Column) -> Column:
 
 def is_code(t: Column) -> Column:
     """Digits led by a zero: a phone number or postal code, never a quantity."""
-    return t.rlike(K.CODE_PATTERN)
+    zero = t.startswith("0") | t.startswith("+0") | t.startswith("-0")
+    return zero & t.rlike(K.CODE_PATTERN)
 
 
 def mixes_letters_and_digits(c: Column) -> Column:

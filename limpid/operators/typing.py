@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -136,6 +137,7 @@ def dominant_scales(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # What a cell of a number, amount, grade or percentage can hold; the rest is not parsed as one.
 _NUMBER_CHARACTERS = r"^(?:[0-9eE+\-.,€$£/%]|" + K.WS + r")+$"
+_PLAIN_NUMBER_CHARACTERS = r"^[0-9eE+\-.,€$£/% ]+$"
 # Marks of a sample: where in the row order the first value of a kind stands.
 _OTHER, _SHORT, _LETTER = "other", "short", "letter"
 _MARKS = (_OTHER, _SHORT, _LETTER)
@@ -204,9 +206,9 @@ def read_columns(
 ) -> dict[str, Reading]:
     """Readings of text columns, and presence and whole values of `others`: one scan.
 
-    The aggregate is over (column, denominator of a grade), then over columns, so the common
-    scale of a column of grades comes from it too. With `squeeze`, decisions are taken on
-    white-space-cleaned text and the changes of that treatment are counted along the way.
+    The aggregate is over (column, denominator of a grade, all that a cell is), then over columns,
+    so the common scale of a column of grades comes from it too. With `squeeze`, decisions are
+    taken on white-space-cleaned text and the changes of that treatment are counted along the way.
     Values that share a row key count as standing together.
     """
     columns, others = list(columns), list(others)
@@ -226,11 +228,14 @@ def read_columns(
         for c in others
     ]
     raw, v, text = F.col("raw"), F.col("value"), F.col("text")
-    long = df.select((key if key is not None else none.cast("long")).alias("at"), F.inline(F.array(*cells)))
+    row_key = (key if key is not None else none.cast("long")).alias("at")
+    long = df.select(row_key, F.inline(F.array(*cells)))
     long = long.select(
         "at", "column", "raw", "held", "there", (squeeze_whitespace(raw) if squeeze else strip(raw)).alias("value")
     )
-    number = F.when(v.rlike(_NUMBER_CHARACTERS), v)
+    number_like = v.rlike(_PLAIN_NUMBER_CHARACTERS) | (v.rlike("[^ -~]") & v.rlike(_NUMBER_CHARACTERS))
+    long = long.withColumn("chars", F.when(number_like, v))
+    number = F.col("chars")
     parsed = long.select(
         "at", "column", "raw", "held", "there", "value",
         to_timestamp(v, bounded).alias("ts"),
@@ -245,29 +250,38 @@ def read_columns(
     number, ts, significant, at = F.col("number"), F.col("ts"), F.col("significant"), F.col("at")
     exponent, whole = is_exponent_text(text), is_whole(number)
     sums = {
-        "rows": F.count("*"),
-        "present": count_where(F.col("there")),
-        "spaces": count_where(raw != v),
-        "case": count_where(changes_when_lowered(v)),
-        "dates": F.count("ts"),
-        "lost_dates": count_where(significant & ts.isNull()),
-        "codes": count_where(F.col("code")),
-        "numbers": F.count("number"),
-        "whole": count_where(whole),
-        "exponents": count_where(exponent),
-        "whole_exponents": count_where(exponent & whole),
-        "marks": count_where(v.contains("/") | v.contains("%")),
-        "grades": count_where(F.col("den") != 0),
-        "lost_numbers": count_where(significant & number.isNull()),
-        "held_whole": count_where(is_whole(F.col("held"))),
-        **{m: count_where(F.col(m)) for m in _MARKS},
+        "present": F.col("there"),
+        "text": v.isNotNull(),
+        "spaces": raw != v,
+        "case": changes_when_lowered(v),
+        "dates": ts.isNotNull(),
+        "lost_dates": significant & ts.isNull(),
+        "codes": F.col("code"),
+        "numbers": number.isNotNull(),
+        "whole": whole,
+        "exponents": exponent,
+        "whole_exponents": exponent & whole,
+        "marks": v.contains("/") | v.contains("%"),
+        "grades": F.col("den") != 0,
+        "lost_numbers": significant & number.isNull(),
+        "held_whole": is_whole(F.col("held")),
+        **{m: F.col(m) for m in _MARKS},
     }
+    # Cells are grouped by all they are at once, some tens of combinations a column, so a cell
+    # costs one count and one minimum however much is counted.
+    bits = {name: 1 << i for i, name in enumerate(sums)}
+    flags = reduce(Column.__add__, [F.when(cond, bits[n]).otherwise(0) for n, cond in sums.items()])
+    alike = parsed.select("column", "den", flags.alias("flags"), "at").groupBy("column", "den", "flags").agg(
+        F.count("*").alias("rows"), F.min("at").alias("at"), F.bool_or(at.isNull()).alias("keyless")
+    )
+    holds = lambda name: F.col("flags").bitwiseAND(bits[name]) != 0
+    sums = {"rows": F.sum("rows"), **{n: F.coalesce(F.sum(F.when(holds(n), F.col("rows"))), F.lit(0)) for n in bits}}
     # A null key comes before all others: a mark there has nothing before it.
-    marks = {"present": v.isNotNull(), **{m: F.col(m) for m in _MARKS}}
-    lows = {f"first_{m}": F.min(F.when(cond, at)) for m, cond in marks.items()}
-    nulls = {f"null_{m}": F.bool_or(cond & at.isNull()) for m, cond in marks.items()}
+    marks = {"present": holds("text"), **{m: holds(m) for m in _MARKS}}
+    lows = {f"first_{m}": F.min(F.when(cond, F.col("at"))) for m, cond in marks.items()}
+    nulls = {f"null_{m}": F.bool_or(cond & F.col("keyless")) for m, cond in marks.items()}
     every = {**sums, **lows, **nulls}
-    per_scale = parsed.groupBy("column", "den").agg(*[e.alias(n) for n, e in every.items()])
+    per_scale = alike.groupBy("column", "den").agg(*[e.alias(n) for n, e in every.items()])
     scale, n_scale = F.when(F.col("den") != 0, F.col("den")), F.col("rows")
     rows = per_scale.groupBy("column").agg(
         *[F.sum(n).alias(n) for n in sums], *[F.min(n).alias(n) for n in lows], *[F.bool_or(n).alias(n) for n in nulls],
@@ -341,9 +355,9 @@ def _whole_on_scale(df: DataFrame, plans: Mapping[str, Conversion]) -> dict[str,
     """Whether all grades of a column are whole on its common scale."""
     metrics = {}
     for c, p in plans.items():
-        value = to_double(strip(ref(c)), p.scale, p.exponents)
+        value = to_double(ref(c), p.scale, p.exponents)
         metrics[c, "n"], metrics[c, "whole"] = F.count(value), count_where(is_whole(value))
-    found = collect_metrics(df, metrics) if metrics else {}
+    found = collect_metrics(trimmed(df, plans), metrics) if metrics else {}
     return {c: found[c, "n"] == found[c, "whole"] for c in plans}
 
 
