@@ -56,9 +56,6 @@ def _one_of(ranges) -> str:
 WS = _one_of(WS_RANGES)
 WS_NOT_SPACE = _one_of((first, last - (last == 0x20)) for first, last in WS_RANGES)
 
-# The ASCII ones other than the plain space, one by one.
-ASCII_WS_PROBES = tuple(c for c in WS_CHARS if ord(c) < 128 and c != " ")
-
 # Patterns, in Java syntax.
 CODE_PATTERN = r"^[+-]?0\d(?:\d|" + WS + r")*$"
 GRADE_PATTERN = r"^([+-]?\d+(?:[.,]\d+)?)" + WS + r"*/" + WS + r"*(\d+(?:[.,]\d+)?)$"
