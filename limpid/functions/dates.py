@@ -8,6 +8,8 @@ a chain of format parsers would do.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 _TIME = r"\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?"
@@ -45,8 +47,9 @@ NAMED_MONTH_FIRST = r"^" + _NAME + r" (\d{1,2}),? (\d{4})$"
 _OPENING = (
     r"^(?:\d{1,4}[/.-]\d{1,2}[/.-]\d|\d{1,2}[ -][a-zA-Z]{3}|[a-zA-Z]{3,9}\.? \d)"
 )
-# No accepted shape is longer, so longer text is refused before any pattern runs.
-LONGEST = 40
+# No accepted shape is shorter or longer or without a mark, so other text is refused before any pattern runs.
+SHORTEST, LONGEST = 6, 40
+_MARKS = ("/", "-", ".", " ")
 
 
 def _named(t: Column, pattern: str, year: int, month: int, day: int) -> Column:
@@ -79,4 +82,5 @@ def iso_text(t: Column) -> Column:
 def to_timestamp(t: Column, bounded: bool = True) -> Column:
     """Timestamp held by a trimmed text, or NULL; with `bounded`, in a plausible year."""
     iso = F.regexp_extract(iso_text(t), ISO_PLAUSIBLE_YEAR if bounded else ISO_ANY_YEAR, 0)
-    return F.when((F.length(t) <= LONGEST) & t.rlike(_OPENING), iso.try_cast("timestamp_ntz"))
+    marked = reduce(Column.__or__, [t.contains(m) for m in _MARKS])
+    return F.when(F.length(t).between(SHORTEST, LONGEST) & marked & t.rlike(_OPENING), iso.try_cast("timestamp_ntz"))

@@ -16,6 +16,7 @@ from limpid.operators.schema import ref
 from limpid.storage import materialised
 
 FINGERPRINT = "__fingerprint"
+REMOVED = "__removed"
 # Repeated hashes sent to every executor: 8 bytes each, so 16 MB at most.
 BROADCAST_FINGERPRINTS = 2_000_000
 
@@ -47,7 +48,17 @@ def remove_duplicates(
     row: str | None = None,
     broadcast_limit: int = BROADCAST_FINGERPRINTS,
 ) -> tuple[DataFrame, int]:
-    """One row per group of identical rows, and how many rows went away.
+    """One row per group of identical rows, and how many rows went away."""
+    return without_duplicates(df, row, broadcast_limit)[:2]
+
+
+def without_duplicates(
+    df: DataFrame,
+    row: str | None = None,
+    broadcast_limit: int = BROADCAST_FINGERPRINTS,
+) -> tuple[DataFrame, int, DataFrame | None]:
+    """One row per group of identical rows, how many rows went away, and what they were: each such
+    row once with the number (`REMOVED`) of its removed copies, or None where the whole table was grouped.
 
     `df` may already carry a `FINGERPRINT` column; then the search reads that column
     only. No repeated hash: nothing moves. Few: the candidate rows alone are
@@ -60,16 +71,17 @@ def remove_duplicates(
         df = df.withColumn(FINGERPRINT, fingerprint(columns))
     repeated, n_groups, n_rows = _repeated(df)
     if not n_groups:
-        return df.select(*[ref(c) for c in kept]), 0
+        return df.select(*[ref(c) for c in kept]), 0, None
     if n_groups > broadcast_limit:
         unique = materialised(unique_rows(df, columns, row), "unique")
-        return unique.select(*[ref(c) for c in kept]), df.count() - unique.count()
+        return unique.select(*[ref(c) for c in kept]), df.count() - unique.count(), None
     small = F.broadcast(repeated.select(FINGERPRINT))
+    copies = df.join(small, FINGERPRINT, "left_semi").groupBy(*[ref(c) for c in columns])
     unique = materialised(
-        unique_rows(df.join(small, FINGERPRINT, "left_semi"), columns, row), "unique"
-    ).select(*[ref(c) for c in kept])
+        copies.agg((F.count("*") - 1).alias(REMOVED), *([F.min(row).alias(row)] if row else [])), "unique"
+    )
     alone = df.join(small, FINGERPRINT, "left_anti").select(*[ref(c) for c in kept])
-    return alone.unionByName(unique), n_rows - unique.count()
+    return alone.unionByName(unique.select(*[ref(c) for c in kept])), n_rows - unique.count(), unique
 
 
 def drop_duplicates(df: DataFrame, row: str | None = None) -> tuple[DataFrame, int]:

@@ -15,7 +15,7 @@ from limpid.functions.numbers import (
     number_text, to_double, to_long,
 )
 from limpid.functions.text import (
-    changes_when_lowered, has_ascii_letter, is_code, is_short_code, is_significant,
+    changes_when_lowered, has_ascii_letter, has_special_space, is_code, is_short_code, is_significant,
     squeeze_whitespace, strip,
 )
 from limpid.operators.aggregate import collect_metrics, count_where, small_table
@@ -137,10 +137,18 @@ def dominant_scales(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # What a cell of a number, amount, grade or percentage can hold; the rest is not parsed as one.
 _NUMBER_CHARACTERS = r"^(?:[0-9eE+\-.,€$£/%]|" + K.WS + r")+$"
-_PLAIN_NUMBER_CHARACTERS = r"^[0-9eE+\-.,€$£/% ]+$"
+# Without ranges, which a regular expression tests one by one.
+_PLAIN_NUMBER_CHARACTERS = r"^[0123456789eE+\-.,$£/% €]+$"
 # Marks of a sample: where in the row order the first value of a kind stands.
 _OTHER, _SHORT, _LETTER = "other", "short", "letter"
 _MARKS = (_OTHER, _SHORT, _LETTER)
+# What a reading says of grades, which copies cannot be subtracted from.
+_SCALED = ("scale", "on_scale")
+# What a scan tells of a cell, as bits of a number.
+_COUNTED = (
+    "present", "text", "spaces", "case", "dates", "lost", "codes", "numbers", "whole", "exponents", "marks", "grades",
+    "held_whole", *_MARKS,
+)
 
 
 @dataclass
@@ -203,9 +211,12 @@ def read_columns(
     squeeze: bool = False,
     bounded: bool = True,
     others: Sequence[str] = (),
+    weight: str | None = None,
 ) -> dict[str, Reading]:
     """Readings of text columns, and presence and whole values of `others`: one scan.
 
+    With `weight`, a row counts as often as that column says.
+
     The aggregate is over (column, denominator of a grade, all that a cell is), then over columns,
     so the common scale of a column of grades comes from it too. With `squeeze`, decisions are
     taken on white-space-cleaned text and the changes of that treatment are counted along the way.
@@ -217,65 +228,67 @@ def read_columns(
     key = _row_key(df, order_by)
     floats = set(float_columns(df))
     none = F.lit(None)
+    bits = {name: 1 << i for i, name in enumerate(_COUNTED)}
+    marked = lambda tests: reduce(
+        Column.bitwiseOR, [F.when(cond, bits[n]).otherwise(0) for n, cond in tests.items()]
+    )
+    # A cell goes by its column's place, its text, and what is known of a value that is no text.
+    names = [*columns, *others]
+    seen = lambda c: {"present": ref(c).isNotNull(), **({"held_whole": is_whole(ref(c).cast("double"))} if c in floats else {})}
     cells = [
-        F.struct(F.lit(c).alias("column"), ref(c).alias("raw"), none.cast("double").alias("held"), ref(c).isNotNull().alias("there"))
-        for c in columns
-    ] + [
         F.struct(
-            F.lit(c).alias("column"), none.cast("string").alias("raw"),
-            (ref(c).cast("double") if c in floats else none.cast("double")).alias("held"), ref(c).isNotNull().alias("there"),
+            F.lit(i).alias("column"), (ref(c) if i < len(columns) else none.cast("string")).alias("raw"),
+            (F.lit(0) if i < len(columns) else marked(seen(c))).alias("flags"),
         )
-        for c in others
+        for i, c in enumerate(names)
     ]
-    raw, v, text = F.col("raw"), F.col("value"), F.col("text")
+    raw, v, text, at, flags = F.col("raw"), F.col("value"), F.col("text"), F.col("at"), F.col("flags")
     row_key = (key if key is not None else none.cast("long")).alias("at")
-    long = df.select(row_key, F.inline(F.array(*cells)))
-    long = long.select(
-        "at", "column", "raw", "held", "there", (squeeze_whitespace(raw) if squeeze else strip(raw)).alias("value")
-    )
-    number_like = v.rlike(_PLAIN_NUMBER_CHARACTERS) | (v.rlike("[^ -~]") & v.rlike(_NUMBER_CHARACTERS))
+    weighed = [] if weight is None else [ref(weight).alias("weight")]
+    carried = ["at", "column", *(["weight"] if weighed else [])]
+    long = df.select(row_key, *weighed, F.inline(F.array(*cells)))
+    # Each step hands on one text at most, as every step copies what it hands on.
+    clean = squeeze_whitespace(raw) if squeeze else strip(raw)
+    long = long.select(*carried, clean.alias("value"), flags.bitwiseOR(marked({"spaces": raw != clean})).alias("flags"))
+    number_like = v.rlike(_PLAIN_NUMBER_CHARACTERS) | (has_special_space(v) & v.rlike(_NUMBER_CHARACTERS))
     long = long.withColumn("chars", F.when(number_like, v))
     number = F.col("chars")
-    parsed = long.select(
-        "at", "column", "raw", "held", "there", "value",
-        to_timestamp(v, bounded).alias("ts"),
-        is_significant(v).alias("significant"),
-        number_text(number).alias("text"),
-        grade_denominator(number).alias("den"),
-        is_code(number).alias("code"),
-        (~looks_numeric(v)).alias(_OTHER),
-        is_short_code(v).alias(_SHORT),
-        has_ascii_letter(v).alias(_LETTER),
-    ).withColumn("number", text.try_cast("double"))
-    number, ts, significant, at = F.col("number"), F.col("ts"), F.col("significant"), F.col("at")
-    exponent, whole = is_exponent_text(text), is_whole(number)
-    sums = {
-        "present": F.col("there"),
+    # Letters of a number are those of its exponent, and a text of other characters looks like a
+    # number only through a semicolon or by being empty.
+    lettered = number.isNull() | v.contains("e") | v.contains("E")
+    may_look_numeric = number.isNotNull() | v.contains(";") | (v == "")
+    of_value = {
+        "present": v.isNotNull(),
         "text": v.isNotNull(),
-        "spaces": raw != v,
-        "case": changes_when_lowered(v),
-        "dates": ts.isNotNull(),
-        "lost_dates": significant & ts.isNull(),
-        "codes": F.col("code"),
-        "numbers": number.isNotNull(),
-        "whole": whole,
-        "exponents": exponent,
-        "whole_exponents": exponent & whole,
+        "case": lettered & changes_when_lowered(v),
+        "dates": to_timestamp(v, bounded).isNotNull(),
+        "lost": is_significant(v),
+        "codes": is_code(number),
         "marks": v.contains("/") | v.contains("%"),
-        "grades": F.col("den") != 0,
-        "lost_numbers": significant & number.isNull(),
-        "held_whole": is_whole(F.col("held")),
-        **{m: F.col(m) for m in _MARKS},
+        _OTHER: ~(may_look_numeric & looks_numeric(v)),
+        _SHORT: lettered & is_short_code(v),
+        _LETTER: lettered & has_ascii_letter(v),
     }
+    parsed = long.select(
+        *carried, number_text(number).alias("text"), grade_denominator(number).alias("den"),
+        flags.bitwiseOR(marked(of_value)).alias("flags"),
+    ).withColumn("number", text.try_cast("double"))
+    number = F.col("number")
+    exponent = is_exponent_text(text)
+    of_number = {"numbers": number.isNotNull(), "whole": is_whole(number), "exponents": exponent, "grades": F.col("den") != 0}
     # Cells are grouped by all they are at once, some tens of combinations a column, so a cell
     # costs one count and one minimum however much is counted.
-    bits = {name: 1 << i for i, name in enumerate(sums)}
-    flags = reduce(Column.__add__, [F.when(cond, bits[n]).otherwise(0) for n, cond in sums.items()])
-    alike = parsed.select("column", "den", flags.alias("flags"), "at").groupBy("column", "den", "flags").agg(
-        F.count("*").alias("rows"), F.min("at").alias("at"), F.bool_or(at.isNull()).alias("keyless")
+    known = parsed.select(*carried, "den", flags.bitwiseOR(marked(of_number)).alias("flags"))
+    alike = known.groupBy("column", "den", "flags").agg(
+        (F.sum("weight") if weighed else F.count("*")).alias("rows"), F.min("at").alias("at"), F.bool_or(at.isNull()).alias("keyless")
     )
-    holds = lambda name: F.col("flags").bitwiseAND(bits[name]) != 0
-    sums = {"rows": F.sum("rows"), **{n: F.coalesce(F.sum(F.when(holds(n), F.col("rows"))), F.lit(0)) for n in bits}}
+    has = lambda name: flags.bitwiseAND(bits[name]) != 0
+    joint = {
+        "lost_dates": has("lost") & ~has("dates"), "lost_numbers": has("lost") & ~has("numbers"),
+        "whole_exponents": has("exponents") & has("whole"),
+    }
+    holds = lambda name: joint[name] if name in joint else has(name)
+    sums = {"rows": F.sum("rows"), **{n: F.coalesce(F.sum(F.when(holds(n), F.col("rows"))), F.lit(0)) for n in (*bits, *joint)}}
     # A null key comes before all others: a mark there has nothing before it.
     marks = {"present": holds("text"), **{m: holds(m) for m in _MARKS}}
     lows = {f"first_{m}": F.min(F.when(cond, F.col("at"))) for m, cond in marks.items()}
@@ -292,7 +305,7 @@ def read_columns(
         counts = {n: r[n] for n in sums}
         counts["scale"], counts["on_scale"] = (r["scale"]["scale"], r["scale"]["n"]) if r["scale"] else (None, 0)
         first = {m: None if r[f"null_{m}"] else r[f"first_{m}"] for m in marks}
-        found[r["column"]] = Reading(counts, first, {})
+        found[names[r["column"]]] = Reading(counts, first, {})
     nothing = {**dict.fromkeys(sums, 0), "scale": None, "on_scale": 0}
     out = {c: found.get(c, Reading(nothing, dict.fromkeys(marks), {})) for c in [*columns, *others]}
     if key is None and columns:
@@ -300,6 +313,36 @@ def read_columns(
     return out
 
 
+def presence(df: DataFrame, columns: Sequence[str]) -> dict[str, Reading]:
+    """What `read_columns` tells of columns that are no text, from a scan of those alone."""
+    floats = set(float_columns(df))
+    metrics = {("", "rows"): F.count("*")}
+    for c in columns:
+        metrics[c, "present"] = F.count(ref(c))
+        if c in floats:
+            metrics[c, "held_whole"] = count_where(is_whole(ref(c)))
+    m = collect_metrics(df, metrics)
+    return {
+        c: Reading({"rows": m["", "rows"], "present": m[c, "present"], "held_whole": m.get((c, "held_whole"), 0)}, {}, {})
+        for c in columns
+    }
+
+
+def fixed_keys(df: DataFrame, order_by: str | None) -> bool:
+    """Row order is by a column whose smallest values `read_columns` keeps."""
+    return _row_key(df, order_by) is not None
+
+
+def less_copies(readings: Mapping[str, Reading], copies: DataFrame, weight: str, order_by: str | None) -> dict[str, Reading]:
+    """Readings of squeezed text columns once copies of rows that stay are gone, `weight` of each row
+    of `copies`. No first value changes, as the first of equal rows stays; ranks are open again."""
+    gone = read_columns(copies, list(readings), order_by, squeeze=True, weight=weight)
+    return {
+        c: Reading({**{n: k - gone[c][n] for n, k in r.counts.items() if n not in _SCALED}, "scale": None, "on_scale": 0, "spaces": 0}, r.first, {})
+        for c, r in readings.items()
+    }
+
+
 def _settle_by_sample(df, columns, readings, order_by, squeeze) -> None:
     """Row keys of variable width: ranks come from the sample itself."""
     if squeeze:
@@ -448,14 +491,15 @@ def _short_number(v: Column) -> Column:
     return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
-def _shown(plans: Mapping[str, Conversion], kinds: Sequence[str], raw, value) -> list[tuple[str, str, Column]]:
+def _shown(plans: Mapping[str, Conversion], kinds: Sequence[str], raw, value, result=None) -> list[tuple[str, str, Column]]:
     """(kind, column, text) of what a conversion blanks or rescales; null for other cells.
-    `raw` and `value` give a column's text as it was, and trimmed."""
+    `raw` and `value` give a column's text as it was, and trimmed; `result` what it became, if known."""
+    result = result or (lambda c: plans[c].apply(value(c)))
     shown = []
     for c, p in plans.items():
         v = value(c)
         if LOST in kinds:
-            shown.append((LOST, c, F.when(is_significant(v) & p.apply(v).isNull(), raw(c))))
+            shown.append((LOST, c, F.when(result(c).isNull() & is_significant(v), raw(c))))
         if RESCALED in kinds and p.scale is not None and p.kind != "timestamp_ntz":
             line = F.concat(v, F.lit(" → "), _short_number(grade_value(v, p.scale)))
             shown.append((RESCALED, c, F.when(is_rescaled_grade(v, p.scale), F.translate(line, ".", ","))))
@@ -468,12 +512,23 @@ def _structs(at: Column, shown: list[tuple[str, str, Column]]) -> Column:
     )
 
 
-def change_column(plans: Mapping[str, Conversion], at: Column) -> Column | None:
-    """What the conversions of one row blank or rescale, for a column beside their results: an
-    array of (at, kind, column, value), empty for most rows. Texts are already squeezed."""
+def with_changes(df: DataFrame, plans: Mapping[str, Conversion], at: str, was: Mapping[str, str], name: str) -> DataFrame:
+    """Beside a table of conversions' results, a column `name` of what they blank or rescale in the
+    row: an array of (at, kind, column, value), null for most rows. `was` names the columns that
+    hold the squeezed texts; they go out, and so does `at`, which holds the row's key."""
     plans = {c: p for c, p in plans.items() if p.n_lost or p.n_rescaled}
-    shown = _shown(plans, (LOST, RESCALED), ref, ref)
-    return F.filter(_structs(at, shown), lambda x: x["value"].isNotNull()) if shown else None
+    raw = lambda c: ref(was[c])
+    shown = _shown(plans, (LOST, RESCALED), raw, raw, ref)
+    kept = [c for c in df.columns if c not in {at, *was.values()}]
+    if not shown:
+        return df.select(*[ref(c) for c in kept])
+    places = [f"{name}{i}" for i in range(len(shown))]
+    # In a projection of their own, so that no text is read twice or out of generated code.
+    said = df.select(*[ref(c) for c in kept], ref(at), *[v.alias(n) for n, (_, _, v) in zip(places, shown)])
+    cells = _structs(ref(at), [(k, c, ref(n)) for n, (k, c, _) in zip(places, shown)])
+    some = F.coalesce(*[ref(n) for n in places]).isNotNull()
+    changes = F.when(some, F.filter(cells, lambda x: x["value"].isNotNull()))
+    return said.select(*[ref(c) for c in kept], changes.alias(name))
 
 
 def _changed_cells(

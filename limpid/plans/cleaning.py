@@ -17,14 +17,15 @@ from limpid import constants as K
 from limpid.functions.numbers import is_whole
 from limpid.functions.text import lower_guarded, squeeze_whitespace
 from limpid.operators.aggregate import count_where
-from limpid.operators.duplicates import FINGERPRINT, fingerprint, remove_duplicates
+from limpid.operators.duplicates import FINGERPRINT, REMOVED, fingerprint, without_duplicates
 from limpid.operators.fill import Fill, fill, fit_fills
 from limpid.operators.outliers import clip_limits, clipped, count_outside, iqr_bounds
 from limpid.operators.schema import (
     chosen, float_columns, nan_to_null, numeric_columns, ref, text_columns,
 )
 from limpid.operators.typing import (
-    Conversion, change_column, fit_conversions, on_a_scale, read_columns, settle_samples,
+    Conversion, Reading, fit_conversions, fixed_keys, less_copies, on_a_scale, presence, read_columns,
+    settle_samples, with_changes,
 )
 from limpid.options import CleaningOptions, decide
 from limpid.session import tune
@@ -83,8 +84,12 @@ class Pass:
             elif c in self.integers and c not in texts:
                 v = v.cast("bigint")
             out.append(v.alias(c))
-        said = change_column(self.conversions, ref(at)) if changes and at in kept else None
-        return spaced.select(*out, *([] if said is None else [said.alias(changes)]))
+        if not changes or at not in kept:
+            return spaced.select(*out)
+        was = {c: f"{changes}_was_{c}" for c in kept if c in texts and c in self.conversions}
+        key = f"{changes}_at"
+        beside = spaced.select(*out, ref(at).alias(key), *[ref(c).alias(n) for c, n in was.items()])
+        return with_changes(beside, self.conversions, key, was, changes)
 
 
 @dataclass
@@ -162,19 +167,29 @@ def _schema(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema]
 
 
-def fit_pass(df: DataFrame, options: CleaningOptions) -> Pass:
+def fit_pass(
+    df: DataFrame, options: CleaningOptions, known: Mapping[str, Reading] | None = None
+) -> tuple[Pass, dict[str, Reading]]:
     """Decide one pass in one scan of all columns, and a look at the first rows where a sample is
-    still open. Columns of grades are double until the pass has been written."""
+    still open. Columns of grades are double until the pass has been written.
+
+    After the first pass the table is stored with its types, and `known` readings of text columns are
+    not taken again: the text left is scanned by itself, and the other columns are counted in place."""
     texts = text_columns(df)
     floats = float_columns(df)
     others = [c for c in _data_columns(df) if c not in set(texts)]
     order_by = options.order_by or ROW
     # A constant column counts the rows of a table of any width.
-    read = read_columns(df.withColumn(_ALL, F.lit(True)), texts, order_by, squeeze=True, others=[*others, _ALL])
+    marked = df.withColumn(_ALL, F.lit(True))
+    if known is None:
+        read = read_columns(marked, texts, order_by, squeeze=True, others=[*others, _ALL])
+    else:
+        fresh = [c for c in texts if c not in known]
+        read = {**known, **read_columns(df, fresh, order_by, squeeze=True), **presence(marked, [*others, _ALL])}
     rows = read[_ALL]["rows"]
     out = Pass(n_rows=rows)
     if not rows:
-        return out
+        return out, {}
     rate = options.full_scan_rate if options.full_scan else None
     cased = chosen(texts, options.case_columns or None)
     out.whitespace = {c: read[c]["spaces"] for c in texts if read[c]["spaces"]}
@@ -192,7 +207,16 @@ def fit_pass(df: DataFrame, options: CleaningOptions) -> Pass:
         for c in cased
         if c not in out.conversions and c not in gone and read[c]["case"] and read[c].allows_lowering(rate)
     }
-    return out
+    return out, {c: read[c] for c in texts}
+
+
+def _still_known(p: Pass, read: Mapping[str, Reading], order_by: str | None) -> dict[str, Reading]:
+    """Readings that hold for the text of the pass's result as well, rows aside: of columns that it
+    only freed of white space. None hold where the pass may have changed the order of rows."""
+    if order_by in {*p.conversions, *p.integers, *p.lowered, *p.dropped, *p.whitespace}:
+        return {}
+    changed = {*p.conversions, *p.dropped, *p.lowered}
+    return {c: r for c, r in read.items() if c not in changed and not r["grades"]}
 
 
 def _written(typed: DataFrame, conversions: dict[str, Conversion]) -> tuple[DataFrame, dict[str, Conversion]]:
@@ -223,13 +247,15 @@ def fit_cleaning(df: DataFrame, options: CleaningOptions | None = None) -> Clean
         current = current.withColumn(ROW, F.monotonically_increasing_id())
     passes: list[Pass] = []
     changed_cells: list[DataFrame | None] = []
+    known = None
     for _ in range(options.max_passes):
-        p = fit_pass(current, options)
+        p, read = fit_pass(current, options, known)
         passes.append(p)
         changed_cells.append(None)
         if len(passes) > 1 and not p.changes:
             break
         changed = p.changes
+        keyed = fixed_keys(current, options.order_by or ROW)
         current = p.project(current, CHANGES, options.order_by or ROW)
         current = current.withColumn(FINGERPRINT, fingerprint(_data_columns(current)))
         if changed:
@@ -241,9 +267,11 @@ def fit_cleaning(df: DataFrame, options: CleaningOptions | None = None) -> Clean
                 changed_cells[-1] = current.select(F.inline(CHANGES))
                 current = current.drop(CHANGES)
         row = ROW if options.order_by is None else None
-        current, p.duplicates = remove_duplicates(current, row)
+        current, p.duplicates, copies = without_duplicates(current, row)
         if not p.duplicates:
             break
+        kept = _still_known(p, read, options.order_by) if keyed and copies is not None else {}
+        known = less_copies(kept, copies, REMOVED, options.order_by or ROW) if kept else {}
     current = current.select(*[ref(c) for c in _data_columns(current)])
     rows_before = passes[0].n_rows
     rows_after = rows_before - sum(p.duplicates for p in passes)

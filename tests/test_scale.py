@@ -1,11 +1,19 @@
 """Scans whose tasks and cost follow the rows."""
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from limpid import storage
+from limpid import constants as K, storage
 from limpid.functions import dates
+from limpid.functions.numbers import looks_numeric
+from limpid.functions.text import (
+    changes_when_lowered, has_ascii_letter, has_special_space, is_short_code, squeeze_whitespace, strip,
+)
+from limpid.operators import typing
+from limpid.operators.aggregate import count_where
+from limpid.plans import cleaning
 
 
 def test_packed_file_is_dealt_by_rows(spark, tmp_path, monkeypatch):
@@ -22,3 +30,55 @@ def test_month_first_with_short_year(column):
     df = column(["12/25/97", "12/13/20", "25/12/97"]).orderBy("n")
     read = [r.v for r in df.select(dates.to_timestamp(F.col("v")).alias("v")).collect()]
     assert read == [datetime(1997, 12, 25), datetime(2020, 12, 13), datetime(1997, 12, 25)]
+
+
+def test_first_looks_change_no_text(column):
+    """Amounts and accents pass the first look; all white space still meets the full pattern."""
+    odd = ["1 234,50 €", "é è", "", " ", "a\tb", "a\x1cb ", " 12,5 €", "a  b", "x　", "£5\u0085", "a  b", "\x01a"]
+    df = column(odd)
+    found = df.select("v", squeeze_whitespace(F.col("v")).alias("s"), strip(F.col("v")).alias("t"), has_special_space(F.col("v")).alias("k")).collect()
+    other = set(K.WS_CHARS) - {" "}
+    for r in found:
+        assert r.s == re.sub(f"[{K.WS_CHARS}]{{2,}}|[{''.join(sorted(other))}]", " ", r.v).strip(" ")
+        assert r.t == r.v.strip(K.WS_CHARS)
+        assert r.k or not other & set(r.v)
+    assert not next(r.k for r in found if r.v == "1 234,50 €")
+
+
+def test_lettered_numbers_keep_their_marks(column):
+    """Tests skipped on cells of number characters give what they give on every cell."""
+    odd = ["1e5", "1E5", "12;5", ";", "", "5 €", "a1", "12.5", "€", "e", "4/5", "1é", "٣a", "12/05/20", "1/1/97", "97-1-1", "n/a"]
+    got = typing.read_columns(column(odd), ["v"], "n")["v"]
+    v = F.col("v")
+    one = column(odd).select(
+        count_where(~looks_numeric(v)).alias("other"), count_where(is_short_code(v)).alias("short"),
+        count_where(has_ascii_letter(v)).alias("letter"), count_where(changes_when_lowered(v)).alias("case"),
+    ).first()
+    assert {n: got[n] for n in one.asDict()} == one.asDict()
+    assert got["dates"] == 3
+
+
+def test_second_pass_reads_only_new_text(spark, monkeypatch):
+    """Readings of text that a pass left alone stand, less those of the copies that went away."""
+    rows = [(i, f"code {i % 7}", "Ab" if i % 3 else "ab", f"{i % 11},5 €" if i % 2 else "dear", None if i % 5 else f"{i}x") for i in range(300)]
+    df = spark.createDataFrame(rows + rows[::4] + rows[:9], "id long, same string, case string, mixed string, gap string")
+    read, taken, asked = typing.read_columns, [], []
+
+    def reading(table, columns, *args, **options):
+        taken.append((list(columns), "weight" in options))
+        return read(table, columns, *args, **options)
+
+    fit = cleaning.fit_pass
+
+    def fitting(table, options, known=None):
+        if known:
+            fresh = read(table, list(known), "id", squeeze=True)
+            asked.append({c: (dict(r.counts), dict(r.first)) == (dict(fresh[c].counts), dict(fresh[c].first)) for c, r in known.items()})
+        return fit(table, options, known)
+
+    monkeypatch.setattr(cleaning, "read_columns", reading)
+    monkeypatch.setattr(cleaning, "fit_pass", fitting)
+    run = cleaning.fit_cleaning(df, cleaning.CleaningOptions(order_by="id"))
+    assert run.plan.rows_after == 300
+    assert taken[0][0] == ["same", "case", "mixed", "gap"] and taken[1][0] == ["case"]
+    assert asked == [{"same": True, "mixed": True, "gap": True}]
