@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from limpid import constants as K
 from limpid.functions.text import strip
-from limpid.operators.aggregate import percent
+from limpid.operators.aggregate import percent, small_table
 from limpid.operators.sampling import first_n_per_group
 from limpid.operators.schema import ref, text_columns
 
@@ -117,31 +117,25 @@ def modes(counts: DataFrame) -> DataFrame:
 def format_anomalies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per text column: stray edge spaces, and case variations.
 
-    The case flag needs one mixed-case value and one lowercased value seen twice;
-    it brings the space message with it. Grouping directly by the lowercased value
-    gives both flags from a single shuffle, of digests where values are long.
+    The case flag needs one mixed-case value and one lowercased value seen twice; it brings the
+    space message with it. One scan without a shuffle of values tells stray spaces and mixed case;
+    only columns with a mixed-case value are grouped by lowercased value, by digest where it is long.
     """
     columns = text_columns(df) if columns is None else list(columns)
     v = F.col("value")
     mixed = (v != F.lower(v)) & (v != F.upper(v))
-    grouped = (
-        unpivoted(df, columns)
-        .filter(v.isNotNull())
-        .groupBy("column", _short(F.lower(v)).alias("low"))
-        .agg(
-            F.count("*").alias("n"),
-            F.max(F.when(v != strip(v), 1).otherwise(0)).alias("edge"),
-            F.max(F.when(mixed, 1).otherwise(0)).alias("mixed"),
-        )
-        .groupBy("column")
-        .agg(F.max("n").alias("n"), F.max("edge").alias("edge"), F.max("mixed").alias("mixed"))
-    )
-    case = (F.col("mixed") == 1) & (F.col("n") > 1)
-    return grouped.select(
-        "column",
-        ((F.col("edge") == 1) | case).alias("space_anomaly"),
-        case.alias("case_anomaly"),
-    )
+    cells = unpivoted(df, columns).filter(v.isNotNull())
+    flags = cells.groupBy("column").agg(
+        F.bool_or(v != strip(v)).alias("edge"), F.bool_or(mixed).alias("mixed")
+    ).collect()
+    cased = [r["column"] for r in flags if r["mixed"]]
+    repeated = set()
+    if cased:
+        lowered = unpivoted(df, cased).filter(v.isNotNull()).groupBy("column", _short(F.lower(v)).alias("low"))
+        twice = lowered.agg(F.count("*").alias("n")).filter("n > 1").select("column").distinct()
+        repeated = {r["column"] for r in twice.collect()}
+    rows = [(r["column"], r["edge"] or r["column"] in repeated, r["column"] in repeated) for r in flags]
+    return small_table(df.sparkSession, rows, "column string, space_anomaly boolean, case_anomaly boolean")
 
 
 def case_targets(anomalies: DataFrame) -> DataFrame:
@@ -151,7 +145,6 @@ def case_targets(anomalies: DataFrame) -> DataFrame:
 
 def column_overview(df: DataFrame) -> DataFrame:
     """Type, missing values and distinct values of every column."""
-    from limpid.operators.aggregate import small_table
     from limpid.operators.schema import type_name
 
     types = small_table(

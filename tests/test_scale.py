@@ -11,7 +11,7 @@ from limpid.functions.numbers import looks_numeric
 from limpid.functions.text import (
     changes_when_lowered, has_ascii_letter, has_special_space, is_short_code, squeeze_whitespace, strip,
 )
-from limpid.operators import typing
+from limpid.operators import counts, typing
 from limpid.operators.aggregate import count_where
 from limpid.plans import cleaning
 
@@ -82,3 +82,15 @@ def test_second_pass_reads_only_new_text(spark, monkeypatch):
     assert run.plan.rows_after == 300
     assert taken[0][0] == ["same", "case", "mixed", "gap"] and taken[1][0] == ["case"]
     assert asked == [{"same": True, "mixed": True, "gap": True}]
+
+
+def test_format_anomalies_group_only_mixed_columns(spark, monkeypatch):
+    """Values are grouped only of columns where their case can matter."""
+    rows = [(f"R{i}", "Lille" if i % 2 else "LILLE", "ab " if i == 3 else "ab", f"One {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "ref string, city string, edge string, single string")
+    grouped = []
+    unpivoted = counts.unpivoted
+    monkeypatch.setattr(counts, "unpivoted", lambda df, columns: grouped.append(list(columns)) or unpivoted(df, columns))
+    found = {r["column"]: (r["space_anomaly"], r["case_anomaly"]) for r in counts.format_anomalies(df).collect()}
+    assert found == {"ref": (False, False), "city": (True, True), "edge": (True, False), "single": (False, False)}
+    assert [sorted(c) for c in grouped[1:]] == [["city", "single"]]
