@@ -330,12 +330,14 @@ def convert_dates(spark, sf):
 
 
 def clean_types(spark, sf):
-    return _doubles(typing.clean_types(dirty_orders(spark, sf), "id")[0])
+    d = _stored(spark, sf)
+    return _doubles(typing.clean_types(d, "id", repeated=typing.repetitive_columns(d, TEXTS))[0])
 
 
 def clean_types_full(spark, sf):
     """Shares of all values decide, at 0.95: a column with more oddities keeps its text."""
-    return _doubles(typing.clean_types(dirty_orders(spark, sf), "id", rate=0.95)[0])
+    d = _stored(spark, sf)
+    return _doubles(typing.clean_types(d, "id", rate=0.95, repeated=typing.repetitive_columns(d, TEXTS))[0])
 
 
 def recover_integers(spark, sf):

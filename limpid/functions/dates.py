@@ -64,9 +64,29 @@ def _full_year(t: Column) -> Column:
     return t
 
 
+def _two_digits_each(t: Column, year: Column) -> Column:
+    """Year-month-day order of two digits, a mark, two digits, a mark and a year, by the rules of `_REWRITES`;
+    compared as texts, since the strict pattern that follows refuses whatever is no digit."""
+    first, second = F.substring(t, 1, 2), F.substring(t, 4, 2)
+    month_first = first.between("01", "12") & second.between("13", "31")
+    return F.when(month_first, F.concat(year, F.lit("-"), first, F.lit("-"), second)).otherwise(
+        F.concat(year, F.lit("-"), second, F.lit("-"), first)
+    )
+
+
 def iso_text(t: Column) -> Column:
     """Year-month-day order of a trimmed date text; other text passes unchanged."""
-    out = F.when(t.rlike(_YEAR_FIRST), t)
+    # The usual shapes are told by their lengths and marks, and no pattern but the strict one reads them:
+    # no other shape has its marks there.
+    at = lambda n: F.substring(t, n, 1)
+    long, short, mark = F.length(t) == 10, F.length(t) == 8, at(3)
+    century = F.when(F.substring(t, 7, 2) >= "69", F.lit("19")).otherwise(F.lit("20"))
+    out = F.when(long & (at(5) == "-") & (at(8) == "-"), t)
+    out = out.when(long & mark.isin("/", "-", ".") & (mark == at(6)), _two_digits_each(t, F.substring(t, 7, 4)))
+    out = out.when(
+        short & mark.isin("/", "-") & (mark == at(6)), _two_digits_each(t, F.concat(century, F.substring(t, 7, 2)))
+    )
+    out = out.when(t.rlike(_YEAR_FIRST), t)
     for pattern, order in _REWRITES:
         rewritten = F.regexp_replace(t, pattern, order)
         if order.startswith("$4") and not order.endswith(" $5"):

@@ -112,21 +112,22 @@ def number_text(c: Column) -> Column:
 
     A percentage keeps its displayed number and a grade its numerator.
     """
-    # Each pattern is met only by cells that hold its marks; the others are plain replacements.
-    marked = amount_text(F.regexp_replace(c, K.MARKED_PATTERN, "$1"))
+    # Each pattern is met only by cells that hold its marks; the others are plain replacements. The number
+    # of a percentage or grade is a strict one, so it is not checked again.
+    marked = _point(_group(c, K.MARKED_PATTERN, 1))
     grouped, plain = decimal_point(_unsigned(c)), _point(_unsigned(c))
-    bare = F.when(c.contains("/") | c.contains("%"), marked).when(c.contains(".") & c.contains(","), grouped).otherwise(plain)
-    return strict_number_text(bare)
+    bare = F.when(c.contains(".") & c.contains(","), grouped).otherwise(plain)
+    return F.when(c.contains("/") | c.contains("%"), marked).otherwise(strict_number_text(bare))
 
 
-def is_exponent_text(number: Column) -> Column:
-    """A number text written with an exponent (``1e5``)."""
-    return number.rlike(K.EXPONENT_PATTERN)
+def has_exponent(c: Column) -> Column:
+    """Of a cell that spells a number: it is written with an exponent (``1e5``)."""
+    return c.contains("e") | c.contains("E")
 
 
 def _unscaled(c: Column, exponents: bool) -> Column:
     text = number_text(c)
-    return text if exponents else _group(text, K.PLAIN_DECIMAL_PATTERN, 0)
+    return text if exponents else F.when(~has_exponent(c), text)
 
 
 def to_double(c: Column, scale: float | None = None, exponents: bool = True) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from limpid import constants as K
 from limpid.functions.dates import to_timestamp
 from limpid.functions.numbers import (
-    grade_denominator, grade_value, is_exponent_text, is_rescaled_grade, is_whole, looks_numeric,
+    grade_denominator, grade_value, has_exponent, is_rescaled_grade, is_whole, looks_numeric,
     number_text, to_double, to_long,
 )
 from limpid.functions.text import (
@@ -21,7 +21,7 @@ from limpid.functions.text import (
 from limpid.operators.aggregate import collect_metrics, count_where, small_table
 from limpid.operators.counts import text_metrics, unpivoted
 from limpid.operators.sampling import first_n_per_group, first_present, with_order
-from limpid.operators.schema import float_columns, ref, text_columns
+from limpid.operators.schema import chosen, float_columns, ref, text_columns
 
 # Bits of a sampled value's code.
 NUMERIC_LOOK, SHORT_CODE, ASCII_LETTER = 1, 2, 4
@@ -136,9 +136,9 @@ def dominant_scales(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 # What a cell of a number, amount, grade or percentage can hold; the rest is not parsed as one.
-_NUMBER_CHARACTERS = r"^(?:[0-9eE+\-.,€$£/%]|" + K.WS + r")+$"
-# Without ranges, which a regular expression tests one by one.
-_PLAIN_NUMBER_CHARACTERS = r"^[0123456789eE+\-.,$£/% €]+$"
+_NUMBER_CHARACTERS = r"^[0-9eE+\-.,€$£/%" + K.WS + "]+$"
+# Most of them: only characters below 256 and no ranges, which a regular expression looks up in one table.
+_PLAIN_NUMBER_CHARACTERS = r"^[0123456789eE+\-.,$£/% ]+€?$"
 # Marks of a sample: where in the row order the first value of a kind stands.
 _OTHER, _SHORT, _LETTER = "other", "short", "letter"
 _MARKS = (_OTHER, _SHORT, _LETTER)
@@ -146,9 +146,10 @@ _MARKS = (_OTHER, _SHORT, _LETTER)
 _SCALED = ("scale", "on_scale")
 # What a scan tells of a cell, as bits of a number.
 _COUNTED = (
-    "present", "text", "spaces", "case", "dates", "lost", "codes", "numbers", "whole", "exponents", "marks", "grades",
-    "held_whole", *_MARKS,
+    "present", "text", "spaces", "case", "dates", "lost", "codes", "numbers", "whole", "exponents", "marks", "grades", *_MARKS,
 )
+# Rows of a value, on average, from which on equal cells are counted before they are read.
+REPETITIONS = 8
 
 
 @dataclass
@@ -204,16 +205,32 @@ def _row_key(df: DataFrame, order_by: str | None) -> Column | None:
     return ref(order_by) if isinstance(df.schema[order_by].dataType, _FIXED_WIDTH) else None
 
 
+def _cells(df: DataFrame, columns: Sequence[str], key: Column, weight: Column, place: Mapping[str, int]) -> DataFrame:
+    """(at, weight, keyless, column, raw) of every cell; a column goes by its place."""
+    # The key in a projection of its own: scan order is of rows, not of cells.
+    named = {c: f"c{i}" for i, c in enumerate(columns)}
+    rows = df.select(key.alias("at"), weight.alias("weight"), *[ref(c).alias(n) for c, n in named.items()])
+    cells = F.array(*[F.struct(F.lit(place[c]).alias("column"), F.col(n).alias("raw")) for c, n in named.items()])
+    return rows.select("at", "weight", F.inline(cells)).withColumn("keyless", F.col("at").isNull())
+
+
+def repetitive_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns in which a value stands in `REPETITIONS` rows or more on average, by a sketch of all rows."""
+    metrics = {("", "rows"): F.count("*"), **{(c, "distinct"): F.approx_count_distinct(ref(c)) for c in columns}}
+    m = collect_metrics(df, metrics)
+    return [c for c in columns if m[c, "distinct"] * REPETITIONS <= m["", "rows"]]
+
+
 def read_columns(
     df: DataFrame,
     columns: Sequence[str],
     order_by: str | None = None,
     squeeze: bool = False,
     bounded: bool = True,
-    others: Sequence[str] = (),
     weight: str | None = None,
+    repeated: Sequence[str] = (),
 ) -> dict[str, Reading]:
-    """Readings of text columns, and presence and whole values of `others`: one scan.
+    """Readings of text columns: one scan, and one more of the columns in `repeated`.
 
     With `weight`, a row counts as often as that column says.
 
@@ -221,66 +238,73 @@ def read_columns(
     so the common scale of a column of grades comes from it too. With `squeeze`, decisions are
     taken on white-space-cleaned text and the changes of that treatment are counted along the way.
     Values that share a row key count as standing together.
+
+    Of columns in `repeated` equal cells are counted first and each value is read once, with the same
+    result; it pays for `repetitive_columns`.
     """
-    columns, others = list(columns), list(others)
-    if not columns and not others:
+    columns = list(columns)
+    if not columns:
         return {}
     key = _row_key(df, order_by)
-    floats = set(float_columns(df))
     none = F.lit(None)
     bits = {name: 1 << i for i, name in enumerate(_COUNTED)}
     marked = lambda tests: reduce(
         Column.bitwiseOR, [F.when(cond, bits[n]).otherwise(0) for n, cond in tests.items()]
     )
-    # A cell goes by its column's place, its text, and what is known of a value that is no text.
-    names = [*columns, *others]
-    seen = lambda c: {"present": ref(c).isNotNull(), **({"held_whole": is_whole(ref(c).cast("double"))} if c in floats else {})}
-    cells = [
-        F.struct(
-            F.lit(i).alias("column"), (ref(c) if i < len(columns) else none.cast("string")).alias("raw"),
-            (F.lit(0) if i < len(columns) else marked(seen(c))).alias("flags"),
+    raw, v, text, flags, keyless = F.col("raw"), F.col("value"), F.col("text"), F.col("flags"), F.col("keyless")
+    row_key = key if key is not None else none.cast("long")
+    weighs = F.lit(1).cast("long") if weight is None else ref(weight).cast("long")
+    place = {c: i for i, c in enumerate(columns)}
+    single, repeated = [c for c in columns if c not in set(repeated)], chosen(columns, repeated)
+    parts = [_cells(df, single, row_key, weighs, place)] if single else []
+    if repeated:
+        alike = _cells(df, repeated, row_key, weighs, place).groupBy("column", "raw").agg(
+            F.min("at").alias("at"), F.sum("weight").alias("weight"), F.bool_or("keyless").alias("keyless")
         )
-        for i, c in enumerate(names)
-    ]
-    raw, v, text, at, flags = F.col("raw"), F.col("value"), F.col("text"), F.col("at"), F.col("flags")
-    row_key = (key if key is not None else none.cast("long")).alias("at")
-    weighed = [] if weight is None else [ref(weight).alias("weight")]
-    carried = ["at", "column", *(["weight"] if weighed else [])]
-    long = df.select(row_key, *weighed, F.inline(F.array(*cells)))
-    # Each step hands on one text at most, as every step copies what it hands on.
+        parts.append(alike.select("at", "weight", "column", "raw", "keyless"))
+    long = reduce(DataFrame.unionByName, parts)
+    carried = ["at", "weight", "keyless", "column"]
+    # Each step hands on two texts at most, as every step copies what it hands on.
     clean = squeeze_whitespace(raw) if squeeze else strip(raw)
-    long = long.select(*carried, clean.alias("value"), flags.bitwiseOR(marked({"spaces": raw != clean})).alias("flags"))
-    number_like = v.rlike(_PLAIN_NUMBER_CHARACTERS) | (has_special_space(v) & v.rlike(_NUMBER_CHARACTERS))
+    long = long.select(*carried, clean.alias("value"), marked({"spaces": raw != clean}).alias("flags"))
+    odd = v.contains("€") | has_special_space(v)
+    number_like = v.rlike(_PLAIN_NUMBER_CHARACTERS) | (odd & v.rlike(_NUMBER_CHARACTERS))
     long = long.withColumn("chars", F.when(number_like, v))
     number = F.col("chars")
+    long = long.select(
+        *carried, "value", "flags", number_text(number).alias("text"), grade_denominator(number).alias("den"),
+        number.isNotNull().alias("chars"), is_code(number).alias("code"),
+    )
     # Letters of a number are those of its exponent, and a text of other characters looks like a
-    # number only through a semicolon or by being empty.
-    lettered = number.isNull() | v.contains("e") | v.contains("E")
-    may_look_numeric = number.isNotNull() | v.contains(";") | (v == "")
+    # number only through a semicolon or by being empty. What reads as a number looks like one, but
+    # for an exponent.
+    exponent = has_exponent(v)
+    lettered = ~F.col("chars") | exponent
+    may_look_numeric = F.col("chars") | v.contains(";") | (v == "")
+    seems = F.when(text.isNotNull(), ~exponent).otherwise(may_look_numeric & looks_numeric(v))
     of_value = {
         "present": v.isNotNull(),
         "text": v.isNotNull(),
         "case": lettered & changes_when_lowered(v),
         "dates": to_timestamp(v, bounded).isNotNull(),
         "lost": is_significant(v),
-        "codes": is_code(number),
+        "codes": F.col("code"),
         "marks": v.contains("/") | v.contains("%"),
-        _OTHER: ~(may_look_numeric & looks_numeric(v)),
+        _OTHER: ~seems,
         _SHORT: lettered & is_short_code(v),
         _LETTER: lettered & has_ascii_letter(v),
+        "exponents": text.isNotNull() & exponent,
     }
     parsed = long.select(
-        *carried, number_text(number).alias("text"), grade_denominator(number).alias("den"),
-        flags.bitwiseOR(marked(of_value)).alias("flags"),
-    ).withColumn("number", text.try_cast("double"))
+        *carried, "den", text.try_cast("double").alias("number"), flags.bitwiseOR(marked(of_value)).alias("flags")
+    )
     number = F.col("number")
-    exponent = is_exponent_text(text)
-    of_number = {"numbers": number.isNotNull(), "whole": is_whole(number), "exponents": exponent, "grades": F.col("den") != 0}
+    of_number = {"numbers": number.isNotNull(), "whole": is_whole(number), "grades": F.col("den") != 0}
     # Cells are grouped by all they are at once, some tens of combinations a column, so a cell
     # costs one count and one minimum however much is counted.
     known = parsed.select(*carried, "den", flags.bitwiseOR(marked(of_number)).alias("flags"))
     alike = known.groupBy("column", "den", "flags").agg(
-        (F.sum("weight") if weighed else F.count("*")).alias("rows"), F.min("at").alias("at"), F.bool_or(at.isNull()).alias("keyless")
+        F.sum("weight").alias("rows"), F.min("at").alias("at"), F.bool_or(keyless).alias("keyless")
     )
     has = lambda name: flags.bitwiseAND(bits[name]) != 0
     joint = {
@@ -305,10 +329,10 @@ def read_columns(
         counts = {n: r[n] for n in sums}
         counts["scale"], counts["on_scale"] = (r["scale"]["scale"], r["scale"]["n"]) if r["scale"] else (None, 0)
         first = {m: None if r[f"null_{m}"] else r[f"first_{m}"] for m in marks}
-        found[names[r["column"]]] = Reading(counts, first, {})
+        found[columns[r["column"]]] = Reading(counts, first, {})
     nothing = {**dict.fromkeys(sums, 0), "scale": None, "on_scale": 0}
-    out = {c: found.get(c, Reading(nothing, dict.fromkeys(marks), {})) for c in [*columns, *others]}
-    if key is None and columns:
+    out = {c: found.get(c, Reading(nothing, dict.fromkeys(marks), {})) for c in columns}
+    if key is None:
         _settle_by_sample(df, columns, out, order_by, squeeze)
     return out
 
@@ -386,11 +410,13 @@ def settle_samples(
         asked |= {(c, m): r.first[m] for m in marks}
     if not asked:
         return
-    key = _row_key(df, order_by)
+    named = {c: f"c{i}" for i, c in enumerate({c: None for c, _ in asked})}
+    keyed = df.select(_row_key(df, order_by).alias("at"), *[ref(c).alias(n) for c, n in named.items()])
+    key = F.col("at")
     before = lambda k: F.lit(False) if k is None else key.isNull() | (key < F.lit(k))
     last = max((k for k in asked.values() if k is not None), default=None)
-    counts = {(c, m): count_where(ref(c).isNotNull() & before(k)) for (c, m), k in asked.items()}
-    for (c, m), n in collect_metrics(df.filter(before(last)), counts).items():
+    counts = {(c, m): count_where(F.col(named[c]).isNotNull() & before(k)) for (c, m), k in asked.items()}
+    for (c, m), n in collect_metrics(keyed.filter(before(last)), counts).items():
         readings[c].ahead[m] = n
 
 
@@ -447,14 +473,15 @@ def convert(df: DataFrame, plans: Mapping[str, Conversion]) -> DataFrame:
 
 
 def clean_types(
-    df: DataFrame, order_by: str | None = None, columns: Sequence[str] | None = None, rate: float | None = None
+    df: DataFrame, order_by: str | None = None, columns: Sequence[str] | None = None, rate: float | None = None,
+    repeated: Sequence[str] = (),
 ) -> tuple[DataFrame, dict[str, Conversion]]:
     """Convert text columns to numbers or timestamps where the data calls for it.
 
-    With `rate` no row order matters: that share of all present values decides.
+    With `rate` no row order matters: that share of all present values decides. `repeated` as in `read_columns`.
     """
     columns = text_columns(df) if columns is None else list(columns)
-    readings = read_columns(df, columns, order_by)
+    readings = read_columns(df, columns, order_by, repeated=repeated)
     if rate is None:
         settle_samples(df, readings, order_by)
     plans = fit_conversions(columns, readings, rate)

@@ -25,7 +25,7 @@ from limpid.operators.schema import (
 )
 from limpid.operators.typing import (
     Conversion, Reading, fit_conversions, fixed_keys, less_copies, on_a_scale, presence, read_columns,
-    settle_samples, with_changes,
+    repetitive_columns, settle_samples, with_changes,
 )
 from limpid.options import CleaningOptions, decide
 from limpid.session import tune
@@ -62,17 +62,21 @@ class Pass:
             or self.lowered or self.duplicates
         )
 
-    def project(self, df: DataFrame, changes: str | None = None, at: str | None = None) -> DataFrame:
+    def project(
+        self, df: DataFrame, changes: str | None = None, at: str | None = None, fitted: bool = False
+    ) -> DataFrame:
         """Every column treatment of the pass, as one projection.
 
         With `changes`, a column of that name says what the conversions blank or rescale in
-        the row, whose key is `at`; it is left out where they do neither.
+        the row, whose key is `at`; it is left out where they do neither. `fitted` says that this is
+        the table the pass was fitted on: white space is looked for only where it was found.
         """
         texts = set(text_columns(df))
         kept = [c for c in df.columns if c not in self.dropped]
+        spacious = set(self.whitespace) if fitted else texts
         # White space first, in a projection of its own: later steps refer to it often.
         spaced = df.select(
-            *[squeeze_whitespace(ref(c)).alias(c) if c in texts else ref(c) for c in kept]
+            *[squeeze_whitespace(ref(c)).alias(c) if c in texts & spacious else ref(c) for c in kept]
         )
         out = []
         for c in kept:
@@ -170,8 +174,9 @@ def _schema(df: DataFrame) -> list[tuple[str, str]]:
 def fit_pass(
     df: DataFrame, options: CleaningOptions, known: Mapping[str, Reading] | None = None
 ) -> tuple[Pass, dict[str, Reading]]:
-    """Decide one pass in one scan of all columns, and a look at the first rows where a sample is
-    still open. Columns of grades are double until the pass has been written.
+    """Decide one pass in a scan of the text, narrow ones of the other columns and of text that repeats
+    its values, and a look at the first rows where a sample is still open. Columns of grades are double
+    until the pass has been written.
 
     After the first pass the table is stored with its types, and `known` readings of text columns are
     not taken again: the text left is scanned by itself, and the other columns are counted in place."""
@@ -181,11 +186,10 @@ def fit_pass(
     order_by = options.order_by or ROW
     # A constant column counts the rows of a table of any width.
     marked = df.withColumn(_ALL, F.lit(True))
-    if known is None:
-        read = read_columns(marked, texts, order_by, squeeze=True, others=[*others, _ALL])
-    else:
-        fresh = [c for c in texts if c not in known]
-        read = {**known, **read_columns(df, fresh, order_by, squeeze=True), **presence(marked, [*others, _ALL])}
+    known = known or {}
+    fresh = [c for c in texts if c not in known]
+    again = repetitive_columns(df, fresh)
+    read = {**known, **read_columns(df, fresh, order_by, squeeze=True, repeated=again), **presence(marked, [*others, _ALL])}
     rows = read[_ALL]["rows"]
     out = Pass(n_rows=rows)
     if not rows:
@@ -256,7 +260,7 @@ def fit_cleaning(df: DataFrame, options: CleaningOptions | None = None) -> Clean
             break
         changed = p.changes
         keyed = fixed_keys(current, options.order_by or ROW)
-        current = p.project(current, CHANGES, options.order_by or ROW)
+        current = p.project(current, CHANGES, options.order_by or ROW, fitted=True)
         current = current.withColumn(FINGERPRINT, fingerprint(_data_columns(current)))
         if changed:
             # Written once with its fingerprints: every later job reads typed columns
@@ -275,11 +279,16 @@ def fit_cleaning(df: DataFrame, options: CleaningOptions | None = None) -> Clean
     current = current.select(*[ref(c) for c in _data_columns(current)])
     rows_before = passes[0].n_rows
     rows_after = rows_before - sum(p.duplicates for p in passes)
+    filling = bool(decide(options.fill_missing) and rows_after)
+    clipping = bool(decide(options.correct_outliers) and rows_after)
+    if rows_after < rows_before and (filling or clipping):
+        # Medians and fences take many scans of a few columns, none of which should look for copies again.
+        current = materialised(current, "kept")
 
-    fills = fit_fills(current, options.missing_columns) if decide(options.fill_missing) and rows_after else {}
+    fills = fit_fills(current, options.missing_columns) if filling else {}
     filled = fill(current, fills)
     clips: dict[str, dict] = {}
-    if decide(options.correct_outliers) and rows_after:
+    if clipping:
         cols = chosen(numeric_columns(filled), options.outlier_columns)
         thresholds = options.outlier_thresholds or {}
         bounds = iqr_bounds(filled, cols, thresholds)

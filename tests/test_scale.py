@@ -94,3 +94,22 @@ def test_format_anomalies_group_only_mixed_columns(spark, monkeypatch):
     found = {r["column"]: (r["space_anomaly"], r["case_anomaly"]) for r in counts.format_anomalies(df).collect()}
     assert found == {"ref": (False, False), "city": (True, True), "edge": (True, False), "single": (False, False)}
     assert [sorted(c) for c in grouped[1:]] == [["city", "single"]]
+
+
+def test_repeated_values_are_read_once(spark):
+    """Columns that repeat their values are read by value, with the readings of a cell-by-cell scan."""
+    shown = ["4/5", " 12,5 %", "12/05/97", "1e5", "X9", "word", None, "0612", "1 234,50 €", "€ 5", "13-01-1999"]
+    rows = [(i if i % 13 else None, shown[i % 11], shown[i * i % 7], f"{i} €") for i in range(400)]
+    df = spark.createDataFrame(rows, "n long, a string, b string, single string").repartition(3)
+    names = ["a", "b", "single"]
+    assert typing.repetitive_columns(df, names) == ["a", "b"]
+    by_cell = typing.read_columns(df, names, "n", squeeze=True)
+    for repeated in (["a", "b"], names):
+        assert typing.read_columns(df, names, "n", squeeze=True, repeated=repeated) == by_cell
+
+
+def test_scan_order_counts_rows(spark):
+    """Without an order column, the odd value of row 60 is among the first 100, however many columns there are."""
+    rows = [("odd" if i == 60 else str(i), "x", str(i), "y") for i in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string").coalesce(1)
+    assert list(typing.clean_types(df)[1]) == ["c"]
