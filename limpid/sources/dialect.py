@@ -79,12 +79,13 @@ def dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     path, length, format, encoding, separator, opening (first character that is no space),
     header (bytes of the first line that is not blank), fields and most_fields (of the header,
-    and of the widest line), long_rows, odd_lines (with an open quote) and quotes.
+    and of the widest line), long_rows, odd_lines (with an open quote), quotes and lines (not blank).
     """
     tallied = materialised(_tallied(text_lines(spark, path)), "dialects")
     files = tallied.groupBy("file", "size").agg(
         F.min("head").alias("head"), F.max("last").alias("last"), F.sum("wrong").alias("wrong"),
         F.sum("printed").alias("printed"), F.sum("quotes").alias("quotes"), F.sum("odd").alias("odd_lines"),
+        F.sum("filled").alias("lines"),
     )
     comma = K.DELIMITERS.index(",")
     d = files.join(_chosen(tallied), "file", "left").withColumn("position", F.coalesce("position", F.lit(comma)))
@@ -103,7 +104,7 @@ def dialects(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("file").alias("path"), F.col("size").alias("length"), kind.alias("format"), encoding.alias("encoding"),
         F.element_at(F.array(*[F.lit(s) for s in K.DELIMITERS]), F.col("position") + 1).alias("separator"),
         opening.alias("opening"), F.col("head.raw").alias("header"), "fields", "most_fields", "long_rows",
-        "odd_lines", "quotes",
+        "odd_lines", "quotes", "lines",
     )
 
 

@@ -217,12 +217,15 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON documents: lists of objects, or objects whose lists are columns."""
-    found = materialised(dialects(spark, path).select("path", "encoding", "opening"), "json-dialects")
+    found = materialised(dialects(spark, path).select("path", "encoding", "opening", "lines"), "json-dialects")
+    # A document of one line is read as a line: Spark infers types of lines in as many tasks as it reads
+    # them, of whole files in one task for each 128 MB.
+    lined = not found.filter((F.col("lines") > 1) | (F.col("encoding") != UTF8)).limit(1).count()
     encodings = sorted(r["encoding"] for r in found.select("encoding").distinct().collect())
     parts = []
     for encoding in encodings:
         reader = spark.read.option("recursiveFileLookup", "true").option("encoding", encoding)
-        df = reader.json(path, multiLine=True)
+        df = reader.json(path, multiLine=not lined)
         if len(encodings) > 1:
             files = found.filter(F.col("encoding") == encoding).select(F.col("path").alias("_file"))
             df = _of_files(df, files)

@@ -145,6 +145,19 @@ def test_json_shapes(spark, tmp_path):
     assert rows(load_table(spark, nested).select("id", "tags", "meta")) == [(1, '["a","b"]', '{"k":1}')]
 
 
+def test_json_documents_of_one_line_are_read_as_lines(spark, tmp_path, monkeypatch):
+    """Types of lines are inferred in many tasks; a document of several lines is still read whole."""
+    asked, reader = [], type(spark.read)
+    read = reader.json
+    monkeypatch.setattr(reader, "json", lambda self, path, **options: asked.append(options["multiLine"]) or read(self, path, **options))
+    put(tmp_path, "one/a.json", '[{"k": 1, "v": "x"}, {"k": 2, "v": "y"}]\n')
+    put(tmp_path, "one/b.json", '{"k": 3, "v": "z"}')
+    put(tmp_path, "more/a.json", '[{"k": 1, "v": "x"},\n {"k": 2, "v": "y"},\n{"k": 3, "v": "z"}]')
+    for folder, whole in (("one", False), ("more", True)):
+        assert rows(load_table(spark, str(tmp_path / folder), "json").select("k", "v")) == [(1, "x"), (2, "y"), (3, "z")]
+        assert asked.pop() is whole and not asked
+
+
 def test_invalid_json_raises(spark, tmp_path):
     with pytest.raises(ValueError):
         load_table(spark, put(tmp_path, "x.json", "{not json"))
