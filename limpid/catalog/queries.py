@@ -331,13 +331,13 @@ def convert_dates(spark, sf):
 
 def clean_types(spark, sf):
     d = _stored(spark, sf)
-    return _doubles(typing.clean_types(d, "id", repeated=typing.repetitive_columns(d, TEXTS))[0])
+    return _doubles(typing.clean_types(d, "id", values=typing.repeated_values(d, TEXTS, "id"))[0])
 
 
 def clean_types_full(spark, sf):
     """Shares of all values decide, at 0.95: a column with more oddities keeps its text."""
     d = _stored(spark, sf)
-    return _doubles(typing.clean_types(d, "id", rate=0.95, repeated=typing.repetitive_columns(d, TEXTS))[0])
+    return _doubles(typing.clean_types(d, "id", rate=0.95, values=typing.repeated_values(d, TEXTS, "id"))[0])
 
 
 def recover_integers(spark, sf):

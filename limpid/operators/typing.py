@@ -22,6 +22,7 @@ from limpid.operators.aggregate import collect_metrics, count_where, small_table
 from limpid.operators.counts import text_metrics, unpivoted
 from limpid.operators.sampling import first_n_per_group, first_present, with_order
 from limpid.operators.schema import chosen, float_columns, ref, text_columns
+from limpid.storage import materialised
 
 # Bits of a sampled value's code.
 NUMERIC_LOOK, SHORT_CODE, ASCII_LETTER = 1, 2, 4
@@ -150,6 +151,8 @@ _COUNTED = (
 )
 # Rows of a value, on average, from which on equal cells are counted before they are read.
 REPETITIONS = 8
+# Different values, and bytes of them, of all columns together that are converted by value: they are broadcast.
+MAPPED_VALUES, MAPPED_BYTES = 400_000, 32 << 20
 
 
 @dataclass
@@ -221,6 +224,71 @@ def repetitive_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if m[c, "distinct"] * REPETITIONS <= m["", "rows"]]
 
 
+def _equal_cells(df: DataFrame, columns: Sequence[str], key: Column, weight: Column) -> DataFrame:
+    """`_cells` of `columns`, equal ones counted together; the first stands for all."""
+    return _cells(df, columns, key, weight, {c: i for i, c in enumerate(columns)}).groupBy("column", "raw").agg(
+        F.min("at").alias("at"), F.sum("weight").alias("weight"), F.bool_or("keyless").alias("keyless")
+    )
+
+
+@dataclass(frozen=True)
+class Values:
+    """The different texts of columns that repeat them, counted once and stored: a scan reads them instead
+    of the cells, and a conversion is looked up by value."""
+
+    columns: tuple[str, ...]
+    table: DataFrame                # (column, raw, at, weight, keyless), a column by its place
+    mapped: frozenset[str]          # columns with few enough values to be broadcast
+
+    def converted(self, c: str, plan: Conversion, clean, names: Mapping[str, str]) -> DataFrame:
+        """(names["raw"], names["result"]) of a column's texts, and what its conversion blanks or
+        rescales by the names of `LOST` and `RESCALED`, as far as asked for."""
+        text = (F.col("column") == self.columns.index(c)) & F.col("raw").isNotNull()
+        said = self.table.filter(text).select("raw", clean(F.col("raw")).alias("value"))
+        said = said.select("raw", "value", plan.apply(F.col("value")).alias("result"))
+        value, kinds = lambda _: F.col("value"), [k for k in (LOST, RESCALED) if k in names]
+        shown = [v.alias(names[k]) for k, _, v in _shown({c: plan}, kinds, value, value, lambda _: F.col("result"))]
+        return said.select(F.col("raw").alias(names["raw"]), F.col("result").alias(names["result"]), *shown)
+
+    def looked_up(
+        self, df: DataFrame, plans: Mapping[str, Conversion], clean, changes: str | None = None
+    ) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+        """The table with the texts of these columns converted. With `changes`, columns whose names begin
+        so say beside it what is blanked or rescaled: the names by kind and column."""
+        told: dict[tuple[str, str], str] = {}
+        for i, (c, p) in enumerate(plans.items()):
+            names = {"raw": f"__raw{i}", "result": f"__result{i}"}
+            if changes:
+                asked = [LOST] * bool(p.n_lost) + [RESCALED] * bool(p.n_rescaled and p.scale is not None)
+                told |= {(k, c): f"{changes}_{k}{i}" for k in asked}
+                names |= {k: told[k, c] for k in asked}
+            known = F.broadcast(self.converted(c, p, clean, names))
+            df = df.join(known, ref(c) == F.col(names["raw"]), "left").select(
+                *[F.col(names["result"]).alias(c) if x == c else ref(x) for x in df.columns],
+                *[F.col(n) for k, n in names.items() if k in (LOST, RESCALED)],
+            )
+        return df, told
+
+
+def repeated_values(
+    df: DataFrame, columns: Sequence[str], order_by: str | None = None
+) -> Values | None:
+    """The stored values of those of these text columns that repeat them."""
+    columns = tuple(repetitive_columns(df, columns)) if columns else ()
+    if not columns:
+        return None
+    key = _row_key(df, order_by)
+    row_key = key if key is not None else F.lit(None).cast("long")
+    table = materialised(_equal_cells(df, columns, row_key, F.lit(1).cast("long")), "values")
+    sizes = table.groupBy("column").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("b"))
+    mapped, n, size = [], 0, 0
+    for r in sorted(sizes.collect(), key=lambda r: (r["n"], r["column"])):
+        n, size = n + r["n"], size + r["b"]
+        if n <= MAPPED_VALUES and size <= MAPPED_BYTES:
+            mapped.append(columns[r["column"]])
+    return Values(columns, table, frozenset(mapped))
+
+
 def read_columns(
     df: DataFrame,
     columns: Sequence[str],
@@ -229,6 +297,7 @@ def read_columns(
     bounded: bool = True,
     weight: str | None = None,
     repeated: Sequence[str] = (),
+    values: Values | None = None,
 ) -> dict[str, Reading]:
     """Readings of text columns: one scan, and one more of the columns in `repeated`.
 
@@ -240,9 +309,10 @@ def read_columns(
     Values that share a row key count as standing together.
 
     Of columns in `repeated` equal cells are counted first and each value is read once, with the same
-    result; it pays for `repetitive_columns`.
+    result; it pays for `repetitive_columns`. `values` holds such columns counted already.
     """
-    columns = list(columns)
+    counted = chosen(list(values.columns), columns) if values else []
+    columns = [*counted, *[c for c in columns if c not in set(counted)]]
     if not columns:
         return {}
     key = _row_key(df, order_by)
@@ -254,14 +324,15 @@ def read_columns(
     raw, v, text, flags, keyless = F.col("raw"), F.col("value"), F.col("text"), F.col("flags"), F.col("keyless")
     row_key = key if key is not None else none.cast("long")
     weighs = F.lit(1).cast("long") if weight is None else ref(weight).cast("long")
-    place = {c: i for i, c in enumerate(columns)}
-    single, repeated = [c for c in columns if c not in set(repeated)], chosen(columns, repeated)
-    parts = [_cells(df, single, row_key, weighs, place)] if single else []
-    if repeated:
-        alike = _cells(df, repeated, row_key, weighs, place).groupBy("column", "raw").agg(
-            F.min("at").alias("at"), F.sum("weight").alias("weight"), F.bool_or("keyless").alias("keyless")
-        )
-        parts.append(alike.select("at", "weight", "column", "raw", "keyless"))
+    again = [c for c in columns if c in set(repeated) - set(counted)]
+    single = [c for c in columns if c not in {*again, *counted}]
+    parts = [_cells(df, single, row_key, weighs, {c: columns.index(c) for c in single})] if single else []
+    tables = [(counted, values.columns, values.table)] if counted else []
+    tables += [(again, again, _equal_cells(df, again, row_key, weighs))] if again else []
+    for asked, names, alike in tables:
+        place = F.array(*[F.lit(columns.index(c) if c in asked else None).cast("int") for c in names])
+        alike = alike.select("at", "weight", F.get(place, F.col("column")).alias("column"), "raw", "keyless")
+        parts.append(alike.filter(F.col("column").isNotNull()))
     long = reduce(DataFrame.unionByName, parts)
     carried = ["at", "weight", "keyless", "column"]
     # Each step hands on two texts at most, as every step copies what it hands on.
@@ -420,13 +491,20 @@ def settle_samples(
         readings[c].ahead[m] = n
 
 
-def _whole_on_scale(df: DataFrame, plans: Mapping[str, Conversion]) -> dict[str, bool]:
+def _whole_on_scale(df: DataFrame, plans: Mapping[str, Conversion], values: Values | None = None) -> dict[str, bool]:
     """Whether all grades of a column are whole on its common scale."""
     metrics = {}
     for c, p in plans.items():
+        if values and c in values.columns:
+            continue
         value = to_double(ref(c), p.scale, p.exponents)
         metrics[c, "n"], metrics[c, "whole"] = F.count(value), count_where(is_whole(value))
     found = collect_metrics(trimmed(df, plans), metrics) if metrics else {}
+    names = {"raw": "raw", "result": "value"}
+    for c, p in plans.items():
+        if values and c in values.columns:
+            counts = {(c, "n"): F.count("value"), (c, "whole"): count_where(is_whole(F.col("value")))}
+            found |= collect_metrics(values.converted(c, replace(p, kind="double"), strip, names), counts)
     return {c: found[c, "n"] == found[c, "whole"] for c in plans}
 
 
@@ -467,27 +545,33 @@ def trimmed(df: DataFrame, columns) -> DataFrame:
     return df.select(*[strip(ref(c)).alias(c) if c in names else ref(c) for c in df.columns])
 
 
-def convert(df: DataFrame, plans: Mapping[str, Conversion]) -> DataFrame:
+def convert(df: DataFrame, plans: Mapping[str, Conversion], values: Values | None = None) -> DataFrame:
+    """The converted table; with `values` of this very table, columns with few of them by value."""
+    known = {c: p for c, p in plans.items() if values and c in values.mapped}
+    plans = {c: p for c, p in plans.items() if c not in known}
+    if known:
+        df = values.looked_up(df, known, strip)[0]
     df = trimmed(df, plans)
     return df.select(*[plans[c].apply(ref(c)).alias(c) if c in plans else ref(c) for c in df.columns])
 
 
 def clean_types(
     df: DataFrame, order_by: str | None = None, columns: Sequence[str] | None = None, rate: float | None = None,
-    repeated: Sequence[str] = (),
+    values: Values | None = None,
 ) -> tuple[DataFrame, dict[str, Conversion]]:
     """Convert text columns to numbers or timestamps where the data calls for it.
 
-    With `rate` no row order matters: that share of all present values decides. `repeated` as in `read_columns`.
+    With `rate` no row order matters: that share of all present values decides. `values` are those
+    of `repeated_values` of this table, which are then read and converted once each.
     """
     columns = text_columns(df) if columns is None else list(columns)
-    readings = read_columns(df, columns, order_by, repeated=repeated)
+    readings = read_columns(df, columns, order_by, values=values)
     if rate is None:
         settle_samples(df, readings, order_by)
     plans = fit_conversions(columns, readings, rate)
-    whole = _whole_on_scale(df, on_a_scale(plans))
+    whole = _whole_on_scale(df, on_a_scale(plans), values)
     plans.update({c: replace(plans[c], kind="bigint") for c, yes in whole.items() if yes})
-    return convert(df, plans), plans
+    return convert(df, plans, values), plans
 
 
 def whole_float_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
@@ -539,14 +623,19 @@ def _structs(at: Column, shown: list[tuple[str, str, Column]]) -> Column:
     )
 
 
-def with_changes(df: DataFrame, plans: Mapping[str, Conversion], at: str, was: Mapping[str, str], name: str) -> DataFrame:
+def with_changes(
+    df: DataFrame, plans: Mapping[str, Conversion], at: str, was: Mapping[str, str], name: str,
+    told: Mapping[tuple[str, str], str] | None = None,
+) -> DataFrame:
     """Beside a table of conversions' results, a column `name` of what they blank or rescale in the
     row: an array of (at, kind, column, value), null for most rows. `was` names the columns that
-    hold the squeezed texts; they go out, and so does `at`, which holds the row's key."""
-    plans = {c: p for c, p in plans.items() if p.n_lost or p.n_rescaled}
+    hold the squeezed texts; they go out, and so does `at`, which holds the row's key, and the
+    columns in `told`, by kind and column, that say so already."""
+    told = told or {}
+    plans = {c: p for c, p in plans.items() if c in was and (p.n_lost or p.n_rescaled)}
     raw = lambda c: ref(was[c])
-    shown = _shown(plans, (LOST, RESCALED), raw, raw, ref)
-    kept = [c for c in df.columns if c not in {at, *was.values()}]
+    shown = _shown(plans, (LOST, RESCALED), raw, raw, ref) + [(k, c, ref(n)) for (k, c), n in told.items()]
+    kept = [c for c in df.columns if c not in {at, *was.values(), *told.values()}]
     if not shown:
         return df.select(*[ref(c) for c in kept])
     places = [f"{name}{i}" for i in range(len(shown))]

@@ -24,8 +24,8 @@ from limpid.operators.schema import (
     chosen, float_columns, nan_to_null, numeric_columns, ref, text_columns,
 )
 from limpid.operators.typing import (
-    Conversion, Reading, fit_conversions, fixed_keys, less_copies, on_a_scale, presence, read_columns,
-    repetitive_columns, settle_samples, with_changes,
+    Conversion, Reading, Values, fit_conversions, fixed_keys, less_copies, on_a_scale, presence, read_columns,
+    repeated_values, settle_samples, with_changes,
 )
 from limpid.options import CleaningOptions, decide
 from limpid.session import tune
@@ -63,20 +63,29 @@ class Pass:
         )
 
     def project(
-        self, df: DataFrame, changes: str | None = None, at: str | None = None, fitted: bool = False
+        self, df: DataFrame, changes: str | None = None, at: str | None = None, fitted: bool = False,
+        values: Values | None = None,
     ) -> DataFrame:
         """Every column treatment of the pass, as one projection.
 
         With `changes`, a column of that name says what the conversions blank or rescale in
         the row, whose key is `at`; it is left out where they do neither. `fitted` says that this is
-        the table the pass was fitted on: white space is looked for only where it was found.
+        the table the pass was fitted on: white space is looked for only where it was found. `values`
+        are those of that table, by which columns with few of them are converted.
         """
         texts = set(text_columns(df))
         kept = [c for c in df.columns if c not in self.dropped]
+        df = df.select(*[ref(c) for c in kept])
+        said, told = bool(changes) and at in kept, {}
+        known = {c: p for c, p in self.conversions.items() if values and c in values.mapped and c in kept and c != at}
+        if known:
+            df, told = values.looked_up(df, known, squeeze_whitespace, changes if said else None)
+        texts -= set(known)
+        beside = list(told.values())
         spacious = set(self.whitespace) if fitted else texts
         # White space first, in a projection of its own: later steps refer to it often.
         spaced = df.select(
-            *[squeeze_whitespace(ref(c)).alias(c) if c in texts & spacious else ref(c) for c in kept]
+            *[squeeze_whitespace(ref(c)).alias(c) if c in texts & spacious else ref(c) for c in [*kept, *beside]]
         )
         out = []
         for c in kept:
@@ -85,15 +94,17 @@ class Pass:
                 v = self.conversions[c].apply(v)
             elif c in texts and c in self.lowered:
                 v = lower_guarded(v)
-            elif c in self.integers and c not in texts:
+            elif c in self.integers and c not in texts and c not in known:
                 v = v.cast("bigint")
             out.append(v.alias(c))
-        if not changes or at not in kept:
+        if not said:
             return spaced.select(*out)
         was = {c: f"{changes}_was_{c}" for c in kept if c in texts and c in self.conversions}
         key = f"{changes}_at"
-        beside = spaced.select(*out, ref(at).alias(key), *[ref(c).alias(n) for c, n in was.items()])
-        return with_changes(beside, self.conversions, key, was, changes)
+        row = spaced.select(
+            *out, ref(at).alias(key), *[ref(c).alias(n) for c, n in was.items()], *[ref(n) for n in beside]
+        )
+        return with_changes(row, self.conversions, key, was, changes, told)
 
 
 @dataclass
@@ -173,7 +184,7 @@ def _schema(df: DataFrame) -> list[tuple[str, str]]:
 
 def fit_pass(
     df: DataFrame, options: CleaningOptions, known: Mapping[str, Reading] | None = None
-) -> tuple[Pass, dict[str, Reading]]:
+) -> tuple[Pass, dict[str, Reading], Values | None]:
     """Decide one pass in a scan of the text, narrow ones of the other columns and of text that repeats
     its values, and a look at the first rows where a sample is still open. Columns of grades are double
     until the pass has been written.
@@ -188,12 +199,12 @@ def fit_pass(
     marked = df.withColumn(_ALL, F.lit(True))
     known = known or {}
     fresh = [c for c in texts if c not in known]
-    again = repetitive_columns(df, fresh)
-    read = {**known, **read_columns(df, fresh, order_by, squeeze=True, repeated=again), **presence(marked, [*others, _ALL])}
+    values = repeated_values(df, fresh, order_by)
+    read = {**known, **read_columns(df, fresh, order_by, squeeze=True, values=values), **presence(marked, [*others, _ALL])}
     rows = read[_ALL]["rows"]
     out = Pass(n_rows=rows)
     if not rows:
-        return out, {}
+        return out, {}, None
     rate = options.full_scan_rate if options.full_scan else None
     cased = chosen(texts, options.case_columns or None)
     out.whitespace = {c: read[c]["spaces"] for c in texts if read[c]["spaces"]}
@@ -211,7 +222,7 @@ def fit_pass(
         for c in cased
         if c not in out.conversions and c not in gone and read[c]["case"] and read[c].allows_lowering(rate)
     }
-    return out, {c: read[c] for c in texts}
+    return out, {c: read[c] for c in texts}, values
 
 
 def _still_known(p: Pass, read: Mapping[str, Reading], order_by: str | None) -> dict[str, Reading]:
@@ -253,14 +264,14 @@ def fit_cleaning(df: DataFrame, options: CleaningOptions | None = None) -> Clean
     changed_cells: list[DataFrame | None] = []
     known = None
     for _ in range(options.max_passes):
-        p, read = fit_pass(current, options, known)
+        p, read, values = fit_pass(current, options, known)
         passes.append(p)
         changed_cells.append(None)
         if len(passes) > 1 and not p.changes:
             break
         changed = p.changes
         keyed = fixed_keys(current, options.order_by or ROW)
-        current = p.project(current, CHANGES, options.order_by or ROW, fitted=True)
+        current = p.project(current, CHANGES, options.order_by or ROW, fitted=True, values=values)
         current = current.withColumn(FINGERPRINT, fingerprint(_data_columns(current)))
         if changed:
             # Written once with its fingerprints: every later job reads typed columns

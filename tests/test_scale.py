@@ -14,6 +14,7 @@ from limpid.functions.text import (
 from limpid.operators import counts, typing
 from limpid.operators.aggregate import count_where
 from limpid.plans import cleaning
+from limpid.session import tune
 
 
 def test_packed_file_is_dealt_by_rows(spark, tmp_path, monkeypatch):
@@ -108,6 +109,38 @@ def test_repeated_values_are_read_once(spark):
         assert typing.read_columns(df, names, "n", squeeze=True, repeated=repeated) == by_cell
 
 
+def test_repeated_values_are_converted_once(spark, monkeypatch):
+    """Columns that repeat their values are converted by value, with the result and the losses of cell by cell."""
+    shown = ["4/5", "2/10", "3", None, "7/10", "odd ", "", "4/5", "n/a", " 1"] * 10 + ["5", "4/5"] * 60
+    days = ["12/05/1997", "1999-02-03", None, "13-01-99"] * 5 + ["0197-08-14"]
+    rows = [(i, shown[i % 220] if i > 150 else "4/5", days[i % 21], f"{i % 40},5 €", f"{i} €") for i in range(660)]
+    df = spark.createDataFrame(rows + rows[:30], "n long, grade string, day string, money string, single string").repartition(3)
+
+    def run():
+        result = cleaning.fit_cleaning(df, cleaning.CleaningOptions(order_by="n"))
+        lost = sorted(tuple(r) for cells in result.changed if cells is not None for r in cells.collect())
+        types = typing.clean_types(df, "n", values=typing.repeated_values(df, df.columns[1:], "n"))
+        return [sorted(map(str, t.collect())) for t in (result.table, types[0])], result.table.dtypes, result.plan.to_json(), types[1], lost
+
+    looked_up = []
+    of_values = typing.Values.looked_up
+    monkeypatch.setattr(
+        typing.Values, "looked_up", lambda self, df, plans, *args: looked_up.append(set(plans)) or of_values(self, df, plans, *args)
+    )
+    by_value = run()
+    assert looked_up == [{"grade", "day", "money"}] * 2
+    assert len(by_value[-1]) > 50
+    monkeypatch.setattr(typing, "MAPPED_VALUES", 0)
+    assert run() == by_value
+    assert len(looked_up) == 2
+
+
+def test_a_scan_has_pieces_for_every_core(spark, tmp_path):
+    """Files of a stored table are read in more tasks than there are cores, so none waits for a last long one."""
+    tune(spark).range(2_000_000).selectExpr("id", "uuid() u").repartition(24).write.parquet(str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
 def test_scan_order_counts_rows(spark):
     """Without an order column, the odd value of row 60 is among the first 100, however many columns there are."""
     rows = [("odd" if i == 60 else str(i), "x", str(i), "y") for i in range(400)]
