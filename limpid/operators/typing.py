@@ -727,7 +727,8 @@ def mistyped_columns(df: DataFrame, order_by: str | None = None) -> dict[str, st
 
     Any year counts here, as the question is whether the text spells a date.
     """
-    readings = read_columns(df, text_columns(df), order_by, bounded=False)
+    texts = text_columns(df)
+    readings = read_columns(df, texts, order_by, bounded=False, values=repeated_values(df, texts, order_by))
     settle_samples(df, readings, order_by)
     found = {}
     for c, r in readings.items():

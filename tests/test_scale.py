@@ -135,6 +135,16 @@ def test_repeated_values_are_converted_once(spark, monkeypatch):
     assert len(looked_up) == 2
 
 
+def test_control_reads_repeated_values_once(spark, monkeypatch):
+    """What still reads as a number or date is told of repeated values, not of every cell."""
+    rows = [(i, f"{i % 9},5 €", f"0{i % 9 + 1}/03/0197", "word", f"R{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "n long, money string, day string, same string, single string")
+    read, known = typing.read_columns, []
+    monkeypatch.setattr(typing, "read_columns", lambda *args, **options: known.append(options.get("values")) or read(*args, **options))
+    assert typing.mistyped_columns(df, "n") == {"money": "number", "day": "date"}
+    assert set(known[0].columns) == {"money", "day", "same"} and known[0].table.count() == 19
+
+
 def test_a_scan_has_pieces_for_every_core(spark, tmp_path):
     """Files of a stored table are read in more tasks than there are cores, so none waits for a last long one."""
     tune(spark).range(2_000_000).selectExpr("id", "uuid() u").repartition(24).write.parquet(str(tmp_path / "t"))
