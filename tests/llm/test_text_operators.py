@@ -13,7 +13,7 @@ import xxhash
 
 from limpid.llm import (
     decontaminate, language_id, language_model, license_scan, line_quality, mixing, near_copies,
-    quality_rules, repeats, sanitise, wide_copies,
+    quality_rules, repeats, sanitise, textbytes, wide_copies,
 )
 from limpid.llm.columns import held_out
 
@@ -174,6 +174,33 @@ def test_leaks_are_found_and_others_left(spark, make, sentence, awkward):
     assert decontaminate.cleaned(make(rows), none).count() == len(rows)
 
 
+def test_the_svd_sees_every_document(make, sentence, monkeypatch):
+    """However many documents there are, the basis is that of the passages of all of them."""
+    monkeypatch.setattr(decontaminate, "FIT_DOCUMENTS", 20, raising=False)  # an earlier bound
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(20))) for i in range(60)]
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(600)) for _ in range(60)]
+    index = decontaminate.fit(make(list(enumerate(texts))).repartition(5), items)
+
+    def row(words):
+        weight = index.weight[words].astype(float)
+        return np.bincount(decontaminate._feature(index.vocabulary[words]), weight / np.linalg.norm(weight), decontaminate.DIMENSIONS)
+
+    rows = []
+    for text in texts:
+        h = decontaminate._item_words(text)
+        word, passage, *_ = decontaminate._passages(index.vocabulary, h, np.array([0, len(h)]))
+        rows += [row(word[passage == p]) for p in np.unique(passage)]
+    found = [textbytes.find(index.vocabulary, decontaminate._item_words(text)) for _, text in items]
+    a, own = np.stack(rows), np.stack([row(at[at >= 0]) for at in found])
+    rank = decontaminate.RANK + decontaminate.EXTRA
+    basis = np.random.default_rng(7).standard_normal((a.shape[1], rank))
+    for _ in range(decontaminate.ITERATIONS):
+        basis, _ = np.linalg.qr(a.T @ (a @ basis) / len(texts) + own.T @ (own @ basis))
+    assert np.linalg.matrix_rank(np.r_[a, own]) > rank
+    assert np.abs(basis[:, : decontaminate.RANK] - index.basis).max() < 1e-3
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(50):
