@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -490,6 +491,40 @@ def test_language_model_keeps_every_ngram(make, sentence, awkward, monkeypatch,
     assert sorted((r["doc_id"] or 0, round(r["score"], 4)) for r in got) == sorted((i or 0, round(w, 4)) for (i, _), w in zip(rows, want))
 
 
+def test_language_model_leaves_nothing_it_does_not_read(spark, make, sentence):
+    """Counts and levels that only lead to the model are deleted, and shuffles end with their job."""
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir")) / "limpid"
+    before = set(folder.glob("*"))
+    rng = random.Random(10)
+    d = make([(i, sentence(rng, 60)) for i in range(30)]).withColumn("held_out", held_out("doc_id", 10, 0))
+    assert language_model.scored(d).count() == 30
+    assert sorted(p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before) == ["arcs", "weighted-words"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+@pytest.mark.parametrize("chunk, bucket", [(1 << 21, 1 << 20), (200, 100)])
+def test_language_model_by_chunks_and_buckets(make, sentence, awkward, monkeypatch, chunk, bucket):
+    """Scores do not depend on how texts and keys are dealt; without n-grams in memory all are asked for."""
+    rng = random.Random(13)
+    rows = [*awkward, *((i, sentence(rng, 60) + f" only{i}") for i in range(100, 180))]
+    d = make(rows).withColumn("held_out", held_out("doc_id", 10, 0))
+    by = lambda got: sorted(((r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["held_out"], r["base_score"], r["score"]) for r in got))
+    want = by(language_model.scored(d).collect())
+    for name, value in (("CHUNK", chunk), ("BUCKET", bucket), ("COMMON", 1.0), ("SHARE", {2: 1.0, 3: 1.0})):
+        monkeypatch.setattr(language_model, name, value)
+    got = by(language_model.scored(d).collect())
+    assert [x[:4] for x in got] == [x[:4] for x in want]
+    assert np.abs(np.array([x[4:] for x in got]) - np.array([x[4:] for x in want])).max() < 1e-5
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3000])
+def test_places(size):
+    rng = np.random.default_rng(size)
+    table = np.unique(np.r_[rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2), np.arange(size // 100, dtype=np.uint64)])
+    keys = np.r_[table, table + np.uint64(1), np.zeros(2, np.uint64), rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([2**64 - 1], np.uint64)]
+    assert textbytes.Places(table).find(keys).tolist() == textbytes.find(table, keys).tolist()
+
+
 def test_automaton_is_a_distribution():
     """From every state the words' probabilities add up to one, with the unseen word's share."""
     rng = random.Random(1)
