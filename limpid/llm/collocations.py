@@ -4,14 +4,17 @@ The corpus is dealt into `SHARDS` shards of whole tasks. A phrase with `support`
 its proportional share of them in at least one shard. Each shard is mined completely at that
 lowered support, level by level: a phrase can be frequent only if both phrases one word
 shorter are. What is frequent in any shard is a candidate; all candidates are then counted over
-the whole corpus, which is exact.
+the whole corpus, which is exact. Where there are more candidates than may be sent to all tasks,
+the phrases of a level are counted over the whole corpus at once, behind a bitmap of fixed size
+that drops those with a part that cannot be frequent.
 
 The number of shards does not grow with the corpus, or the lowered support would sink to one
 occurrence. So a shard may be larger than a task: counts of a level are added up by shard in a
 shuffle, from the tasks' own sums. Mined are only words that have `support` occurrences
 in the corpus; a first count finds them, and texts are kept from then on as their numbers.
 
-A phrase is the pair of its front's number and its last word's; no hash stands for one anywhere.
+A phrase is the pair of its front's number and its last word's, or all its words' numbers. Hashes
+deal phrases out and sort them, but phrases are told apart by their numbers.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limpid.llm import textbytes as tb
 from limpid.llm.columns import LOWER, UPPER, documents, text_of
+from limpid.llm.language_model import _bits, _cuts, _joined as _with_word, _maybe, _packed, _steps, _unpacked, bitmap
 from limpid.operators.sampling import first_n_per_group
-from limpid.storage import materialised
+from limpid.storage import materialised, materialised_alone
 
 SUPPORT = 100
 LONGEST = 5
@@ -54,32 +58,25 @@ _FOLD = bytes(
 
 
 class Chunk:
-    """Words of some whole texts by language, as numbers; `_END` stands between pieces."""
+    """Words of some whole texts by language, as numbers; `_END` stands between pieces. `words` are those of the
+    language that `languages` is at."""
 
     def __init__(self):
-        self.size, self.vocabulary, self.words, self.parts = 0, {}, [], {}
+        self.size, self.words, self.parts = 0, [], {}
 
     def add(self, lang: str, texts: list[bytes]) -> None:
         self.size += sum(map(len, texts))
-        folded = b"\n".join(texts).translate(_FOLD).replace(b"\n", b" \n ")
-        tokens = pa.array([w for w in folded.split(b" ") if w], pa.binary())
-        if not len(tokens):
-            return
-        coded = pc.dictionary_encode(tokens)
-        numbers = np.array([self._number(w) for w in coded.dictionary.to_pylist()], np.int32)
-        self.parts.setdefault(lang, []).extend([numbers[coded.indices.to_numpy()], np.array([_END], np.int32)])
-
-    def _number(self, word: bytes) -> int:
-        if word == b"\n":
-            return _END
-        at = self.vocabulary.setdefault(word, len(self.words))
-        if at == len(self.words):
-            self.words.append(word)
-        return at
+        self.parts.setdefault(lang, []).append(b"\n".join(texts).translate(_FOLD))
 
     def languages(self) -> Iterator[tuple[str, np.ndarray]]:
         for lang in list(self.parts):
-            yield lang, np.concatenate(self.parts.pop(lang))
+            folded = b"\n".join([*self.parts.pop(lang), b""]).replace(b"\n", b" \n ")
+            tokens = pc.split_pattern(pa.array([folded], pa.large_binary()), b" ").flatten()
+            coded = pc.dictionary_encode(tokens.filter(pc.greater(pc.binary_length(tokens), 0)))
+            self.words = coded.dictionary.to_pylist()
+            numbers = np.arange(len(self.words), dtype=np.int32)
+            numbers[self.words.index(b"\n")] = _END
+            yield lang, numbers[coded.indices.to_numpy()]
 
 
 def frequent(words: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,7 +97,7 @@ def frequent(words: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[np.nda
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorting order, where each distinct key starts in it, and how often it occurs."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
     return order, starts, np.diff(starts, append=len(order))
 
@@ -268,28 +265,144 @@ def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 
 LEVEL = "shard int, lang string, key long, n long"
+DEALT = "bucket int, shard int, lang string, data binary"
+
+
+def _hashed(columns: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = _with_word(h, c.astype(np.uint64))
+    return h
+
 
+def _summed(h: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple:
+    """Hashes, numbers and counts of the distinct phrases, by hash. Phrases of one hash stay apart."""
+    if not len(h):
+        return h, columns, n
+    order = np.argsort(h)
+    h, columns = h[order], [c[order] for c in columns]
+    same = h[1:] == h[:-1]
+    if any((c[1:] != c[:-1])[same].any() for c in columns):
+        again = np.lexsort([*columns, h])
+        order, columns = order[again], [c[again] for c in columns]
+    new = np.r_[True, ~same | np.any([c[1:] != c[:-1] for c in columns], axis=0)]
+    return h[new], [c[new] for c in columns], np.add.reduceat(n[order], np.flatnonzero(new))
 
-def frequent_in_shards(table: DataFrame, trie: Trie, k: int, supports: dict[int, int]) -> DataFrame:
+
+def _dealt(table: DataFrame, phrases, width: int, bits: int) -> DataFrame:
+    """The phrases of each row of words, as `width` columns of numbers and their counts, dealt by hash into packed rows."""
+
+    def run(batches):
+        for batch in batches:
+            for shard, lang, words in _rows(batch, "shard", "lang"):
+                columns = phrases(lang, words)
+                h, columns, n = _summed(_hashed(columns), columns, np.ones(len(columns[0]), np.int64))
+                cuts = list(_cuts(h, bits))
+                data = []
+                for _, low, high in cuts:
+                    part = [c[low:high] for c in columns]
+                    order = np.argsort((part[0].astype(np.int64) << 32) | part[1])
+                    part = [part[0][order].view(np.uint32), *(c[order] for c in part[1:]), n[low:high][order]]
+                    data.append(_packed(_steps(part[0]), *part[1:]))
+                if cuts:
+                    yield _batch(DEALT, [b for b, *_ in cuts], [shard] * len(cuts), [lang.encode()] * len(cuts), data)
+
+    return table.select("shard", "lang", "words").mapInArrow(run, DEALT)
+
+
+def _collected(rows: pa.Table, width: int) -> tuple:
+    """The sums of packed rows."""
+    held = []
+    for data in rows.column("data"):
+        first, *others = _unpacked(data, np.uint32, *[np.int32] * (width - 1), np.int64)
+        held.append([np.cumsum(first, dtype=np.uint32).view(np.int32), *others])
+    *columns, n = (np.concatenate(x) for x in zip(*held))
+    return _summed(_hashed(columns), columns, n)
+
+
+def _groups_of(rows: pa.Table, *names: str) -> Iterator[tuple[tuple, pa.Table]]:
+    values = list(zip(*(rows.column(c).to_pylist() for c in names)))
+    for value in sorted(set(values)):
+        yield value, rows.filter(pa.array([v == value for v in values]))
+
+
+def frequent_in_shards(table: DataFrame, trie: Trie, k: int, supports: dict[int, int], bits: int = 4) -> DataFrame:
     """shard, lang, key, n: the phrases of `k` words that are frequent in a shard.
 
-    `trie` has the candidates of up to k - 1 words. Each task sends its own sums.
+    `trie` has the candidates of up to k - 1 words. Each task sends its own sums, in 2^bits buckets.
     """
     shared = table.sparkSession.sparkContext.broadcast(trie)
 
-    def run(batches):
+    def phrases(lang, words):
+        keys = next((keys for n, _, keys in shared.value.walk(lang, words) if n == k), np.zeros(0, np.int64))
+        return [(keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32)]
+
+    def added(rows):
+        out = []
+        for (shard, lang), some in _groups_of(rows, "shard", "lang"):
+            _, (front, last), n = _collected(some, 2)
+            front, last, n = (x[n >= supports[shard]] for x in (front, last, n))
+            keys = (front.astype(np.int64) << 32) | last
+            out.append(_batch(LEVEL, [shard] * len(n), [lang.encode()] * len(n), keys, n))
+        return pa.Table.from_batches(out)
+
+    return _dealt(table, phrases, 2, bits).groupBy("bucket").applyInArrow(added, LEVEL)
+
+
+FREQUENT = "lang string, h long, words binary, f long"
+
+
+def frequent_everywhere(table: DataFrame, k: int, shorter: np.ndarray | None, support: int, bits: int) -> DataFrame:
+    """lang, h, words, f: the phrases of `k` words with `support` occurrences, as their words' numbers.
+
+    `shorter` is a bitmap of the phrases of k - 1 words that are frequent, for k above 2.
+    """
+    shared = table.sparkSession.sparkContext.broadcast(shorter)
+
+    def phrases(lang, words):
+        n = max(0, len(words) - k + 1)
+        whole = words >= 0
+        for i in range(1, k):
+            whole = whole[:-1] & (words[i:] >= 0) if len(whole) > 1 else whole[:0]
+        places = np.flatnonzero(whole[:n])
+        for back in (0, 1) if k > 2 else ():
+            part = [words[places + back + i] for i in range(k - 1)]
+            places = places[_maybe(shared.value, _hashed(part))]
+        return [words[places + i] for i in range(k)]
+
+    def added(rows):
+        out = []
+        for (lang,), some in _groups_of(rows, "lang"):
+            h, columns, f = _collected(some, k)
+            often = f >= support
+            words = np.ascontiguousarray(np.stack([c[often] for c in columns], 1))
+            words = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * k), len(words), [None, pa.py_buffer(words)]).cast(pa.binary())
+            out.append(_batch(FREQUENT, [lang.encode()] * len(words), h[often].view(np.int64), words, f[often]))
+        return pa.Table.from_batches(out)
+
+    return _dealt(table, phrases, k, bits).groupBy("bucket").applyInArrow(added, FREQUENT)
+
+
+def level_counts(table: DataFrame, vocabulary: Vocabulary, support: int, longest: int, bits: int) -> DataFrame | None:
+    """lang, phrase, k, f of the phrases of 2 words and more with `support` occurrences; None if there is none."""
+    shared = table.sparkSession.sparkContext.broadcast(vocabulary.words)
+    shorter, out = None, None
+
+    def spelt(batches):
         for batch in batches:
-            for shard, lang, words in _rows(batch, "shard", "lang"):
-                keys = next((keys for n, _, keys in shared.value.walk(lang, words) if n == k), np.zeros(0, np.int64))
-                if len(keys):
-                    order, starts, counts = _groups(keys)
-                    same = len(counts)
-                    yield _batch(LEVEL, [shard] * same, [lang.encode()] * same, keys[order[starts]], counts)
+            langs, ids = batch.column("lang").to_pylist(), [np.frombuffer(w, np.int32).tolist() for w in batch.column("words").to_pylist()]
+            phrases = [" ".join([shared.value[lang][i] for i in row]).encode() for lang, row in zip(langs, ids)]
+            yield _batch(COUNTED, [lang.encode() for lang in langs], phrases, [len(row) for row in ids], batch.column("f").to_numpy())
 
-    sums = table.select("shard", "lang", "words").mapInArrow(run, LEVEL)
-    sums = sums.groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
-    least = F.create_map(*[F.lit(x) for kv in supports.items() for x in kv])[F.col("shard")]
-    return sums.filter(F.col("n") >= least)
+    for k in range(2, longest + 1):
+        found = materialised_alone(frequent_everywhere(table, k, shorter, support, bits), "frequent-phrases")
+        if found.isEmpty():
+            break
+        part = found.mapInArrow(spelt, COUNTED)
+        out = part if out is None else out.unionByName(part)
+        if k < longest:
+            shorter = bitmap(found)
+    return out
 
 
 TALLY = "lang string, k int, block int, part int, f array<long>"
@@ -343,7 +456,8 @@ def son_counts(
     docs: DataFrame, words: DataFrame, support: int, longest: int, shards: int, size: int, most: int
 ) -> DataFrame | None:
     """lang, phrase, k, f of all phrases with `support` occurrences, words included; None where
-    the words or the candidates are more than `most`, which is what may be sent to all tasks."""
+    the words are more than `most`, which is what may be sent to all tasks. With more candidates
+    than that, `level_counts` has the same."""
     spark = docs.sparkSession
     if words.count() > most:
         return None
@@ -353,15 +467,17 @@ def son_counts(
         vocabulary.words.setdefault(r["lang"], []).append(r["phrase"])
     table = materialised(encoded(docs, vocabulary, shards, size), "encoded")
     supports = local_supports(table, support)
+    bits = _bits(sum(r["f"] for r in rows))
     trie = Trie()
     for k in range(2, longest + 1):
         if not supports:
             break
-        found = frequent_in_shards(table, trie, k, supports).select("lang", "key").distinct()
-        found = materialised(found, "candidates")
+        found = frequent_in_shards(table, trie, k, supports, bits).select("lang", "key").distinct()
+        found = materialised_alone(found, "candidates")
         n = found.count()
         if trie.size() + n > most:
-            return None
+            more = level_counts(table, vocabulary, support, longest, bits)
+            return words.select("lang", "phrase", "k", "f") if more is None else words.select("lang", "phrase", "k", "f").unionByName(more)
         if not n:
             break
         trie.extend(found.toArrow(), k)
@@ -419,7 +535,8 @@ def collocations(
 
     A null lang is `und`, a null text empty; rows that repeat count each. A table without words
     gives no rows. Up to `most` frequent words and candidates are sent to all tasks; where there
-    are more, every phrase is counted in a shuffle instead, with the same result.
+    are more candidates, phrases are counted level by level in shuffles, and where there are more
+    words, every phrase is counted in one shuffle, with the same result.
     """
     docs = docs.select(F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang"), text_of().alias("text"))
     every = materialised(all_phrases(docs, 1, size), "words")

@@ -68,6 +68,22 @@ def test_equals_counting_by_hand(spark, monkeypatch, shards, size, most, parts):
     assert got(docs, support=20, shards=shards, size=size, most=most) == brute(rows, 20)
 
 
+def test_more_candidates_than_may_be_sent(spark, monkeypatch):
+    """Phrases are then counted by their numbers, level by level; never as texts of every phrase."""
+    rows = corpus(random.Random(9), 150)
+    spelt, all_phrases = [], co.all_phrases
+    monkeypatch.setattr(co, "all_phrases", lambda docs, longest, *more: spelt.append(longest) or all_phrases(docs, longest, *more))
+    assert got(table(spark, rows).repartition(3), support=10, most=80) == brute(rows, 10)
+    assert spelt == [1]
+
+
+def test_phrases_of_one_hash_stay_apart():
+    h = co.np.array([5, 5, 1, 5, 5], co.np.uint64)
+    columns = [co.np.array(c, co.np.int32) for c in ([7, 8, 9, 7, 8], [1, 1, 1, 1, 2])]
+    got = co._summed(h, columns, co.np.array([1, 2, 3, 4, 5]))
+    assert sorted(zip(got[0].tolist(), *(c.tolist() for c in got[1]), got[2].tolist())) == [(1, 9, 1, 3), (5, 7, 1, 5), (5, 8, 1, 2), (5, 8, 2, 5)]
+
+
 def test_ties_are_broken_by_bytes_and_the_list_ends(spark):
     rows = [("en", ". ".join(f"{a} {b}" for a in "zaéB" for b in ("k", "É", "m")))] * 6
     assert got(table(spark, rows), support=6, top=5) == brute(rows, 6, top=5)
