@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from limpid.llm import textbytes as tb
 from limpid.llm.columns import documents, held_out, rows_kept, text_of
+from limpid.storage import discard, materialised_alone
 
 TRAIN_DOCUMENTS = 4000  # bound of the labelled sample: those with the smallest hashes of their ids
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
@@ -137,25 +139,34 @@ def marginals(score: np.ndarray, first: np.ndarray, chain: np.ndarray) -> tuple[
     return 1 / (1 + np.exp(gap)), pairs
 
 
-def train(features: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Field:
-    """Penalised likelihood by Adam steps; every line of a text has the label of the text."""
+def _gradient(features: np.ndarray, first: np.ndarray, labels: np.ndarray, w: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """Of the likelihood by weights and chain, where every line of a text has the label of the text."""
     y = np.repeat(labels, np.diff(first)).astype(float)
     inside = np.ones(len(y), bool)
     inside[first[:-1][np.diff(first) > 0]] = False
     seen = np.zeros((2, 2))
     same = np.flatnonzero(inside)
     np.add.at(seen, (y[same - 1].astype(int), y[same].astype(int)), 1)
-    w, chain = np.zeros(features.shape[1]), np.zeros((2, 2))
-    m, v, size = np.zeros(len(w) + 4), np.zeros(len(w) + 4), max(len(y), 1)
+    p, pairs = marginals(features @ w, first, chain)
+    return np.r_[features.T @ (y - p), (seen - pairs).ravel()]
+
+
+def _climbed(gradient, width: int, size: int) -> Field:
+    """Penalised likelihood by Adam steps; `gradient` has that of `size` lines at weights and chain."""
+    w, chain = np.zeros(width), np.zeros((2, 2))
+    m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for i in range(1, ROUNDS + 1):
-        p, pairs = marginals(features @ w, first, chain)
-        gradient = np.r_[features.T @ (y - p), (seen - pairs).ravel()] / size - RIDGE * np.r_[w, chain.ravel()]
-        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
+        step = gradient(w, chain) / max(size, 1) - RIDGE * np.r_[w, chain.ravel()]
+        m, v = 0.9 * m + 0.1 * step, 0.99 * v + 0.01 * step**2
         step = RATE * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
         w, chain = w + step[:-4], chain + step[-4:].reshape(2, 2)
     return Field(w, chain)
 
 
+def train(features: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Field:
+    return _climbed(lambda w, chain: _gradient(features, first, labels, w, chain), features.shape[1], len(features))
+
+
 def _log_odds(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-6, 1 - 1e-6)
     return np.log(p / (1 - p))
@@ -163,12 +174,24 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
 
 def calibrate(mean: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the log-odds at which means become probabilities of a good document."""
+    return _calibrated(lambda w: _curve(mean, labels, w))
+
+
+def _curve(mean: np.ndarray, labels: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of the likelihood: the 2 x 2 curvature, then the slope."""
     x = np.stack([_log_odds(mean), np.ones(len(mean))], 1)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
+    return np.r_[((x * (p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (labels - p)]
+
+
+def _calibrated(curve) -> tuple[float, float]:
     w = np.array([1.0, 0.0])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        w = w + np.linalg.solve(curve, x.T @ (labels - p) - 1e-2 * (w - [1.0, 0.0]))
+        sums = curve(w)
+        step = np.linalg.solve(sums[:4].reshape(2, 2) + 1e-2 * np.eye(2), sums[4:] - 1e-2 * (w - [1.0, 0.0]))
+        w = w + step
+        if np.abs(step).max() < 1e-12:  # further steps change nothing
+            break
     return max(float(w[0]), 1e-3), float(w[1])
 
 
@@ -182,9 +205,13 @@ def document_scores(lines: Lines, field: Field, empty: float) -> np.ndarray:
     return np.where(weight > 0, 1 / (1 + np.exp(-np.clip(odds, -60, 60))), empty)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def _allowed(labels: DataFrame) -> DataFrame:
     allowed = labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality")
-    allowed = allowed.filter(~held_out("doc_id", 5, 0))
+    return allowed.filter(~held_out("doc_id", 5, 0))
+
+
+def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    allowed = _allowed(labels)
     ids = allowed.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     # The sample has `most` rows, so it may be broadcast.
     return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "quality")
@@ -226,6 +253,61 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> tupl
     return field, float(labels_of.mean())
 
 
+_TEXTS = "own binary, weights binary, first binary, quality binary"
+
+
+def fit_all(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> tuple[Field, float]:
+    """`fit` on all labelled documents. Where they are more than `most`, each round adds up the gradients of
+    the tasks, so that the driver holds a few sums only."""
+    allowed = _allowed(labels)
+    if allowed.count() <= most:
+        return fit(docs, labels, most)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = tb.texts(batch.column("text"))
+            quality = batch.column("quality").to_numpy().astype(np.int8)
+            for low, high in tb.pieces(offsets):
+                part = offsets[low : high + 1]
+                x = lines_of(data[part[0] : part[-1]], part - part[0])
+                columns = (x.own.astype(np.float32), x.weight.astype(np.float32), x.first.astype(np.int32), quality[low:high])
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["own", "weights", "first", "quality"])
+
+    # The labels grow with the documents, so they are not broadcast.
+    texts = docs.select("doc_id", text_of().alias("text")).join(allowed.hint("merge"), "doc_id")
+    texts = texts.select("text", F.col("quality").cast("int").alias("quality"))
+    table = materialised_alone(texts.mapInArrow(run, _TEXTS), "labelled-lines")
+    table_of = table.coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism))
+
+    def summed(of_rows, width: int) -> np.ndarray:
+        """`of_rows` (lines, labels) -> `width` sums, added up over all rows in the order of the tasks."""
+
+        def add(batches):
+            total = np.zeros(width)
+            for batch in batches:
+                for own, weights, first, quality in zip(*batch.columns):
+                    own, weights = (np.frombuffer(x.as_buffer(), np.float32).astype(float) for x in (own, weights))
+                    first = np.frombuffer(first.as_buffer(), np.int32).astype(np.int64)
+                    total += of_rows(Lines(own.reshape(-1, FEATURES), weights, first), np.frombuffer(quality.as_buffer(), np.int8).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tolist()])], ["part", "sums"])
+
+        rows = table_of.mapInArrow(add, "part long, sums array<double>").collect()  # a row per task
+        return sum((np.array(r["sums"]) for r in sorted(rows, key=lambda r: r["part"])), np.zeros(width))
+
+    n_lines, n_texts, good = summed(lambda lines, y: np.array([len(lines.own), len(y), y.sum()], float), 3)
+    if not n_texts:
+        return Field(np.zeros(3 * FEATURES), np.zeros((2, 2))), 0.5
+    field = _climbed(
+        lambda w, chain: summed(lambda lines, y: _gradient(with_neighbours(lines), lines.first, y, w, chain), 3 * FEATURES + 4),
+        3 * FEATURES, int(n_lines),
+    )
+    field.slope, field.shift = _calibrated(
+        lambda w: summed(lambda lines, y: _curve(document_scores(lines, field, 0.5), y, w), 6)
+    )
+    discard(table)
+    return field, float(good / n_texts)
+
+
 def scored(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
     """doc_id, held_out, score, predicted: a row per row of `docs`, in one pass without a shuffle.
 
@@ -261,8 +343,8 @@ def scores_of(texts, field: Field, empty: float) -> np.ndarray:
 
 
 def kept(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """The rows of `docs`, all columns, whose score is at least `KEEP_AT`."""
-    field, empty = fit(docs, labels, most)
+    """The rows of `docs`, all columns, whose score is at least `KEEP_AT`, learnt from all labelled documents."""
+    field, empty = fit_all(docs, labels, most)
     shared = docs.sparkSession.sparkContext.broadcast((field, empty))
 
     def run(batches):

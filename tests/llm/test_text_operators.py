@@ -256,6 +256,22 @@ def test_marginals_match_enumeration():
     assert np.allclose(pairs, total)
 
 
+def test_the_pipeline_learns_from_all_labelled_documents(spark, make, sentence, monkeypatch):
+    """With more labelled documents than the driver learns from, the field is that of all of them."""
+    monkeypatch.setattr(line_quality, "ROUNDS", 12)
+    rng = random.Random(14)
+    rows = [(i, "\n".join(sentence(rng, 12) if i % 3 else "!! " * rng.randint(1, 9) for _ in range(rng.randint(0, 5)))) for i in range(300)]
+    table = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int")
+    want, share = line_quality.fit(make(rows), table, 10**6)
+    learnt, seen = [], line_quality.fit_all
+    monkeypatch.setattr(line_quality, "fit_all", lambda *a: learnt.append(seen(*a)) or learnt[-1])
+    assert line_quality.kept(make(rows).repartition(5), table, 20).count() > 0
+    (field, empty), = learnt
+    assert empty == pytest.approx(share)
+    for a, b in ((field.weights, want.weights), (field.chain, want.chain), (field.slope, want.slope), (field.shift, want.shift)):
+        assert np.allclose(a, b, atol=1e-6)
+
+
 # --- 5: languages -------------------------------------------------------------------------
 
 
